@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_dedup
+from . import queries_decontaminate, queries_dedup
 
-_MODULES = (queries_dedup,)
+_MODULES = (queries_decontaminate, queries_dedup)
 
 
 def queries() -> dict:
