@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_decontaminate, queries_dedup
+from . import queries_decontaminate, queries_dedup, queries_langid
 
-_MODULES = (queries_decontaminate, queries_dedup)
+_MODULES = (queries_decontaminate, queries_dedup, queries_langid)
 
 
 def queries() -> dict:
