@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_decontaminate, queries_dedup, queries_langid
+from . import queries_decontaminate, queries_dedup, queries_langid, queries_quality
 
-_MODULES = (queries_decontaminate, queries_dedup, queries_langid)
+_MODULES = (queries_decontaminate, queries_dedup, queries_langid, queries_quality)
 
 
 def queries() -> dict:
