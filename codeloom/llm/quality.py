@@ -31,39 +31,42 @@ _MARK[33:127] = True
 _MARK &= ~(_ALPHA | _DIGIT | _STOP)
 
 FEATURES = (
-    "log_bytes", "log_words", "word_length", "word_length_spread", "upper", "digits", "stops", "exclamations", "marks",
+    "word_length", "word_length_spread", "upper", "digits", "stops", "exclamations", "marks",
     "bars", "lines", "long_words", "short_words", "capital_words", "repeated_words", "non_ascii",
 )
 
 
+#: Bytes and words of plain prose that each row is taken to hold besides its own, so that the shares of a short text stay near those of prose.
+PRIOR_BYTES, PRIOR_WORDS = 100, 16
+
+
 def statistics(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The transformed statistics of each row: logs of sizes, square roots of shares. All are finite, for empty rows too."""
-    n = np.diff(at)
-    per = np.maximum(n, 1)
+    per = np.diff(at) + PRIOR_BYTES
     w = tb.words(raw, at, tb.NOT_SPACE)
     count = np.diff(w.row_at)
-    many = np.maximum(count, 1)
+    many = count + PRIOR_WORDS
     size = w.end - w.start
 
-    def share(flags: np.ndarray) -> np.ndarray:
-        return np.sqrt(tb.row_sums(flags, at) / per)
+    def share(flags: np.ndarray, usual: float) -> np.ndarray:
+        return np.sqrt((tb.row_sums(flags, at) + usual * PRIOR_BYTES) / per)
 
-    def word_share(flags: np.ndarray) -> np.ndarray:
-        return np.sqrt(tb.row_sums(flags, w.row_at) / many)
+    def word_share(flags: np.ndarray, usual: float) -> np.ndarray:
+        return np.sqrt((tb.row_sums(flags, w.row_at) + usual * PRIOR_WORDS) / many)
 
-    mean = tb.row_sums(size, w.row_at) / many
-    spread = np.sqrt(np.maximum(tb.row_sums(size * size, w.row_at) / many - mean**2, 0))
+    mean = (tb.row_sums(size, w.row_at) + 5.5 * PRIOR_WORDS) / many
+    spread = np.sqrt(np.maximum((tb.row_sums(size * size, w.row_at) + 42.0 * PRIOR_WORDS) / many - mean**2, 0))
     h = tb.hashes(tb.lower(raw), w.start, w.end)
-    row = np.repeat(np.arange(len(n)), count)
+    row = np.repeat(np.arange(len(count)), count)
     order = np.lexsort((h, row))
     again = np.zeros(len(h), bool)
     if len(h):
         again[1:] = (h[order][1:] == h[order][:-1]) & (row[order][1:] == row[order][:-1])
     capital = _UPPER[raw[w.start]] & ((size < 2) | _UPPER[raw[np.minimum(w.start + 1, max(len(raw) - 1, 0))]]) if len(size) else np.zeros(0, bool)
     columns = [
-        np.log1p(n), np.log1p(count), np.log1p(mean), np.log1p(spread), share(_UPPER[raw]), share(_DIGIT[raw]),
-        share(_STOP[raw]), share(raw == 33), share(_MARK[raw]), share(raw == 124), share(raw == 10),
-        word_share(size > 20), word_share(size <= 3), word_share(capital), word_share(again), share(raw >= 128),
+        np.log1p(mean), np.log1p(spread), share(_UPPER[raw], 0.02), share(_DIGIT[raw], 0.002), share(_STOP[raw], 0.025),
+        share(raw == 33, 0.0), share(_MARK[raw], 0.001), share(raw == 124, 0.0), share(raw == 10, 0.005), word_share(size > 20, 0.01),
+        word_share(size <= 3, 0.3), word_share(capital, 0.0), word_share(again, 0.2), share(raw >= 128, 0.03),
     ]
     return np.stack(columns, axis=1)
 
