@@ -9,13 +9,16 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
+from .langid import folded
 from .scratch import narrow_batches
 
 KINDS = ("email", "ip", "card", "phone")
@@ -26,7 +29,6 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_DIGITS = re.compile(r"[0-9]")
 
 # Latin look-alikes of other scripts, and characters that print as a sign of identifiers.
 _ALIKE = {
@@ -93,21 +95,36 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
-def plain_spans(text: str) -> list[Span]:
+@dataclass
+class Signs:
+    """Which searches can succeed in a text; all of them unless something is known of it."""
+
+    ip: bool = True
+    card: bool = True
+    odd: bool = True
+    spelled: bool = True
+    at_dot: bool = True
+
+
+_ANY = Signs()
+
+
+def plain_spans(text: str, signs: Signs = _ANY) -> list[Span]:
     """Leftmost non-overlapping matches of each kind; those that fail a check are dropped and not retried."""
     found: list[Span] = [("email", s, e) for s, e in _emails(text)] if "@" in text else []
-    if _DIGITS.search(text):
+    if signs.ip:
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
                 found.append(("ip", m.start(), m.end()))
+    if signs.card:
         for m in _CARD.finditer(text):
             d = m.group().replace(" ", "").replace("-", "")
             if 12 <= len(d) <= 19 and luhn(d):
                 found.append(("card", m.start(), m.end()))
-        if "+" in text:
-            for m in _PHONE.finditer(text):
-                if 9 <= sum(c.isdigit() for c in m.group()) <= 15:
-                    found.append(("phone", m.start(), m.end()))
+    if "+" in text:
+        for m in _PHONE.finditer(text):
+            if 9 <= sum("0" <= c <= "9" for c in m.group()) <= 15:
+                found.append(("phone", m.start(), m.end()))
     return found
 
 
@@ -171,14 +188,14 @@ def _at_and_dot(r: Rewritten) -> Rewritten:
     return r.replaced(edits)
 
 
-def disguised_spans(text: str) -> list[Span]:
+def disguised_spans(text: str, signs: Signs = _ANY) -> list[Span]:
     """Spans of ``text`` that the detectors find only after rewriting it."""
     r = Rewritten(text)
-    if not text.isascii():
+    if signs.odd and not text.isascii():
         r = _characters(r)
-    if _SOME_SPELLED.search(r.text):
+    if (signs.spelled or r.edits) and _SOME_SPELLED.search(r.text):
         r = _spelled_digits(r)
-    if _BRACKETED.search(r.text) or _BARE.search(r.text):
+    if (signs.at_dot or r.edits) and (_BRACKETED.search(r.text) or _BARE.search(r.text)):
         r = _at_and_dot(r)
     if not r.edits:
         return []
@@ -189,14 +206,67 @@ def _ordered(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
-def spans_of(text: str | None) -> tuple[list[Span], list[Span]]:
+def _hashes_of(words: Iterable[str]) -> np.ndarray:
+    return np.unique(np.array([tb.hash_word(w.encode()) for w in words], np.uint64))
+
+
+def _is_any(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
+_DIGIT_WORDS = _hashes_of(_SPELLED)
+_DOT_WORDS = _hashes_of(("dot", "punkt", "punto", "point"))
+_AT_WORDS = _hashes_of(("at", "arroba", "ät"))
+_PART = np.zeros(256, bool)
+_PART[48:58] = _PART[97:123] = _PART[128:] = True
+_OPEN = np.zeros(256, bool)
+_OPEN[[40, 60, 91, 123]] = True
+#: First UTF-8 bytes of the characters that the first transducer rewrites.
+_ODD_LEAD = np.zeros(256, bool)
+_ODD_LEAD[sorted({c.encode()[0] for c in [*_ALIKE, *_UNSEEN]})] = True
+
+
+def signs_of(raw: np.ndarray, at: np.ndarray) -> list[Signs]:
+    """Of each row; only what cannot be there is ruled out."""
+    low = folded(raw)
+    n = len(low)
+    digit = (low >= 48) & (low <= 57)
+    some = tb.row_sums(digit, at)
+    dotted = np.zeros(n, bool)
+    dotted[1:] = digit[:-1] & (low[1:] == 46)
+    after_open = np.zeros(n, bool)
+    if n:
+        after_open[1:] = _OPEN[low[:-1]]
+        blank = ~tb.NOT_SPACE[low] & after_open
+        while blank.any():  # an opening bracket, then any white space
+            further = np.flatnonzero(blank) + 1
+            further = further[further < n]
+            further = further[~after_open[further]]
+            after_open[further] = True
+            blank = np.zeros(n, bool)
+            blank[further] = ~tb.NOT_SPACE[low[further]]
+    w = tb.words(low, at, _PART)
+    h = tb.hashes(low, w.start, w.end)
+    spelled = _is_any(h, _DIGIT_WORDS)
+    three = spelled.copy()
+    three[2:] &= spelled[1:-1] & spelled[:-2]
+    three[:2] = False
+    at_word = _is_any(h, _AT_WORDS) & after_open[w.start] if len(h) else np.zeros(0, bool)
+    words = tb.row_sums(_is_any(h, _DOT_WORDS) | at_word, w.row_at)
+    marks = tb.row_sums((low == 64) | (low == 46) & after_open, at)
+    odd = tb.row_sums(_ODD_LEAD[raw], at) > 0
+    ip = (some >= 4) & (tb.row_sums(dotted, at) >= 3)
+    return [Signs(bool(i), bool(c), bool(o), bool(s), bool(a)) for i, c, o, s, a in zip(ip, some >= 12, odd, tb.row_sums(three, w.row_at) > 0, (words > 0) | (marks > 0), strict=True)]
+
+
+def spans_of(text: str | None, signs: Signs = _ANY) -> tuple[list[Span], list[Span]]:
     """(plain spans, all spans). A mapped span that overlaps a plain one of its kind adds nothing."""
     if not text:
         return [], []
-    base = _ordered(plain_spans(text))
+    base = _ordered(plain_spans(text, signs))
     more = []
     held = {k: [x for x in base if x[0] == k] for k in KINDS}
-    for kind, s, e in disguised_spans(text):
+    for kind, s, e in disguised_spans(text, signs):
         own = held[kind]
         i = bisect_left([x[2] for x in own], s + 1)
         if i == len(own) or own[i][1] >= e:
@@ -208,9 +278,9 @@ def written_spans(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def redacted(text: str | None) -> str | None:
+def redacted(text: str | None, signs: Signs = _ANY) -> str | None:
     """``text`` with each span, or each run of overlapping ones, replaced by <KIND> of its first. Null stays null."""
-    _, spans = spans_of(text)
+    _, spans = spans_of(text, signs)
     if not spans:
         return text
     out, done = [], 0
@@ -231,7 +301,7 @@ def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in tb.pieces(batch, "t", 4 << 20):
-                found = [spans_of(t.as_py()) for t in b.column("t")]
+                found = [spans_of(t.as_py(), s) for t, s in zip(b.column("t"), signs_of(*tb.buffers(b.column("t"))), strict=True)]
                 yield pa.record_batch([b.column("doc_id"), pa.array([written_spans(x) for x, _ in found], pa.string()), pa.array([written_spans(x) for _, x in found], pa.string())], names=["doc_id", "base", "spans"])
 
     return docs.select("doc_id", F.col(text).alias("t")).mapInArrow(run, "doc_id long, base string, spans string")
@@ -245,7 +315,7 @@ def without_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in tb.pieces(batch, text, 4 << 20):
-                clean = pa.array([redacted(t.as_py()) for t in b.column(text)], b.schema.field(text).type)
+                clean = pa.array([redacted(t.as_py(), s) for t, s in zip(b.column(text), signs_of(*tb.buffers(b.column(text))), strict=True)], b.schema.field(text).type)
                 yield pa.record_batch([clean if n == text else b.column(n) for n in names], names=names)
 
     return docs.mapInArrow(run, docs.schema)
