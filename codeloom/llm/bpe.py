@@ -10,6 +10,7 @@ encoding, which for rank-ordered merges makes it the encoding of the whole.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 
@@ -26,6 +27,23 @@ LONG = 1 << 14
 
 _OPENED: dict[str, Codec] = {}
 
+_BLANK = " \t\n\r\f\v"
+
+
+def _cuts(raw: np.ndarray) -> np.ndarray:
+    """Where a blank follows a character that is certainly no white space."""
+    blank = ~tb.NOT_SPACE[raw]
+    out = np.zeros(len(raw), bool)
+    out[1:] = blank[1:] & ~blank[:-1]
+    # white space beyond ASCII starts with the byte C2, E1, E2 or E3
+    wide = np.zeros(len(raw), bool)
+    wide[2:] = (raw[1:-1] >= 0x80) & ((raw[:-2] == 0xC2) | (raw[:-2] >= 0x80))
+    three = np.zeros(len(raw), bool)
+    three[3:] = (raw[:-3] >= 0xE1) & (raw[:-3] <= 0xE3)
+    two = np.zeros(len(raw), bool)
+    two[2:] = raw[:-2] == 0xC2
+    return out & ~(wide & (two | three))
+
 
 class Codec:
     """A byte-level BPE tokenizer read from the file of the tokenizers library at ``path``."""
@@ -42,7 +60,10 @@ class Codec:
         self.long = long
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.pure = None
+        spec = json.loads(self.tok.to_str())
+        pre = spec.get("pre_tokenizer") or {}
+        #: Whether white space ends a pre-token for certain, so that what stands between is encoded alike everywhere.
+        self.local = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not any(re.search(r"\s", c) for c in added)
 
     @staticmethod
     def at(path: str) -> Codec:
@@ -65,6 +86,25 @@ class Codec:
                 out[i] = self.encode_long(t)
         return out
 
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, row offsets) of a string column; each distinct stretch from white space to white space is encoded once."""
+        raw, at = tb.buffers(column)
+        if not self.local:
+            each = self.encode([t.as_py() or "" for t in column])
+            return np.array([i for x in each for i in x], np.int64), np.r_[0, np.cumsum([len(x) for x in each])].astype(np.int64)
+        start = np.unique(np.concatenate([np.flatnonzero(_cuts(raw)), at[:-1][at[:-1] < at[1:]]])).astype(np.int64)
+        end = np.r_[start[1:], len(raw)].astype(np.int64)[: len(start)]
+        _, first, which = np.unique(tb.hashes(raw, start, end), return_index=True, return_inverse=True)
+        data = raw.tobytes()
+        known = self.encode([data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+        size = np.array([len(x) for x in known], np.int64)
+        flat = np.array([i for x in known for i in x], np.int64)
+        base = np.cumsum(size) - size
+        per = size[which]
+        done = np.r_[0, np.cumsum(per)].astype(np.int64)
+        ids = flat[np.repeat(base[which] - done[:-1], per) + np.arange(done[-1])]
+        return ids, done[np.searchsorted(start, at)]
+
     def encode_long(self, text: str) -> list[int]:
         parts = self._cut(text)
         units = [p for p in parts if len(p) <= self.long or self._added_in(p)]
@@ -89,10 +129,10 @@ class Codec:
             start = 0
             while len(p) - start > self.long:
                 cut = start + self.long
-                while cut > start and not (p[cut].isspace() and not p[cut - 1].isspace()):
+                while cut > start and not (p[cut] in _BLANK and not p[cut - 1].isspace()):
                     cut -= 1
                 if cut == start:  # none before: the next one after
-                    m = re.compile(r"(?<=\S)\s").search(p, start + self.long)
+                    m = re.compile(r"(?<=\S)[ \t\n\r\f\v]").search(p, start + self.long)
                     cut = m.start() if m else len(p)
                     if cut == len(p):
                         break
@@ -195,17 +235,18 @@ def _run(docs: DataFrame, path: str, columns: list[str], text: str, digests: boo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.at(path)
         for batch in batches:
-            for b in tb.pieces(batch, "__text", 1 << 20):
-                ids = codec.encode([t.as_py() or "" for t in b.column("__text")])
+            for b in tb.pieces(batch, "__text", 4 << 20):
+                flat, row_at = codec.encode_column(b.column("__text"))
                 if digests:
+                    ids = [flat[a:z] for a, z in zip(row_at[:-1].tolist(), row_at[1:].tolist(), strict=True)]
                     made = [
-                        pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in ids]),
-                        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in codec.decode(ids)]),
+                        pa.array(np.diff(row_at)),
+                        pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]),
+                        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in codec.decode([x.tolist() for x in ids])]),
                     ]
                     names = ["n_tokens", "ids_sha256", "decoded_sha256"]
                 else:
-                    made, names = [pa.array(ids, pa.list_(pa.int32()))], ["ids"]
+                    made, names = [pa.ListArray.from_arrays(pa.array(row_at.astype(np.int32)), pa.array(flat.astype(np.int32)))], ["ids"]
                 yield pa.record_batch([*(b.column(c) for c in columns), *made], names=[*columns, *names])
 
     return source.mapInArrow(run, schema)
