@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_bpe, queries_decontaminate, queries_dedup, queries_langid, queries_pii, queries_quality
+from . import queries_bpe, queries_decontaminate, queries_dedup, queries_langid, queries_pii, queries_quality, queries_urlfilter
 
-_MODULES = (queries_bpe, queries_decontaminate, queries_dedup, queries_langid, queries_pii, queries_quality)
+_MODULES = (queries_bpe, queries_decontaminate, queries_dedup, queries_langid, queries_pii, queries_quality, queries_urlfilter)
 
 
 def queries() -> dict:
