@@ -102,6 +102,10 @@ def grouped_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
     return groups
 
 
+#: What a key row costs (shuffle, sort, a share of its group's handling) in comparisons of two fingerprints; measured, about 8 microseconds against some 10 nanoseconds.
+KEY_COST = 500.0
+
+
 def allocated(groups: list[list[int]], sample: np.ndarray, n: int, radius: int) -> tuple[list[int], float]:
     """Thresholds by dynamic programming over the partitions, and their estimated cost.
 
@@ -120,7 +124,7 @@ def allocated(groups: list[list[int]], sample: np.ndarray, n: int, radius: int)
             keys = comb(len(g), t)
             near = (int((d <= t).sum()) - len(v)) / pairs
             chance = sum(comb(len(g), k) for k in range(t + 1)) / 2.0 ** len(g)
-            cost[i, t + 1] = 4.0 * keys + n * max(near, chance)
+            cost[i, t + 1] = KEY_COST * keys + n * max(near, chance)
     best = np.full((len(groups) + 1, radius + 2), np.inf)
     best[0, 0] = 0.0
     took = np.zeros((len(groups) + 1, radius + 2), int)
