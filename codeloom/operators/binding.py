@@ -22,7 +22,11 @@ PATTERNS = [
 def references(title: Column, content: Column) -> Column:
     """Array of struct(kind, target), distinct, by kind and then place."""
     t = F.concat_ws("\n", text(title), text(content))
-    found = [F.transform(F.regexp_extract_all(t, F.lit(p), 1), lambda x, k=k: F.struct(F.lit(k).alias("kind"), F.trim(x).alias("target"))) for k, p in PATTERNS]
+
+    def of(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(t, F.lit(pattern), 1), lambda x: F.struct(F.lit(kind).alias("kind"), F.trim(x).alias("target")))
+
+    found = [of(k, p) for k, p in PATTERNS]
     return F.array_distinct(F.filter(F.concat(*found), lambda r: r["target"] != ""))
 
 

@@ -100,9 +100,13 @@ def ignored_with_parents(path: Column, lists: list[list[Rule]]) -> Column:
     parts = F.split(path, "/")
     n = F.size(parts)
     above = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).otherwise(F.array().cast("array<string>"))
+
+    def by(own: list[Rule]) -> Column:
+        return ignored(path, F.lit(False), own) | F.exists(above, lambda d: ignored(d, F.lit(True), own))
+
     out = F.lit(False)
     for own in lists:
-        out = out | ignored(path, F.lit(False), own) | F.exists(above, lambda d, own=own: ignored(d, F.lit(True), own))
+        out = out | by(own)
     return out
 
 

@@ -12,7 +12,8 @@ MAX_DEPTH = 1000
 
 
 def flipped(edges: DataFrame) -> DataFrame:
-    return edges.withColumnsRenamed({"src": "dst", "dst": "src"})
+    """Edges the other way round."""
+    return edges.select(*[F.col("dst").alias("src") if c == "src" else F.col("src").alias("dst") if c == "dst" else F.col(c) for c in edges.columns])
 
 
 def reachable(edges: DataFrame, start: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
