@@ -164,14 +164,14 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", min_share: floa
     return LanguageFilter.of({r.lang: np.array(r.grams, np.uint32) for r in kept}, {r.lang: r.total for r in kept}, hashes)
 
 
-def predict(docs: DataFrame, model: LanguageFilter, columns: list[str], text: str = "text") -> DataFrame:
-    """``columns`` of every row with lang_pred and score (0 to 1): the corrected share of its n-grams that the language holds.
+def predict(docs: DataFrame, model: LanguageFilter, columns: list[str], text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``columns`` of every row with its language and score (0 to 1), under ``names``: the corrected share of its n-grams that the language holds.
 
     Null texts and texts without a letter are ``und`` with score 0. A text with letters but no known n-gram gets the
     language with most n-grams, with score 0.
     """
     source = docs.select(*columns, F.col(text).alias("__text"))
-    schema = ", ".join(f"`{n}` {t}" for n, t in source.drop("__text").dtypes) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{n}` {t}" for n, t in source.drop("__text").dtypes) + f", `{names[0]}` string, `{names[1]}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,8 +180,8 @@ def predict(docs: DataFrame, model: LanguageFilter, columns: list[str], text: st
                 raw, at = tb.buffers(texts)
                 best, score = model.decide(raw, at)
                 known = has_letter(raw, at, texts) if model.languages else np.zeros(len(best), bool)
-                names = [model.languages[i] if k else UNKNOWN for i, k in zip(best, known, strict=True)]
+                named = [model.languages[i] if k else UNKNOWN for i, k in zip(best, known, strict=True)]
                 score = np.where(known, score, 0.0)
-                yield pa.record_batch([*(b.column(c) for c in columns), pa.array(names, pa.string()), pa.array(score)], names=[*columns, "lang_pred", "score"])
+                yield pa.record_batch([*(b.column(c) for c in columns), pa.array(named, pa.string()), pa.array(score)], names=[*columns, *names])
 
     return source.mapInArrow(run, schema)

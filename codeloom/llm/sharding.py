@@ -28,7 +28,8 @@ def record_size(text: str = "text"):
 def shuffled(docs: DataFrame, shards: int = 8, seed: int = 7, text: str = "text", doc_id: str = "doc_id", bucket_bytes: int = 24 << 20) -> DataFrame:
     """Every row of ``docs`` with all its columns, shard (0 to ``shards`` - 1) and slot (gapless from 0 in each shard).
 
-    The same rows in the same files with the same seed give the same result. Repeated rows and null ids or texts are
+    The same rows in the same files with the same seed give the same result. Columns of ``docs`` named shard or
+    slot are replaced. Repeated rows and null ids or texts are
     records like any other; equal ids do not meet in one bucket, as the place of a record is hashed with its id.
     ``docs`` must be read from files or a written table, so that a lost task finds the same places again.
     """
@@ -52,7 +53,7 @@ def shuffled(docs: DataFrame, shards: int = 8, seed: int = 7, text: str = "text"
     offsets = docs.sparkSession.createDataFrame([(b, before[b]) for b in range(buckets)], "__bucket long, __before long")
     rank = F.col("__before") + F.col("__place")
     ranked = done.join(offsets, "__bucket")
-    return ranked.select(*docs.columns, (rank % shards).cast("int").alias("shard"), F.floor(rank / shards).cast("long").alias("slot"))
+    return ranked.select(*[c for c in docs.columns if c not in ("shard", "slot")], (rank % shards).cast("int").alias("shard"), F.floor(rank / shards).cast("long").alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 7, text: str = "text") -> None:

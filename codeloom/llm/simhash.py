@@ -294,7 +294,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", radius: int = 4, shingl
 
 
 def one_of_each(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its component; exact repeats of such a row stay one row."""
-    kept = near_duplicates(docs, text, **options).where("doc_id = component_id").select("doc_id").distinct()
-    columns = docs.columns
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*columns)
+    """The rows of ``docs`` whose doc_id is the least of their component.
+
+    Rows that share such a doc_id stay once for each different text. Rows without a doc_id cannot be told apart by one; they
+    are kept as they are, and no row is left out for them.
+    """
+    named = docs.where("doc_id is not null")
+    found = near_duplicates(named, text, **options)
+    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = written(kept, "kept")
+    out = named.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    if not kept.where("n > 1").isEmpty():  # repeated ids
+        out = out.dropDuplicates(["doc_id", text])
+    return out.unionByName(docs.where("doc_id is null"))

@@ -39,12 +39,12 @@ def prepared(rules: DataFrame) -> DataFrame:
     known = rules.where("host is not null and path is not null and verdict is not null").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     full = _digest(F.col("host"), F.col("path"))
     return known.select(
-        F.substring(full, 1, 8).alias("short"),
-        full.alias("full"),
-        F.concat("host", "path").alias("rule"),
-        (F.length("host") + F.length("path")).alias("size"),
-        F.length("host").alias("host_size"),
-        "verdict",
+        F.substring(full, 1, 8).alias("__r_short"),
+        full.alias("__r_full"),
+        F.concat("host", "path").alias("__r_rule"),
+        (F.length("host") + F.length("path")).alias("__r_size"),
+        F.length("host").alias("__r_host_size"),
+        F.col("verdict").alias("__r_verdict"),
     )
 
 
@@ -70,13 +70,13 @@ def judged(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     # one more expression that no rule has keeps the urls without a rule
     wide = rows.withColumn("__tail", tail).withColumn("__full", F.explode(F.concat(F.array(F.lit("")), pairs))).drop("__tail")
     known = prepared(rules)
-    met = wide.join(known, (F.substring("__full", 1, 8) == F.col("short")) & (F.col("__full") == F.col("full")), "left")
-    best = F.max_by(F.struct("rule", F.col("verdict").alias("said")), F.struct(F.coalesce("size", F.lit(-1)), F.coalesce("host_size", F.lit(-1)))).alias("best")
+    met = wide.join(known, (F.substring("__full", 1, 8) == F.col("__r_short")) & (F.col("__full") == F.col("__r_full")), "left")
+    best = F.max_by(F.struct(F.col("__r_rule").alias("rule"), F.col("__r_verdict").alias("said")), F.struct(F.coalesce("__r_size", F.lit(-1)), F.coalesce("__r_host_size", F.lit(-1)))).alias("__best")
     found = met.groupBy("__row").agg(*[F.first(c).alias(c) for c in ["__host", "__path", *keep]], best)
     return found.select(
         *keep,
         F.col("__host").alias("host"),
         F.col("__path").alias("path"),
-        F.col("best.rule").alias("rule"),
-        F.coalesce(F.col("best.said"), F.lit(default)).alias("verdict"),
+        F.col("__best.rule").alias("rule"),
+        F.coalesce(F.col("__best.said"), F.lit(default)).alias("verdict"),
     )
