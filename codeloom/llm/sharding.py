@@ -19,6 +19,9 @@ from .scratch import written
 
 LAW = "rows"
 
+#: Tasks of the second pass at most, and the number of buckets up to which their offsets are broadcast (some 2 MB).
+MOST_TASKS, MOST_SENT = 100_000, 100_000
+
 
 def record_size(text: str = "text"):
     """UTF-8 bytes of the text, none for null, plus one."""
@@ -46,13 +49,15 @@ def shuffled(docs: DataFrame, shards: int = 8, seed: int = 7, text: str = "text"
         out = table.drop_columns(["__mark"]).take(pa.array(order))
         return out.append_column("__place", pa.array(np.arange(len(order))))
 
-    done = written(source.groupBy("__bucket").applyInArrow(fisher_yates, schema), "buckets")
+    dealt = source.repartition(int(min(buckets, MOST_TASKS)), "__bucket")
+    done = written(dealt.groupBy("__bucket").applyInArrow(fisher_yates, schema), "buckets")
     # one number for each bucket of bucket_bytes
     counts = {r[0]: r[1] for r in done.groupBy("__bucket").count().collect()}
     before = list(accumulate([counts.get(b, 0) for b in range(buckets)], initial=0))
     offsets = docs.sparkSession.createDataFrame([(b, before[b]) for b in range(buckets)], "__bucket long, __before long")
     rank = F.col("__before") + F.col("__place")
-    ranked = done.join(offsets, "__bucket")
+    # 16 bytes a bucket: sent to every task only up to a bound, so that the records need not move again
+    ranked = done.join(F.broadcast(offsets) if buckets <= MOST_SENT else offsets, "__bucket")
     return ranked.select(*[c for c in docs.columns if c not in ("shard", "slot")], (rank % shards).cast("int").alias("shard"), F.floor(rank / shards).cast("long").alias("slot"))
 
 
