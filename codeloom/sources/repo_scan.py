@@ -9,19 +9,34 @@ from codeloom.functions.text import is_code_file
 from codeloom.operators.ignore import default_rules, ignored_with_parents, rules
 
 
+def _text_of(spark: SparkSession, path: str) -> str:
+    """A small file through Spark's file systems, hidden ones too; empty if there is none."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return ""
+    stream = fs.open(at)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def scan(spark: SparkSession, root: str, stack: str = "unknown", extra: list[str] | None = None, extensions: list[str] | None = None) -> DataFrame:
     """(path, content, size, mod_time) of the files under ``root`` that no rule leaves out; paths are relative.
 
     Rules: the stack's defaults, the root's .gitignore, ``extra`` lines; a file out by any list stays out. ``extensions`` are
-    matched as they are written; none means all.
+    matched as they are written; none means all. Spark's readers leave out files whose names start with ``.`` or ``_``, and
+    empty files.
     """
     base = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     clean = F.regexp_replace("path", "^file:/+", "/")
     rel = F.substr(clean, F.instr(clean, base.removeprefix("file://") + "/") + F.lit(len(base.removeprefix("file://")) + 1))
     files = files.select(rel.alias("path"), "content", F.col("length").alias("size"), F.col("modificationTime").alias("mod_time"))
-    own = [r.content.decode(errors="replace") for r in files.where("path = '.gitignore'").select("content").collect()]
-    lists = [default_rules(stack), rules([x for t in own for x in t.splitlines()]), rules(extra or [])]
+    own = _text_of(spark, f"{base}/.gitignore")
+    lists = [default_rules(stack), rules(own.splitlines()), rules(extra or [])]
     kept = files.where(~ignored_with_parents(F.col("path"), [x for x in lists if x]))
     if extensions:
         kept = kept.where(F.regexp_extract("path", r"(\.[^./]*)$", 1).isin(*extensions))
