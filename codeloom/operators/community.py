@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.session import numbered as rows_numbered
 from codeloom.session import scratch
 
 
@@ -32,12 +33,10 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> D
 
 
 def numbered(labels: DataFrame) -> DataFrame:
-    """(id, community): communities numbered from 0 by size, then label; numbers come from the list of communities, not of nodes."""
-    from pyspark.sql import Window
-
+    """(id, community): communities numbered from 0 by size, then label."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
-    order = sizes.withColumn("community", F.row_number().over(Window.orderBy(F.desc("n"), "label")) - 1)
-    return labels.join(order.select("label", "community"), "label").select("id", "community")
+    order = rows_numbered(sizes, [F.desc("n"), "label"], "community").select("label", F.col("community").cast("int").alias("community"))
+    return labels.join(order, "label").select("id", "community")
 
 
 def apply_communities(nodes: DataFrame, partition: DataFrame) -> DataFrame:

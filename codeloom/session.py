@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 8, app: str = "codeloom", **conf: str) -> SparkSession:
@@ -37,3 +38,21 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/codeloom-graph/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with its rows numbered from 0 in ``order``, by range partitions; no task sees all rows.
+
+    The numbering is dense. One count for each partition is read by the driver.
+    """
+    mark = "__mark"
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(mark, F.monotonically_increasing_id())
+    kept = scratch(sorted_, "numbered")
+    part = F.shiftright(mark, 33).cast("int")
+    counts = {r[0]: r[1] for r in kept.groupBy(part.alias("p")).count().collect()}
+    before, total = [], 0
+    for p in range(max(counts, default=-1) + 1):
+        before.append(total)
+        total += counts.get(p, 0)
+    offset = F.element_at(F.array(*[F.lit(b) for b in before]), part + 1) if before else F.lit(0)
+    return kept.withColumn(name, offset + F.col(mark).bitwiseAND(F.lit((1 << 33) - 1))).drop(mark)

@@ -12,12 +12,13 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.identity import file_node_id, project_node_id
 from codeloom.functions.text import extension, is_code_file
 from codeloom.operators.graph import Graph
+from codeloom.session import numbered
 
 _ROW = "path string, part string, name string, kind string, target string, location string, seq long"
 
@@ -246,7 +247,7 @@ def extracted(files: DataFrame, repo: str, name: str = "", module: str = "") ->
 
     ord follows the sorted paths and the place in the file.
     """
-    order = files.select("path").distinct().withColumn("__n", F.row_number().over(Window.orderBy("path")).cast("long") * 1_000_000)
+    order = numbered(files.select("path").distinct(), ["path"], "__n").withColumn("__n", (F.col("__n") + 1) * 1_000_000)
     rows = parsed(files.where(is_code_file(F.col("path"))))
     rid = F.lit(repo)
     ext = extension(F.col("path"))
