@@ -11,6 +11,9 @@ LAYERS = ("repo", "contract", "workspace", "memory")
 CONFIDENCE_WEIGHT = {"declared": 4.0, "extracted": 3.0, "inferred": 2.0, "ambiguous": 1.0}
 VERIFICATION_WEIGHT = {"current": 0.30, "redirected": 0.15, "ambiguous": -0.20, "stale": -0.50}
 
+# Fixed value: how the key of an observation starts, whichever way its id is written.
+OBSERVATION = "ancora:obs:"
+
 # Id prefixes with the layer and kind that they name.
 ID_PREFIXES = [
     ("memory:concept:", "memory", "concept"),
@@ -49,9 +52,9 @@ def canonical_key_for_id(id_: Column, kind: Column, source_name: Column) -> Colu
     """The first rule that fits: observation alias, canonical form, known prefix, ``:file:``, source name, kind."""
     t, k, s = F.trim(text(id_)), text(kind), text(source_name)
     obs = "memory:observation:"
-    rule = F.when(t == "", F.lit(None)).when(t.startswith(obs), _key("memory", F.lit("observation"), F.concat(F.lit("ancora:obs:"), F.substr(t, F.lit(len(obs) + 1)))))
+    rule = F.when(t == "", F.lit(None)).when(t.startswith(obs), _key("memory", F.lit("observation"), F.concat(F.lit(OBSERVATION), F.substr(t, F.lit(len(obs) + 1)))))
     rule = rule.when(parse_canonical_key(t).isNotNull(), parse_canonical_key(t))
-    rule = rule.when(t.startswith("ancora:obs:"), _key("memory", F.lit("observation"), t))
+    rule = rule.when(t.startswith(OBSERVATION), _key("memory", F.lit("observation"), t))
     for prefix, layer, named in ID_PREFIXES:
         rule = rule.when(t.startswith(prefix), _key(layer, F.lit(named), F.substr(t, F.lit(len(prefix) + 1))))
     at = F.instr(t, ":file:")

@@ -48,6 +48,7 @@ def resolved(edges: DataFrame, nodes: DataFrame, column: str = "dst", labels: Da
     """``column`` replaced by a node id: itself if it is one, else the node of that label, else null. The old value stays in <column>_raw."""
     ids = nodes.select(F.col("id").alias("__id")).distinct()
     by_label = (first_labels(nodes) if labels is None else labels).select(F.col("label").alias("__label"), F.col("label_id").alias("__by_label"))
+    edges = edges.drop(f"{column}_raw")
     out = edges.withColumnRenamed(column, "__raw")
     out = out.join(ids, out["__raw"] == ids["__id"], "left").join(by_label, out["__raw"] == by_label["__label"], "left")
     return out.select(*[F.coalesce("__id", "__by_label").alias(column) if c == column else F.col(c) for c in edges.columns], F.col("__raw").alias(f"{column}_raw"))
@@ -67,7 +68,7 @@ class Graph:
 
         dst is the node's id; dst_label is its label.
         """
-        g = self.canonicalized()
+        g = Graph(self.nodes, self.edges.drop("dst_label")).canonicalized()
         e = resolved(g.edges, g.nodes).where("dst is not null and src <> dst")
         labels = g.nodes.select(F.col("id").alias("dst"), F.col("label").alias("dst_label"))
         return Graph(g.nodes, e.join(labels, "dst").select(*[c for c in e.columns], "dst_label"))

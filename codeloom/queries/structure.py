@@ -130,7 +130,7 @@ def i7(spark, sf):
 _ID_EXPR = (
     "CASE user_id % 12 WHEN 0 THEN 'memory:observation:' || CAST(event_id AS STRING) WHEN 1 THEN 'repo:function:' || event_type WHEN 2 THEN 'memory:concept:' || event_type WHEN 3 THEN 'workspace:repo:' || event_type "
     "WHEN 4 THEN 'contract:rpc:a:' || event_type WHEN 5 THEN 'project:' || event_type WHEN 6 THEN 'web:file:src/' || event_type || '.ts' WHEN 7 THEN ' plain' || CAST(event_id AS STRING) || ' ' WHEN 8 THEN '' "
-    "WHEN 9 THEN 'ancora:obs:' || CAST(event_id AS STRING) WHEN 10 THEN 'other:x:y' ELSE 'repo::bad' END"
+    f"WHEN 9 THEN '{I.OBSERVATION}' || CAST(event_id AS STRING) WHEN 10 THEN 'other:x:y' ELSE 'repo::bad' END"
 )
 
 
@@ -339,9 +339,9 @@ def _q4(subjects: str, reverse: bool) -> str:
 _REACH = "walk AS (SELECT '{start}' AS id, 0 AS hops UNION SELECT {to}, hops + 1 FROM walk JOIN edges ON {at} = walk.id WHERE hops < 9)"
 _ID = "trim(id)"
 _PREFIXES = " ".join(f"WHEN starts_with({_ID}, '{p}') THEN struct_pack(layer := '{layer}', kind := '{k}', key := substr({_ID}, {len(p) + 1}))" for p, layer, k in I.ID_PREFIXES)
-_KEY_SQL = rf"""CASE WHEN {_ID} = '' THEN NULL WHEN starts_with({_ID}, 'memory:observation:') THEN struct_pack(layer := 'memory', kind := 'observation', key := 'ancora:obs:' || substr({_ID}, 20))
+_KEY_SQL = rf"""CASE WHEN {_ID} = '' THEN NULL WHEN starts_with({_ID}, 'memory:observation:') THEN struct_pack(layer := 'memory', kind := 'observation', key := '{I.OBSERVATION}' || substr({_ID}, 20))
     WHEN regexp_matches({_ID}, '^(repo|contract|workspace|memory):[^:]+:.+$') THEN struct_pack(layer := split_part({_ID}, ':', 1), kind := split_part({_ID}, ':', 2), key := regexp_extract({_ID}, '^[^:]+:[^:]+:(.+)$', 1))
-    WHEN starts_with({_ID}, 'ancora:obs:') THEN struct_pack(layer := 'memory', kind := 'observation', key := {_ID}) {_PREFIXES}
+    WHEN starts_with({_ID}, '{I.OBSERVATION}') THEN struct_pack(layer := 'memory', kind := 'observation', key := {_ID}) {_PREFIXES}
     WHEN instr({_ID}, ':file:') > 1 THEN struct_pack(layer := 'repo', kind := 'file', key := substr({_ID}, 1, instr({_ID}, ':file:') - 1) || '/' || substr({_ID}, instr({_ID}, ':file:') + 6))
     WHEN source_name <> '' THEN struct_pack(layer := 'repo', kind := CASE WHEN trim(kind) = '' THEN 'node' ELSE trim(kind) END, key := source_name || '/' || {_ID})
     WHEN kind <> '' THEN struct_pack(layer := 'repo', kind := kind, key := {_ID}) END"""

@@ -96,11 +96,11 @@ def test_cleaning(spark):
 def test_resolution_prefers_layer(spark):
     g = graph(spark, [("contract:service:billing", "billing", "service"), ("workspace:service:billing", "billing", "service"), ("memory:observation:7", "Note", "observation")], [])
     nodes = g.nodes.withColumn("layer", F.substring_index("id", ":", 1))
-    refs = spark.createDataFrame([("billing", "workspace"), ("billing", "contract"), ("ancora:obs:7", ""), ("NOTE", ""), ("none", "")], "ref string, layer string")
+    refs = spark.createDataFrame([("billing", "workspace"), ("billing", "contract"), (f"{I.OBSERVATION}7", ""), ("NOTE", ""), ("none", "")], "ref string, layer string")
     every = {(r.id, r.tier) for r in G.resolve_all(nodes, refs.limit(1)).collect()}
     assert every == {("contract:service:billing", 3), ("workspace:service:billing", 3)}
     one = {(r.ref, r.id) for r in G.resolve_one(nodes, refs.where("layer <> 'contract'")).collect()}
-    assert one == {("billing", "workspace:service:billing"), ("ancora:obs:7", "memory:observation:7"), ("NOTE", "memory:observation:7")}
+    assert one == {("billing", "workspace:service:billing"), (f"{I.OBSERVATION}7", "memory:observation:7"), ("NOTE", "memory:observation:7")}
 
 
 def test_contract_merge(spark):
