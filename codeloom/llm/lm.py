@@ -35,7 +35,7 @@ START, END = (np.uint64(tb.hash_word(w)) for w in (b"\n<start>\n", b"\n<end>\n")
 STEP = 1.0 / 2048
 
 _SENT = "block string, shard int, doc_ids array<long>, held array<boolean>, row_at binary, tokens binary, contexts binary, n_next binary, words binary, counts binary"
-_BACK = "block string, shard int, n_tokens long, n_words long, contexts binary, totals binary, weights binary, values binary"
+_BACK = "block string, shard int, n_tokens long, n_words long, totals binary, weights binary, values binary"
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -64,21 +64,32 @@ def _short(key: np.ndarray) -> np.ndarray:
     return (key >> np.uint64(32)).astype(np.uint32)
 
 
-def _block_rows(name: str, shards: int, doc_ids: list, held: list, tokens: np.ndarray, row_at: np.ndarray) -> Iterator[dict]:
+def _block_texts(name: str, doc_ids: list, held: list, tokens: np.ndarray, row_at: np.ndarray) -> Iterator[dict]:
     """``tokens``: keys of all tokens, each row closed by END; ``row_at``: row offsets in them."""
     keys, which = np.unique(tokens, return_inverse=True)
     yield {"block": name, "shard": -1, "doc_ids": doc_ids, "held": held, "row_at": _pack(row_at), "tokens": _pack(which.astype(np.uint32)), "contexts": _pack(keys)}
-    context = np.r_[np.uint64(0), tokens[:-1]]
+
+
+def _pairs(tokens: np.ndarray, row_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted word keys, sorted context keys, each token's place in the contexts times the number of words plus its place in the words)."""
+    keys, pair = np.unique(tokens, return_inverse=True)
+    context = np.empty_like(tokens)
+    context[1:] = tokens[:-1]
     context[row_at[:-1]] = START
     own = np.unique(context)
-    c = np.searchsorted(own, context)
+    pair += np.searchsorted(own, context) * len(keys)
+    return keys, own, pair
+
+
+def _block_pairs(name: str, shards: int, held: list, tokens: np.ndarray, row_at: np.ndarray) -> Iterator[dict]:
+    keys, own, pair = _pairs(tokens, row_at)
     teaches = np.repeat(~np.array(held, bool), np.diff(row_at))
-    pair = c.astype(np.int64) * len(keys) + which
     order = np.argsort(pair, kind="stable")
     pair = pair[order]
     first = np.r_[0, np.flatnonzero(np.diff(pair)) + 1] if len(pair) else np.zeros(0, np.int64)
     counts = np.add.reduceat(teaches[order].astype(np.int64), first) if len(first) else first
     c, w = np.divmod(pair[first], max(len(keys), 1))
+    del order, pair, teaches
     shard = (own % np.uint64(shards)).astype(np.int64)[c]
     by = np.argsort(shard, kind="stable")
     at = np.searchsorted(shard[by], np.arange(shards + 1))
@@ -101,8 +112,12 @@ _ARROW = pa.schema([
 ])
 
 
-def sent(docs: DataFrame, shards: int, text: str, held, block_tokens: int) -> DataFrame:
-    """The rows of each block: one with its documents, one for each shard with the pairs it asks for and their counts."""
+def sent(docs: DataFrame, shards: int, text: str, held, block_tokens: int, pairs: bool) -> DataFrame:
+    """The rows of each block: with ``pairs`` one for each shard with the pairs it asks for and their counts, else one with its documents.
+
+    A block is a run of rows of an input partition, the same whenever ``docs`` is read: both forms are made from the texts,
+    which costs less than to keep the one while the other travels.
+    """
     source = docs.select("doc_id", F.col(text).alias("t"), held.alias("held"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +131,8 @@ def sent(docs: DataFrame, shards: int, text: str, held, block_tokens: int) -> Da
             tokens = np.concatenate([p[2] for p in parts])
             row_at = np.r_[0, np.cumsum(np.concatenate([p[3] for p in parts]))].astype(np.int64)
             parts.clear()
-            for r in _block_rows(f"{task}-{serial}", shards, ids, flags, tokens, row_at):
+            name = f"{task}-{serial}"
+            for r in _block_pairs(name, shards, flags, tokens, row_at) if pairs else _block_texts(name, ids, flags, tokens, row_at):
                 yield pa.RecordBatch.from_pylist([r], schema=_ARROW)
 
         for batch in batches:
@@ -141,7 +157,7 @@ def sent(docs: DataFrame, shards: int, text: str, held, block_tokens: int) -> Da
 
 def answered(asked: DataFrame) -> DataFrame:
     """For each block and shard, each context's count and weight and each pair's value, in the order they were asked for."""
-    schema = pa.schema([("block", pa.string()), ("shard", pa.int32()), ("n_tokens", pa.int64()), ("n_words", pa.int64()), *((c, pa.binary()) for c in ("contexts", "totals", "weights", "values"))])
+    schema = pa.schema([("block", pa.string()), ("shard", pa.int32()), ("n_tokens", pa.int64()), ("n_words", pa.int64()), *((c, pa.binary()) for c in ("totals", "weights", "values"))])
 
     def answer(table: pa.Table) -> pa.Table:
         folder = tempfile.mkdtemp(prefix="trie-")
@@ -159,7 +175,7 @@ def answered(asked: DataFrame) -> DataFrame:
                 # what the shard knows of all tokens goes with its first answer
                 out.append({
                     "block": r["block"], "shard": r["shard"], "n_tokens": int(totals.sum()) if i == 0 else 0, "n_words": real if i == 0 else 0,
-                    "contexts": r["contexts"], "totals": _pack(total), "weights": _pack(weight), "values": _pack(value),
+                    "totals": _pack(total), "weights": _pack(weight), "values": _pack(value),
                 })
             return pa.Table.from_pylist(out, schema=schema)
         finally:
@@ -205,12 +221,11 @@ def scored(rows: DataFrame, shards: int, n_tokens: int, n_words: int) -> DataFra
         answers = {r["shard"]: r for r in parts if r["shard"] >= 0}
         keys, which = _unpack(block["contexts"], np.uint64), _unpack(block["tokens"], np.uint32).astype(np.int64)
         row_at = _unpack(block["row_at"], np.int64)
-        # the pairs in the order in which the block asked for them
-        context = np.r_[np.uint64(0), keys[which[:-1]]] if len(which) else np.zeros(0, np.uint64)
-        context[row_at[:-1]] = START
-        own = np.unique(context)
-        c = np.searchsorted(own, context)
-        pair, back = np.unique(c.astype(np.int64) * len(keys) + which, return_inverse=True)
+        tokens = keys[which]
+        _, own, pair = _pairs(tokens, row_at)
+        del tokens
+        # pairs and contexts in the order in which the block asked for them
+        pair, back = np.unique(pair, return_inverse=True)
         pc, pw = np.divmod(pair, max(len(keys), 1))
         shard = (own % np.uint64(shards)).astype(np.int64)
         order = np.lexsort((pw, _short(keys)[pw], pc, shard[pc]))
@@ -219,7 +234,7 @@ def scored(rows: DataFrame, shards: int, n_tokens: int, n_words: int) -> DataFra
         got = sorted(answers)
         if got:
             value[order] = restored(np.concatenate([_unpack(answers[s]["values"], np.uint16) for s in got]))
-            at = np.searchsorted(own, np.concatenate([_unpack(answers[s]["contexts"], np.uint64) for s in got]))
+            at = np.argsort(shard, kind="stable")
             total[at] = np.concatenate([_unpack(answers[s]["totals"], np.int64) for s in got])
             weight[at] = restored(np.concatenate([_unpack(answers[s]["weights"], np.uint16) for s in got]))
         # each word but the end is a context of the block; the end is as frequent as the start
@@ -241,23 +256,23 @@ def scored(rows: DataFrame, shards: int, n_tokens: int, n_words: int) -> DataFra
     return rows.groupBy("block").applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def text_scores(docs: DataFrame, held, text: str = "text", shards: int | None = None, block_tokens: int = 3 << 20) -> DataFrame:
+def text_scores(docs: DataFrame, held, text: str = "text", shards: int | None = None, block_tokens: int = 3 << 19) -> DataFrame:
     """Scores of every row of ``docs`` under a model of the rows that the condition ``held`` does not keep.
 
     Null texts are empty: their one token is the end. Repeated rows count and are scored each. With no training row, every
     probability is that of an unseen word. ``shards`` defaults to the number of input partitions, so that what a shard holds
-    stays as large as what a block sends; at most 4096, beyond which blocks should grow instead.
+    stays as large as what a block sends; at most 4096, beyond which blocks should grow instead. ``docs`` must be read from
+    files or a written table, so that its blocks are the same each time.
     """
     narrow_batches(docs.sparkSession)
     shards = shards or max(8, min(4096, docs.select("doc_id").rdd.getNumPartitions()))
-    blocks = written(sent(docs, shards, text, held, block_tokens), "blocks")
-    answers = written(answered(blocks.where("shard >= 0")), "answers")
+    answers = written(answered(sent(docs, shards, text, held, block_tokens, True)), "answers")
     sums = answers.agg(F.sum("n_tokens"), F.sum("n_words")).first()
     # contexts count every word once and each document once by its start, which stands for its end
     n_tokens, n_words = int(sums[0] or 0), int(sums[1] or 0)
     empty = [F.lit(None).cast("binary").alias(c) for c in ("totals", "weights", "values")]
-    own = blocks.where("shard < 0").select("block", "shard", "doc_ids", "held", "row_at", "tokens", "contexts", *empty)
+    own = sent(docs, shards, text, held, block_tokens, False).select("block", "shard", "doc_ids", "held", "row_at", "tokens", "contexts", *empty)
     none = [F.lit(None).cast(t).alias(c) for c, t in (("doc_ids", "array<long>"), ("held", "array<boolean>"), ("row_at", "binary"), ("tokens", "binary"))]
-    back = answers.select("block", "shard", *none, "contexts", "totals", "weights", "values")
+    back = answers.select("block", "shard", *none, F.lit(None).cast("binary").alias("contexts"), "totals", "weights", "values")
     words = n_words + (1 if n_tokens else 0)
     return scored(own.unionByName(back), shards, n_tokens, words)
