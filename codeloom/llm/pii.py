@@ -43,6 +43,8 @@ _ALIKE = {
 _UNSEEN = "­​‌‍⁠﻿"
 _ALIKE.update({chr(0xFF01 + k): chr(0x21 + k) for k in range(94)})
 _ALIKE.update({chr(base + k): str(k) for base in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for k in range(10)})
+_ALIKE.update({chr(base + k): str(first + k) for base, first, n in ((0x2460, 1, 9), (0x2080, 0, 10), (0x2074, 4, 6)) for k in range(n)})
+_ALIKE.update({"⁰": "0", "¹": "1", "²": "2", "³": "3"})
 _ALIKE.update({chr(base + k): chr(0x41 + k) for base in (0x1D400, 0x1D5A0, 0x1D5D4, 0x1D670) for k in range(26)})
 _ALIKE.update({chr(base + k): chr(0x61 + k) for base in (0x1D41A, 0x1D5BA, 0x1D5EE, 0x1D68A) for k in range(26)})
 _ODD = re.compile("[" + "".join(map(re.escape, [*_ALIKE, *_UNSEEN])) + "]")
@@ -65,6 +67,8 @@ _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.|punkt|punto|point)\s*[\])}>]\s*|\s+(?:dot|pun
 #: local part, a sign for at, labels joined by signs for dot; a bare word "at" counts only together with a disguised dot.
 _DISGUISED = re.compile(rf"(?i)(?P<local>[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*)(?P<at>{_AT})(?P<host>[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+)")
 _DOT_SIGN = re.compile(rf"(?i){_DOT}")
+#: Four numbers joined by signs for dot.
+_DISGUISED_IP = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])")
 _BRACKETED = re.compile(r"(?i)[\[({<]\s*(?:at|@|arroba|ät|dot|\.|punkt|punto|point)\s*[\])}>]")
 _BARE = re.compile(r"(?i)\s(?:dot|punkt|punto|point)\s|\s@|@\s")
 
@@ -185,7 +189,11 @@ def _at_and_dot(r: Rewritten) -> Rewritten:
         edits += [(s.start(), s.end(), ".") for s in signs if s.start() < m.start("at")]
         edits.append((m.start("at"), m.end("at"), "@"))
         edits += [(s.start(), s.end(), ".") for s in signs if s.start() >= m.start("host")]
-    return r.replaced(edits)
+    taken = [(s, e) for s, e, _ in edits]
+    for m in _DISGUISED_IP.finditer(r.text):
+        if not any(s < m.end() and m.start() < e for s, e in taken):
+            edits += [(s.start(), s.end(), ".") for s in _DOT_SIGN.finditer(r.text, m.start(), m.end()) if s.group() != "."]
+    return r.replaced(sorted(edits))
 
 
 def disguised_spans(text: str, signs: Signs = _ANY) -> list[Span]:

@@ -298,6 +298,9 @@ def test_pii(docs, none, rows):
         ("a@b c@d.e", "email:4:9"),
         ("the man at the door dotted it", ""),
         ("one two three", ""),
+        ("from 192[.]168[.]0[.]1 and 10 dot 0 dot 0 dot 7 on", "ip:5:22,ip:27:47"),
+        ("①⑨②.168.0.1", "ip:0:11"),
+        ("version 1.2.3.4 (.) x", "ip:8:15"),
         ("4111​1111​1111​1111", "card:0:19"),
         ("+1 2 3", ""),
         (None, ""),
