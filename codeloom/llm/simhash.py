@@ -303,7 +303,8 @@ def one_of_each(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     found = near_duplicates(named, text, **options)
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     kept = written(kept, "kept")
-    out = named.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    # the kept ids are most of all ids: they are never sent to every task, at any size
+    out = named.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     if not kept.where("n > 1").isEmpty():  # repeated ids
         out = out.dropDuplicates(["doc_id", text])
     return out.unionByName(docs.where("doc_id is null"))
