@@ -260,12 +260,12 @@ def text_scores(docs: DataFrame, held, text: str = "text", shards: int | None =
     """Scores of every row of ``docs`` under a model of the rows that the condition ``held`` does not keep.
 
     Null texts are empty: their one token is the end. Repeated rows count and are scored each. With no training row, every
-    probability is that of an unseen word. ``shards`` defaults to the number of input partitions, so that what a shard holds
-    stays as large as what a block sends; at most 4096, beyond which blocks should grow instead. ``docs`` must be read from
+    probability is that of an unseen word. ``shards`` defaults to twice the number of input partitions, so that what a shard
+    holds stays as large as what a block sends; at most 4096, beyond which blocks should grow instead. ``docs`` must be read from
     files or a written table, so that its blocks are the same each time.
     """
     narrow_batches(docs.sparkSession)
-    shards = shards or max(8, min(4096, docs.select("doc_id").rdd.getNumPartitions()))
+    shards = shards or max(8, min(4096, 2 * docs.select("doc_id").rdd.getNumPartitions()))
     answers = written(answered(sent(docs, shards, text, held, block_tokens, True)), "answers")
     sums = answers.agg(F.sum("n_tokens"), F.sum("n_words")).first()
     # contexts count every word once and each document once by its start, which stands for its end
