@@ -170,6 +170,43 @@ def test_simhash_one_of_each(docs, none, rows):
     assert simhash.one_of_each(none).count() == 0
 
 
+def test_near_dedup_similarity(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    texts = []
+    for k in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([3, 40, 150, 400]))]
+        texts.append(words)
+        for _ in range(k % 5):
+            words = list(words)
+            for _ in range(rng.randint(0, max(1, len(words) // 60))):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(5000)}"
+            texts.append(words)
+    texts += [["and", "on"] * 30, [], []]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df.repartition(3), "").collect())
+    assert got == sorted(set(root)) and len(got) < 0.6 * len(texts)
+    assert corpus_pipeline.near_dedup(spark, df.limit(0), "").count() == 0
+
+
+def test_near_dedup_without_ids(spark):
+    import corpus_pipeline
+
+    text = "one text of some words that stands here more than once"
+    other = "quite another text that has nothing in common with the first"
+    df = spark.createDataFrame([(None, text), (5, text), (None, text), (7, text), (7, other), (None, "alone")], "doc_id long, text string")
+    got = corpus_pipeline.near_dedup(spark, df, "").collect()
+    assert {(r.doc_id, r.text) for r in got} == {(5, text), (7, other), (None, "alone")} and len(got) == 3
+
+
 def test_quality(spark, docs, none, rows):
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(50)] + [(1, None, 0), (None, 1, 0), (7, 5, 0)], "doc_id long, quality int, toxic int")
     got = quality.quality_scores(docs, labels, F.col("doc_id") % 5 != 0).collect()
