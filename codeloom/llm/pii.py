@@ -57,10 +57,10 @@ _SPELLED = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 _DIGIT_WORD = "|".join(sorted(_SPELLED, key=lambda w: (-len(w), w)))
-#: At least four digits in a row, spelled or single, of which one at least is spelled; "plus" may lead, "dot"/"point" may stand between.
-_RUN = re.compile(rf"(?i)(?<![^\W_])(?:plus[\s.-]+)?(?:{_DIGIT_WORD}|[0-9])(?:[\s,.-]*(?:(?:dot|point|punkt|punto)[\s,.-]+)?(?:{_DIGIT_WORD}|[0-9]))+(?![^\W_])")
+_RUN_FIRST = "".join(sorted({w[0] for w in _SPELLED} | {"p"}))
+#: At least two digits in a row, spelled or single; "plus" may lead, "dot"/"point" may stand between.
+_RUN = re.compile(rf"(?i)(?<![^\W_])(?=[0-9{_RUN_FIRST}])(?:plus[\s.-]+)?(?:{_DIGIT_WORD}|[0-9])(?:[\s,.-]*(?:(?:dot|point|punkt|punto)[\s,.-]+)?(?:{_DIGIT_WORD}|[0-9]))+(?![^\W_])")
 _RUN_TOKEN = re.compile(rf"(?i)plus|dot|point|punkt|punto|{_DIGIT_WORD}|[0-9]")
-_SOME_SPELLED = re.compile(rf"(?i)(?:{_DIGIT_WORD})[\s,.-]+(?:{_DIGIT_WORD})[\s,.-]+(?:{_DIGIT_WORD})")
 
 _AT = r"(?:\s*[\[({<]\s*(?:at|@|arroba|ät)\s*[\])}>]\s*|\s+(?:at|arroba)\s+|\s*@\s*)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.|punkt|punto|point)\s*[\])}>]\s*|\s+(?:dot|punkt|punto|point)\s+|\.)"
@@ -161,11 +161,12 @@ def _characters(r: Rewritten) -> Rewritten:
     return r.replaced([(m.start(), m.end(), _ALIKE.get(m.group(), "")) for m in _ODD.finditer(r.text)])
 
 
-def _spelled_digits(r: Rewritten) -> Rewritten:
+def _spelled_digits(r: Rewritten, least: int) -> Rewritten:
+    """Runs with ``least`` or more spelled digits become digits."""
     edits = []
     for run in _RUN.finditer(r.text):
         tokens = list(_RUN_TOKEN.finditer(r.text, run.start(), run.end()))
-        if sum(t.group().lower() in _SPELLED for t in tokens) < 3:
+        if sum(t.group().lower() in _SPELLED for t in tokens) < least:
             continue
         for t, after in zip(tokens, [*tokens[1:], None], strict=True):
             word = t.group().lower()
@@ -196,18 +197,52 @@ def _at_and_dot(r: Rewritten) -> Rewritten:
     return r.replaced(sorted(edits))
 
 
+def _fits(span: Span, held: list[Span], text: str) -> bool:
+    """Whether ``span`` overlaps none of ``held``, in order and of its kind, or holds more than all that it overlaps.
+
+    Numbers that blanks part from a whole address are not of it.
+    """
+    kind, s, e = span
+    i = bisect_left([x[2] for x in held], s + 1)
+    over = []
+    while i < len(held) and held[i][1] < e:
+        over.append(held[i])
+        i += 1
+    if not over:
+        return True
+    if any(x[1] < s or x[2] > e for x in over) or span in over:
+        return False
+    return kind != "ip" or not any(c.isspace() for c in text[s : over[0][1]] + text[over[-1][2] : e])
+
+
+def _merged(more: list[Span], held: list[Span], text: str) -> list[Span]:
+    """Those of ``more`` that fit ``held``."""
+    own = {k: sorted((x for x in held if x[0] == k), key=lambda x: (x[2], x[1])) for k in KINDS}
+    return [x for x in more if _fits(x, own[x[0]], text)]
+
+
 def disguised_spans(text: str, signs: Signs = _ANY) -> list[Span]:
-    """Spans of ``text`` that the detectors find only after rewriting it."""
-    r = Rewritten(text)
+    """Spans of ``text`` that the detectors find only after rewriting it.
+
+    Runs of three or more spelled digits are rewritten first, then those of one or two as well: a single spelled digit
+    beside a number may be no part of it, and must not hide what is found without it.
+    """
+    first = Rewritten(text)
     if signs.odd and not text.isascii():
-        r = _characters(r)
-    if (signs.spelled or r.edits) and _SOME_SPELLED.search(r.text):
-        r = _spelled_digits(r)
-    if (signs.at_dot or r.edits) and (_BRACKETED.search(r.text) or _BARE.search(r.text)):
-        r = _at_and_dot(r)
-    if not r.edits:
-        return []
-    return [(kind, r.starts[s], r.ends[e - 1]) for kind, s, e in plain_spans(r.text)]
+        first = _characters(first)
+    spelled = signs.spelled or first.edits > 0
+    found: list[Span] = []
+    edits = 0
+    for least in (3, 1) if spelled else (3,):
+        r = _spelled_digits(first, least) if spelled else first
+        if least == 1 and r.edits == edits:
+            break
+        edits = r.edits
+        if (signs.at_dot or r.edits) and (_BRACKETED.search(r.text) or _BARE.search(r.text)):
+            r = _at_and_dot(r)
+        if r.edits:
+            found += _merged([(kind, r.starts[s], r.ends[e - 1]) for kind, s, e in plain_spans(r.text)], found, text)
+    return found
 
 
 def _ordered(spans: list[Span]) -> list[Span]:
@@ -223,6 +258,7 @@ def _is_any(h: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 _DIGIT_WORDS = _hashes_of(_SPELLED)
+_DIGIT_SIZES = sorted({len(w.encode()) for w in _SPELLED})
 _DOT_WORDS = _hashes_of(("dot", "punkt", "punto", "point"))
 _AT_WORDS = _hashes_of(("at", "arroba", "ät"))
 _PART = np.zeros(256, bool)
@@ -256,29 +292,33 @@ def signs_of(raw: np.ndarray, at: np.ndarray) -> list[Signs]:
     w = tb.words(low, at, _PART)
     h = tb.hashes(low, w.start, w.end)
     spelled = _is_any(h, _DIGIT_WORDS)
-    three = spelled.copy()
-    three[2:] &= spelled[1:-1] & spelled[:-2]
-    three[:2] = False
+    # a spelled digit with a number or a sign for dot beside it, or a word that can be made of several
+    digits_in = tb.row_sums(digit, np.r_[w.start, n]) if len(h) else np.zeros(0, np.int64)
+    dot_word = _is_any(h, _DOT_WORDS)
+    number = spelled | dot_word | (digits_in > 0)
+    compound = (digits_in > 0) & (digits_in < w.end - w.start)
+    for size in _DIGIT_SIZES:
+        longer = np.flatnonzero(w.end - w.start > size)
+        compound[longer] |= _is_any(tb.hashes(low, w.start[longer], w.start[longer] + size), _DIGIT_WORDS)
+    number |= compound
+    beside = np.zeros(len(h), bool)
+    beside[1:] |= number[:-1]
+    beside[:-1] |= number[1:]
+    run = compound | spelled & beside
     at_word = _is_any(h, _AT_WORDS) & after_open[w.start] if len(h) else np.zeros(0, bool)
-    words = tb.row_sums(_is_any(h, _DOT_WORDS) | at_word, w.row_at)
+    words = tb.row_sums(dot_word | at_word, w.row_at)
     marks = tb.row_sums((low == 64) | (low == 46) & after_open, at)
     odd = tb.row_sums(_ODD_LEAD[raw], at) > 0
     ip = (some >= 4) & (tb.row_sums(dotted, at) >= 3)
-    return [Signs(bool(i), bool(c), bool(o), bool(s), bool(a)) for i, c, o, s, a in zip(ip, some >= 12, odd, tb.row_sums(three, w.row_at) > 0, (words > 0) | (marks > 0), strict=True)]
+    return [Signs(bool(i), bool(c), bool(o), bool(s), bool(a)) for i, c, o, s, a in zip(ip, some >= 12, odd, tb.row_sums(run, w.row_at) > 0, (words > 0) | (marks > 0), strict=True)]
 
 
 def spans_of(text: str | None, signs: Signs = _ANY) -> tuple[list[Span], list[Span]]:
-    """(plain spans, all spans). A mapped span that overlaps a plain one of its kind adds nothing."""
+    """(plain spans, all spans). A mapped span that overlaps a plain one of its kind counts only if it holds more than that."""
     if not text:
         return [], []
     base = _ordered(plain_spans(text, signs))
-    more = []
-    held = {k: [x for x in base if x[0] == k] for k in KINDS}
-    for kind, s, e in disguised_spans(text, signs):
-        own = held[kind]
-        i = bisect_left([x[2] for x in own], s + 1)
-        if i == len(own) or own[i][1] >= e:
-            more.append((kind, s, e))
+    more = _merged(disguised_spans(text, signs), base, text)
     return base, _ordered(base + more) if more else base
 
 

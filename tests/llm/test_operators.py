@@ -347,6 +347,29 @@ def test_pii_spans(text, spans):
     assert pii.written_spans(pii.spans_of(text)[1]) == spans
 
 
+MIXED = [
+    ("ring +49 151 five five 1234 567 now", "ring <PHONE> now"),
+    ("plus 4 9 one 5 1 two 3 four 5 six 7 8", "<PHONE>"),
+    ("card 4111 1111 one111 1111 ok", "card <CARD> ok"),
+    ("card 4111 1111 oneone 11 1111 ok", "card <CARD> ok"),
+    ("card four 111 1111 1111 111 one", "card <CARD>"),
+    ("jane [dot] doe@example.com", "<EMAIL>"),
+    ("10 dot 0 dot 0 dot one", "<IP>"),
+    ("at 10.0.0.1 one of 5 and 10 dot 0 dot 0 dot 27 one host", "at <IP> one of 5 and <IP> one host"),
+    ("card ４111 1111 1111 1111 two", "card <CARD> two"),
+    ("10.0.0.1\u200b2 up", "<IP> up"),
+    ("one of 5 or 2 of three", "one of 5 or 2 of three"),
+    ("the one. the ones of September 2020", "the one. the ones of September 2020"),
+]
+
+
+def test_pii_mixed_numbers(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(MIXED)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.without_personal_data(df.coalesce(1)).collect()}
+    assert [got[i] for i in range(len(MIXED))] == [want for _, want in MIXED] == [pii.redacted(t) for t, _ in MIXED]
+    assert pii.spans_of(MIXED[5][0]) == ([("email", 11, 26)], [("email", 0, 26), ("email", 11, 26)])
+
+
 def test_pii_base_is_the_patterns():
     rng = random.Random(6)
     for _ in range(3000):
