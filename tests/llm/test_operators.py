@@ -443,3 +443,13 @@ def test_pipeline(spark, docs, tmp_path):
     assert not {3, 5, 6, 7, 8, 9, 12} & set(got) and {2, 13, 20} <= set(got)
     text = bpe.Codec.at(tokenizer_path()).decode([got[13].ids])[0]
     assert text == "mail <EMAIL> or <PHONE> and <CARD> at <IP>"
+
+
+def test_pipeline_decontaminates_each_row(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    bad = "we saw a short phrase here today"
+    df = spark.createDataFrame([(None, bad), (None, "clean text without an id"), (4, bad), (4, "clean text of a shared id"), (6, "clean too")], "doc_id long, text string")
+    got = corpus_pipeline.decontaminate(spark, df.repartition(2), str(tmp_path)).collect()
+    assert sorted(r.text for r in got) == ["clean text of a shared id", "clean text without an id", "clean too"]
