@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,12 @@ from .scratch import narrow_batches
 #: Texts of more characters are cut; stretches of more are halved down to leaves of at most half of this.
 LONG = 1 << 14
 
+#: Bytes of the texts that short stretches are joined to.
+JOINED = 1 << 13
+
+#: Ids decoded at once.
+DECODED = 1 << 16
+
 _OPENED: dict[str, Codec] = {}
 
 _BLANK = " \t\n\r\f\v"
@@ -48,21 +56,22 @@ def _cuts(raw: np.ndarray) -> np.ndarray:
 class Codec:
     """A byte-level BPE tokenizer read from the file of the tokenizers library at ``path``."""
 
-    def __init__(self, path: str, long: int = LONG) -> None:
-        import os
-
+    def __init__(self, path: str, long: int = LONG, threads: int = 2) -> None:
+        # short texts are encoded by their task's one thread; the leaves of a long one by a pool of ``threads``
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.long = long
+        self.long, self.threads = long, threads
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         spec = json.loads(self.tok.to_str())
         pre = spec.get("pre_tokenizer") or {}
         #: Whether white space ends a pre-token for certain, so that what stands between is encoded alike everywhere.
+        #: Bytes of each token; a byte is one character of a token's name.
+        self.bytes = np.array([len(self.tok.id_to_token(i) or "") for i in range(self.tok.get_vocab_size())], np.int32)
         self.local = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not any(re.search(r"\s", c) for c in added)
 
     @staticmethod
@@ -86,24 +95,53 @@ class Codec:
                 out[i] = self.encode_long(t)
         return out
 
-    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all rows, row offsets) of a string column; each distinct stretch from white space to white space is encoded once."""
+    def _one_by_one(self, data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of stretches of ``data``."""
+        known = self.encode([data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+        return np.array([i for x in known for i in x], np.int32), np.array([len(x) for x in known], np.int64)
+
+    def _joined(self, data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_one_by_one``, of stretches from a blank to a character that is no white space: in a row they are cut as they are alone."""
+        size = end - start
+        done = np.r_[0, np.cumsum(size)]
+        group = done[:-1] // JOINED
+        cuts = np.r_[0, np.flatnonzero(np.diff(group)) + 1, len(start)] if len(start) else np.zeros(1, np.int64)
+        a, b = start.tolist(), end.tolist()
+        texts = [b"".join([data[a[i] : b[i]] for i in range(x, y)]).decode("utf-8", "surrogatepass") for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        each = self._batch(texts)
+        ids = np.concatenate([np.array(x, np.int32) for x in each]) if each else np.zeros(0, np.int32)
+        ends = np.cumsum(self.bytes[ids])
+        return ids, np.diff(np.searchsorted(ends, done, "right"))
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all rows, row offsets, offsets of stretches) of a string column; each distinct stretch from white space to white space is encoded once."""
         raw, at = tb.buffers(column)
         if not self.local:
             each = self.encode([t.as_py() or "" for t in column])
-            return np.array([i for x in each for i in x], np.int64), np.r_[0, np.cumsum([len(x) for x in each])].astype(np.int64)
+            row_at = np.r_[0, np.cumsum([len(x) for x in each])].astype(np.int64)
+            return np.array([i for x in each for i in x], np.int32), row_at, row_at
         start = np.unique(np.concatenate([np.flatnonzero(_cuts(raw)), at[:-1][at[:-1] < at[1:]]])).astype(np.int64)
         end = np.r_[start[1:], len(raw)].astype(np.int64)[: len(start)]
-        _, first, which = np.unique(tb.hashes(raw, start, end), return_index=True, return_inverse=True)
+        first, which = tb.distinct(raw, start, end)
+        a, b = start[first], end[first]
+        row_end = np.zeros(len(raw) + 1, bool)
+        row_end[at] = True
+        plain = ~tb.NOT_SPACE[raw[a]] & ~row_end[b] & (b - a <= self.long)
         data = raw.tobytes()
-        known = self.encode([data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
-        size = np.array([len(x) for x in known], np.int64)
-        flat = np.array([i for x in known for i in x], np.int64)
-        base = np.cumsum(size) - size
-        per = size[which]
-        done = np.r_[0, np.cumsum(per)].astype(np.int64)
-        ids = flat[np.repeat(base[which] - done[:-1], per) + np.arange(done[-1])]
-        return ids, done[np.searchsorted(start, at)]
+        parts = [(np.flatnonzero(own), *how(data, a[own], b[own])) for own, how in ((plain, self._joined), (~plain, self._one_by_one))]
+        flat = np.concatenate([p[1] for p in parts])
+        base, size = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        before = 0
+        for own, ids, n in parts:
+            base[own], size[own] = before + np.cumsum(n) - n, n
+            before += len(ids)
+        done = np.r_[0, np.cumsum(size[which])].astype(np.int64)
+        ids = np.empty(int(done[-1]), np.int32)
+        for s in range(0, len(which), 1 << 17):
+            own = which[s : s + (1 << 17)]
+            lo, hi = done[s], done[s + len(own)]
+            ids[lo:hi] = flat[np.repeat(base[own] - done[s : s + len(own)], size[own]) + np.arange(lo, hi)]
+        return ids, done[np.searchsorted(start, at)], done
 
     def encode_long(self, text: str) -> list[int]:
         parts = self._cut(text)
@@ -171,18 +209,17 @@ class Codec:
         while len(text) > count * leaf:
             count *= 2
         edges = [len(text) * i // count for i in range(count + 1)]
-        sides = self._batch([text[a:b] for a, b in zip(edges, edges[1:], strict=False)])
-        while len(sides) > 1:
-            joined, ends = [], []
-            for i in range(0, len(sides), 2):
-                joined.append(self._join(text[edges[i] : edges[i + 2]], edges[i + 1] - edges[i], sides[i], sides[i + 1]))
-                ends.append(edges[i])
-            sides, edges = joined, [*ends, edges[-1]]
+        with ThreadPoolExecutor(self.threads) as pool:  # the library encodes without holding the interpreter
+            sides = list(pool.map(lambda t: self._batch([t])[0], [text[a:b] for a, b in zip(edges, edges[1:], strict=False)]))
+            while len(sides) > 1:
+                pairs = range(0, len(sides), 2)
+                sides = list(pool.map(lambda i, own=tuple(sides), cut=tuple(edges): self._join(text[cut[i] : cut[i + 2]], cut[i + 1] - cut[i], own[i], own[i + 1]), pairs))
+                edges = edges[::2]
         return sides[0]
 
     def _sizes(self, ids: list[int]) -> np.ndarray:
         """Bytes of each token."""
-        return np.array([len(self.tok.id_to_token(i)) for i in ids], np.int64)
+        return self.bytes[ids].astype(np.int64)
 
     def _join(self, text: str, middle: int, left: list[int], right: list[int]) -> list[int]:
         raw = text.encode("utf-8", "surrogatepass")
@@ -215,52 +252,75 @@ class Codec:
     def decode(self, batch: list[list[int]]) -> list[str]:
         return self.tok.decode_batch(batch, skip_special_tokens=False)
 
+    def decode_rows(self, ids: np.ndarray, row_at: np.ndarray, done: np.ndarray) -> list[str]:
+        """Texts of the rows; a row of many ids is decoded in runs of whole stretches, which begin with a whole character."""
+        out = []
+        for a, z in zip(row_at[:-1].tolist(), row_at[1:].tolist(), strict=True):
+            parts = []
+            while a < z:
+                b = z
+                if z - a > DECODED:
+                    i = int(np.searchsorted(done, a + DECODED, "right")) - 1
+                    b = int(done[i]) if done[i] > a else int(done[min(i + 1, len(done) - 1)])
+                    b = min(z, b) if b > a else z
+                parts.append(self.tok.decode(ids[a:b].tolist(), skip_special_tokens=False))
+                a = b
+            out.append("".join(parts))
+        return out
+
 
 def encoded(docs: DataFrame, path: str, columns: list[str], text: str = "text") -> DataFrame:
-    """``columns`` and ids (array<int>) of every row; null texts are empty ones. ``path``: the tokenizer's file, on every executor."""
+    """``columns`` and ids (array<int>) of every row; null and empty texts have none. ``path``: the tokenizer's file, on every executor.
+
+    Repeated rows stay; a column of ``docs`` named ids is replaced.
+    """
     return _run(docs, path, columns, text, False)
 
 
 def encoded_digests(docs: DataFrame, path: str, columns: list[str], text: str = "text") -> DataFrame:
-    """``columns`` of every row with n_tokens, the SHA-256 of its ids and that of the text decoded from them."""
+    """``columns`` of every row with n_tokens, the SHA-256 of its ids and that of the text decoded from them; columns of these names are replaced."""
     return _run(docs, path, columns, text, True)
 
 
 def _run(docs: DataFrame, path: str, columns: list[str], text: str, digests: bool) -> DataFrame:
     narrow_batches(docs.sparkSession)
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids"]
+    columns = [c for c in columns if c not in names]
     source = docs.select(*columns, F.col(text).alias("__text"))
-    schema = "".join(f"`{n}` {t}, " for n, t in source.drop("__text").dtypes)
+    schema = "".join(f"`{n}` {t}, " for n, t in source.dtypes[:-1])
     schema += "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.at(path)
         for batch in batches:
-            for b in tb.pieces(batch, "__text", 4 << 20):
-                flat, row_at = codec.encode_column(b.column("__text"))
+            for b in tb.pieces(batch, "__text"):
+                flat, row_at, done = codec.encode_column(b.column(len(columns)))
                 if digests:
-                    ids = [flat[a:z] for a, z in zip(row_at[:-1].tolist(), row_at[1:].tolist(), strict=True)]
+                    ids = flat.astype("<u4", copy=False).view(np.uint8)
                     made = [
                         pa.array(np.diff(row_at)),
-                        pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]),
-                        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in codec.decode([x.tolist() for x in ids])]),
+                        pa.array([hashlib.sha256(ids[4 * a : 4 * z]).hexdigest() for a, z in zip(row_at[:-1].tolist(), row_at[1:].tolist(), strict=True)]),
+                        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in codec.decode_rows(flat, row_at, done)]),
                     ]
-                    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
                 else:
-                    made, names = [pa.ListArray.from_arrays(pa.array(row_at.astype(np.int32)), pa.array(flat.astype(np.int32)))], ["ids"]
-                yield pa.record_batch([*(b.column(c) for c in columns), *made], names=[*columns, *names])
+                    made = [pa.ListArray.from_arrays(pa.array(row_at.astype(np.int32)), pa.array(flat))]
+                yield pa.record_batch([*(b.column(i) for i in range(len(columns))), *made], names=[*columns, *names])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tb.returning(run), schema)
 
 
 def decoded(rows: DataFrame, path: str, columns: list[str], ids: str = "ids") -> DataFrame:
-    """``columns`` and the text of every row's ``ids``; a null list is an empty one."""
+    """``columns`` and the text of every row's ``ids``; a null list is an empty one. A column named text is replaced."""
+    columns = [c for c in columns if c != "text"]
     source = rows.select(*columns, F.col(ids).alias("__ids"))
-    schema = "".join(f"`{n}` {t}, " for n, t in source.drop("__ids").dtypes) + "text string"
+    schema = "".join(f"`{n}` {t}, " for n, t in source.dtypes[:-1]) + "text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.at(path)
-        for b in batches:
-            made = codec.decode([x.as_py() or [] for x in b.column("__ids")])
-            yield pa.record_batch([*(b.column(c) for c in columns), pa.array(made, pa.string())], names=[*columns, "text"])
+        for batch in batches:
+            for s in range(0, batch.num_rows, 256):
+                b = batch.slice(s, 256)
+                made = codec.decode([x.as_py() or [] for x in b.column(len(columns))])
+                yield pa.record_batch([*(b.column(i) for i in range(len(columns))), pa.array(made, pa.string())], names=[*columns, "text"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tb.returning(run), schema)

@@ -23,10 +23,14 @@ from .scratch import narrow_batches
 
 KINDS = ("email", "ip", "card", "phone")
 
+#: Numbers up to 255 as they are written with up to three digits.
+_BYTES = frozenset(f"{k:0{n}d}" for k in range(256) for n in (1, 2, 3))
+
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _EMAIL_TAIL = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+#: Numbers joined by dots; each four of them in turn are what ``[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)`` finds, in one pass over any run of digits.
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)++")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -47,7 +51,8 @@ _ALIKE.update({chr(base + k): str(first + k) for base, first, n in ((0x2460, 1,
 _ALIKE.update({"⁰": "0", "¹": "1", "²": "2", "³": "3"})
 _ALIKE.update({chr(base + k): chr(0x41 + k) for base in (0x1D400, 0x1D5A0, 0x1D5D4, 0x1D670) for k in range(26)})
 _ALIKE.update({chr(base + k): chr(0x61 + k) for base in (0x1D41A, 0x1D5BA, 0x1D5EE, 0x1D68A) for k in range(26)})
-_ODD = re.compile("[" + "".join(map(re.escape, [*_ALIKE, *_UNSEEN])) + "]")
+_LETTERS = str.maketrans(_ALIKE)
+_INVISIBLE = re.compile("[" + re.escape(_UNSEEN) + "]")
 
 # Spelled digits.
 _SPELLED = {
@@ -59,17 +64,29 @@ _SPELLED = {
 _DIGIT_WORD = "|".join(sorted(_SPELLED, key=lambda w: (-len(w), w)))
 _RUN_FIRST = "".join(sorted({w[0] for w in _SPELLED} | {"p"}))
 #: At least two digits in a row, spelled or single; "plus" may lead, "dot"/"point" may stand between.
-_RUN = re.compile(rf"(?i)(?<![^\W_])(?=[0-9{_RUN_FIRST}])(?:plus[\s.-]+)?(?:{_DIGIT_WORD}|[0-9])(?:[\s,.-]*(?:(?:dot|point|punkt|punto)[\s,.-]+)?(?:{_DIGIT_WORD}|[0-9]))+(?![^\W_])")
+_RUN = re.compile(
+    rf"(?i)(?<![^\W_])(?=[0-9{_RUN_FIRST}])(?:plus[\s.-]+)?(?:{_DIGIT_WORD}|[0-9])"
+    rf"(?:[\s,.()-]*(?:(?:dot|point|punkt|punto)[\s,.-]+)?(?:{_DIGIT_WORD}|[0-9]))+(?![^\W_])"
+)
 _RUN_TOKEN = re.compile(rf"(?i)plus|dot|point|punkt|punto|{_DIGIT_WORD}|[0-9]")
-
-_AT = r"(?:\s*[\[({<]\s*(?:at|@|arroba|ät)\s*[\])}>]\s*|\s+(?:at|arroba)\s+|\s*@\s*)"
-_DOT = r"(?:\s*[\[({<]\s*(?:dot|\.|punkt|punto|point)\s*[\])}>]\s*|\s+(?:dot|punkt|punto|point)\s+|\.)"
-#: local part, a sign for at, labels joined by signs for dot; a bare word "at" counts only together with a disguised dot.
-_DISGUISED = re.compile(rf"(?i)(?P<local>[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*)(?P<at>{_AT})(?P<host>[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+)")
+#: Digits of a run that can be a phone or card number, and digits and dots of one that can be an address.
+RUN_DIGITS, ADDRESS_DIGITS, ADDRESS_DOTS = 9, 4, 3
+
+_OPENING, _CLOSING = r"[\[({<]", r"[\])}>]"
+_DOT_NAMES = ("dot", "punkt", "punto", "point")
+_DOT = rf"(?:\s*{_OPENING}\s*(?:{'|'.join(_DOT_NAMES)}|\.)\s*{_CLOSING}\s*|\s+(?:{'|'.join(_DOT_NAMES)})\s+|\.)"
+#: The same read backwards.
+_TOD = "|".join(w[::-1] for w in _DOT_NAMES)
+_DOT_BACK = rf"(?:\s*{_CLOSING}\s*(?:{_TOD}|\.)\s*{_OPENING}\s*|\s+(?:{_TOD})\s+|\.)"
+#: A sign for at without the white space around it; a bare word counts only together with a disguised dot.
+_AT = re.compile(rf"(?i){_OPENING}\s*(?:at|@|arroba|ät)\s*{_CLOSING}|(?<=\s)(?:at|arroba)(?=\s)|@")
+#: Labels joined by signs for dot: what follows a sign for at, and what stands before it, read backwards.
+_HOST = re.compile(rf"(?i)[a-z0-9-]++(?:{_DOT}[a-z0-9-]++)++")
+_LOCAL_BACK = re.compile(rf"(?i)[a-z0-9_%+-]++(?:{_DOT_BACK}[a-z0-9_%+-]++)*+")
 _DOT_SIGN = re.compile(rf"(?i){_DOT}")
 #: Four numbers joined by signs for dot.
 _DISGUISED_IP = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])")
-_BRACKETED = re.compile(r"(?i)[\[({<]\s*(?:at|@|arroba|ät|dot|\.|punkt|punto|point)\s*[\])}>]")
+_BRACKETED = re.compile(rf"(?i){_OPENING}\s*(?:at|@|arroba|ät|dot|\.|punkt|punto|point)\s*{_CLOSING}")
 _BARE = re.compile(r"(?i)\s(?:dot|punkt|punto|point)\s|\s@|@\s")
 
 Span = tuple[str, int, int]
@@ -117,9 +134,14 @@ def plain_spans(text: str, signs: Signs = _ANY) -> list[Span]:
     """Leftmost non-overlapping matches of each kind; those that fail a check are dropped and not retried."""
     found: list[Span] = [("email", s, e) for s, e in _emails(text)] if "@" in text else []
     if signs.ip:
-        for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
-                found.append(("ip", m.start(), m.end()))
+        for m in _DOTTED.finditer(text):
+            parts, at = m.group().split("."), m.start()
+            for i in range(0, len(parts) - 3, 4):
+                own = parts[i : i + 4]
+                end = at + len(own[0]) + len(own[1]) + len(own[2]) + len(own[3]) + 3
+                if all(p in _BYTES or (len(p) > 3 and p.lstrip("0") in _BYTES) or not p.strip("0") for p in own):
+                    found.append(("ip", at, end))
+                at = end + 1
     if signs.card:
         for m in _CARD.finditer(text):
             d = m.group().replace(" ", "").replace("-", "")
@@ -136,89 +158,122 @@ class Rewritten:
     """A text with, for each of its characters, the source span it stands for."""
 
     def __init__(self, text: str) -> None:
-        self.text, self.starts, self.ends, self.edits = text, range(len(text)), range(1, len(text) + 1), 0
+        self.text, self.edits = text, 0
+        self.starts = np.arange(len(text))
+        self.ends = self.starts + 1
 
     def replaced(self, edits: list[tuple[int, int, str]]) -> Rewritten:
         """``edits``: (start, end, by) in order, in places of this text. Each character of ``by`` stands for the whole replaced span."""
         if not edits:
             return self
-        text, starts, ends, done = [], [], [], 0
-        for s, e, by in [*edits, (len(self.text), len(self.text), "")]:
-            text.append(self.text[done:s])
-            starts.extend(self.starts[done:s])
-            ends.extend(self.ends[done:s])
-            if by:
-                text.append(by)
-                starts.extend([self.starts[s]] * len(by))
-                ends.extend([self.ends[e - 1]] * len(by))
+        text, done = [], 0
+        for s, e, by in edits:
+            text += [self.text[done:s], by]
             done = e
-        out = Rewritten("".join(text))
-        out.starts, out.ends, out.edits = starts, ends, self.edits + len(edits)
+        out = Rewritten("")
+        out.text, out.edits = "".join([*text, self.text[done:]]), self.edits + len(edits)
+        s, e, size = (np.array(x, np.int64) for x in ([x[0] for x in edits], [x[1] for x in edits], [len(x[2]) for x in edits]))
+        kept = _outside(len(self.text), s, e)
+        added = np.r_[0, np.cumsum(size)]
+        to = np.arange(len(kept)) + added[np.searchsorted(s, kept, "right")]
+        first = np.searchsorted(kept, s) + added[:-1]
+        into = np.repeat(first - added[:-1], size) + np.arange(added[-1])
+        out.starts, out.ends = np.empty(len(out.text), np.int64), np.empty(len(out.text), np.int64)
+        out.starts[to], out.ends[to] = self.starts[kept], self.ends[kept]
+        out.starts[into], out.ends[into] = np.repeat(self.starts[s], size), np.repeat(self.ends[e - 1], size)
         return out
 
 
+def _outside(n: int, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Places below ``n`` in none of the disjoint spans [s, e)."""
+    depth = np.zeros(n + 1, np.int8)
+    depth[s] += 1
+    depth[e] -= 1
+    # where one span ends and the next begins both marks fall on one place and cancel
+    return np.flatnonzero(np.cumsum(depth[:-1]) == 0)
+
+
 def _characters(r: Rewritten) -> Rewritten:
-    return r.replaced([(m.start(), m.end(), _ALIKE.get(m.group(), "")) for m in _ODD.finditer(r.text)])
+    """Look-alikes by their letters, place for place; unseen characters away."""
+    shown = r.text.translate(_LETTERS)
+    out = Rewritten(shown)
+    out.edits = int(shown != r.text)
+    return out.replaced([(m.start(), m.end(), "") for m in _INVISIBLE.finditer(shown)])
 
 
 def _spelled_digits(r: Rewritten, least: int) -> Rewritten:
-    """Runs with ``least`` or more spelled digits become digits."""
+    """Runs with ``least`` or more spelled digits, and with digits enough for an identifier, become digits."""
     edits = []
     for run in _RUN.finditer(r.text):
-        tokens = list(_RUN_TOKEN.finditer(r.text, run.start(), run.end()))
-        if sum(t.group().lower() in _SPELLED for t in tokens) < least:
+        tokens = [(t.start(), t.end(), t.group().lower()) for t in _RUN_TOKEN.finditer(r.text, run.start(), run.end())]
+        digits = sum(w in _SPELLED or w.isdigit() for _, _, w in tokens)
+        dots = len(tokens) - digits + run.group().count(".")
+        if digits < RUN_DIGITS and (digits < ADDRESS_DIGITS or dots < ADDRESS_DOTS) or sum(w in _SPELLED for _, _, w in tokens) < least:
             continue
-        for t, after in zip(tokens, [*tokens[1:], None], strict=True):
-            word = t.group().lower()
+        for (s, e, word), after in zip(tokens, [*tokens[1:], None], strict=True):
             by = {"plus": "+"}.get(word) or _SPELLED.get(word) or (word if word.isdigit() else ".")
-            between = r.text[t.end() : after.start()] if after else ""
-            end = after.start() if after and "." not in between.strip() else t.end()
-            edits.append((t.start(), end, by))
+            edits.append((s, after[0] if after and "." not in r.text[e : after[0]] else e, by))
     return r.replaced(edits)
 
 
 def _at_and_dot(r: Rewritten) -> Rewritten:
-    edits = []
-    for m in _DISGUISED.finditer(r.text):
-        at = m.group("at")
-        bare = at.strip().isalpha()
-        signs = [s for part in ("local", "host") for s in _DOT_SIGN.finditer(r.text, m.start(part), m.end(part)) if s.group() != "."]
-        if bare and not any(s.start() >= m.start("host") for s in signs):
+    """Disguised addresses are grown from each sign for at, to the right and then to the left, never over the one before."""
+    text, edits, done, n = r.text, [], 0, len(r.text)
+    back = ""
+    for sign in _AT.finditer(text):
+        s, e = sign.span()
+        if s < done:
             continue
-        if at == "@" and not signs:
+        right = e
+        while right < n and text[right].isspace():
+            right += 1
+        host = _HOST.match(text, right)
+        if not host:
             continue
-        edits += [(s.start(), s.end(), ".") for s in signs if s.start() < m.start("at")]
-        edits.append((m.start("at"), m.end("at"), "@"))
-        edits += [(s.start(), s.end(), ".") for s in signs if s.start() >= m.start("host")]
-    taken = [(s, e) for s, e, _ in edits]
-    for m in _DISGUISED_IP.finditer(r.text):
-        if not any(s < m.end() and m.start() < e for s, e in taken):
-            edits += [(s.start(), s.end(), ".") for s in _DOT_SIGN.finditer(r.text, m.start(), m.end()) if s.group() != "."]
-    return r.replaced(sorted(edits))
+        disguised = [d for d in _DOT_SIGN.finditer(text, right, host.end()) if d.group() != "."]
+        if sign.group().isalpha() and not disguised:
+            continue
+        left = s
+        while left > done and text[left - 1].isspace():
+            left -= 1
+        back = back or text[::-1]
+        local = _LOCAL_BACK.match(back, n - left, n - done)
+        if not local:
+            continue
+        disguised = [d for d in _DOT_SIGN.finditer(text, n - local.end(), left) if d.group() != "."] + [(left, right)] + disguised
+        if len(disguised) > 1 or right - left > 1:
+            edits += [(left, right, "@") if isinstance(d, tuple) else (d.start(), d.end(), ".") for d in disguised]
+            done = host.end()
+    addresses = []
+    for m in _DISGUISED_IP.finditer(text):
+        i = bisect_left(edits, (m.start(), -1, ""))
+        if (i == 0 or edits[i - 1][1] <= m.start()) and (i == len(edits) or edits[i][0] >= m.end()):
+            addresses += [(d.start(), d.end(), ".") for d in _DOT_SIGN.finditer(text, m.start(), m.end()) if d.group() != "."]
+    return r.replaced(sorted(edits + addresses))
 
 
-def _fits(span: Span, held: list[Span], text: str) -> bool:
-    """Whether ``span`` overlaps none of ``held``, in order and of its kind, or holds more than all that it overlaps.
+def _merged(more: list[Span], held: list[Span], text: str) -> list[Span]:
+    """Those of ``more`` that overlap none of ``held`` of their kind, or hold more than all that they overlap.
 
-    Numbers that blanks part from a whole address are not of it.
+    Numbers that blanks part from a whole address are not of it. Spans of one kind in ``held`` are taken to have starts and
+    ends in one order, or to be few.
     """
-    kind, s, e = span
-    i = bisect_left([x[2] for x in held], s + 1)
-    over = []
-    while i < len(held) and held[i][1] < e:
-        over.append(held[i])
-        i += 1
-    if not over:
-        return True
-    if any(x[1] < s or x[2] > e for x in over) or span in over:
-        return False
-    return kind != "ip" or not any(c.isspace() for c in text[s : over[0][1]] + text[over[-1][2] : e])
-
-
-def _merged(more: list[Span], held: list[Span], text: str) -> list[Span]:
-    """Those of ``more`` that fit ``held``."""
-    own = {k: sorted((x for x in held if x[0] == k), key=lambda x: (x[2], x[1])) for k in KINDS}
-    return [x for x in more if _fits(x, own[x[0]], text)]
+    own = {k: sorted((x for x in held if x[0] == k), key=lambda x: (x[2], x[1])) for k in {x[0] for x in more}}
+    ends = {k: [x[2] for x in v] for k, v in own.items()}
+    out = []
+    for span in more:
+        kind, s, e = span
+        i, over = bisect_left(ends[kind], s + 1), []
+        while i < len(own[kind]) and own[kind][i][1] < e:
+            over.append(own[kind][i])
+            i += 1
+        if over:
+            if any(x[1] < s or x[2] > e for x in over) or span in over:
+                continue
+            if kind == "ip" and any(c.isspace() for c in text[s : over[0][1]] + text[over[-1][2] : e]):
+                continue
+        out.append(span)
+    return out
 
 
 def disguised_spans(text: str, signs: Signs = _ANY) -> list[Span]:
@@ -241,7 +296,7 @@ def disguised_spans(text: str, signs: Signs = _ANY) -> list[Span]:
         if (signs.at_dot or r.edits) and (_BRACKETED.search(r.text) or _BARE.search(r.text)):
             r = _at_and_dot(r)
         if r.edits:
-            found += _merged([(kind, r.starts[s], r.ends[e - 1]) for kind, s, e in plain_spans(r.text)], found, text)
+            found += _merged([(kind, int(r.starts[s]), int(r.ends[e - 1])) for kind, s, e in plain_spans(r.text)], found, text)
     return found
 
 
@@ -249,18 +304,27 @@ def _ordered(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
-def _hashes_of(words: Iterable[str]) -> np.ndarray:
-    return np.unique(np.array([tb.hash_word(w.encode()) for w in words], np.uint64))
+_KEPT = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+
+
+def _keys_of(words: Iterable[str]) -> np.ndarray:
+    """Words of at most eight bytes as numbers, sorted."""
+    return np.unique(np.array([int.from_bytes(w.encode(), "little") for w in words], np.uint64))
 
 
-def _is_any(h: np.ndarray, known: np.ndarray) -> np.ndarray:
-    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+def _is_any(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
 
 
-_DIGIT_WORDS = _hashes_of(_SPELLED)
-_DIGIT_SIZES = sorted({len(w.encode()) for w in _SPELLED})
-_DOT_WORDS = _hashes_of(("dot", "punkt", "punto", "point"))
-_AT_WORDS = _hashes_of(("at", "arroba", "ät"))
+_DIGIT_WORDS = _keys_of(_SPELLED)
+_DIGIT_STARTS = {n: _keys_of(w for w in _SPELLED if len(w.encode()) == n) for n in sorted({len(w.encode()) for w in _SPELLED})}
+#: A word made of digits, spelled or not.
+_COMPOUND = re.compile(rf"(?i)(?:plus|dot|point|punkt|punto|{_DIGIT_WORD}|[0-9]|\s)+")
+_DOT_WORDS = _keys_of(_DOT_NAMES)
+_PLUS = _keys_of(("plus",))
+_BETWEEN = np.zeros(256, bool)
+_BETWEEN[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 40, 41, 44, 45, 46]] = True
+_AT_WORDS = _keys_of(("at", "arroba", "ät"))
 _PART = np.zeros(256, bool)
 _PART[48:58] = _PART[97:123] = _PART[128:] = True
 _OPEN = np.zeros(256, bool)
@@ -270,6 +334,49 @@ _ODD_LEAD = np.zeros(256, bool)
 _ODD_LEAD[sorted({c.encode()[0] for c in [*_ALIKE, *_UNSEEN]})] = True
 
 
+def _number_runs(low: np.ndarray, at: np.ndarray, w: tb.Words, first8: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether a row can hold a run of digits, some of them spelled, that is long enough for an identifier.
+
+    A run is a row of numbers, spelled digits, words made of several, and words for dot and plus, with nothing but
+    separators between. ``first8`` and ``key``: the first eight bytes of each word, and those of it alone if it has no more.
+    """
+    rows = len(at) - 1
+    if not len(key):
+        return np.zeros(rows, bool)
+    size = w.end - w.start
+    digits = np.r_[0, np.cumsum((low >= 48) & (low <= 57))]
+    digits = digits[w.end] - digits[w.start]
+    spelled, dot = _is_any(key, _DIGIT_WORDS), _is_any(key, _DOT_WORDS)
+    mixed = (digits > 0) & (digits < size)
+    for n, starts in _DIGIT_STARTS.items():
+        mixed |= (size > n) & _is_any(first8 & _KEPT[n], starts)
+    several = np.zeros(len(key), bool)
+    for i in np.flatnonzero(mixed & ~spelled):
+        word = low[w.start[i] : w.end[i]].tobytes().decode("utf-8", "replace")
+        if _COMPOUND.fullmatch(word):
+            several[i], digits[i] = True, len(_RUN_TOKEN.findall(word))
+        else:
+            digits[i] = 0
+    digits[spelled] = 1
+    member = (digits > 0) | dot | _is_any(key, _PLUS)
+    other = np.r_[0, np.cumsum(~_BETWEEN[low])]
+    row = np.searchsorted(w.row_at, np.arange(len(key)), "right") - 1
+    joined = np.zeros(len(key), bool)
+    joined[1:] = member[1:] & member[:-1] & (other[w.start[1:]] == other[w.end[:-1]]) & (row[1:] == row[:-1])
+    places = np.flatnonzero(member)
+    if not len(places):
+        return np.zeros(rows, bool)
+    run = np.cumsum(~joined[places]) - 1
+    first = np.flatnonzero(~joined[places])
+    last = np.r_[first[1:], len(places)] - 1
+    signs = np.r_[0, np.cumsum(low == 46)]
+    dots = np.bincount(run, dot[places]) + signs[w.end[places[last]]] - signs[w.start[places[first]]]
+    many = np.bincount(run, digits[places])
+    some = np.bincount(run, (spelled | several)[places]) > 0
+    found = some & ((many >= RUN_DIGITS) | (many >= ADDRESS_DIGITS) & (dots >= ADDRESS_DOTS))
+    return np.bincount(row[places[first]], found, rows)[:rows] > 0
+
+
 def signs_of(raw: np.ndarray, at: np.ndarray) -> list[Signs]:
     """Of each row; only what cannot be there is ruled out."""
     low = folded(raw)
@@ -290,27 +397,18 @@ def signs_of(raw: np.ndarray, at: np.ndarray) -> list[Signs]:
             blank = np.zeros(n, bool)
             blank[further] = ~tb.NOT_SPACE[low[further]]
     w = tb.words(low, at, _PART)
-    h = tb.hashes(low, w.start, w.end)
-    spelled = _is_any(h, _DIGIT_WORDS)
-    # a spelled digit with a number or a sign for dot beside it, or a word that can be made of several
-    digits_in = tb.row_sums(digit, np.r_[w.start, n]) if len(h) else np.zeros(0, np.int64)
-    dot_word = _is_any(h, _DOT_WORDS)
-    number = spelled | dot_word | (digits_in > 0)
-    compound = (digits_in > 0) & (digits_in < w.end - w.start)
-    for size in _DIGIT_SIZES:
-        longer = np.flatnonzero(w.end - w.start > size)
-        compound[longer] |= _is_any(tb.hashes(low, w.start[longer], w.start[longer] + size), _DIGIT_WORDS)
-    number |= compound
-    beside = np.zeros(len(h), bool)
-    beside[1:] |= number[:-1]
-    beside[:-1] |= number[1:]
-    run = compound | spelled & beside
-    at_word = _is_any(h, _AT_WORDS) & after_open[w.start] if len(h) else np.zeros(0, bool)
+    padded = np.concatenate([low, np.zeros(8, np.uint8)])
+    first8 = np.ndarray((n + 1,), np.dtype("<u8"), buffer=padded.data, strides=(1,))[w.start]
+    size = w.end - w.start
+    key = np.where(size <= 8, first8 & _KEPT[np.minimum(size, 8)], np.uint64(0))
+    run = _number_runs(low, at, w, first8, key)
+    dot_word = _is_any(key, _DOT_WORDS)
+    at_word = _is_any(key, _AT_WORDS) & after_open[w.start] if n else np.zeros(0, bool)
     words = tb.row_sums(dot_word | at_word, w.row_at)
     marks = tb.row_sums((low == 64) | (low == 46) & after_open, at)
     odd = tb.row_sums(_ODD_LEAD[raw], at) > 0
     ip = (some >= 4) & (tb.row_sums(dotted, at) >= 3)
-    return [Signs(bool(i), bool(c), bool(o), bool(s), bool(a)) for i, c, o, s, a in zip(ip, some >= 12, odd, tb.row_sums(run, w.row_at) > 0, (words > 0) | (marks > 0), strict=True)]
+    return [Signs(bool(i), bool(c), bool(o), bool(s), bool(a)) for i, c, o, s, a in zip(ip, some >= 12, odd, run, (words > 0) | (marks > 0), strict=True)]
 
 
 def spans_of(text: str | None, signs: Signs = _ANY) -> tuple[list[Span], list[Span]]:
@@ -348,11 +446,11 @@ def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in tb.pieces(batch, "t", 4 << 20):
+            for b in tb.pieces(batch, "t"):
                 found = [spans_of(t.as_py(), s) for t, s in zip(b.column("t"), signs_of(*tb.buffers(b.column("t"))), strict=True)]
                 yield pa.record_batch([b.column("doc_id"), pa.array([written_spans(x) for x, _ in found], pa.string()), pa.array([written_spans(x) for _, x in found], pa.string())], names=["doc_id", "base", "spans"])
 
-    return docs.select("doc_id", F.col(text).alias("t")).mapInArrow(run, "doc_id long, base string, spans string")
+    return docs.select("doc_id", F.col(text).alias("t")).mapInArrow(tb.returning(run), "doc_id long, base string, spans string")
 
 
 def without_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -362,8 +460,8 @@ def without_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in tb.pieces(batch, text, 4 << 20):
+            for b in tb.pieces(batch, text):
                 clean = pa.array([redacted(t.as_py(), s) for t, s in zip(b.column(text), signs_of(*tb.buffers(b.column(text))), strict=True)], b.schema.field(text).type)
                 yield pa.record_batch([clean if n == text else b.column(n) for n in names], names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tb.returning(run), docs.schema)

@@ -16,6 +16,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text as digests; a null text is an empty one with no ids. Repeated rows give a row each."""
     return encoded_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path(), ["doc_id"])
 
 

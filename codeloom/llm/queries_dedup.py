@@ -9,6 +9,10 @@ from .simhash import near_duplicates
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and the least doc_id it is linked to, over any number of links.
+
+    Null and wordless texts have fingerprint zero and link like any other; repeated rows give a row each.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = near_duplicates(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

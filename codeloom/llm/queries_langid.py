@@ -18,6 +18,10 @@ def learned(docs: DataFrame) -> LanguageFilter:
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from rows that are not held out; ``und`` without text or letter.
+
+    Repeated rows give a row each; if nothing can be learned, every row is ``und``.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return predict(docs.withColumn("held_out", held_out(4, 2)), learned(docs), ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")
 

@@ -33,10 +33,14 @@ def fingerprints(raw: np.ndarray, at: np.ndarray, shingle: int = 4, seed: int =
     out, w = tb.squeezed(tb.lower(raw), at, tb.NOT_SPACE)
     n = np.diff(w.row_at)
     per = np.where(n >= shingle, n - shingle + 1, np.minimum(n, 1))
-    base = np.cumsum(per) - per
-    first = np.arange(per.sum()) - np.repeat(base - w.row_at[:-1], per)
+    first = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per - w.row_at[:-1], per)
     last = np.minimum(first + shingle, np.repeat(w.row_at[1:], per)) - 1
-    h = tb.xxh64(out, w.start[first], w.end[last], seed)
+    return majorities(tb.xxh64(out, w.start[first], w.end[last], seed), per)
+
+
+def majorities(h: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """Fingerprints of rows of ``per`` hashes each: the bits that over half of a row's hashes set."""
+    base = np.cumsum(per) - per
     # sums of up to 255 hashes fit the byte lanes
     cuts = -(-per // 255)
     cut_base = np.cumsum(cuts) - cuts
@@ -62,7 +66,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 4, seed
                 fp = fingerprints(*tb.buffers(b.column("t")), shingle, seed)
                 yield pa.record_batch([b.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", F.col(text).alias("t")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", F.col(text).alias("t")).mapInArrow(tb.returning(run), "doc_id long, fp long")
 
 
 def bit_moments(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -78,7 +82,7 @@ def bit_moments(fps: DataFrame) -> tuple[int, np.ndarray]:
         yield pa.record_batch([pa.array(np.r_[k, 4096].astype(np.int32)), pa.array(np.r_[total.ravel(), n])], names=["k", "v"])
 
     # one row for each pair of bits, however many tasks there are
-    sums = {r.k: r.v for r in fps.select("fp").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
+    sums = {r.k: r.v for r in fps.select("fp").mapInArrow(tb.returning(run), "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
     both = np.array([sums.get(i, 0.0) for i in range(4096)]).reshape(64, 64)
     return int(sums.get(4096, 0)), both
 
@@ -106,23 +110,32 @@ def grouped_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
 KEY_COST = 500.0
 
 
+def _agreeing(v: np.ndarray, radius: int, block: int = 512) -> np.ndarray:
+    """Ordered pairs of different members of ``v`` that differ in 0, 1, ... ``radius`` bits."""
+    out = np.zeros(radius + 1, np.int64)
+    for s in range(0, len(v), block):
+        d = np.bitwise_count(v[s : s + block, None] ^ v[None, :])
+        out += np.bincount(np.minimum(d, radius + 1).ravel(), minlength=radius + 2)[: radius + 1]
+    out[0] -= len(v)
+    return out
+
+
 def allocated(groups: list[list[int]], sample: np.ndarray, n: int, radius: int) -> tuple[list[int], float]:
     """Thresholds by dynamic programming over the partitions, and their estimated cost.
 
     Cost of threshold t in a partition: its keys a fingerprint, and the candidates expected a fingerprint. The latter come
-    from the pairs of ``sample`` that agree within t bits there, scaled to ``n`` fingerprints.
+    from the pairs of the whole random ``sample`` that agree within t bits there, scaled to ``n`` fingerprints.
     """
     cost = np.full((len(groups), radius + 2), np.inf)
     a = np.unique(sample)
     for i, g in enumerate(groups):
         mask = np.uint64(sum(1 << b for b in g))
-        v = (a.view(np.uint64) & mask)[:2048]
-        d = np.bitwise_count(v[:, None] ^ v[None, :])
-        pairs = max(len(v) * (len(v) - 1), 1)
+        agree = np.cumsum(_agreeing(a.view(np.uint64) & mask, radius))
+        pairs = max(len(a) * (len(a) - 1), 1)
         cost[i, 0] = 0.0
         for t in range(radius + 1):
             keys = comb(len(g), t)
-            near = (int((d <= t).sum()) - len(v)) / pairs
+            near = int(agree[t]) / pairs
             chance = sum(comb(len(g), k) for k in range(t + 1)) / 2.0 ** len(g)
             cost[i, t + 1] = KEY_COST * keys + n * max(near, chance)
     best = np.full((len(groups) + 1, radius + 2), np.inf)
@@ -176,11 +189,11 @@ def _roots(parent: np.ndarray) -> np.ndarray:
     return r
 
 
-def linked(fp: np.ndarray, radius: int = 4, block: int = 1024) -> np.ndarray:
+def linked(fp: np.ndarray, radius: int = 4, block: int = 256, tile: int = 4096) -> np.ndarray:
     """For sorted distinct fingerprints, the index of the first member of each one's component within this set.
 
     Neighbours in several bit rotations are linked first; then only members of different components are compared, in
-    blocks, until every pair between components has been seen. Memory: a block by the set.
+    blocks, until every pair between components has been seen. Memory: a block by a tile, some 16 MB.
     """
     n = len(fp)
     u = fp.view(np.uint64)
@@ -204,9 +217,9 @@ def linked(fp: np.ndarray, radius: int = 4, block: int = 1024) -> np.ndarray:
     left = np.flatnonzero(root != big)
     for s in range(0, len(left), block):
         rows = left[s : s + block]
-        for c in range(0, n, 65536):
-            d = np.bitwise_count(u[rows][:, None] ^ u[None, c : c + 65536]) <= radius
-            d &= root[rows][:, None] != root[None, c : c + 65536]
+        for c in range(0, n, tile):
+            d = np.bitwise_count(u[rows][:, None] ^ u[None, c : c + tile]) <= radius
+            d &= root[rows][:, None] != root[None, c : c + tile]
             for i, j in zip(*np.nonzero(d), strict=True):
                 _join(parent, int(rows[i]), int(j) + c)
         root = _roots(parent)
@@ -269,42 +282,30 @@ def near_links(fps: DataFrame, plan: list[tuple[list[int], int]], radius: int =
         if held is not None:
             yield edges(*held)
 
-    return keyed.mapInArrow(run, "a long, b long").distinct()
+    return keyed.mapInArrow(tb.returning(run), "a long, b long").distinct()
+
+
+def fitted_links(distinct: DataFrame, radius: int = 4, fit_rows: int = 4096, cap: int = 65536) -> DataFrame:
+    """``near_links`` of distinct fingerprints(fp), under the plan of least estimated cost for them."""
+    n, both = bit_moments(distinct)
+    sample = np.array([r.fp for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(fit_rows).collect()], np.int64)
+    return near_links(distinct.select("fp"), planned(n, both, sample, radius), radius, cap)
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", radius: int = 4, shingle: int = 4, seed: int = 42, fit_rows: int = 20000, cap: int = 65536) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", radius: int = 4, shingle: int = 4, seed: int = 42, fit_rows: int = 4096, cap: int = 65536) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``.
 
     component_id is the least doc_id reachable over links. Copies count once: work is on distinct fingerprints. A null or
     empty text has fingerprint zero and links like any other; null doc_ids are kept and take part with the least doc_id
-    of their component, null only if it has none. Repeated doc_ids give repeated rows. Bit correlations count all
-    fingerprints; candidate estimates use the ``fit_rows`` fingerprints of least hash.
+    of their component, null only if it has none. Repeated doc_ids give repeated rows; an empty table gives none. Bit
+    correlations count all fingerprints; candidate estimates use the ``fit_rows`` fingerprints of least hash, a random sample.
     """
     narrow_batches(docs.sparkSession)
     fp = written(with_fingerprint(docs, text, shingle, seed), "fingerprints")
     distinct = written(fp.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    n, both = bit_moments(distinct)
-    sample = np.array([r.fp for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(fit_rows).collect()], np.int64)
-    links = near_links(distinct.select("fp"), planned(n, both, sample, radius), radius, cap)
+    links = fitted_links(distinct, radius, fit_rows, cap)
     roots = connected_components(links)
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = written(rooted.join(least, "root").select("fp", "component_id"), "components")
     return fp.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def one_of_each(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of their component.
-
-    Rows that share such a doc_id stay once for each different text. Rows without a doc_id cannot be told apart by one; they
-    are kept as they are, and no row is left out for them.
-    """
-    named = docs.where("doc_id is not null")
-    found = near_duplicates(named, text, **options)
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = written(kept, "kept")
-    # the kept ids are most of all ids: they are never sent to every task, at any size
-    out = named.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
-    if not kept.where("n > 1").isEmpty():  # repeated ids
-        out = out.dropDuplicates(["doc_id", text])
-    return out.unionByName(docs.where("doc_id is null"))

@@ -6,8 +6,10 @@ A null text is an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,28 @@ WORDLIKE[97:123] = True
 WORDLIKE[128:] = True
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker outlives its task, and must not keep what each task needed at most."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no such call in this C library
+        pass
+
+
+def returning(run: Callable) -> Callable:
+    """``run`` over Arrow batches or tables, giving memory back when its task ends."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, row offsets) of a string column; the offsets start at 0."""
     column = column.cast(pa.large_string()).fill_null("")
@@ -105,23 +129,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
-    """Powers of the hash base and of its inverse, up to the longest buffer seen."""
+#: Bytes hashed at once; no table grows beyond twice this.
+_SPAN = 1 << 19
+
 
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
+def _powers(base: np.uint64) -> np.ndarray:
+    x = np.full(2 * _SPAN + 1, base, np.uint64)
+    x[0] = 1
+    return np.multiply.accumulate(x)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 1 << 21)
-            for name, base in (("up", _R), ("down", _R_INV)):
-                x = np.full(n, base, np.uint64)
-                x[0] = 1
-                setattr(self, name, np.multiply.accumulate(x))
-        return self.up, self.down
 
+_UP, _DOWN = _powers(_R), _powers(_R_INV)
 
-_POWERS = _Powers()
+
+def _near(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomials of spans of a buffer of at most twice ``_SPAN`` bytes."""
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * _UP[: len(raw)], out=total[1:])
+    return (total[end] - total[start]) * _DOWN[start]
+
+
+def _far(raw: np.ndarray) -> int:
+    """Polynomial of one long span, block by block."""
+    out, power, step = 0, 1, pow(int(_R), _SPAN, 1 << 64)
+    for s in range(0, len(raw), _SPAN):
+        part = raw[s : s + _SPAN]
+        out += power * int((_BYTE[part] * _UP[: len(part)]).sum(dtype=np.uint64))
+        power = power * step % (1 << 64)
+    return out % (1 << 64)
 
 
 def hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -130,13 +165,62 @@ def hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     A polynomial over random byte values modulo 2**64, taken from prefix sums and brought to position zero with the
     inverse of the base, then mixed with the length.
     """
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    up, down = _POWERS.upto(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
-    h = (total[end] - total[start]) * down[start]
-    return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    out = np.zeros(len(start), np.uint64)
+    if len(raw) <= 2 * _SPAN:
+        if len(start):
+            out = _near(raw, start, end)
+    else:
+        long = end - start > _SPAN
+        for i in np.flatnonzero(long):
+            out[i] = _far(raw[start[i] : end[i]])
+        rest = np.flatnonzero(~long)
+        rest = rest[np.argsort(start[rest], kind="stable")]
+        cuts = np.searchsorted(start[rest], np.arange(0, len(raw) + _SPAN, _SPAN))
+        for a, b, base in zip(cuts, cuts[1:], range(0, len(raw), _SPAN), strict=False):
+            if a < b:
+                own = rest[a:b]
+                out[own] = _near(raw[base : base + 2 * _SPAN], start[own] - base, end[own] - base)
+    return mix(out + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _equal(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, block: int = 1 << 19) -> np.ndarray:
+    """Whether the ``size`` bytes from each ``a`` are those from ``b``."""
+    out = np.ones(len(a), bool)
+    done = np.r_[0, np.cumsum(size)]
+    i = 0
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(done, done[i] + block, "right")) - 1)
+        if j == i + 1:
+            out[i] = np.array_equal(raw[a[i] : a[i] + size[i]], raw[b[i] : b[i] + size[i]])
+        else:
+            n = size[i:j]
+            inner = np.arange(done[j] - done[i]) - np.repeat(done[i:j] - done[i], n)
+            differs = raw[np.repeat(a[i:j], n) + inner] != raw[np.repeat(b[i:j], n) + inner]
+            wrong = np.r_[0, np.cumsum(differs)]
+            out[i:j] = wrong[done[i + 1 : j + 1] - done[i]] == wrong[done[i:j] - done[i]]
+        i = j
+    return out
+
+
+def distinct(raw: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct span, each span's place among these); spans are compared byte by byte, not by hash alone."""
+    _, first, which = np.unique(hashes(raw, start, end) if h is None else h, return_index=True, return_inverse=True)
+    size = end - start
+    other = np.flatnonzero(first[which] != np.arange(len(start)))
+    one = first[which[other]]
+    same = size[one] == size[other]
+    same[same] = _equal(raw, start[other[same]], start[one[same]], size[other[same]])
+    if same.all():
+        return first, which
+    more: dict[bytes, int] = {}
+    extra = []
+    for i in other[~same]:
+        key = raw[start[i] : end[i]].tobytes()
+        if key not in more:
+            more[key] = len(first) + len(extra)
+            extra.append(i)
+        which[i] = more[key]
+    return np.r_[first, np.array(extra, first.dtype)], which
 
 
 def hash_word(word: bytes) -> int:
