@@ -42,7 +42,7 @@ def grams(raw: np.ndarray, at: np.ndarray, size: int = 3) -> tuple[np.ndarray, n
     if not len(out):
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
     out = np.concatenate([np.full(1, 32, np.uint8), out])
-    begins = np.flatnonzero((out & 0xC0) != 0x80)
+    begins = np.append(np.flatnonzero((out & 0xC0) != 0x80), len(out))
     first, last = begins[:-size], begins[size:]
     # a gram with a space inside spans two words
     keep = np.ones(len(first), bool)
