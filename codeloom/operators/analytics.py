@@ -114,19 +114,21 @@ def surprise_edges(nodes: DataFrame, edges: DataFrame, n: int = 10) -> DataFrame
     return j.orderBy(F.desc("score"), "src", "dst", "relation").limit(n)
 
 
-# Questions about the most connected nodes.
+# Questions about the two most connected nodes, and what stands for one that is missing.
 QUESTIONS = [
-    "What does {0} depend on?",
-    "What would break if {0} changed?",
-    "How does {0} reach {1}?",
-    "Who uses {1}?",
-    "Explain {2}",
+    "What does {0} depend on, and what depends on it?",
+    "What is the shortest dependency path from {0} to {1}?",
+    "Which components would break if {0} changed its interface?",
+    "Which communities are most isolated from the rest of the graph?",
+    "What are the most unexpected cross-domain connections in this codebase?",
 ]
+NO_NODE = "<node>"
 
 
 def suggested_questions(gods: list[str]) -> list[str]:
-    """A5: the questions that the given labels suffice for."""
-    return [q.format(*gods[:3]) for q in QUESTIONS if all(f"{{{k}}}" not in q or k < len(gods) for k in range(3))]
+    """A5: always all questions."""
+    first, second = [*gods, NO_NODE, NO_NODE][:2]
+    return [q.format(first, second) for q in QUESTIONS]
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame, subject: str) -> DataFrame:

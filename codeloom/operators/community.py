@@ -1,4 +1,4 @@
-"""Communities (rows A6, A7, A8): label propagation over joins, and modularity-guided merging."""
+"""Communities (rows A6, A7, A8): label propagation over joins."""
 
 from __future__ import annotations
 
@@ -23,7 +23,7 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> D
     for _ in range(rounds):
         votes = weights.join(labels.withColumnsRenamed({"id": "dst"}), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("w").alias("w"))
         votes = votes.unionByName(labels.withColumn("w", F.lit(1).cast("long"))).groupBy("id", "label").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("id").agg(F.max_by("label", F.struct("w", F.col("label"))).alias("label"))
+        best = votes.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("b")).select("id", "b.label")
         best = scratch(best, "labels")
         changed = not best.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old").isEmpty()
         labels = best

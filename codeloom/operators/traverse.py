@@ -8,29 +8,37 @@ from pyspark.sql import functions as F
 from codeloom.functions.text import base_name, normal_path
 from codeloom.session import scratch
 
-MAX_DEPTH = 1000
-
 
 def flipped(edges: DataFrame) -> DataFrame:
     """Edges the other way round."""
     return edges.select(*[F.col("dst").alias("src") if c == "src" else F.col("src").alias("dst") if c == "dst" else F.col(c) for c in edges.columns])
 
 
-def reachable(edges: DataFrame, start: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def _pairs(edges: DataFrame) -> DataFrame:
+    """Distinct (src, dst) of the edges, written once for all levels of a search."""
+    return scratch(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "pairs")
+
+
+def reachable(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(id, hops): nodes reached from ``start(id)`` along edges, the start itself at 0; cycles are fine.
 
-    One join of the edges with the frontier a level and an anti-join with what was reached before; each level is a written
-    table, so that lineage does not grow. An edge list read by many calls is best kept bucketed by src.
+    One join of the edges with the frontier a level and an anti-join with what was reached before, until nothing new is
+    met or ``max_depth`` is. The edges are written once, each level once, and what was reached is gathered into one table
+    every few levels, so that neither lineage nor the number of tables read grows with the depth.
     """
-    pairs = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    pairs = _pairs(edges)
     front = scratch(start.select("id").distinct().withColumn("hops", F.lit(0)), "reach")
     seen = front
-    for hops in range(1, max_depth + 1):
+    hops = 0
+    while max_depth is None or hops < max_depth:
+        hops += 1
         step = pairs.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
         front = scratch(step.join(seen, "id", "left_anti").withColumn("hops", F.lit(hops)), "reach")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if hops % 8 == 0:
+            seen = scratch(seen, "reach")
     return seen
 
 
@@ -61,7 +69,7 @@ def impact(edges: DataFrame, subject: str) -> DataFrame:
     return reachable(flipped(edges), start).where(F.col("hops") > 0)
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = 64) -> DataFrame:
+def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
     """Q8, Q10: (hop, id) of the shortest path, the lexicographically least of them; no rows if there is none.
 
     Nodes at their distance from the source that also lie on the way back from the target are kept; the path is then read
@@ -69,22 +77,21 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = 6
     """
     spark = edges.sparkSession
     schema = "hop int, id string"
-    pairs = edges.select("src", "dst").where("src is not null and dst is not null")
     if source == target:
         return spark.createDataFrame([(0, source)], schema)
+    pairs = _pairs(edges)
     front = spark.createDataFrame([(source,)], "id string").withColumn("hops", F.lit(0))
     seen, levels = front, [front]
-    for hops in range(1, max_depth + 1):
+    while True:
+        hops = len(levels)
         step = pairs.join(levels[-1].select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
         front = scratch(step.join(seen, "id", "left_anti").withColumn("hops", F.lit(hops)), "path")
         if front.isEmpty():
             return spark.createDataFrame([], schema)
         levels.append(front)
-        seen = seen.unionByName(front)
+        seen = scratch(seen.unionByName(front), "path") if hops % 8 == 0 else seen.unionByName(front)
         if not front.where(F.col("id") == target).isEmpty():
             break
-    else:
-        return spark.createDataFrame([], schema)
     # back from the target: the nodes of each level that lead to it
     on_way = [spark.createDataFrame([(target,)], "id string")]
     for level in reversed(levels[:-1]):

@@ -190,7 +190,8 @@ SQL = {
         SELECT e.src, e.dst, e.relation, a.c AS src_community, b.c AS dst_community, a.degree * b.degree AS score FROM (SELECT DISTINCT src, dst, relation FROM built) e JOIN c a ON e.src = a.id JOIN c b ON e.dst = b.id
         WHERE a.c <> b.c ORDER BY score DESC, e.src, e.dst, e.relation LIMIT 20""",
     "A5_questions": f"""WITH {SUPPLY}, {_GODS}, g AS (SELECT list(label ORDER BY degree DESC, id) AS l FROM gods)
-        SELECT (p - 1)::INT AS position, q AS question FROM (SELECT unnest(['What does ' || l[1] || ' depend on?', 'What would break if ' || l[1] || ' changed?', 'How does ' || l[1] || ' reach ' || l[2] || '?', 'Who uses ' || l[2] || '?', 'Explain ' || l[3]]) AS q, unnest(range(1, 6)) AS p FROM g)""",
+        SELECT (p - 1)::INT AS position, q AS question FROM (SELECT unnest(['What does ' || l[1] || ' depend on, and what depends on it?', 'What is the shortest dependency path from ' || l[1] || ' to ' || l[2] || '?', 'Which components would break if ' || l[1] || ' changed its interface?',
+        'Which communities are most isolated from the rest of the graph?', 'What are the most unexpected cross-domain connections in this codebase?']) AS q, unnest(range(1, 6)) AS p FROM g)""",
     "A11_project_status": f"WITH {SUPPLY}, {_STATUS} SELECT * FROM status",
     "A12_registry_rollup": f"""WITH {SUPPLY}, {_STATUS} SELECT count(*) AS projects, count(*) FILTER (nodes > 0) AS healthy, count(*) FILTER (nodes = 0) AS missing, sum(nodes)::BIGINT AS nodes, sum(files)::BIGINT AS files,
         sum(symbols)::BIGINT AS symbols, sum(outgoing)::BIGINT AS outgoing FROM status""",

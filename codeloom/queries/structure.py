@@ -44,12 +44,12 @@ def q8(spark, sf):
 
 
 def _files(spark, sf):
-    """Parts as files under paths that the ranking knows, linked where one order line follows another."""
+    """Parts as files under paths that the ranking knows, linked where one line of an order follows another."""
     from pyspark.sql import functions as F
 
     parts = _read(spark, sf, "part").selectExpr(*_FILE_EXPRS)
-    lines = _read(spark, sf, "lineitem").selectExpr(*_LINK_EXPRS).where("src <> dst and l_partkey % 40 < 3")
-    return parts, lines.drop("l_partkey")
+    after = _read(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber - 1 AS l_linenumber", "l_partkey AS next_partkey")
+    return parts, _read(spark, sf, "lineitem").join(after, ["l_orderkey", "l_linenumber"]).selectExpr(*_LINK_EXPRS).where(F.expr("src <> dst"))
 
 
 _FILE_PATH = (
@@ -59,21 +59,19 @@ _FILE_PATH = (
 )
 _FILE_EXPRS = ["'f' || CAST(p_partkey AS STRING) AS id", f"{_FILE_PATH} || '' AS label", "'file' AS kind", f"{_FILE_PATH} AS file"]
 _LINK_EXPRS = [
-    "'f' || CAST(l_partkey AS STRING) AS src", "'f' || CAST((l_partkey * 7 + l_suppkey) % 200 + 1 AS STRING) AS dst", "CASE WHEN l_linenumber = 3 THEN 'calls' ELSE 'depends_on' END AS relation",
-    "CASE WHEN l_returnflag = 'N' THEN 'static_import' ELSE 'calls' END AS projected_from", "l_orderkey * 10 + l_linenumber AS ord", "l_partkey",
+    "'f' || CAST(l_partkey AS STRING) AS src", "'f' || CAST(next_partkey AS STRING) AS dst", "CASE WHEN l_linenumber = 3 THEN 'calls' ELSE 'depends_on' END AS relation",
+    "CASE WHEN l_returnflag = 'N' THEN 'static_import' ELSE 'calls' END AS projected_from", "l_orderkey * 10 + l_linenumber AS ord",
 ]
 
 
 def q4(spark, sf):
     nodes, edges = _files(spark, sf)
-    subjects = nodes.select(F.col("id").alias("subject")).where("cast(substr(subject, 2) as int) <= 120")
-    return V.file_dependencies(nodes, edges, subjects, 5)
+    return V.file_dependencies(nodes, edges, nodes.select(F.col("id").alias("subject")), 5)
 
 
 def q4_reverse(spark, sf):
     nodes, edges = _files(spark, sf)
-    subjects = nodes.select(F.col("id").alias("subject")).where("cast(substr(subject, 2) as int) <= 200")
-    return V.file_dependencies(nodes, edges, subjects, 5, reverse=True)
+    return V.file_dependencies(nodes, edges, nodes.select(F.col("id").alias("subject")), 5, reverse=True)
 
 
 def q5(spark, sf):
@@ -164,20 +162,22 @@ def r8(spark, sf):
 
 
 def _facts(spark, sf):
-    e = _read(spark, sf, "lineitem").where("l_linenumber <= 2 and l_orderkey % 5 = 0")
+    e = _read(spark, sf, "lineitem")
     prov = lambda s, d, c, a: F.struct(F.lit(s).alias("source"), F.lit(d).alias("driver"), F.lit(c).alias("confidence"), F.lit(a).alias("artifact"))
     one, two = prov("scip", "go", "declared", " index.scip "), prov("", "ts", "", "")
     lists = F.when(F.col("l_returnflag") == "A", F.array(two, one)).when(F.col("l_returnflag") == "R", F.array(one, two)).otherwise(F.array().cast("array<struct<source:string,driver:string,confidence:string,artifact:string>>"))
     return e.select(
         F.concat(F.lit("catalog:part:"), F.col("l_partkey").cast("string")).alias("from_id"),
-        F.when(F.col("l_linenumber") == 1, F.concat(F.lit("fresh:sym/"), (F.col("l_suppkey") % 50).cast("string"))).otherwise("").alias("to_id"),
+        F.when(F.col("l_linenumber") == 1, F.concat(F.lit("fresh:sym/"), F.col("l_suppkey").cast("string"))).otherwise("").alias("to_id"),
         F.lit("calls").alias("kind"), lists.alias("provenance"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"),
     ).groupBy("from_id", "to_id", "kind", "ord").agg(F.first("provenance").alias("provenance"))
 
 
 def r4(spark, sf):
     merged = G.merge_facts(supply(spark, sf), _facts(spark, sf).groupBy("from_id", "to_id", "kind").agg(F.min("ord").alias("ord"), F.min_by("provenance", F.struct("ord", F.to_json("provenance"))).alias("provenance")))
-    return merged.nodes.where("part = 1").select("id", "label", "kind")
+    none = [F.lit(None).cast("string").alias(c) for c in ("evidence_type", "evidence_confidence", "evidence_artifact")]
+    nodes = merged.nodes.select(F.lit("node").alias("what"), "id", "label", "kind", *none)
+    return nodes.unionByName(merged.edges.select(F.lit("edge").alias("what"), F.col("src").alias("id"), F.col("dst").alias("label"), F.col("relation").alias("kind"), "evidence_type", "evidence_confidence", "evidence_artifact"))
 
 
 def r6(spark, sf):
@@ -195,15 +195,20 @@ def r20(spark, sf):
 # --- manifests
 
 
+def _contents(spark, sf):
+    return _read(spark, sf, "documents").select(F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit("."), "lang")).alias("path"), F.coalesce("text", F.lit("")).alias("content"), "doc_id")
+
+
 def _manifests(spark, sf):
-    d = _read(spark, sf, "documents").select(F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit("."), "lang")).alias("path"), F.coalesce("text", F.lit("")).alias("content"), "doc_id")
+    """Two versions of a repository, so that there is something new, changed and deleted."""
+    d = _contents(spark, sf)
     saved = manifest.manifest(d.where("doc_id % 10 <> 2"))
     current = manifest.manifest(d.where("doc_id % 10 <> 0").withColumn("content", F.when(F.col("doc_id") % 10 == 1, F.concat("content", F.lit("!"))).otherwise(F.col("content"))))
     return saved, current
 
 
 def s9(spark, sf):
-    return _manifests(spark, sf)[0]
+    return manifest.manifest(_contents(spark, sf))
 
 
 def r10(spark, sf):
@@ -239,8 +244,8 @@ def s18(spark, sf):
 
 def f1(spark, sf):
     d = _read(spark, sf, "documents")
-    name = F.substring(F.coalesce("text", F.lit("")), 1, 300)
-    return d.select("doc_id", T.safe_file_name(F.substring(name, 1, 60)).alias("file_name"), T.slug(F.substring(name, 1, 60)).alias("slug"), T.tag(F.col("source")).alias("tag"), T.export_label(F.col("lang")).alias("label"), T.export_relation(F.lit("calls")).alias("relation"), T.language_of(F.concat(F.lit("x/y."), "lang")).alias("language"), T.is_code_file(F.lit("a/B.TSX")).alias("code"))
+    name = F.coalesce("text", F.lit(""))
+    return d.select("doc_id", T.safe_file_name(name).alias("file_name"), T.slug(name).alias("slug"), T.tag(F.col("source")).alias("tag"), T.export_label(F.col("lang")).alias("label"), T.export_relation(F.lit("calls")).alias("relation"), T.language_of(F.concat(F.lit("x/y."), "lang")).alias("language"), T.is_code_file(F.lit("a/B.TSX")).alias("code"))
 
 
 def b5(spark, sf):
@@ -309,7 +314,7 @@ QUERIES = {
     "W4_select_repos": w4, "W2_materialize": w2, "B2_B4_bindings": b2, "X21_references": x21, "P1_P4_ignored": p1, "T1_debounce": t1,
 }
 
-_F = f"files AS (SELECT {', '.join(_FILE_EXPRS)} FROM part), links AS (SELECT * FROM (SELECT {', '.join(_LINK_EXPRS)} FROM lineitem) WHERE src <> dst AND l_partkey % 40 < 3)"
+_F = f"files AS (SELECT {', '.join(_FILE_EXPRS)} FROM part), links AS (SELECT * FROM (SELECT {', '.join(_LINK_EXPRS)} FROM lineitem JOIN (SELECT l_orderkey, l_linenumber - 1 AS l_linenumber, l_partkey AS next_partkey FROM lineitem) USING (l_orderkey, l_linenumber)) WHERE src <> dst)"
 
 
 def _file_score(p: str, static: str) -> str:
@@ -321,11 +326,11 @@ def _file_score(p: str, static: str) -> str:
     return "(" + " + ".join(parts) + ")"
 
 
-def _q4(subjects: str, reverse: bool) -> str:
+def _q4(reverse: bool) -> str:
     s, d = ("dst", "src") if reverse else ("src", "dst")
     outside = "b.root <> '' AND NOT starts_with(lower(f.file), b.root)" if reverse else "false"
     return f"""WITH {_F},
-    first AS (SELECT {s} AS s, {d} AS d, arg_min(struct_pack(r := relation, p := projected_from), struct_pack(o := ord, r := relation, p := projected_from)) AS x FROM links WHERE {s} IN (SELECT id FROM files WHERE {subjects}) GROUP BY 1, 2),
+    first AS (SELECT {s} AS s, {d} AS d, arg_min(struct_pack(r := relation, p := projected_from), struct_pack(o := ord, r := relation, p := projected_from)) AS x FROM links WHERE {s} IN (SELECT id FROM files) GROUP BY 1, 2),
     barrels AS (SELECT id, CASE WHEN regexp_matches(lower(file), '^packages/.+/src/index\\.(ts|tsx|js|jsx)$') THEN regexp_extract(lower(file), '^(packages/.+)/src/index\\.', 1) || '/' ELSE '' END AS root FROM files),
     c AS (SELECT s, d, f.label, x.r AS relation, x.p IN ('static_import', 'workspace_package') AS static, lower(f.file) AS p, {outside} AS outside FROM first JOIN files f ON d = f.id JOIN barrels b ON s = b.id),
     c1 AS (SELECT * FROM c QUALIFY static OR NOT bool_or(static) OVER (PARTITION BY s)),
@@ -385,8 +390,8 @@ SQL = {
         seen AS (SELECT 1 AS lev, k, id, 'includes' AS relation FROM l1 UNION ALL SELECT 2, row_number() OVER (ORDER BY o, id), id, 'places' FROM second)
         SELECT row_number() OVER (ORDER BY lev, k)::INT AS position, id, relation FROM seen ORDER BY lev, k LIMIT 20""",
     "Q2_dependencies": f"""WITH {TRADE} SELECT row_number() OVER (ORDER BY min(ord), dst)::INT AS position, dst AS id, arg_min(relation, ord) AS relation FROM edges WHERE src = 'nation:NATION_8' GROUP BY dst ORDER BY min(ord), dst LIMIT 20""",
-    "Q4_file_dependencies": _q4("CAST(substr(id, 2) AS INT) <= 120", False),
-    "Q4_Q6_file_callers": _q4("CAST(substr(id, 2) AS INT) <= 200", True),
+    "Q4_file_dependencies": _q4(False),
+    "Q4_Q6_file_callers": _q4(True),
     "Q5_Q12_file_scores": f"""WITH {_F}, p AS (SELECT id, lower(trim(file)) AS p FROM files) SELECT id, {_file_score('p', 'true')}::INT AS score,
         CASE WHEN regexp_matches(p, '^packages/.+/src/index\\.(ts|tsx|js|jsx)$') THEN regexp_extract(p, '^(packages/.+)/src/index\\.', 1) || '/' ELSE '' END AS barrel,
         CASE WHEN starts_with(p, 'packages/') AND len(string_split(p, '/')) >= 3 THEN array_to_string(string_split(p, '/')[1:3], '/') || '/' WHEN starts_with(p, 'internal/') OR starts_with(p, 'cmd/') THEN array_to_string(string_split(p, '/')[1:2], '/') || '/'
@@ -417,13 +422,15 @@ SQL = {
     "I13_ids": "SELECT p_partkey, 'shop:file:' || p_type AS file_id, 'shop:' || p_type || ':' || p_name AS symbol_id, 'workspace:package:' || lower(p_brand) AS package_id, p_name AS label FROM part",
     "R8_R9_evidence_weight": f"""WITH x AS (SELECT CASE WHEN l_returnflag = 'A' THEN 'declared' WHEN l_returnflag = 'R' THEN 'inferred' WHEN l_linestatus = 'O' THEN 'extracted' ELSE 'ambiguous' END AS conf,
         list_extract(['current', 'redirected', 'ambiguous', 'stale', ''], l_linenumber % 5 + 1) AS ver, l_discount AS score FROM lineitem) SELECT round(CAST({_WEIGHT} AS DOUBLE), 6) AS weight, count(*) AS n FROM x GROUP BY 1""",
-    "R4_R5_merge_facts": f"""WITH {SUPPLY}, f AS (SELECT 'fresh:sym/' || CAST(l_suppkey % 50 AS VARCHAR) AS t FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 5 = 0)
-        SELECT DISTINCT t AS id, regexp_extract(t, '([^:]+)$', 1) AS label, 'symbol' AS kind FROM f WHERE t NOT IN (SELECT id FROM nodes)""",
+    "R4_R5_merge_facts": f"""WITH {SUPPLY}, f AS (SELECT 'catalog:part:' || CAST(l_partkey AS VARCHAR) AS s, 'fresh:sym/' || CAST(l_suppkey AS VARCHAR) AS t, arg_min(l_returnflag, l_orderkey * 10 + l_linenumber) AS r FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2)
+        SELECT 'node' AS what, id, label, kind, NULL::VARCHAR AS evidence_type, NULL::VARCHAR AS evidence_confidence, NULL::VARCHAR AS evidence_artifact FROM nodes
+        UNION ALL SELECT DISTINCT 'node', t, regexp_extract(t, '([^:]+)$', 1), 'symbol', NULL, NULL, NULL FROM f UNION ALL SELECT 'edge', src, dst, relation, NULL, NULL, NULL FROM edges
+        UNION ALL SELECT 'edge', s, t, 'calls', CASE r WHEN 'A' THEN 'scip' WHEN 'R' THEN 'ts' ELSE 'semantic' END, CASE r WHEN 'A' THEN 'declared' ELSE 'extracted' END, CASE r WHEN 'A' THEN 'index.scip' ELSE '' END FROM f""",
     "R6_R7_merge_contract": f"""WITH {SUPPLY}, u AS (SELECT src, dst, relation, 'DECLARED' AS confidence, score, 0 AS part, ord + 1 AS ord FROM edges WHERE relation = 'supplies' AND ord % 3 = 0 UNION ALL SELECT src, dst, relation, confidence, score, 1, ord FROM edges),
         w AS (SELECT *, CASE lower(coalesce(confidence, '')) WHEN 'declared' THEN 4.0 WHEN 'extracted' THEN 3.0 WHEN 'inferred' THEN 2.0 ELSE 0 END::DOUBLE + CASE WHEN score > 0 THEN score / 100.0 ELSE 0 END AS w FROM u)
         SELECT src, dst, relation, confidence, round(score, 6) AS score FROM w QUALIFY row_number() OVER (PARTITION BY src, dst, relation ORDER BY w DESC, score DESC, part, ord, confidence) = 1""",
     "R20_fact_keys": "SELECT event_id, 'shop|' || lower(event_type) || '|calls|' || CAST(user_id AS VARCHAR) || '|' AS key FROM events",
-    "S9_S10_manifest": f"WITH d AS ({_DOCS}), x AS (SELECT *, lower(regexp_extract(path, '\\.([^./]*)$', 1)) AS e FROM d WHERE doc_id % 10 <> 2) SELECT path, sha256(content) AS sha256, octet_length(encode(content))::BIGINT AS size, {_LANGUAGE} AS language, 'active' AS status FROM x",
+    "S9_S10_manifest": f"WITH d AS ({_DOCS}), x AS (SELECT *, lower(regexp_extract(path, '\\.([^./]*)$', 1)) AS e FROM d) SELECT path, sha256(content) AS sha256, octet_length(encode(content))::BIGINT AS size, {_LANGUAGE} AS language, 'active' AS status FROM x",
     "R10_manifest_diff": f"WITH {_DIFF} SELECT path, status FROM x",
     "R11_reuse_mode": f"""WITH {_DIFF} SELECT CASE WHEN count(*) FILTER (status IN ('new', 'changed')) > 0 THEN 'none' WHEN count(*) FILTER (status = 'deleted') > 0 THEN 'deleted_only' ELSE 'unchanged' END AS mode, count(*) FILTER (status = 'new') AS n_new,
         count(*) FILTER (status = 'changed') AS n_changed, count(*) FILTER (status = 'unchanged') AS n_unchanged, count(*) FILTER (status = 'deleted') AS n_deleted FROM x""",
@@ -433,7 +440,7 @@ SQL = {
         SELECT * FROM u WHERE c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 11 = 0)""",
     "S18_stacks": """WITH f AS (SELECT DISTINCT 'repo' || CAST(o_custkey % 300 AS VARCHAR) AS d, list_extract(['package.json', 'go.mod', 'Cargo.toml', 'pom.xml', 'setup.py', 'notes.md', 'requirements.txt'], CAST(o_orderkey % 7 + 1 AS INT)) AS b FROM orders),
         p(b, pr, stack) AS (VALUES ('package.json', 0, 'node'), ('go.mod', 1, 'go'), ('Cargo.toml', 2, 'rust'), ('pom.xml', 3, 'java'), ('setup.py', 7, 'python'), ('requirements.txt', 8, 'python')) SELECT d AS directory, arg_min(stack, pr) AS stack FROM f JOIN p USING (b) GROUP BY d""",
-    "F1_F10_names": """WITH d AS (SELECT doc_id, substr(coalesce(text, ''), 1, 60) AS t, source, lang FROM documents) SELECT doc_id, CASE WHEN t = '' THEN '_unnamed' ELSE translate(t, '/\\:*?"<>|', '_________') END AS file_name,
+    "F1_F10_names": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, source, lang FROM documents) SELECT doc_id, CASE WHEN t = '' THEN '_unnamed' ELSE translate(t, '/\\:*?"<>|', '_________') END AS file_name,
         regexp_replace(regexp_replace(lower(trim(t)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, lower(replace(replace(trim(source), ' ', '-'), '/', '-')) AS tag, 'Node' AS label, 'CALLS' AS relation, lang AS language, true AS code FROM d""",
     "B5_shared_suffix": """WITH p AS (SELECT page_id, list_transform(string_split(lower(trim(url)), '/'), lambda x: x) AS a FROM pages) SELECT page_id, CASE WHEN len(a) >= 2 THEN 2 ELSE 1 END::INT AS score, CASE WHEN a[-1] = 'b' THEN 1 ELSE 0 END::INT AS none FROM p""",
     "W4_select_repos": f"""WITH {_TERMS}, t(tok) AS (VALUES ('an'), ('nation_1'), ('brand#1')) SELECT repo, sum(CASE term_kind WHEN 'name' THEN 3.0 WHEN 'service' THEN 2.5 WHEN 'domain' THEN 1.5 ELSE 1.0 END)::DOUBLE AS score
