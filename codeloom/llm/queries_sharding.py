@@ -9,6 +9,7 @@ from .sharding import LAW, record_size, shuffled
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot under the law ``rows``; null texts have size 1 and the checksum of nothing. Repeated rows have slots of their own."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return shuffled(docs, shards=8).select(
         "doc_id",

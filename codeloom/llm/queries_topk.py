@@ -9,6 +9,7 @@ from .topk import top_k
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query's 20 best vectors; vectors that are null or not finite take no part, ties go to the smaller vec_id. An empty table gives none."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
 

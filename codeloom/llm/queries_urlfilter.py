@@ -10,6 +10,7 @@ RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 
 
 def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url; a null url has neither host nor path and is allowed. Repeated pages give a row each."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return judged(pages, rules).select("page_id", "host", "path", "rule", "verdict")

@@ -1,26 +1,28 @@
 """Two-pass external shuffle into shards.
 
-Pass one scatters whole records into buckets that fit memory, by a seeded hash of the record's id and place. Pass two
-brings each bucket into a canonical order, shuffles it by Fisher-Yates with a seed of its own, and writes it. A record's
-rank is its place in its bucket after the records of the buckets before; shards take ranks in turn, so that their row counts
-differ by one at most.
+Pass one scatters whole records into buckets that fit memory, by a seeded hash of the record's id and text. Pass two brings
+each bucket into a canonical order, shuffles it by Fisher-Yates with a seed of its own, and writes it. A record's rank is its
+place in its bucket after the records of the buckets before; shards take ranks in turn, so that their row counts differ by
+one at most. How many records lie before a bucket travels to it as a row of its own.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .scratch import written
+from . import textbuf as tb
+from .scratch import narrow_batches
 
 LAW = "rows"
 
-#: Tasks of the second pass at most, and the number of buckets up to which their offsets are broadcast (some 2 MB).
-MOST_TASKS, MOST_SENT = 100_000, 100_000
+#: Buckets whose counts are added up by one task.
+BLOCK = 4096
 
 
 def record_size(text: str = "text"):
@@ -28,39 +30,58 @@ def record_size(text: str = "text"):
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
+def _before(counts: DataFrame) -> DataFrame:
+    """(bucket, before): the records of all buckets of lower number; by blocks, so that one task sees a row for each block only."""
+    block = counts.withColumn("block", F.floor(F.col("bucket") / BLOCK))
+    sums = block.groupBy("block").agg(F.sum("n").alias("sum"))
+    offset = F.coalesce(F.sum("sum").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = F.coalesce(F.sum("n").over(Window.partitionBy("block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return block.withColumn("inner", inner).join(sums.select("block", offset.alias("offset")), "block").select("bucket", (F.col("inner") + F.col("offset")).alias("before"))
+
+
 def shuffled(docs: DataFrame, shards: int = 8, seed: int = 7, text: str = "text", doc_id: str = "doc_id", bucket_bytes: int = 24 << 20) -> DataFrame:
     """Every row of ``docs`` with all its columns, shard (0 to ``shards`` - 1) and slot (gapless from 0 in each shard).
 
-    The same rows in the same files with the same seed give the same result. Columns of ``docs`` named shard or
-    slot are replaced. Repeated rows and null ids or texts are
-    records like any other; equal ids do not meet in one bucket, as the place of a record is hashed with its id.
-    ``docs`` must be read from files or a written table, so that a lost task finds the same places again.
+    The same rows with the same seed, shards and bucket size give the same result, however they lie in files and partitions:
+    places follow from contents, and rows that differ in nothing can stand for each other. Null ids and texts are hashed like
+    any other. Rows that share both id and text share a bucket; copies of a text under different ids do not. Columns of
+    ``docs`` named shard or slot are replaced. An empty table gives none. A bucket is a task of its own: at 100 TB, buckets of
+    1 GB make 100,000 of them.
     """
+    narrow_batches(docs.sparkSession)
+    names = [c for c in docs.columns if c not in ("shard", "slot")]
     total = docs.agg(F.sum(record_size(text))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    mark = F.xxhash64(F.lit(seed), F.col(doc_id), F.monotonically_increasing_id())
-    source = docs.withColumn("__mark", mark).withColumn("__bucket", F.pmod(F.col("__mark"), F.lit(buckets)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __bucket long, __place long"
-
-    def fisher_yates(table: pa.Table) -> pa.Table:
-        bucket = table.column("__bucket")[0].as_py()
-        order = np.argsort(table.column("__mark").to_numpy(), kind="stable")
-        order = np.random.default_rng([seed, bucket]).permutation(order)
-        out = table.drop_columns(["__mark"]).take(pa.array(order))
-        return out.append_column("__place", pa.array(np.arange(len(order))))
-
-    dealt = source.repartition(int(min(buckets, MOST_TASKS)), "__bucket")
-    done = written(dealt.groupBy("__bucket").applyInArrow(fisher_yates, schema), "buckets")
-    # one number for each bucket of bucket_bytes
-    counts = {r[0]: r[1] for r in done.groupBy("__bucket").count().collect()}
-    before = list(accumulate([counts.get(b, 0) for b in range(buckets)], initial=0))
-    offsets = docs.sparkSession.createDataFrame([(b, before[b]) for b in range(buckets)], "__bucket long, __before long")
-    rank = F.col("__before") + F.col("__place")
-    # 16 bytes a bucket: sent to every task only up to a bound, so that the records need not move again
-    ranked = done.join(F.broadcast(offsets) if buckets <= MOST_SENT else offsets, "__bucket")
-    return ranked.select(*[c for c in docs.columns if c not in ("shard", "slot")], (rank % shards).cast("int").alias("shard"), F.floor(rank / shards).cast("long").alias("slot"))
+    plain = [f.name for f in docs.schema if f.name in names and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    mark = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
+    source = docs.select(F.struct(*names).alias("record"), mark.alias("mark"), F.xxhash64(F.lit(seed), *plain).alias("tie"), F.pmod(mark, F.lit(buckets)).cast("int").alias("bucket"))
+    none = F.lit(None)
+    heads = _before(source.groupBy("bucket").agg(F.count("*").alias("n"))).select(none.cast(source.schema["record"].dataType).alias("record"), none.cast("long").alias("mark"), none.cast("long").alias("tie"), "bucket", "before")
+    dealt = source.withColumn("before", none.cast("long")).unionByName(heads).repartitionById(int(buckets), F.col("bucket"))
+
+    def fisher_yates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        before = next(x for x in table.column("before").to_pylist() if x is not None)
+        own = np.flatnonzero(~table.column("before").is_valid().to_numpy())
+        mark, tie = (table.column(c).to_numpy()[own].astype(np.int64) if table.column(c).null_count == 0 else table.column(c).fill_null(0).to_numpy()[own] for c in ("mark", "tie"))
+        order = own[np.lexsort((tie, mark))]
+        order = np.random.default_rng([seed, table.column("bucket")[0].as_py()]).permutation(order)
+        records, rank = table.column("record"), before + np.arange(len(order))
+        for s in range(0, len(order), 2048):
+            part = records.take(pa.array(order[s : s + 2048])).combine_chunks()
+            r = rank[s : s + 2048]
+            yield pa.record_batch([part, pa.array((r % shards).astype(np.int32)), pa.array(r // shards)], names=["record", "shard", "slot"])
+
+    schema = T.StructType([source.schema["record"], T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    return dealt.mapInArrow(tb.returning(fisher_yates), schema).select("record.*", "shard", "slot")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 7, text: str = "text") -> None:
-    """The shards as Parquet under ``path``, a folder shard=N for each, with slot in every record."""
-    shuffled(docs, shards, seed, text).write.partitionBy("shard").parquet(path)
+    """The shards as Parquet under ``path``, a folder shard=N for each, with slot in every record.
+
+    A shard's records lie in order of their slots: a file of each bucket, in the order of file names, each in order inside.
+    """
+    shuffled(docs, shards, seed, text).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

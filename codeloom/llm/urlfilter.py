@@ -43,6 +43,7 @@ def prepared(rules: DataFrame) -> DataFrame:
         full.alias("__r_full"),
         F.concat("host", "path").alias("__r_rule"),
         (F.length("host") + F.length("path")).alias("__r_size"),
+        F.col("host").alias("__r_host"),
         F.length("host").alias("__r_host_size"),
         F.col("verdict").alias("__r_verdict"),
     )
@@ -53,30 +54,25 @@ def judged(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "
 
     A rule fits its host and all subdomains if the url's path starts with the rule's; the longest wins, the one with the
     longer host among equals. Without a rule: null and ``default``. Null urls have empty host and path. Columns of ``urls``
-    of the same names are replaced. Rows may repeat; each is judged on its own. Two numbers a rule can have are read first:
-    the lengths of paths and the numbers of labels, each a set bounded by the longest rule.
+    of the same names are replaced; other columns are never moved with the expansion. Rows may repeat; each is judged on its
+    own, and an empty table or no rules at all are fine. Two numbers a rule can have are read first: the lengths of paths and
+    the numbers of labels, each a set bounded by the longest rule. Each distinct host and path is expanded once.
     """
     sizes = rules.where("host is not null and path is not null and verdict is not null").agg(F.collect_set(F.length("path")).alias("paths"), F.collect_set(F.size(F.split("host", r"\."))).alias("labels")).first()
     keep = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
-    rows = urls.withColumns({"__host": host_of(F.col(url)), "__path": path_of(F.col(url)), "__row": F.monotonically_increasing_id()})
+    rows = urls.select(*keep, host_of(F.col(url)).alias("__host"), path_of(F.col(url)).alias("__path"))
+    named = [*keep, F.col("__host").alias("host"), F.col("__path").alias("path")]
     if not sizes.labels:
-        none = F.lit(None).cast("string")
-        return rows.select(*keep, F.col("__host").alias("host"), F.col("__path").alias("path"), none.alias("rule"), F.lit(default).alias("verdict"))
+        return rows.select(*named, F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     most = max(sizes.labels)
     tail = F.slice(F.reverse(F.split(F.substring_index("__host", ".", -most), r"\.")), 1, most)
     suffixes = F.array(*[F.when(F.size("__tail") >= n, F.array_join(F.reverse(F.slice("__tail", 1, n)), ".")) for n in sorted(sizes.labels)])
     prefixes = F.array(*[F.when(F.length("__path") >= n, F.substring("__path", 1, n)) for n in sorted(sizes.paths)])
-    pairs = F.flatten(F.transform(F.array_compact(suffixes), lambda h: F.transform(F.array_compact(prefixes), lambda p: _digest(h, p))))
-    # one more expression that no rule has keeps the urls without a rule
-    wide = rows.withColumn("__tail", tail).withColumn("__full", F.explode(F.concat(F.array(F.lit("")), pairs))).drop("__tail")
-    known = prepared(rules)
-    met = wide.join(known, (F.substring("__full", 1, 8) == F.col("__r_short")) & (F.col("__full") == F.col("__r_full")), "left")
-    best = F.max_by(F.struct(F.col("__r_rule").alias("rule"), F.col("__r_verdict").alias("said")), F.struct(F.coalesce("__r_size", F.lit(-1)), F.coalesce("__r_host_size", F.lit(-1)))).alias("__best")
-    found = met.groupBy("__row").agg(*[F.first(c).alias(c) for c in ["__host", "__path", *keep]], best)
-    return found.select(
-        *keep,
-        F.col("__host").alias("host"),
-        F.col("__path").alias("path"),
-        F.col("__best.rule").alias("rule"),
-        F.coalesce(F.col("__best.said"), F.lit(default)).alias("verdict"),
-    )
+    each = lambda h: F.transform(F.array_compact(prefixes), lambda p: F.struct(h.alias("host"), _digest(h, p).alias("full")))
+    parts = urls.select(host_of(F.col(url)).alias("__host"), path_of(F.col(url)).alias("__path")).where("__host <> ''").distinct().withColumn("__tail", tail)
+    wide = parts.select("__host", "__path", F.explode(F.flatten(F.transform(F.array_compact(suffixes), each))).alias("__e"))
+    # the short prefix brings rules and expressions together; digest and host say whether they are the same
+    met = wide.join(prepared(rules), F.substring("__e.full", 1, 8) == F.col("__r_short")).where((F.col("__e.full") == F.col("__r_full")) & (F.col("__e.host") == F.col("__r_host")))
+    best = F.max_by(F.struct(F.col("__r_rule").alias("rule"), F.col("__r_verdict").alias("said")), F.struct("__r_size", "__r_host_size")).alias("__best")
+    found = rows.join(met.groupBy("__host", "__path").agg(best), ["__host", "__path"], "left")
+    return found.select(*named, F.col("__best.rule").alias("rule"), F.coalesce(F.col("__best.said"), F.lit(default)).alias("verdict"))
