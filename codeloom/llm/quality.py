@@ -1,8 +1,8 @@
 """Quality classifier: a regularised quadratic discriminant over transformed document statistics.
 
-Each class has a mean and a covariance shrunk towards the pooled one and towards its own mean variance. A document's score
-is the logistic of the difference of the classes' log densities, each from a Mahalanobis distance by the inverse of a
-Cholesky factor that is computed once.
+Each class has a mean and a covariance shrunk towards the pooled one and towards its own mean variance; how far is chosen on
+folds of the training rows. A document's score is the logistic of the difference of the classes' log densities, each from a
+Mahalanobis distance by the inverse of a Cholesky factor that is computed once.
 """
 
 from __future__ import annotations
@@ -36,26 +36,20 @@ FEATURES = (
 )
 
 
-#: Bytes and words of plain prose that each row is taken to hold besides its own, so that the shares of a short text stay near those of prose.
+#: Bytes and words that each row is taken to hold besides its own, in the shares that are usual, so that the shares of a short text stay near those.
 PRIOR_BYTES, PRIOR_WORDS = 100, 16
 
+#: Shrinkage towards the pooled covariance and towards the sphere, of which the folds choose, and the number of folds.
+TO_POOLED, TO_SPHERE, FOLDS = (0.02, 0.1, 0.3), (0.005, 0.02, 0.1), 4
 
-def statistics(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The transformed statistics of each row: logs of sizes, square roots of shares. All are finite, for empty rows too."""
-    per = np.diff(at) + PRIOR_BYTES
-    w = tb.words(raw, at, tb.NOT_SPACE)
-    count = np.diff(w.row_at)
-    many = count + PRIOR_WORDS
-    size = w.end - w.start
-
-    def share(flags: np.ndarray, usual: float) -> np.ndarray:
-        return np.sqrt((tb.row_sums(flags, at) + usual * PRIOR_BYTES) / per)
+#: Counted in each row: bytes, words, then sums over words or bytes.
+N_COUNTS = 16
 
-    def word_share(flags: np.ndarray, usual: float) -> np.ndarray:
-        return np.sqrt((tb.row_sums(flags, w.row_at) + usual * PRIOR_WORDS) / many)
 
-    mean = (tb.row_sums(size, w.row_at) + 5.5 * PRIOR_WORDS) / many
-    spread = np.sqrt(np.maximum((tb.row_sums(size * size, w.row_at) + 42.0 * PRIOR_WORDS) / many - mean**2, 0))
+def counted(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Counts of each row, N_COUNTS wide; zeros for an empty one."""
+    w = tb.words(raw, at, tb.NOT_SPACE)
+    count, size = np.diff(w.row_at), w.end - w.start
     h = tb.hashes(tb.lower(raw), w.start, w.end)
     row = np.repeat(np.arange(len(count)), count)
     order = np.lexsort((h, row))
@@ -63,25 +57,37 @@ def statistics(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     if len(h):
         again[1:] = (h[order][1:] == h[order][:-1]) & (row[order][1:] == row[order][:-1])
     capital = _UPPER[raw[w.start]] & ((size < 2) | _UPPER[raw[np.minimum(w.start + 1, max(len(raw) - 1, 0))]]) if len(size) else np.zeros(0, bool)
-    columns = [
-        np.log1p(mean), np.log1p(spread), share(_UPPER[raw], 0.02), share(_DIGIT[raw], 0.002), share(_STOP[raw], 0.025),
-        share(raw == 33, 0.0), share(_MARK[raw], 0.001), share(raw == 124, 0.0), share(raw == 10, 0.005), word_share(size > 20, 0.01),
-        word_share(size <= 3, 0.3), word_share(capital, 0.0), word_share(again, 0.2), share(raw >= 128, 0.03),
-    ]
-    return np.stack(columns, axis=1)
+    of_bytes = [_UPPER[raw], _DIGIT[raw], _STOP[raw], raw == 33, _MARK[raw], raw == 124, raw == 10, raw >= 128]
+    of_words = [size, size * size, size > 20, size <= 3, capital, again]
+    return np.stack([np.diff(at), count, *(tb.row_sums(x, at) for x in of_bytes), *(tb.row_sums(x, w.row_at) for x in of_words)], axis=1).astype(np.float64)
+
+
+def transformed(c: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    """Statistics from counts: logs of sizes, square roots of shares, each with its share of the prior. All are finite.
+
+    ``usual``: counts of the text whose shares the prior has.
+    """
+    per_byte, per_word = usual[2:10] / max(usual[0], 1.0), usual[10:] / max(usual[1], 1.0)
+    of_bytes = (c[:, 2:10] + per_byte * PRIOR_BYTES) / (c[:, :1] + PRIOR_BYTES)
+    of_words = (c[:, 10:] + per_word * PRIOR_WORDS) / (c[:, 1:2] + PRIOR_WORDS)
+    mean = of_words[:, 0]
+    spread = np.sqrt(np.maximum(of_words[:, 1] - mean**2, 0))
+    upper, digits, stops, exclamations, marks, bars, lines, non_ascii = np.sqrt(of_bytes).T
+    long, short, capital, again = np.sqrt(of_words[:, 2:]).T
+    return np.stack([np.log1p(mean), np.log1p(spread), upper, digits, stops, exclamations, marks, bars, lines, long, short, capital, again, non_ascii], axis=1)
 
 
-def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, x) for every row; whole texts."""
+def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, c) for every row; whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in tb.pieces(batch, "t"):
-                x = statistics(*tb.buffers(b.column("t")))
-                values = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
-                yield pa.record_batch([b.column("doc_id"), values], names=["doc_id", "x"])
+                c = counted(*tb.buffers(b.column("t")))
+                values = pa.ListArray.from_arrays(pa.array(np.arange(0, c.size + 1, c.shape[1], dtype=np.int32)), pa.array(c.ravel()))
+                yield pa.record_batch([b.column("doc_id"), values], names=["doc_id", "c"])
 
-    return docs.select("doc_id", F.col(text).alias("t")).mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select("doc_id", F.col(text).alias("t")).mapInArrow(tb.returning(run), "doc_id long, c array<double>")
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -131,46 +137,79 @@ class Discriminant:
         return 1 / (1 + np.exp(-gap))
 
 
-def fit(labelled: DataFrame, to_pooled: float = 0.1, to_sphere: float = 0.02) -> Discriminant:
-    """From ``labelled(label int, x)``: moments summed over all its rows; labels other than 0 and 1 teach nothing."""
+def _moments(labelled: DataFrame, usual: np.ndarray) -> np.ndarray:
+    """Count, sums and sums of products of the statistics of ``labelled(fold, label, c)``, FOLDS x 2 of them."""
     d = len(FEATURES)
+    width = 1 + d + d * d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, 1 + d + d * d))
+        sums = np.zeros((2 * FOLDS, width))
         for b in batches:
-            x, y = _matrix(b.column("x"), d), b.column("label").to_numpy(zero_copy_only=False)
-            for k in (0, 1):
-                own = x[y == k]
+            x = transformed(_matrix(b.column("c"), N_COUNTS), usual)
+            part = 2 * b.column("fold").to_numpy() + b.column("label").to_numpy()
+            for k in np.unique(part):
+                own = x[part == k]
                 sums[k] += np.r_[len(own), own.sum(axis=0), (own.T @ own).ravel()]
-        width = sums.shape[1]
-        yield pa.record_batch([pa.array(np.arange(2 * width, dtype=np.int32)), pa.array(sums.ravel())], names=["k", "v"])
-
-    rows = labelled.where("label in (0, 1)").select("label", "x").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-    sums = np.zeros(2 * (1 + d + d * d))
-    for r in rows:
-        sums[r.k] = r.v
-    sums = sums.reshape(2, -1)
-    return Discriminant.of(sums[:, 0], sums[:, 1 : 1 + d], sums[:, 1 + d :].reshape(2, d, d), to_pooled, to_sphere)
+        yield pa.record_batch([pa.array(np.arange(sums.size, dtype=np.int32)), pa.array(sums.ravel())], names=["k", "v"])
 
+    out = np.zeros(2 * FOLDS * width)
+    for r in labelled.select("fold", "label", "c").mapInArrow(tb.returning(run), "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+        out[r.k] = r.v
+    return out.reshape(FOLDS, 2, width)
 
-def score(stats: DataFrame, model: Discriminant, temper: float = 1.0) -> DataFrame:
-    """(doc_id, score) from ``stats(doc_id, x)``."""
+
+def _model(sums: np.ndarray, to_pooled: float, to_sphere: float) -> Discriminant:
     d = len(FEATURES)
+    return Discriminant.of(sums[:, 0], sums[:, 1 : 1 + d], sums[:, 1 + d :].reshape(2, d, d), to_pooled, to_sphere)
+
+
+def fit(labelled: DataFrame) -> tuple[Discriminant, np.ndarray]:
+    """(model, usual counts) from ``labelled(doc_id, label, c)``, whose labels are 0 or 1: from all its rows.
+
+    The usual shares are those of all rows of label 1. Of each pair of shrinkages, models of all folds but one are asked for
+    the labels of that one; the pair of least mean log loss is taken, and the model made of all folds.
+    """
+    usual = np.zeros(N_COUNTS)
+    for r in labelled.where("label = 1").select(F.posexplode("c").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect():
+        usual[r.k] = r.v
+    sums = _moments(labelled, usual)
+    grid = [(p, s) for p in TO_POOLED for s in TO_SPHERE]
+    models = [[_model(sums.sum(axis=0) - sums[f], *g) for f in range(FOLDS)] for g in grid]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loss = np.zeros(len(grid))
+        for b in batches:
+            x, y, fold = transformed(_matrix(b.column("c"), N_COUNTS), usual), b.column("label").to_numpy(), b.column("fold").to_numpy()
+            for f in np.unique(fold):
+                own = fold == f
+                for k, m in enumerate(models):
+                    p = np.clip(m[f].score(x[own]), 1e-6, 1 - 1e-6)
+                    loss[k] -= np.log(np.where(y[own] == 1, p, 1 - p)).sum()
+        yield pa.record_batch([pa.array(np.arange(len(grid), dtype=np.int32)), pa.array(loss)], names=["k", "v"])
+
+    losses = {r.k: r.v for r in labelled.select("fold", "label", "c").mapInArrow(tb.returning(run), "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
+    best = min(range(len(grid)), key=lambda k: (losses.get(k, 0.0), k))
+    return _model(sums.sum(axis=0), *grid[best]), usual
+
+
+def score(counts: DataFrame, model: Discriminant, usual: np.ndarray, temper: float = 1.0) -> DataFrame:
+    """(doc_id, score) from ``counts(doc_id, c)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column("doc_id"), pa.array(model.score(_matrix(b.column("x"), d), temper))], names=["doc_id", "score"])
+            yield pa.record_batch([b.column("doc_id"), pa.array(model.score(transformed(_matrix(b.column("c"), N_COUNTS), usual), temper))], names=["doc_id", "score"])
 
-    return stats.mapInArrow(run, "doc_id long, score double")
+    return counts.mapInArrow(tb.returning(run), "doc_id long, score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, teaches, text: str = "text", label: str = "quality") -> DataFrame:
     """(doc_id, score) for every row of ``docs``, learned from the labels of the doc_ids that the condition ``teaches`` keeps.
 
-    Null and empty texts have the statistics of an empty text. Every label row of a document counts; null labels do not.
-    Without labels all scores are 0.5.
+    Null and empty texts have the counts of an empty text. Every label row of a document counts, once for each row that has
+    its doc_id; null labels and labels other than 0 and 1 do not. Without labels all scores are 0.5.
     """
     narrow_batches(docs.sparkSession)
-    stats = written(with_statistics(docs, text), "statistics")
-    rows = labels.where(teaches).select("doc_id", F.col(label).cast("int").alias("label"))
-    return score(stats, fit(rows.join(stats, "doc_id")))
+    counts = written(with_counts(docs, text), "counts")
+    rows = labels.where(teaches).select("doc_id", F.col(label).cast("int").alias("label")).where("label in (0, 1)")
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    return score(counts, *fit(written(rows.join(counts, "doc_id").select(fold, "label", "c"), "labelled")))

@@ -12,6 +12,7 @@ THRESHOLD = 0.3
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every whole text, 0 to 1; null and empty texts are scored too, repeated rows each. Nothing but the text is read of a scored row."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     found = quality_scores(docs, labels, ~held_out(5, 0))

@@ -208,6 +208,56 @@ def test_quality(spark, docs, none, rows):
     assert {r.score for r in quality.quality_scores(docs, labels.limit(0), F.lit(True)).collect()} == {0.5}
 
 
+def test_quality_held_out():
+    """At sf0.01, on labels that were not learned from; skipped where the tables are not."""
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    from pyspark.sql import SparkSession
+
+    from codeloom.llm.queries_quality import op2_quality
+
+    spark = SparkSession.getActiveSession()
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("quality is not null").select("doc_id", "quality")
+    rows = op2_quality(spark, folder).where("held_out").join(labels, "doc_id").collect()
+    good, bad = [r.score for r in rows if r.quality == 1], [r.score for r in rows if r.quality == 0]
+    auc = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+    assert auc > 0.99 and sum(r.predicted == r.quality for r in rows) / len(rows) > 0.95
+
+
+def test_quality_by_brute_force(spark, docs, rows):
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(50) if i != 30], "doc_id long, quality int, toxic int")
+    counts = quality.with_counts(docs).collect()
+    label = {i: int(i % 3 > 0) for i in range(50) if i != 30 and i % 5}
+    own = [(label[r.doc_id], np.array(r.c)) for r in counts if r.doc_id in label]
+    usual = sum(c for y, c in own if y)
+    x = [np.stack([quality.transformed(c[None], usual)[0] for y, c in own if y == k]) for k in (0, 1)]
+    every = np.concatenate(x)
+    scale = np.sqrt(np.maximum(every.var(axis=0), 1e-6))
+    got = {r.doc_id: r.score for r in quality.quality_scores(docs, labels, F.col("doc_id") % 5 != 0).collect()}
+    fits = []
+    for p in quality.TO_POOLED:
+        for s in quality.TO_SPHERE:
+            cov = [np.cov(a.T, bias=True) / np.outer(scale, scale) for a in x]
+            pooled = sum(len(a) * c for a, c in zip(x, cov, strict=True)) / len(every)
+            cov = [(1 - p) * c + p * pooled for c in cov]
+            cov = [(1 - s) * c + s * max(np.trace(c) / len(c), 1e-3) * np.eye(len(c)) for c in cov]
+            want = {}
+            for r in counts:
+                z = quality.transformed(np.array(r.c)[None], usual)[0] / scale
+                log = [np.log(len(a) / len(every)) - 0.5 * ((z - a.mean(0) / scale) @ np.linalg.inv(c) @ (z - a.mean(0) / scale) + np.linalg.slogdet(c)[1]) for a, c in zip(x, cov, strict=True)]
+                want[r.doc_id] = 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
+            fits.append(max(abs(want[i] - got[i]) for i in want))
+    assert min(fits) < 1e-6
+
+
+def test_sharding_does_not_depend_on_files(docs):
+    key = lambda df: sorted((repr(r.doc_id), repr(r.text), r.shard, r.slot) for r in sharding.shuffled(df, shards=3, bucket_bytes=9000).collect())
+    assert key(docs) == key(docs.repartition(7)) == key(docs.coalesce(1).orderBy(F.desc("doc_id")))
+
+
 def test_quality_density():
     rng = np.random.default_rng(1)
     x = [rng.normal(m, s, (4000, 3)) for m, s in ((0, 1), (1, 0.4))]
