@@ -289,6 +289,45 @@ def test_topk(spark, size):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("spread", ["plain", "decaying", "clustered"])
+def test_topk_prunes(spark, spread):
+    """64 dimensions and more: candidates are cut before all their dimensions are read, and the result is that of all pairs."""
+    rng = np.random.default_rng(5)
+    n, d, k = 1500, 72, 20
+    x = rng.normal(0, 1, (n, d))
+    if spread == "decaying":
+        x *= 0.93 ** np.arange(d)
+    elif spread == "clustered":
+        x = 4 * rng.normal(0, 1, (12, d))[rng.integers(0, 12, n)] + x
+    v = np.floor(64 * x.astype(np.float32).astype(np.float64)).astype(np.int64)
+    ids = np.arange(n)
+    best = topk.Best(v[::20], ids[::20], ids[::20], k)
+    best.add(v[:200].T, ids[:200], ids[:200])
+    survived = []
+    pruning = best._survivors
+    best._survivors = lambda *a: survived.append(1) or pruning(*a)
+    for s in range(200, n, 100):
+        best.add(v[s : s + 100].T, ids[s : s + 100], ids[s : s + 100])
+    assert survived and best.cut > (0.1 if spread == "plain" else 0.5) * best.pairs
+    df = spark.createDataFrame([(int(i), [float(c) for c in r]) for i, r in zip(ids, x, strict=True)], "vec_id long, embedding array<float>").repartition(4)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, k=k, size=200, query_size=40, group=3).collect())
+    want = []
+    for q in range(0, n, 20):
+        s = v @ v[q]
+        own = [i for i in np.lexsort((ids, -s)) if i != q][:k]
+        want += [(q, j + 1, int(i), int(s[i])) for j, i in enumerate(own)]
+    assert got == want
+    kernel = [(int(best.ids[a]), int(i), int(s)) for a, i, s in zip(best.at, best.vec, best.score, strict=True)]
+    assert kernel == [(q, i, s) for q, _, i, s in want]
+
+
+def test_topk_huge_components(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1e30, 0.0]), (2, [-1e30, 1.0]), (3, [3e13, 3e13]), (20, [1e30, 1e30])], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, k=2).collect()}
+    big = 1 << 53
+    assert got == {(0, 1): (20, 192 * big), (0, 2): (3, 192 * 64 * 30_000_000_000_000), (20, 1): (1, (1 << 63) - 1), (20, 2): (3, (1 << 63) - 1)}
+
+
 def test_sharding(docs, none, rows, tmp_path):
     a, b = (sharding.shuffled(docs, shards=8, bucket_bytes=20000) for _ in range(2))
     key = lambda r: (str(r.doc_id), r.shard, r.slot)
