@@ -59,11 +59,6 @@ def restored(code: np.ndarray) -> np.ndarray:
     return np.where(code > 0, 10.0 ** (-(code.astype(np.float64) - 1) * STEP), 0.0)
 
 
-def _short(key: np.ndarray) -> np.ndarray:
-    """What a successor is called within its context: 32 bits of its key."""
-    return (key >> np.uint64(32)).astype(np.uint32)
-
-
 def _block_texts(name: str, doc_ids: list, held: list, tokens: np.ndarray, row_at: np.ndarray) -> Iterator[dict]:
     """``tokens``: keys of all tokens, each row closed by END; ``row_at``: row offsets in them."""
     keys, which = np.unique(tokens, return_inverse=True)
@@ -95,14 +90,11 @@ def _block_pairs(name: str, shards: int, held: list, tokens: np.ndarray, row_at:
     at = np.searchsorted(shard[by], np.arange(shards + 1))
     for s in range(shards):
         mine = by[at[s] : at[s + 1]]
-        if len(mine):
-            # within a context, sorted by the successor's short name
-            short = _short(keys[w[mine]])
-            mine = mine[np.lexsort((short, c[mine]))]
+        if len(mine):  # by context, then by the successor's key, as the pairs are
             ctx, n_next = np.unique(c[mine], return_counts=True)
             yield {
                 "block": name, "shard": s, "contexts": _pack(own[ctx]), "n_next": _pack(n_next.astype(np.uint32)),
-                "words": _pack(_short(keys[w[mine]])), "counts": _pack(np.minimum(counts[mine], (1 << 32) - 1).astype(np.uint32)),
+                "words": _pack(keys[w[mine]]), "counts": _pack(np.minimum(counts[mine], (1 << 32) - 1).astype(np.uint32)),
             }
 
 
@@ -152,7 +144,7 @@ def sent(docs: DataFrame, shards: int, text: str, held, block_tokens: int, pairs
         if parts:
             yield from flush()
 
-    return source.mapInArrow(run, _SENT)
+    return source.mapInArrow(tb.returning(run), _SENT)
 
 
 def answered(asked: DataFrame) -> DataFrame:
@@ -169,7 +161,7 @@ def answered(asked: DataFrame) -> DataFrame:
                 ctx, n_next = _unpack(r["contexts"], np.uint64), _unpack(r["n_next"], np.uint32)
                 rank = trie.context_ranks(ctx)
                 known = rank >= 0
-                value = trie.find(np.repeat(rank, n_next), _unpack(r["words"], np.uint32))
+                value = trie.find(np.repeat(rank, n_next), _unpack(r["words"], np.uint64))
                 total, weight = np.zeros(len(ctx), np.int64), np.zeros(len(ctx), np.uint16)
                 total[known], weight[known] = totals[rank[known]], weights[rank[known]]
                 # what the shard knows of all tokens goes with its first answer
@@ -191,10 +183,11 @@ def _trained(asks: list[dict], folder: str) -> tuple[Trie, np.ndarray, np.ndarra
         n = _unpack(r["counts"], np.uint32)
         some = n > 0
         contexts.append(np.repeat(_unpack(r["contexts"], np.uint64), _unpack(r["n_next"], np.uint32))[some])
-        words.append(_unpack(r["words"], np.uint32)[some])
+        words.append(_unpack(r["words"], np.uint64)[some])
         counts.append(n[some].astype(np.int64))
     ctx, word, n = (np.concatenate(x) for x in (contexts, words, counts))
     own, rank = np.unique(ctx, return_inverse=True)
+    known, word = np.unique(word, return_inverse=True)
     pair = (rank.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64)
     order = np.argsort(pair, kind="stable")
     pair = pair[order]
@@ -206,7 +199,7 @@ def _trained(asks: list[dict], folder: str) -> tuple[Trie, np.ndarray, np.ndarra
     total = np.bincount(rank, n, len(own)).astype(np.int64)
     value = quantised(np.log10((n - DISCOUNT) / np.maximum(total[rank], 1)))
     weight = quantised(np.log10(DISCOUNT * next_ / np.maximum(total, 1)))
-    trie = Trie.write(folder, own, next_, (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32), value)
+    trie = Trie.write(folder, own, next_, known[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)], value)
     return trie, total, weight, int((own != START).sum())
 
 
@@ -228,12 +221,15 @@ def scored(rows: DataFrame, shards: int, n_tokens: int, n_words: int) -> DataFra
         pair, back = np.unique(pair, return_inverse=True)
         pc, pw = np.divmod(pair, max(len(keys), 1))
         shard = (own % np.uint64(shards)).astype(np.int64)
-        order = np.lexsort((pw, _short(keys)[pw], pc, shard[pc]))
+        order = np.lexsort((pw, pc, shard[pc]))
         value = np.zeros(len(pair), np.float64)
         total, weight = np.zeros(len(own), np.int64), np.zeros(len(own), np.float64)
         got = sorted(answers)
         if got:
-            value[order] = restored(np.concatenate([_unpack(answers[s]["values"], np.uint16) for s in got]))
+            told = np.concatenate([_unpack(answers[s]["values"], np.uint16) for s in got])
+            if len(told) != len(pair):
+                raise ValueError(f"block {block['block']} was read with other texts before")
+            value[order] = restored(told)
             at = np.argsort(shard, kind="stable")
             total[at] = np.concatenate([_unpack(answers[s]["totals"], np.int64) for s in got])
             weight[at] = restored(np.concatenate([_unpack(answers[s]["weights"], np.uint16) for s in got]))
@@ -261,11 +257,12 @@ def text_scores(docs: DataFrame, held, text: str = "text", shards: int | None =
 
     Null texts are empty: their one token is the end. Repeated rows count and are scored each. With no training row, every
     probability is that of an unseen word. ``shards`` defaults to twice the number of input partitions, so that what a shard
-    holds stays as large as what a block sends; at most 4096, beyond which blocks should grow instead. ``docs`` must be read from
-    files or a written table, so that its blocks are the same each time.
+    holds stays as large as what a block sends; a block sends a row to each shard, so ``block_tokens`` should grow with their
+    number. Other columns are not read; an empty table gives none. ``docs`` must be read from files or a written table, so that
+    its blocks are the same each time: a block whose answers are those of other pairs is an error.
     """
     narrow_batches(docs.sparkSession)
-    shards = shards or max(8, min(4096, 2 * docs.select("doc_id").rdd.getNumPartitions()))
+    shards = shards or max(8, 2 * docs.select("doc_id").rdd.getNumPartitions())
     answers = written(answered(sent(docs, shards, text, held, block_tokens, True)), "answers")
     sums = answers.agg(F.sum("n_tokens"), F.sum("n_words")).first()
     # contexts count every word once and each document once by its start, which stands for its end
