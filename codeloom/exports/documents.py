@@ -73,11 +73,11 @@ def write_json(g: Graph, path: str) -> None:
     _atomically(path, parts())
 
 
-def write_manifest(manifest: DataFrame, path: str, repo_root: str = "", build_mode: str = "full_rebuild") -> None:
+def write_manifest(manifest: DataFrame, path: str, repo_root: str = "", build_mode: str = "full_rebuild", fingerprint: str = "") -> None:
     """K2."""
 
     def parts():
-        head = {"version": 1, "repo_root": repo_root, "generated_at": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), "build_mode": build_mode}
+        head = {"version": 1, "repo_root": repo_root, "generated_at": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), "build_mode": build_mode, "fingerprint": fingerprint}
         yield json.dumps(head)[:-1] + ', "files": ['
         for i, r in enumerate(manifest.orderBy("path").select(F.to_json(F.struct("*")).alias("json")).toLocalIterator()):
             yield ("," if i else "") + r.json

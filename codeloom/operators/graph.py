@@ -151,13 +151,18 @@ def pruned(graph: Graph, deleted: DataFrame) -> Graph:
 def file_projection(graph: Graph) -> DataFrame:
     """Every edge but ``contains`` lifted to the files of its ends, as ``depends_on``; the first of each pair names what it came from.
 
-    The target is a node by id, else the first of that label. A symbol's file node is the one whose label is its file.
+    The target is a node by id, else the first of that label. A symbol's file node is the node ``<source name>:file:<file>``, else the
+    file whose label is its file.
     """
     e = resolved(graph.edges.where("relation <> 'contains'"), graph.nodes).where("dst is not null")
     files = graph.nodes.where("kind = 'file'")
-    of = graph.nodes.select("id", F.when(F.col("kind") == "file", F.col("id")).alias("own"), F.col("file").alias("__file"))
+    source = text("source_name") if "source_name" in graph.nodes.columns else F.lit("")
+    file_id = F.when((source != "") & (text("file") != ""), F.concat(source, F.lit(":file:"), F.col("file")))
+    of = graph.nodes.select("id", F.when(F.col("kind") == "file", F.col("id")).alias("own"), F.col("file").alias("__file"), file_id.alias("__named"))
     by_label = first_labels(files).select(F.col("label").alias("__file"), "label_id")
-    owner = of.join(by_label, "__file", "left").select("id", F.coalesce("own", "label_id").alias("owner")).where("owner is not null")
+    named = graph.nodes.select(F.col("id").alias("__named"), F.lit(True).alias("__there")).distinct()
+    owner = of.join(by_label, "__file", "left").join(named, "__named", "left")
+    owner = owner.select("id", F.coalesce("own", F.when(F.col("__there"), F.col("__named")), "label_id").alias("owner")).where("owner is not null")
     lifted = e.join(owner.withColumnsRenamed({"id": "src", "owner": "src_file"}), "src").join(owner.withColumnsRenamed({"id": "dst", "owner": "dst_file"}), "dst").where("src_file <> dst_file")
     pairs = lifted.groupBy("src_file", "dst_file").agg(F.min(F.struct("ord", "relation")).alias("f"))
     return pairs.select(F.col("src_file").alias("src"), F.col("dst_file").alias("dst"), F.lit("depends_on").alias("relation"), F.col("f.relation").alias("projected_from"), F.col("f.ord").alias("ord"))

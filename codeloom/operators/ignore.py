@@ -110,6 +110,15 @@ def ignored_with_parents(path: Column, lists: list[list[Rule]]) -> Column:
     return out
 
 
+def ignored_below(path: Column, scoped: list[tuple[str, list[Rule]]]) -> Column:
+    """P5: rules of folders below the root, each on paths inside its folder and relative to it; they add to those of the folders above."""
+    out = F.lit(False)
+    for folder, own in scoped:
+        if own:
+            out = out | (path.startswith(folder + "/") & ignored_with_parents(F.substr(path, F.lit(len(folder) + 2)), [own]))
+    return out
+
+
 def detect_stack(paths):
     """(directory, stack): the stack of each directory by the first probe file that it has."""
     probe = F.create_map(*[F.lit(x) for i, (name, stack) in enumerate(PROBES) for x in (name, f"{i:02d}:{stack}")])

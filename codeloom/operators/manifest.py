@@ -9,9 +9,9 @@ from codeloom.functions.text import language_of
 
 
 def manifest(files: DataFrame) -> DataFrame:
-    """(path, sha256, size, language, status) of ``files(path, content)``."""
+    """(path, sha256, size, language, status) of ``files(path, content)``, and mod_time where the files have it."""
     content = F.col("content").cast("binary")
-    return files.select("path", F.sha2(content, 256).alias("sha256"), F.octet_length(content).cast("long").alias("size"), language_of(F.col("path")).alias("language"), F.lit("active").alias("status"))
+    return files.select("path", F.sha2(content, 256).alias("sha256"), F.octet_length(content).cast("long").alias("size"), language_of(F.col("path")).alias("language"), F.lit("active").alias("status"), *[c for c in files.columns if c == "mod_time"])
 
 
 def diff(saved: DataFrame, current: DataFrame) -> DataFrame:

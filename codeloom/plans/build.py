@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import is_code_file
-from codeloom.operators import community, manifest
+from codeloom.operators import community, manifest, modularity
 from codeloom.operators.graph import Graph, file_projection, merge_facts, pruned
 from codeloom.operators.ignore import PROBES
 from codeloom.session import scratch
-from codeloom.sources.extract import extracted
+from codeloom.sources.extract import extracted, go_module
 from codeloom.sources.repo_scan import scan
 
+from .reuse import Saved, fingerprint, refusal
+
 STAGES = ("detect", "scan", "drivers", "patch", "merge", "build", "cluster", "persist")
 # Files that tell a language of a repository.
 LANGUAGE_FILES = {"go.mod": "go", "tsconfig.json": "typescript", "package.json": "javascript", "pyproject.toml": "python", "requirements.txt": "python", "setup.py": "python", "Cargo.toml": "rust", "pom.xml": "java", "build.gradle": "java", "build.gradle.kts": "java"}
@@ -124,6 +126,7 @@ class Result:
     graph: Graph
     manifest: DataFrame
     mode: str = "full_rebuild"
+    refused: str = ""
     warnings: list[str] = field(default_factory=list)
     stages: list[tuple[str, str]] = field(default_factory=list)
 
@@ -136,13 +139,16 @@ class Builder:
     drivers: list[Driver] = field(default_factory=list)
     patchers: dict[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
     detect: Callable[[SparkSession, str], DataFrame] | None = None
-    scanner: Callable[[DataFrame, str, str], Graph] = extracted
+    scanner: Callable[[DataFrame, str, str, str], Graph] = extracted
     cluster: Callable[[Graph], DataFrame] | None = None
     persist: Callable[[Result], None] | None = None
     observer: Callable[[str, str], None] = lambda stage, state: None
 
-    def run(self, request: BuildRequest, saved: tuple[Graph, DataFrame] | None = None) -> Result:
-        """``saved``: the graph and manifest of the last build. Unchanged files return it; deletions alone prune it; else all is built."""
+    def run(self, request: BuildRequest, saved: Saved | tuple[Graph, DataFrame] | None = None) -> Result:
+        """``saved``: the last build, or a graph and manifest just made. Unchanged files return it; deletions alone prune it; else all is built.
+
+        ``reuse.refusal`` lists what keeps a saved build from being used.
+        """
         r = request.normalized()
         if unknown := [p for p in r.patchers if p not in self.patchers]:
             raise ValueError(f"unknown patcher {unknown[0]!r}")
@@ -151,19 +157,21 @@ class Builder:
         listing = scratch(manifest.manifest(files.where(is_code_file(F.col("path")))), "manifest")
         out = Result(Graph(*[self.spark.createDataFrame([], "id string")] * 2), listing)
         self._note(out, "detect", "done")
-        # Filters ask for another graph than the saved one
-        if saved is not None and not (r.languages or r.drivers or r.patchers):
-            changes = scratch(manifest.diff(saved[1], listing), "changes")
+        if isinstance(saved, tuple):
+            saved = Saved(*saved, fingerprint=fingerprint())
+        out.refused = refusal(saved, bool(r.languages or r.drivers or r.patchers), listing)
+        if not out.refused:
+            changes = scratch(manifest.diff(saved.manifest, listing), "changes")
             mode = manifest.reuse_mode(changes).first().mode
             if mode == "unchanged":
-                out.graph, out.mode = saved[0], "reused"
+                out.graph, out.mode = saved.graph, "reused"
                 return out
             if mode == "deleted_only":
-                out.graph, out.mode = pruned(saved[0], changes.where("status = 'deleted'")), "deleted_only_prune"
+                out.graph, out.mode = pruned(saved.graph, changes.where("status = 'deleted'")), "deleted_only_prune"
                 self._persist(out)
                 return out
         repo, name = identity_of(r.root)
-        g = self.scanner(files, repo, name)
+        g = self.scanner(files, repo, name, go_module(every))
         self._note(out, "scan", "done")
         facts = self._facts(r, out, languages_of(every))
         if facts is not None:
@@ -213,7 +221,7 @@ class Builder:
         return found
 
     def _cluster(self, out: Result) -> None:
-        run = self.cluster or (lambda g: community.numbered(community.label_propagation(g.nodes, g.edges)))
+        run = self.cluster or (lambda g: community.numbered(modularity.partition(g.nodes, g.edges)))
         try:
             out.graph = Graph(scratch(community.apply_communities(out.graph.nodes, run(out.graph)), "nodes"), out.graph.edges)
             self._note(out, "cluster", "done")

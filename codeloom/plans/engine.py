@@ -24,6 +24,10 @@ def described(label: Column, id_: Column, layer: Column, kind: Column) -> Column
     return F.when(inside == "", name).otherwise(F.concat(name, F.lit(" ["), inside, F.lit("]")))
 
 
+# The verbs of text queries.
+VERBS = ["path <from> <to>", "explain <node>", "bindings <node>", "route <query>", "lookup <term>", "nodes", "edges", "help"]
+
+
 class Engine:
     """A graph whose edge targets are resolved to ids where they can be."""
 
@@ -62,7 +66,7 @@ class Engine:
         if r.kind == "path":
             return self.path(subject, self.resolve(r.target))
         if r.kind == "impact":
-            return traverse.impact(self.edges, subject).join(self.nodes.select("id", "ord"), "id").orderBy("ord", "id").limit(r.limit).select("id", "hops")
+            return self.impacted(subject).join(self.nodes.select("id", "ord"), "id").orderBy("ord", "id").limit(r.limit).select("id", "hops")
         reverse = r.kind == "reverse_dependencies"
         if self._is_file(subject):
             edges = self.edges if "projected_from" in self.edges.columns else self.edges.withColumn("projected_from", F.lit(""))
@@ -70,6 +74,21 @@ class Engine:
             return traverse.file_dependencies(self.nodes, edges, own, r.limit, reverse).select("position", "id", "relation")
         return traverse.dependencies(self.edges, subject, r.limit, reverse)
 
+    def impacted(self, subject: str) -> DataFrame:
+        """Q7: (id, hops) of what has a path to ``subject``. Between two files only file dependencies make one, as in ``path``."""
+        found = traverse.impact(self.edges, subject)
+        if not self._is_file(subject):
+            return found
+        files = self.nodes.where("kind = 'file'").select("id")
+        return found.join(files, "id", "left_anti").select("id", "hops").unionByName(traverse.impact(self.file_edges(), subject).select("id", "hops"))
+
+    def find(self, term: str) -> str | None:
+        """The node of that id, label or lowered label, else the best of the lexical search; None without one."""
+        if not term:
+            return None
+        row = graph.resolve_one(self.nodes, self._ref(term)).first() or lookup.search(self.nodes, term, 1).first()
+        return row.id if row else None
+
     def search(self, question: str) -> DataFrame:
         return self.run(parse_question(question))
 
@@ -109,7 +128,10 @@ class Engine:
         return analytics.neighbours(self.edges, self.nodes, self.resolve(ref)).orderBy("direction", "label", "id")
 
     def query(self, line: str) -> DataFrame:
-        """Q18: ``lookup``, ``nodes``, ``edges``, ``explain``, ``bindings``, ``route`` and ``path`` in words."""
+        """Q18: ``help``, ``lookup``, ``nodes``, ``edges``, ``explain``, ``bindings``, ``route`` and ``path`` in words; else a question.
+
+        What is neither gives one row (message) with the verbs.
+        """
         verb, _, rest = line.strip().partition(" ")
         rest = rest.strip()
         if verb == "nodes":
@@ -118,7 +140,15 @@ class Engine:
             return self.edges.agg(F.count("*").alias("edges"))
         if verb in ("lookup", "explain", "bindings", "route") and rest:
             return {"lookup": lambda x: lookup.lookup(self.nodes, x), "explain": self.explain, "bindings": self.bindings, "route": self.route}[verb](rest)
-        return self.search(line)
+        try:
+            return self.search(line) if verb != "help" else self._message("\n".join(VERBS))
+        except NotFound:
+            raise
+        except ValueError:
+            return self._message(f"unknown command {verb!r}; help lists the commands")
+
+    def _message(self, text_: str) -> DataFrame:
+        return self.spark.createDataFrame([(text_,)], "message string")
 
 
 def rendered(title: str, lines: list[str]) -> str:

@@ -236,12 +236,20 @@ def imports(files: DataFrame, rows: DataFrame, module: str = "") -> DataFrame:
     go = files.where(extension(F.col("path")) == "go").select("path", F.regexp_extract("path", "^(?:(.*)/)?[^/]*$", 1).alias("folder"), F.regexp_extract("path", "([^/]*)$", 1).alias("file"))
     named = F.col("file").isin("index.go", "types.go", "config.go") | (F.col("file") == F.concat(F.substring_index("folder", "/", -1), F.lit(".go")))
     best = go.groupBy("folder").agg(F.min(F.struct((~named).alias("n"), F.col("file"), F.col("path"))).alias("b")).select("folder", F.col("b.path").alias("dst"))
-    inner = F.when(F.lit(module != "") & (F.col("name") == module), F.lit("")).when(F.lit(module != "") & F.col("name").startswith(module + "/"), F.substr("name", F.lit(len(module) + 2)))
+    # without a module path, folders of these names are taken as they are
+    bare = F.lit(module == "") & F.col("name").rlike("^(?:internal|pkg|cmd)/")
+    inner = F.when(bare, F.col("name")).when(F.lit(module != "") & (F.col("name") == module), F.lit("")).when(F.lit(module != "") & F.col("name").startswith(module + "/"), F.substr("name", F.lit(len(module) + 2)))
     folders = i.where("kind = 'go'").withColumn("folder", inner).where("folder is not null").join(best, "folder").select("path", "dst", "seq")
     every = direct.unionByName(tried.select("path", "dst", "seq")).unionByName(packages).unionByName(folders)
     return every.where("path <> dst").groupBy(F.col("path").alias("src_path"), F.col("dst").alias("dst_path")).agg(F.min("seq").alias("seq"))
 
 
+def go_module(files: DataFrame) -> str:
+    """The module path of the root's go.mod, empty without one; one small file is read."""
+    found = files.where("path = 'go.mod'").select(F.regexp_extract(F.col("content").cast("string"), r"(?m)^[ \t]*module[ \t]+([^\r\n]*)", 1).alias("m")).first()
+    return found.m.strip() if found else ""
+
+
 def extracted(files: DataFrame, repo: str, name: str = "", module: str = "") -> Graph:
     """Project, file and symbol nodes, ``contains``, ``depends_on`` and ``calls`` edges. Targets of calls are labels.
 

@@ -43,9 +43,24 @@ def read_graph(spark: SparkSession, path: str, canonical: bool = True) -> Graph:
     return g.canonicalized() if canonical else g
 
 
-def read_graphs(spark: SparkSession, paths: list[str]) -> Graph:
-    """The union of several documents, earlier ones first."""
-    return reduce(lambda a, b: a.union(b), [read_graph(spark, p, canonical=False) for p in paths])
+def _broken(spark: SparkSession, path: str) -> str:
+    """Why a document is none, or an empty text."""
+    try:
+        rows = spark.read.schema(DOCUMENT).option("multiLine", True).json(path).select(F.isnotnull("nodes").alias("n"), F.isnotnull("edges").alias("e")).take(1)
+    except Exception as e:  # noqa: BLE001  one bad document does not end the union
+        return str(e).splitlines()[0]
+    return "" if rows and (rows[0].n or rows[0].e) else "no nodes and no edges"
+
+
+def read_graphs(spark: SparkSession, paths: list[str], warnings: list[str] | None = None) -> Graph:
+    """The union of several documents, earlier ones first. Missing and broken ones are left out and named in ``warnings``."""
+    why = {p: _broken(spark, p) for p in paths}
+    if warnings is not None:
+        warnings += [f"{p}: {w}" for p, w in why.items() if w]
+    good = [read_graph(spark, p, canonical=False) for p in paths if not why[p]]
+    if not good:
+        raise ValueError("no graph document can be read")
+    return reduce(lambda a, b: a.union(b), good)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import is_code_file
-from codeloom.operators.ignore import default_rules, ignored_with_parents, rules
+from codeloom.operators.ignore import default_rules, detect_stack, ignored_below, ignored_with_parents, rules
+
+#: Files of ignore rules; a folder's own one adds to the shared one.
+IGNORE_FILES = (".gitignore", ".codeloomignore")
 
 
 def _text_of(spark: SparkSession, path: str) -> str:
@@ -23,10 +26,26 @@ def _text_of(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def _nested_ignore_files(spark: SparkSession, base: str) -> list[tuple[str, str]]:
+    """(folder, text) of the ignore files below the root, level by level; Spark's readers do not see them, as their names start with a dot."""
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    top = jvm.org.apache.hadoop.fs.Path(base).toUri().getPath()
+    found, level = [], base + "/*"
+    while len(fs.globStatus(jvm.org.apache.hadoop.fs.Path(level)) or []):
+        for name in IGNORE_FILES:
+            for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{level}/{name}")) or []:
+                path = status.getPath().toUri().getPath()
+                found.append((path[len(top) + 1 : -len(name) - 1], _text_of(spark, status.getPath().toString())))
+        level += "/*"
+    return sorted(found)
+
+
 def scan(spark: SparkSession, root: str, stack: str = "unknown", extra: list[str] | None = None, extensions: list[str] | None = None) -> DataFrame:
     """(path, content, size, mod_time) of the files under ``root`` that no rule leaves out; paths are relative.
 
-    Rules: the stack's defaults, the root's .gitignore, ``extra`` lines; a file out by any list stays out. ``extensions`` are
+    Rules: the stack's defaults, the root's ignore files, ``extra`` lines, and for each folder below its ignore files and the
+    defaults of the stack that its files tell; a file out by any list stays out. ``extensions`` are
     matched as they are written; none means all. Spark's readers leave out files whose names start with ``.`` or ``_``, and
     empty files.
     """
@@ -35,9 +54,11 @@ def scan(spark: SparkSession, root: str, stack: str = "unknown", extra: list[str
     clean = F.regexp_replace("path", "^file:/+", "/")
     rel = F.substr(clean, F.instr(clean, base.removeprefix("file://") + "/") + F.lit(len(base.removeprefix("file://")) + 1))
     files = files.select(rel.alias("path"), "content", F.col("length").alias("size"), F.col("modificationTime").alias("mod_time"))
-    own = _text_of(spark, f"{base}/.gitignore")
-    lists = [default_rules(stack), rules(own.splitlines()), rules(extra or [])]
+    lists = [default_rules(stack), *(rules(_text_of(spark, f"{base}/{name}").splitlines()) for name in IGNORE_FILES), rules(extra or [])]
     kept = files.where(~ignored_with_parents(F.col("path"), [x for x in lists if x]))
+    scoped = [(folder, rules(text.splitlines())) for folder, text in _nested_ignore_files(spark, base)]
+    scoped += [(r.directory, default_rules(r.stack)) for r in detect_stack(kept.select("path")).where("directory <> ''").orderBy("directory").collect()]
+    kept = kept.where(~ignored_below(F.col("path"), scoped))
     if extensions:
         kept = kept.where(F.regexp_extract("path", r"(\.[^./]*)$", 1).isin(*extensions))
     return kept

@@ -25,6 +25,27 @@ def relevant(events: DataFrame) -> DataFrame:
     return events.where(is_code_file(F.col("path")))
 
 
+def rebuilding(builder, root: str, folder: str, registry: str, failed: Callable[[str], None] = print) -> Callable[[DataFrame, int], None]:
+    """What ``watch`` runs for a batch: a build of ``root`` kept in ``folder`` and a row in the registry. A failed build is told and leaves the last one."""
+    from codeloom.exports.records import track
+    from codeloom.plans.build import BuildRequest, identity_of
+    from codeloom.plans.reuse import read_build, write_build
+
+    def run(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
+        try:
+            out = builder.run(BuildRequest(root), read_build(builder.spark, folder))
+            if out.mode != "reused":
+                write_build(out.graph, out.manifest, folder)
+            remote, name = identity_of(root)
+            track(builder.spark, registry, root, name, remote, f"{folder}/nodes")
+        except Exception as e:  # noqa: BLE001  the next change builds again
+            failed(f"update failed: {e}")
+
+    return run
+
+
 def watch(events: DataFrame, rebuild: Callable[[DataFrame, int], None], checkpoint: str, gap: str = "300 milliseconds", lateness: str = "1 minute", **trigger):
     """Runs ``rebuild`` for each batch of debounced changes of a stream; returns the started query."""
     runs = debounced(relevant(events), gap, lateness)
