@@ -322,10 +322,16 @@ def test_topk_prunes(spark, spread):
 
 
 def test_topk_huge_components(spark):
-    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1e30, 0.0]), (2, [-1e30, 1.0]), (3, [3e13, 3e13]), (20, [1e30, 1e30])], "vec_id long, embedding array<double>")
+    """Components count as 2**53 at most and scores end at 64 bits, by exact integers."""
+    vectors = {0: [1.0, 2.0], 1: [1e30, 0.0], 2: [-1e30, 1.0], 3: [3e13, 3e13], 20: [1e30, 1e30]}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, k=2).collect()}
-    big = 1 << 53
-    assert got == {(0, 1): (20, 192 * big), (0, 2): (3, 192 * 64 * 30_000_000_000_000), (20, 1): (1, (1 << 63) - 1), (20, 2): (3, (1 << 63) - 1)}
+    scaled = {i: [max(-(1 << 53), min(1 << 53, math.floor(64 * x))) for x in v] for i, v in vectors.items()}
+    want = {}
+    for q in (0, 20):
+        scores = sorted((-min((1 << 63) - 1, sum(x * y for x, y in zip(scaled[q], scaled[i], strict=True))), i) for i in vectors if i != q)
+        want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(scores[:2])}
+    assert got == want
 
 
 def test_sharding(docs, none, rows, tmp_path):
@@ -344,35 +350,62 @@ def test_sharding(docs, none, rows, tmp_path):
     assert docs.sparkSession.read.parquet(str(tmp_path / "out")).count() == len(rows)
 
 
-def test_lm(docs, none, rows):
+@pytest.mark.parametrize(("order", "shards"), [(2, None), (3, 12), (4, 3)])
+def test_lm(docs, none, rows, order, shards):
+    """Scores by brute force; few shards split no context but the most frequent, more split many."""
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
-    unigrams, pairs, contexts = Counter(), Counter(), Counter()
+    unigrams, grams, contexts = Counter(), Counter(), Counter()
+
+    def steps(t):
+        w = [*words_of(t), None]
+        padded = ["<s>"] * (order - 1) + w
+        for k, x in enumerate(w):
+            yield x, [tuple(padded[k + order - 1 - n : k + order - 1]) for n in range(1, order)]
+
     for i, t, *_ in rows:
         if not held(i):
-            w = [*words_of(t), None]
-            unigrams.update(w)
-            pairs.update(zip(["<s>", *w[:-1]], w, strict=True))
-            contexts.update(["<s>", *w[:-1]])
-    n, v, after = sum(unigrams.values()), len(unigrams), Counter(c for c, _ in pairs)
+            for x, before in steps(t):
+                unigrams[x] += 1
+                grams.update((c, x) for c in before)
+                contexts.update(before)
+    n, v, after = sum(unigrams.values()), len(unigrams), Counter(c for c, _ in grams)
     p_word = lambda w: (unigrams[w] + 0.1) / (n + 0.1 * (v + 1))
 
     def want(t):
-        w = [*words_of(t), None]
-        base = sum(math.log10(p_word(x)) for x in w)
-        score = sum(math.log10(max(pairs[c, x] - 0.75, 0) / contexts[c] + 0.75 * after[c] / contexts[c] * p_word(x) if contexts[c] else p_word(x)) for c, x in zip(["<s>", *w[:-1]], w, strict=True))
-        return len(w), sum(unigrams[x] > 0 for x in w), base, score
+        base = score = size = known = 0
+        for x, before in steps(t):
+            p = p_word(x)
+            base, size, known = base + math.log10(p), size + 1, known + (unigrams[x] > 0)
+            for c in before:
+                if contexts[c]:
+                    p = max(grams[c, x] - 0.75, 0) / contexts[c] + 0.75 * after[c] / contexts[c] * p
+            score += math.log10(min(p, 1))
+        return size, known, base, score
 
     condition = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
-    got = lm.text_scores(docs, condition, block_tokens=500).collect()
+    got = lm.text_scores(docs, condition, order=order, shards=shards, block_tokens=500).collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
     texts = {r[0]: r[1] for r in rows}
     for r in got:
         tokens, known, base, score = want(texts[r.doc_id])
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (tokens, known, n, held(r.doc_id))
         assert abs(r.base_score - base) < 1e-6 and abs(r.score - score) < 1e-3 * tokens and r.score <= 0
-    assert lm.text_scores(none, F.lit(False)).count() == 0
-    assert lm.text_scores(docs, condition, block_tokens=500, shards=3).where("score > 0").count() == 0
-    assert lm.text_scores(docs, F.lit(True)).where("train_tokens = 0").count() == len(rows)
+    assert lm.text_scores(none, F.lit(False), order=order).count() == 0
+    assert lm.text_scores(docs, F.lit(True), order=order).where("train_tokens = 0").count() == len(rows)
+
+
+def test_lm_splits_frequent_contexts():
+    """A context as frequent as a third of all tokens has parts; each successor has one, and each part is found again."""
+    rng = np.random.default_rng(5)
+    tokens = rng.integers(0, 2**63, 9000).astype(np.uint64)
+    tokens[rng.permutation(9000)[:3000]] = 77
+    row_at = np.array([0, 4000, 9000])
+    one = lm.Split(np.array([77], np.uint64), np.array([8]))
+    own = np.unique(one.divided(lm.contexts_of(tokens, row_at, 1), tokens))
+    assert 77 not in own and (one.whole(own) == 0).sum() == 8
+    keys, own, pair = lm._pairs(tokens, row_at, 1, one)
+    c = np.unique(pair) // len(keys)
+    assert np.bincount(c[one.whole(own)[c] == 0]).max() < 600
 
 
 def test_lm_tells_words_of_one_prefix_apart(tmp_path):
@@ -382,10 +415,10 @@ def test_lm_tells_words_of_one_prefix_apart(tmp_path):
     ctx = np.array([7, 9], np.uint64)
     words = np.array([(5 << 32) + 1, (5 << 32) + 2, (6 << 32) + 1, (5 << 32) + 1], np.uint64)
     ask = {"contexts": _pack(ctx), "n_next": _pack(np.array([3, 1], np.uint32)), "words": _pack(words), "counts": _pack(np.array([8, 4, 2, 1], np.uint32))}
-    trie, total, _, n_words = _trained([ask, ask], str(tmp_path))
+    trie, total, _, n_next = _trained([ask, ask], str(tmp_path))
     got = trie.find(np.array([0, 0, 0, 1, 1]), np.r_[words, words[1:2]])
     want = [quantised(np.log10((np.array([2.0 * n]) - lm.DISCOUNT) / t))[0] for n, t in ((8, 28), (4, 28), (2, 28), (1, 2))]
-    assert got.tolist() == [*want, 0] and total.tolist() == [28, 2] and n_words == 2
+    assert got.tolist() == [*want, 0] and total.tolist() == [28, 2] and n_next.tolist() == [3, 1]
 
 
 def test_elias_fano(tmp_path):
