@@ -7,7 +7,7 @@ import json
 import os
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import export_label, export_relation
@@ -86,16 +86,24 @@ def write_manifest(manifest: DataFrame, path: str, repo_root: str = "", build_mo
     _atomically(path, parts())
 
 
-def report(g: Graph) -> str:
-    """K4: a Markdown report of a built graph: sizes, god nodes, communities, surprises, questions."""
+def report(g: Graph, most: int | None = 1000) -> str:
+    """K4: a Markdown report of a built graph: sizes, god nodes, communities, surprises, questions.
+
+    Lists the first ``most`` communities (None: all) with their first labels, as many as a line can show; the number is that of all.
+    """
     gods = analytics.god_nodes(g.nodes, g.edges, 5).join(g.nodes.select("id", "file"), "id").orderBy(F.desc("degree"), "id").collect()
     surprises = analytics.surprise_edges(g.nodes, g.edges, 5).collect()
-    members = g.nodes.groupBy(F.coalesce("community", F.lit(0)).alias("c")).agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set(F.left("label", F.lit(80)))), 1, 40), ", ").alias("labels"))
-    members = members.orderBy("c").limit(1000).collect()
+    in_ = g.nodes.select(F.coalesce("community", F.lit(0)).alias("c"), F.left("label", F.lit(80)).alias("label"))
+    first = in_.distinct().where("label is not null").withColumn("k", F.row_number().over(Window.partitionBy("c").orderBy("label"))).where("k <= 40")
+    labels = first.groupBy("c").agg(F.array_join(F.array_sort(F.collect_list("label")), ", ").alias("labels"))
+    sizes = in_.groupBy("c").agg(F.count("*").alias("n"))
+    n_communities = sizes.count()
+    listed = sizes.orderBy("c") if most is None else sizes.orderBy("c").limit(most)
+    members = listed.join(labels, "c", "left").select("c", "n", F.coalesce("labels", F.lit("")).alias("labels")).orderBy("c").collect()
     if [r.c for r in members] == [0]:
-        members = []
+        members, n_communities = [], 0
     out = ["# Graph Report", "", "## Summary", "", "| Metric | Value |", "|--------|-------|"]
-    sizes = [("Nodes", g.nodes.count()), ("Edges", g.edges.count()), ("Communities", len(members)), ("God nodes (top 5)", len(gods)), ("Surprise edges (top 5)", len(surprises))]
+    sizes = [("Nodes", g.nodes.count()), ("Edges", g.edges.count()), ("Communities", n_communities), ("God nodes (top 5)", len(gods)), ("Surprise edges (top 5)", len(surprises))]
     out += [f"| {k} | {v} |" for k, v in sizes]
     out += ["", "## God Nodes (Top 5 by Degree)", ""]
     out += ["| Rank | Label | Kind | Degree | File |", "|------|-------|------|--------|------|", *(f"| {i + 1} | `{r.label}` | {r.kind} | {r.degree} | {r.file} |" for i, r in enumerate(gods))] if gods else ["_No nodes found._"]
@@ -107,13 +115,15 @@ def report(g: Graph) -> str:
     return "\n".join(out) + "\n"
 
 
-def page(g: Graph, title: str = "Graph", most: int = 5000) -> str:
-    """K3: one HTML page that draws the ``most`` nodes of highest degree and the edges among them (a page is for looking at)."""
+def page(g: Graph, title: str = "Graph", most: int | None = 5000, most_edges: int | None = 50_000) -> str:
+    """K3: one HTML page that draws the ``most`` nodes of highest degree and the first ``most_edges`` edges among them, None: all (a page is for looking at)."""
     degree = analytics.degrees(g.nodes, g.edges)
-    drawn = analytics.drawn_nodes(g.nodes, degree).orderBy(F.desc("degree"), "id").limit(most)
+    drawn = analytics.drawn_nodes(g.nodes, degree).orderBy(F.desc("degree"), "id")
+    drawn = drawn if most is None else drawn.limit(most)
     nodes = [r.asDict() for r in drawn.collect()]
     ids = drawn.select("id")
-    e = g.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "relation").distinct().limit(10 * most)
+    e = g.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "relation").distinct().orderBy("src", "dst", "relation")
+    e = e if most_edges is None else e.limit(most_edges)
     data = json.dumps({"nodes": nodes, "edges": [[r.src, r.dst, r.relation] for r in e.collect()]}).replace("</", "<\\/")
     return _PAGE.replace("@TITLE@", html.escape(title)).replace("@DATA@", data)
 

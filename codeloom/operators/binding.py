@@ -47,16 +47,15 @@ def bindings(targets: DataFrame, nodes: DataFrame) -> DataFrame:
     f = f.join(exact, f["low"] == exact["path"], "left").withColumn("base", base_name(F.col("low")))
     c = f.where("exact is null and ref <> ''").select("target", "ref", "base").join(by_base, "base")
     c = c.groupBy("target", "id").agg(F.max(shared_suffix(F.col("ref"), F.col("live"))).alias("score"))
-    c = c.groupBy("target").agg(F.count("*").alias("n"), F.max("score").alias("top"), F.array_sort(F.collect_set("id")).alias("ids"), F.min(F.struct((-F.col("score")).alias("s"), F.col("id"))).alias("best"))
-    tops = f.where("exact is null and ref <> ''").select("target", "ref", "base").join(by_base, "base").select("target", "id", shared_suffix(F.col("ref"), F.col("live")).alias("score")).distinct()
-    tied = tops.join(c.select("target", "top"), "target").where("score = top").groupBy("target").agg(F.count("*").alias("n_top"))
-    f = f.join(c, "target", "left").join(tied, "target", "left")
+    tied = c.groupBy("target", "score").agg(F.count("*").alias("k"), F.min("id").alias("least"), F.collect_list("id").alias("ids"))
+    c = tied.groupBy("target").agg(F.sum("k").alias("n"), F.max(F.struct("score", "k", "least")).alias("b"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"))
+    f = f.join(c.select("target", "n", "ids", F.col("b.score").alias("top"), F.col("b.k").alias("n_top"), F.col("b.least").alias("best")), "target", "left")
     unique = (F.col("top") > 1) & (F.col("n_top") == 1)
     no = F.lit(None).cast("string")
     files_bound = f.select(
         "target",
         F.when(F.col("ref") == "", "stale").when(F.col("exact").isNotNull(), "current").when(F.col("n").isNull(), "stale").when((F.col("n") == 1) | unique, "redirected").otherwise("ambiguous").alias("state"),
-        F.when(F.col("exact").isNotNull(), F.col("exact")).when((F.col("n") == 1) | unique, F.col("best.id")).otherwise(no).alias("bound_target"),
+        F.when(F.col("exact").isNotNull(), F.col("exact")).when((F.col("n") == 1) | unique, F.col("best")).otherwise(no).alias("bound_target"),
         F.when(F.col("exact").isNull() & (F.col("n") > 1) & ~unique, F.col("ids")).alias("suggestions"),
         F.when(F.col("ref") == "", "empty file reference").when(F.col("exact").isNotNull(), "exact file path match").when(F.col("n").isNull(), "no live file candidate matched the historical path").when(F.col("n") == 1, "unique basename match").when(unique, "best unique path-suffix match").otherwise("multiple live files share the historical basename").alias("evidence"),
     )
