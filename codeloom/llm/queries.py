@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_bpe, queries_decontaminate, queries_dedup, queries_langid, queries_lm, queries_pii, queries_pipeline, queries_quality, queries_rankbpe, queries_sharding, queries_topk, queries_urlfilter
+from . import queries_bpe, queries_collocations, queries_decontaminate, queries_dedup, queries_langid, queries_lm, queries_periodic, queries_pii, queries_pipeline, queries_quality, queries_rankbpe, queries_sharding, queries_topk, queries_urlfilter
 
-_MODULES = (queries_bpe, queries_decontaminate, queries_dedup, queries_langid, queries_lm, queries_pii, queries_pipeline, queries_quality, queries_rankbpe, queries_sharding, queries_topk, queries_urlfilter)
+_MODULES = (queries_bpe, queries_collocations, queries_decontaminate, queries_dedup, queries_langid, queries_lm, queries_periodic, queries_pii, queries_pipeline, queries_quality, queries_rankbpe, queries_sharding, queries_topk, queries_urlfilter)
 
 
 def queries() -> dict:

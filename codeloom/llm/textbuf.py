@@ -183,6 +183,21 @@ def hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix(out + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+class Hasher:
+    """``hashes`` of many sets of spans of one buffer; what they share is worked out once."""
+
+    def __init__(self, raw: np.ndarray) -> None:
+        self.raw, self.total = raw, None
+        if len(raw) <= 2 * _SPAN:
+            self.total = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum(_BYTE[raw] * _UP[: len(raw)], out=self.total[1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if self.total is None:
+            return hashes(self.raw, start, end)
+        return mix((self.total[end] - self.total[start]) * _DOWN[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def _equal(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, block: int = 1 << 19) -> np.ndarray:
     """Whether the ``size`` bytes from each ``a`` are those from ``b``."""
     out = np.ones(len(a), bool)
@@ -292,9 +307,9 @@ def xxh64(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 42) -
     return h
 
 
-def squeezed(raw: np.ndarray, at: np.ndarray, wordlike: np.ndarray) -> tuple[np.ndarray, Words]:
-    """The words of each row joined by single spaces, each row closed by one, and their places in that buffer."""
-    w = words(raw, at, wordlike)
+def squeezed(raw: np.ndarray, at: np.ndarray, wordlike: np.ndarray, w: Words | None = None) -> tuple[np.ndarray, Words]:
+    """The words of each row (``w``, where they are known) joined by single spaces, each row closed by one, and their places in that buffer."""
+    w = w or words(raw, at, wordlike)
     size = w.end - w.start
     out_end = np.cumsum(size + 1)
     out_start = out_end - size - 1
@@ -306,6 +321,14 @@ def squeezed(raw: np.ndarray, at: np.ndarray, wordlike: np.ndarray) -> tuple[np.
     return out, Words(out_start, out_end - 1, w.row_at)
 
 
+def spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The bytes of each span as a string."""
+    size = end - start
+    at = np.r_[0, np.cumsum(size)].astype(np.int64)
+    data = raw[np.repeat(start - at[:-1], size) + np.arange(at[-1])]
+    return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.string())
+
+
 def row_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sums of ``values`` over the rows that ``at`` delimits, empty rows too."""
     total = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
