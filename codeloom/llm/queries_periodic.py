@@ -11,12 +11,16 @@ from .periodic import periodic_runs
 def _repeating(text: Column, doc_id: Column) -> Column:
     """The text with its words from word a on replaced by the p words there, again and again, in the tenth of documents whose CRC ends in 0; all others as they are."""
     h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10).cast("long")
+
+    def repeated(words: Column) -> Column:  # a variable: written out, the words would be sought again for each of them
+        a = g % F.size(words)
+        p = 1 + F.floor((F.size(words) - a) / (3 + g % 8)).cast("long")
+        return F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int")))), " ")
+
     words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), 0)
-    n, g = F.size(words), F.floor(h / 10).cast("long")
-    a = g % n
-    p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
-    tail = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int"))))
-    return F.when((h % 10 == 0) & (F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]", "")) > 0), F.array_join(tail, " ")).otherwise(text)
+    made = F.element_at(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise("")), 1)
+    return F.when((h % 10 == 0) & text.isNotNull(), made).otherwise(text)
 
 
 def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
