@@ -19,10 +19,9 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .scratch import narrow_batches
+from .scratch import carried, narrow_batches, spread
 
 #: Texts of more characters are cut; stretches of more are halved down to leaves of at most half of this.
 LONG = 1 << 14
@@ -286,15 +285,14 @@ def _run(docs: DataFrame, path: str, columns: list[str], text: str, digests: boo
     narrow_batches(docs.sparkSession)
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids"]
     columns = [c for c in columns if c not in names]
-    source = docs.select(*columns, F.col(text).alias("__text"))
-    schema = "".join(f"`{n}` {t}, " for n, t in source.dtypes[:-1])
-    schema += "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
+    source, schema = carried(docs, columns, text)
+    schema = schema("n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.at(path)
         for batch in batches:
-            for b in tb.pieces(batch, "__text"):
-                flat, row_at, done = codec.encode_column(b.column(len(columns)))
+            for b in tb.pieces(batch, "value"):
+                flat, row_at, done = codec.encode_column(b.column(1))
                 if digests:
                     ids = flat.astype("<u4", copy=False).view(np.uint8)
                     made = [
@@ -304,23 +302,22 @@ def _run(docs: DataFrame, path: str, columns: list[str], text: str, digests: boo
                     ]
                 else:
                     made = [pa.ListArray.from_arrays(pa.array(row_at.astype(np.int32)), pa.array(flat))]
-                yield pa.record_batch([*(b.column(i) for i in range(len(columns))), *made], names=[*columns, *names])
+                yield pa.record_batch([b.column(0), *made], names=["kept", *names])
 
-    return source.mapInArrow(tb.returning(run), schema)
+    return spread(source.mapInArrow(tb.returning(run), schema), columns, {n: n for n in names})
 
 
 def decoded(rows: DataFrame, path: str, columns: list[str], ids: str = "ids") -> DataFrame:
     """``columns`` and the text of every row's ``ids``; a null list is an empty one. A column named text is replaced."""
     columns = [c for c in columns if c != "text"]
-    source = rows.select(*columns, F.col(ids).alias("__ids"))
-    schema = "".join(f"`{n}` {t}, " for n, t in source.dtypes[:-1]) + "text string"
+    source, schema = carried(rows, columns, ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.at(path)
         for batch in batches:
             for s in range(0, batch.num_rows, 256):
                 b = batch.slice(s, 256)
-                made = codec.decode([x.as_py() or [] for x in b.column(len(columns))])
-                yield pa.record_batch([*(b.column(i) for i in range(len(columns))), pa.array(made, pa.string())], names=[*columns, "text"])
+                made = codec.decode([x.as_py() or [] for x in b.column(1)])
+                yield pa.record_batch([b.column(0), pa.array(made, pa.string())], names=["kept", "text"])
 
-    return source.mapInArrow(tb.returning(run), schema)
+    return spread(source.mapInArrow(tb.returning(run), schema("text string")), columns, {"text": "text"})

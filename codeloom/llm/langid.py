@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .scratch import narrow_batches, written
+from .scratch import carried, narrow_batches, spread, written
 
 UNKNOWN = "und"
 
@@ -217,20 +217,19 @@ def predict(docs: DataFrame, model: LanguageFilter, columns: list[str], text: st
     language with most n-grams, with score 0. Repeated rows are judged each; columns called as the results are replaced.
     """
     columns = [c for c in columns if c not in names]
-    source = docs.select(*columns, F.col(text).alias("__text"))
-    schema = "".join(f"`{n}` {t}, " for n, t in source.dtypes[:-1]) + f"`{names[0]}` string, `{names[1]}` double"
+    source, schema = carried(docs, columns, text)
     model = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in batches:
-            for b in tb.pieces(batch, "__text"):
-                texts = b.column(len(columns))
+            for b in tb.pieces(batch, "value"):
+                texts = b.column(1)
                 raw, at = tb.buffers(texts)
                 best, score = own.decide(raw, at)
                 known = has_letter(raw, at, texts) if own.languages else np.zeros(len(best), bool)
                 named = [own.languages[i] if k else UNKNOWN for i, k in zip(best, known, strict=True)]
                 score = np.where(known, score, 0.0)
-                yield pa.record_batch([*(b.column(i) for i in range(len(columns))), pa.array(named, pa.string()), pa.array(score)], names=[*columns, *names])
+                yield pa.record_batch([b.column(0), pa.array(named, pa.string()), pa.array(score)], names=["kept", "named", "share"])
 
-    return source.mapInArrow(tb.returning(run), schema)
+    return spread(source.mapInArrow(tb.returning(run), schema("named string, share double")), columns, dict(zip(("named", "share"), names, strict=True)))

@@ -18,10 +18,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .scratch import narrow_batches
+from .scratch import carried, narrow_batches, spread
 
 #: A run has this many periods and this many words at least.
 PERIODS, LEAST = 4, 6
@@ -226,8 +225,8 @@ def periodic_runs(docs: DataFrame, columns: list[str], text: str = "text", perio
     narrow_batches(docs.sparkSession)
     made = ["runs", "n_words", "collapsed"]
     kept = [c for c in columns if c not in made]
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("kept"), F.col(f"`{text}`").alias("value"))
-    schema = f"kept {held.schema['kept'].dataType.simpleString()}, runs array<{_RUN}>, n_words long, collapsed string"
+    held, schema = carried(docs, kept, text)
+    schema = schema(f"runs array<{_RUN}>, n_words long, collapsed string")
     fields = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,5 +252,4 @@ def periodic_runs(docs: DataFrame, columns: list[str], text: str = "text", perio
                 lists = pa.ListArray.from_arrays(pa.array(kept_at.astype(np.int32)), words)
                 yield pa.record_batch([b.column(0), pa.array(each, pa.list_(fields)), pa.array(np.diff(w.row_at).astype(np.int64)), pc.binary_join(lists, " ")], names=["kept", *made])
 
-    out = held.mapInArrow(tb.returning(run), schema)
-    return out.select(*[F.col(f"kept.`{c}`").alias(c) for c in kept], *made)
+    return spread(held.mapInArrow(tb.returning(run), schema), kept, {n: n for n in made})

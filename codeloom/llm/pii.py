@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import textbuf as tb
 from .langid import folded
-from .scratch import narrow_batches
+from .scratch import carried, narrow_batches, spare, spread
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -456,12 +456,13 @@ def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
 def without_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     """Every row of ``docs`` with its own columns; ``text`` redacted."""
     narrow_batches(docs.sparkSession)
-    names = docs.columns
+    others = [c for c in docs.columns if c != text]
+    source, schema = carried(docs.withColumn(spare(docs.columns, "__none"), F.lit(None).cast("int")), [*others, spare(docs.columns, "__none")], text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in tb.pieces(batch, text):
-                clean = pa.array([redacted(t.as_py(), s) for t, s in zip(b.column(text), signs_of(*tb.buffers(b.column(text))), strict=True)], b.schema.field(text).type)
-                yield pa.record_batch([clean if n == text else b.column(n) for n in names], names=names)
+            for b in tb.pieces(batch, "value"):
+                clean = pa.array([redacted(t.as_py(), s) for t, s in zip(b.column(1), signs_of(*tb.buffers(b.column(1))), strict=True)], pa.string())
+                yield pa.record_batch([b.column(0), clean], names=["kept", "clean"])
 
-    return docs.mapInArrow(tb.returning(run), docs.schema)
+    return spread(source.mapInArrow(tb.returning(run), schema("clean string")), others, {"clean": text}).select(*[F.col(f"`{c}`") for c in docs.columns])

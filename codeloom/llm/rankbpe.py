@@ -25,10 +25,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .scratch import narrow_batches
+from .scratch import carried, narrow_batches, spread
 
 #: Texts of more characters are cut into parts of about so many.
 LONG = 1 << 16
@@ -121,21 +120,11 @@ class RankCodec:
         return b"".join(self.lib.decode_bytes(ids[s : s + step].tolist()) for s in range(0, len(ids), step))
 
 
-def _columns(df: DataFrame, columns: list[str], made: list[str], value: str) -> tuple[list[str], DataFrame, str]:
-    """Kept columns, the frame (``value`` last, whatever the others are called), and the schema of the kept ones."""
-    kept = [c for c in columns if c not in made]
-    held = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("kept"), F.col(f"`{value}`").alias("value"))
-    return kept, held, f"kept {held.schema['kept'].dataType.simpleString()}"
-
-
-def _spread(df: DataFrame, kept: list[str], made: list[str]) -> DataFrame:
-    return df.select(*[F.col(f"kept.`{c}`").alias(c) for c in kept], *made)
-
-
 def encoded(docs: DataFrame, ranks: str, columns: list[str], text: str = "text") -> DataFrame:
     """``columns`` and ids (array<int>) of every row; null and empty texts have none. Repeated rows stay; a column named ids is replaced."""
     narrow_batches(docs.sparkSession)
-    kept, held, schema = _columns(docs, columns, ["ids"], text)
+    kept = [c for c in columns if c != "ids"]
+    held, schema = carried(docs, kept, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = RankCodec.at(ranks)
@@ -145,12 +134,13 @@ def encoded(docs: DataFrame, ranks: str, columns: list[str], text: str = "text")
                 at = np.r_[0, np.cumsum([len(x) for x in each])].astype(np.int32)
                 yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(each).astype(np.int32)))], names=["kept", "ids"])
 
-    return _spread(held.mapInArrow(tb.returning(run), schema + ", ids array<int>"), kept, ["ids"])
+    return spread(held.mapInArrow(tb.returning(run), schema("ids array<int>")), kept, {"ids": "ids"})
 
 
 def decoded(rows: DataFrame, ranks: str, columns: list[str], ids: str = "ids") -> DataFrame:
     """``columns`` and the bytes (binary) of every row's ids; a null list is an empty one. A column named bytes is replaced."""
-    kept, held, schema = _columns(rows, columns, ["bytes"], ids)
+    kept = [c for c in columns if c != "bytes"]
+    held, schema = carried(rows, kept, ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = RankCodec.at(ranks)
@@ -160,14 +150,15 @@ def decoded(rows: DataFrame, ranks: str, columns: list[str], ids: str = "ids") -
                 made = [codec.decode(np.array(x.as_py() or [], np.uint32)) for x in b.column(1)]
                 yield pa.record_batch([b.column(0), pa.array(made, pa.binary())], names=["kept", "bytes"])
 
-    return _spread(held.mapInArrow(tb.returning(run), schema + ", bytes binary"), kept, ["bytes"])
+    return spread(held.mapInArrow(tb.returning(run), schema("bytes binary")), kept, {"bytes": "bytes"})
 
 
 def round_trip(docs: DataFrame, ranks: str, columns: list[str], text: str = "text") -> DataFrame:
     """``columns`` with n_tokens, the SHA-256 of the ids (little-endian, 32 bits) and that of the bytes decoded from them; no ids leave the task."""
     narrow_batches(docs.sparkSession)
     made = ["n_tokens", "ids_sha256", "decoded_sha256"]
-    kept, held, schema = _columns(docs, columns, made, text)
+    kept = [c for c in columns if c not in made]
+    held, schema = carried(docs, kept, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = RankCodec.at(ranks)
@@ -179,4 +170,4 @@ def round_trip(docs: DataFrame, ranks: str, columns: list[str], text: str = "tex
                     rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
                 yield pa.record_batch([b.column(0), *map(pa.array, zip(*rows, strict=True))], names=["kept", *made])
 
-    return _spread(held.mapInArrow(tb.returning(run), schema + ", n_tokens long, ids_sha256 string, decoded_sha256 string"), kept, made)
+    return spread(held.mapInArrow(tb.returning(run), schema("n_tokens long, ids_sha256 string, decoded_sha256 string")), kept, {n: n for n in made})

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _KEY = "spark.checkpoint.dir"
 
@@ -29,6 +32,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spare(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column is called so; case does not tell names apart."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def carried(df: DataFrame, columns: list[str], value: str) -> tuple[DataFrame, Callable[[str], StructType]]:
+    """(kept: a struct of ``columns``, value: the column ``value``), and the schema of kept with more columns; no name in the struct can clash with another."""
+    held = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("kept"), F.col(f"`{value}`").alias("value"))
+    return held, lambda more: StructType([held.schema["kept"], *StructType.fromDDL(more).fields])
+
+
+def spread(df: DataFrame, columns: list[str], made: dict[str, str]) -> DataFrame:
+    """The columns in the struct kept, then ``made``: new names of other columns."""
+    return df.select(*[F.col(f"kept.`{c}`").alias(c) for c in columns], *[F.col(c).alias(name) for c, name in made.items()])
+
+
 def narrow_batches(spark: SparkSession, max_bytes: int = 8 << 20) -> None:
     """Bounds what an Arrow batch holds, so that long texts do not add up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(max_bytes))

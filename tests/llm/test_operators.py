@@ -590,3 +590,51 @@ def test_pipeline_decontaminates_each_row(spark, tmp_path):
     df = spark.createDataFrame([(None, bad), (None, "clean text without an id"), (4, bad), (4, "clean text of a shared id"), (6, "clean too")], "doc_id long, text string")
     got = corpus_pipeline.decontaminate(spark, df.repartition(2), str(tmp_path)).collect()
     assert sorted(r.text for r in got) == ["clean text of a shared id", "clean text without an id", "clean too"]
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
+    """Names that stages use for themselves, as columns of the caller: nothing crashes, nothing is overwritten."""
+    import corpus_pipeline
+
+    folder = str(tmp_path / "sf")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    names = ["__row", "__text", "__lang", "__score", "__ids", "row", "s", "t", "k", "root", "hits", "kept", "value", "a.b", "__ROW_"]
+    docs = spark.createDataFrame([(1, "one text of a house"), (2, "one text of a garden"), (None, "another text here"), (3, "a short phrase here")], "doc_id long, text string")
+    docs = docs.select("*", F.lit("en").alias("lang"), F.lit("x").alias("source"), F.lit(0).alias("n_chars"), *[F.lit(n).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, folder)
+        assert got.columns == docs.columns, name
+        assert all(r[n] == n for r in got.collect() for n in names), name
+        assert got.count() == {"language": 4, "near_dedup": 4, "decontaminate": 3, "personal_data": 4}[name]
+
+
+def test_near_duplicates_exactly(spark):
+    """With ``exact`` the groups are those of comparing all pairs, chains and large groups of near copies too."""
+    from codeloom.llm import neardup
+
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 400)}" for _ in range(60)]
+    texts = []
+    for g in range(6):
+        own = base[:10] + [f"g{g}x{rng.randint(0, 99)}" for _ in range(70)]
+        for _ in range(12):
+            t = list(own)
+            for _ in range(rng.randint(0, 3)):
+                t[rng.randrange(len(t))] = f"n{rng.randint(0, 10**6)}"
+            texts.append(" ".join(t))
+    sets = [set(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = sorted({find(i) for i in range(len(texts))})
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in neardup.one_of_similar(df, exact=True).collect()) == want
