@@ -90,17 +90,21 @@ class _Text:
 
 
 class _Buckets:
-    """Counts of buckets in a task: an array where they are few, else sorted pairs, given out whenever many have gathered."""
+    """Counts of buckets in a task: an array where they are few, else sorted pairs, given out whenever many have gathered.
 
-    def __init__(self, bits: int) -> None:
-        self.dense = np.zeros(1 << bits, np.int32) if bits <= DENSE else None
+    The array ends each count at ``most``, the support: sums of such counts reach it when and only when the true ones do.
+    """
+
+    def __init__(self, bits: int, most: int) -> None:
+        self.dense = np.zeros(1 << bits, np.uint8 if most < 256 else np.int32) if bits <= DENSE else None
+        self.most = most
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
     def add(self, buckets: np.ndarray) -> Iterator[pa.RecordBatch]:
         if self.dense is not None:
             keys, n = np.unique(buckets.astype(np.int32), return_counts=True)
-            self.dense[keys] += n.astype(np.int32)
+            self.dense[keys] = np.minimum(self.dense[keys] + n, self.most)
             return
         self.held.append(np.unique(buckets, return_counts=True))
         self.size += len(self.held[-1][0])
@@ -170,7 +174,7 @@ def _pass(docs: DataFrame, k: int, bits: int, least: int, longest: int, frequent
     known = None if k == 1 else (spark.sparkContext.broadcast(frequent), spark.sparkContext.broadcast(buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered = _Buckets(bits)
+        gathered = _Buckets(bits, least)
         for batch in batches:
             for b in tb.pieces(batch, "text", PIECE):
                 t = _Text(b)

@@ -62,7 +62,7 @@ def test_phrases(spark, monkeypatch, bits, most, dense, piece):
 def test_many_buckets_are_given_out_in_parts(monkeypatch):
     monkeypatch.setattr(c, "GATHERED", 50)
     rng, want = random.Random(1), Counter()
-    b = c._Buckets(c.DENSE + 1)
+    b = c._Buckets(c.DENSE + 1, 30)
     got = Counter()
     import numpy as np
 
