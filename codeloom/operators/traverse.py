@@ -189,57 +189,120 @@ def path_root(path: Column) -> Column:
     )
 
 
+# What an inner file of a path adds to the path's rank, and what the path itself does.
+INSIDE_TARGET, INDEX_FILE, CONFIG_FILE, TYPES_FILE = 40, 30, 25, 10
+INSIDE_SOURCE, DOMAIN_FOLDER, CONTEXT_FOLDER = 20, 15, 10
+INDIRECT, ALL_INSIDE = 10, 20
+#: Files of a path beyond the shortest one, and at most.
+LONGER, MOST_FILES = 3, 8
+
+
+def inner_score(file: Column, source: Column, target: Column) -> Column:
+    """Q11: what one inner file adds, given the roots of the path's ends."""
+    p = normal_path(file)
+    base = base_name(p)
+    context = p.contains("/context/") & ~p.contains("/presentation/context/") & ~p.contains("/shared/contexts/")
+    return (
+        _points((target != "") & p.startswith(target), INSIDE_TARGET)
+        + _points(base.startswith("index."), INDEX_FILE)
+        + _points(base == "config.go", CONFIG_FILE)
+        + _points(base == "types.go", TYPES_FILE)
+        - _points((source != "") & (target != "") & (source != target) & p.startswith(source), INSIDE_SOURCE)
+        - _points(p.contains("/domain/"), DOMAIN_FOLDER)
+        - _points(context, CONTEXT_FOLDER)
+    )
+
+
 def path_score(files: Column) -> Column:
     """Q11: score of a path given as the array of its nodes' files, in order; by higher-order functions alone."""
     n = F.size(files)
     source, target = path_root(F.element_at(files, 1)), path_root(F.element_at(files, -1))
     inner = F.when(n > 2, F.slice(files, 2, F.greatest(n - 2, F.lit(0)))).otherwise(F.array().cast("array<string>"))
-
-    def points(f: Column) -> Column:
-        p = normal_path(f)
-        base = base_name(p)
-        context = p.contains("/context/") & ~p.contains("/presentation/context/") & ~p.contains("/shared/contexts/")
-        return (
-            _points((target != "") & p.startswith(target), 40)
-            + _points(base.startswith("index."), 30)
-            + _points(base == "config.go", 25)
-            + _points(base == "types.go", 10)
-            - _points((source != "") & (target != "") & (source != target) & p.startswith(source), 20)
-            - _points(p.contains("/domain/"), 15)
-            - _points(context, 10)
-        )
-
-    total = F.aggregate(inner, F.lit(0), lambda a, f: a + points(f))
+    total = F.aggregate(inner, F.lit(0), lambda a, f: a + inner_score(f, source, target))
     all_in = (n > 2) & F.forall(inner, lambda f: (target != "") & normal_path(f).startswith(target))
-    return F.when(n < 2, 0).otherwise(total - n + _points(n > 2, 10) + _points(all_in, 20))
+    return F.when(n < 2, 0).otherwise(total - n + _points(n > 2, INDIRECT) + _points(all_in, ALL_INSIDE))
 
 
 def ranked_file_path(nodes: DataFrame, edges: DataFrame, source: str, target: str) -> DataFrame:
-    """Q9: the best-scored simple path of at most min(shortest + 3, 8) files: (hop, id), no rows without a path.
-
-    Paths grow a node at a time over the file edges that lie both ahead of the source and behind the target, within the
-    hops that are left. Ties: the shorter, then the lexicographically least path.
+    """Q9, Q13: the best-scored simple path of at most min(shortest + 3, 8) files: (hop, id), no rows without a path.
+
+    Labels are set level by level: of all walks to a node with as many files, whose inner files all lie under the target's root or
+    do not, only the one of best score is kept, of equal ones the lexicographically least; a grouped minimum. So a level holds two
+    labels a node, however many paths there are. A walk may meet a node twice. If the best one does, its repeated nodes become
+    critical: labels then also tell which critical nodes they have met and meet none again, and all is done anew. From the second
+    time on, labels are left out that cannot reach the best simple path found so far: the most that walks back from the target
+    can add bounds what the rest of a path adds. Ties: the shorter, then the lexicographically least path.
     """
+    spark = nodes.sparkSession
+    if source == target:
+        known = nodes.where((F.col("kind") == "file") & (F.col("id") == source))
+        return known.select(F.lit(0).alias("hop"), "id").limit(1)
     files = nodes.where("kind = 'file'").select("id", "file")
     ends = edges.where("relation <> 'contains'").select("src", "dst").distinct()
-    pairs = ends.join(files.select(F.col("id").alias("src")), "src", "left_semi").join(files.select(F.col("id").alias("dst")), "dst", "left_semi")
-    spark = nodes.sparkSession
+    pairs = scratch(ends.join(files.select(F.col("id").alias("src")), "src", "left_semi").join(files.select(F.col("id").alias("dst")), "dst", "left_semi"), "file-pairs")
     one = lambda x: spark.createDataFrame([(x,)], "id string")
-    ahead = reachable(pairs, one(source), 7)
-    behind = reachable(flipped(pairs), one(target), 7)
+    ahead = reachable(pairs, one(source), MOST_FILES - 1)
+    behind = reachable(flipped(pairs), one(target), MOST_FILES - 1)
     gap = ahead.where(F.col("id") == target).agg(F.min("hops")).first()[0]
     if gap is None:
         return spark.createDataFrame([], "hop int, id string")
-    most = min(gap + 1 + 3, 8)
+    most = min(gap + 1 + LONGER, MOST_FILES)
+    # what lies ahead of the source and behind the target, within the files that are left
     room = ahead.select("id", F.col("hops").alias("a")).join(behind.select("id", F.col("hops").alias("b")), "id").where(F.col("a") + F.col("b") < most)
-    near = pairs.join(room.select(F.col("id").alias("src")), "src", "left_semi").join(room.select(F.col("id").alias("dst"), "b"), "dst")
-    near = scratch(near.join(files.select(F.col("id").alias("dst"), F.col("file").alias("f")), "dst"), "near")
-    paths = one(source).join(files, "id").select(F.array("id").alias("ids"), F.array("file").alias("files"))
-    done = paths.where(F.lit(source == target))
+    of = {r.id: r.file for r in files.where(F.col("id").isin(source, target)).collect()}
+    roots = spark.range(1).select(path_root(F.lit(of[source])).alias("s"), path_root(F.lit(of[target])).alias("t")).first()
+    near = pairs.join(room.select(F.col("id").alias("src")), "src", "left_semi").join(room.select(F.col("id").alias("dst"), "b"), "dst").join(files.withColumnRenamed("id", "dst"), "dst")
+    inside = F.lit(roots.t != "") & normal_path(F.col("file")).startswith(F.lit(roots.t))
+    near = near.where(F.col("dst") != source).select("src", "dst", "b", inner_score(F.col("file"), F.lit(roots.s), F.lit(roots.t)).alias("w"), inside.alias("in"))
+    near = scratch(near, "near")
+    critical: list[str] = []
+    least = bounds = None
+    while True:
+        best, simple = _best_walk(near, source, target, most, critical, bounds, least)
+        if simple is not None and (least is None or simple > least):
+            least = simple
+        if len(set(best)) == len(best):
+            return spark.createDataFrame(list(enumerate(best)), "hop int, id string")
+        critical = sorted({*critical, *(x for x in best if best.count(x) > 1)})
+        bounds = bounds if bounds is not None else _rest_bounds(near, target, most)
+
+
+def _best_walk(near: DataFrame, source: str, target: str, most: int, critical: list[str], bounds: DataFrame | None, least: int | None) -> tuple[list[str], int | None]:
+    """(the best walk that meets no critical node twice, the score of the best simple one among those that ended)."""
+    spark = near.sparkSession
+    labels = spark.createDataFrame([(source, [], True, 0, [source])], "src string, met array<string>, inside boolean, score int, path array<string>")
+    ended = None
+    is_critical = F.col("dst").isin(critical) if critical else F.lit(False)
     for n in range(2, most + 1):
-        grown = paths.withColumn("src", F.element_at("ids", -1)).join(near, "src").where(~F.array_contains("ids", F.col("dst")) & (F.col("b") + n <= most))
-        paths = scratch(grown.select(F.array_append("ids", F.col("dst")).alias("ids"), F.array_append("files", F.col("f")).alias("files")), "paths")
-        done = done.unionByName(paths.where(F.element_at("ids", -1) == target))
-        paths = paths.where(F.element_at("ids", -1) != target)
-    best = done.select("ids", path_score(F.col("files")).alias("score")).orderBy(F.desc("score"), F.size("ids"), F.array_join("ids", "\0")).limit(1)
-    return best.select(F.posexplode("ids").alias("hop", "id"))
+        grown = labels.join(near, "src").where((F.col("b") + n <= most) & ~F.array_contains("met", F.col("dst")))
+        path = F.array_append("path", F.col("dst"))
+        final = F.col("score") - n + (F.lit(INDIRECT) + _points(F.col("inside"), ALL_INSIDE) if n > 2 else F.lit(0))
+        there = grown.where(F.col("dst") == target).select(final.alias("score"), F.lit(n).alias("n"), path.alias("path"))
+        ended = there if ended is None else ended.unionByName(there)
+        if n == most:
+            break
+        step = grown.where(F.col("dst") != target).select(
+            F.col("dst").alias("src"), F.when(is_critical, F.array_sort(F.array_append("met", F.col("dst")))).otherwise(F.col("met")).alias("met"), (F.col("inside") & F.col("in")).alias("inside"), (F.col("score") + F.col("w")).alias("score"), path.alias("path")
+        )
+        kept = step.groupBy("src", "met", "inside").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("path").alias("p"))).alias("k"))
+        labels = kept.select("src", "met", "inside", (-F.col("k.s")).cast("int").alias("score"), F.col("k.p").alias("path"))
+        if bounds is not None and least is not None:
+            rest = bounds.where(F.col("hops") <= most - n).groupBy("src").agg(F.max(F.col("rest") - F.col("hops")).alias("rest"))
+            reach = F.col("score") + F.col("rest") - n + INDIRECT + _points(F.col("inside"), ALL_INSIDE)
+            labels = labels.join(rest, "src").where(reach >= least).drop("rest")
+        labels = scratch(labels, "walk-labels")
+    ended = scratch(ended, "walks-ended")
+    best = ended.agg(F.min(F.struct((-F.col("score")).alias("s"), "n", "path")).alias("b")).first().b
+    simple = ended.where(F.size(F.array_distinct("path")) == F.size("path")).agg(F.max("score")).first()[0]
+    return list(best.path), simple
+
+
+def _rest_bounds(near: DataFrame, target: str, most: int) -> DataFrame:
+    """(src, hops, rest): the most that the inner files of a walk of so many hops from src to the target can add."""
+    now = near.where(F.col("dst") == target).select("src", F.lit(1).alias("hops"), F.lit(0).alias("rest")).distinct()
+    every = now
+    for h in range(2, most):
+        back = near.where(F.col("dst") != target).join(now.select(F.col("src").alias("dst"), "rest"), "dst")
+        now = scratch(back.groupBy("src").agg(F.max(F.col("rest") + F.col("w")).alias("rest")).select("src", F.lit(h).alias("hops"), "rest"), "rest")
+        every = every.unionByName(now)
+    return scratch(every, "rest")
