@@ -28,16 +28,21 @@ def local_session(cores: int = 8, app: str = "codeloom", **conf: str) -> SparkSe
     return spark
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the cluster's checkpoint folder and read again: lineage is cut in a form that outlives executors."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder, which driver and executors share; one of our own only where the session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="codeloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/codeloom-graph/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/codeloom-graph"
+
+
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the cluster's checkpoint folder and read again: lineage is cut in a form that outlives executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
