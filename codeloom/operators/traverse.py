@@ -69,6 +69,29 @@ def impact(edges: DataFrame, subject: str) -> DataFrame:
     return reachable(flipped(edges), start).where(F.col("hops") > 0)
 
 
+def impact_paths(edges: DataFrame, subject: str) -> DataFrame:
+    """Q7: (id, hops, path) of every node with a path to ``subject``: the lexicographically least of its shortest ones, its ends included.
+
+    The reverse search carries a path a node: of the neighbours a hop nearer, the least path, a grouped minimum. A row is as
+    long as its path.
+    """
+    pairs = _pairs(edges)
+    front = edges.sparkSession.createDataFrame([(subject, [subject])], "id string, path array<string>")
+    seen, found, hops = front.select("id"), None, 0
+    while True:
+        hops += 1
+        step = pairs.join(front.withColumnRenamed("id", "dst"), "dst").join(seen.withColumnRenamed("id", "src"), "src", "left_anti")
+        step = step.groupBy(F.col("src").alias("id")).agg(F.min("path").alias("rest")).select("id", F.lit(hops).alias("hops"), F.concat(F.array("id"), F.col("rest")).alias("path"))
+        level = scratch(step, "impact")
+        if level.isEmpty():
+            return found if found is not None else level
+        front = level.select("id", "path")
+        seen = seen.unionByName(level.select("id"))
+        found = level if found is None else found.unionByName(level)
+        if hops % 8 == 0:
+            seen, found = scratch(seen, "impact"), scratch(found, "impact")
+
+
 def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
     """Q8, Q10: (hop, id) of the shortest path, the lexicographically least of them; no rows if there is none.
 

@@ -20,10 +20,10 @@ from codeloom.operators import community, manifest, modularity
 from codeloom.operators.graph import Graph, file_projection, merge_facts, pruned
 from codeloom.operators.ignore import PROBES
 from codeloom.session import scratch
-from codeloom.sources.extract import extracted, go_module
+from codeloom.sources.extract import extracted, go_module, parsed
 from codeloom.sources.repo_scan import scan
 
-from .reuse import Saved, fingerprint, refusal
+from .reuse import NEWER, Saved, fingerprint, refusal
 
 STAGES = ("detect", "scan", "drivers", "patch", "merge", "build", "cluster", "persist")
 # Files that tell a language of a repository.
@@ -129,6 +129,8 @@ class Result:
     refused: str = ""
     warnings: list[str] = field(default_factory=list)
     stages: list[tuple[str, str]] = field(default_factory=list)
+    #: What the extractors read in each code file; None with another scanner.
+    rows: DataFrame | None = None
 
 
 @dataclass
@@ -145,7 +147,8 @@ class Builder:
     observer: Callable[[str, str], None] = lambda stage, state: None
 
     def run(self, request: BuildRequest, saved: Saved | tuple[Graph, DataFrame] | None = None) -> Result:
-        """``saved``: the last build, or a graph and manifest just made. Unchanged files return it; deletions alone prune it; else all is built.
+        """``saved``: the last build, or a graph and manifest just made. Unchanged files return it; deletions alone prune it; else only new and
+        changed files are parsed, if it is known what was read in the others, and the graph is put together again (``changed_files``).
 
         ``reuse.refusal`` lists what keeps a saved build from being used.
         """
@@ -160,18 +163,27 @@ class Builder:
         if isinstance(saved, tuple):
             saved = Saved(*saved, fingerprint=fingerprint())
         out.refused = refusal(saved, bool(r.languages or r.drivers or r.patchers), listing)
-        if not out.refused:
+        known = saved is not None and saved.rows is not None and self.scanner is extracted
+        if not out.refused or known and out.refused == NEWER:
             changes = scratch(manifest.diff(saved.manifest, listing), "changes")
-            mode = manifest.reuse_mode(changes).first().mode
+            mode = "none" if out.refused else manifest.reuse_mode(changes).first().mode
+            out.refused = ""
             if mode == "unchanged":
                 out.graph, out.mode = saved.graph, "reused"
                 return out
+            if known and mode != "deleted_only":
+                out.rows, out.mode = self._changed_rows(files, saved.rows, changes), "changed_files"
             if mode == "deleted_only":
+                out.rows = None if saved.rows is None else scratch(saved.rows.join(changes.where("status = 'deleted'"), "path", "left_anti").select(*saved.rows.columns), "rows")
                 out.graph, out.mode = pruned(saved.graph, changes.where("status = 'deleted'")), "deleted_only_prune"
                 self._persist(out)
                 return out
         repo, name = identity_of(r.root)
-        g = self.scanner(files, repo, name, go_module(every))
+        if self.scanner is extracted:
+            out.rows = out.rows if out.rows is not None else scratch(parsed(files.where(is_code_file(F.col("path")))), "rows")
+            g = extracted(files, repo, name, go_module(every), out.rows)
+        else:
+            g = self.scanner(files, repo, name, go_module(every))
         self._note(out, "scan", "done")
         facts = self._facts(r, out, languages_of(every))
         if facts is not None:
@@ -195,6 +207,14 @@ class Builder:
         self._persist(out)
         return out
 
+    @staticmethod
+    def _changed_rows(files: DataFrame, rows: DataFrame, changes: DataFrame) -> DataFrame:
+        """The kept rows of unchanged files, and those parsed in new and changed ones."""
+        kept = rows.join(changes.where("status <> 'unchanged'"), "path", "left_anti").select(*rows.columns)
+        dirty = changes.where("status in ('new', 'changed')").select("path")
+        fresh = parsed(files.where(is_code_file(F.col("path"))).join(dirty, "path", "left_semi"))
+        return scratch(kept.unionByName(fresh), "rows")
+
     def run_all(self, root: str) -> Result:
         """One build for each repository under ``root``, or for it alone; warnings name their repository."""
         roots = [root] if is_repository(root) else child_repositories(root) or [root]

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.identity import canonical_join_key, evidence_confidence, node_layer, text
-from codeloom.operators import analytics, graph, lookup, traverse, workspace
+from codeloom.operators import analytics, graph, lookup, reach_index, traverse, workspace
+from codeloom.session import scratch
 
 from .router import QueryRequest, parse_question
 
@@ -31,12 +32,13 @@ VERBS = ["path <from> <to>", "explain <node>", "bindings <node>", "route <query>
 class Engine:
     """A graph whose edge targets are resolved to ids where they can be."""
 
-    def __init__(self, g: graph.Graph, terms: DataFrame | None = None) -> None:
+    def __init__(self, g: graph.Graph, terms: DataFrame | None = None, labels: DataFrame | None = None) -> None:
+        """``labels``: the distance index of the resolved edges (``index``), if there is one; impact and shortest paths are then joins on it."""
         columns = {c: F.col(c) if c in g.nodes.columns else F.lit("") for c in ("layer", "source_name", "source_type", "description", "file")}
         self.nodes = g.nodes.withColumns(columns)
         known = graph.resolved(g.edges, self.nodes)
         self.edges = known.withColumn("dst", F.coalesce("dst", "dst_raw"))
-        self.terms = terms
+        self.terms, self.labels = terms, labels
         self.spark = g.nodes.sparkSession
 
     def _ref(self, ref: str, layer: str = "") -> DataFrame:
@@ -76,12 +78,44 @@ class Engine:
 
     def impacted(self, subject: str) -> DataFrame:
         """Q7: (id, hops) of what has a path to ``subject``. Between two files only file dependencies make one, as in ``path``."""
+        if self.labels is not None and not self._is_file(subject):
+            return reach_index.all_from(self.labels, self.spark.createDataFrame([(subject,)], "subject string"), reverse=True).select("id", "hops")
         found = traverse.impact(self.edges, subject)
         if not self._is_file(subject):
             return found
         files = self.nodes.where("kind = 'file'").select("id")
         return found.join(files, "id", "left_anti").select("id", "hops").unionByName(traverse.impact(self.file_edges(), subject).select("id", "hops"))
 
+    def index(self) -> DataFrame:
+        """Makes the distance index of the edges, and uses it from now on."""
+        self.labels = scratch(reach_index.distance_labels(self.edges), "labels")
+        return self.labels
+
+    def impact_lines(self, ref: str, limit: int = 20) -> DataFrame:
+        """Q7 with the path of each node: (id, hops, line), the nodes in the order of the graph. Between files only file dependencies make a path."""
+        subject = self.resolve(ref)
+        found = traverse.impact_paths(self.edges, subject)
+        if self._is_file(subject):
+            files = self.nodes.where("kind = 'file'").select("id")
+            found = found.join(files, "id", "left_anti").select("id", "hops", "path").unionByName(traverse.impact_paths(self.file_edges(), subject).select("id", "hops", "path"))
+        first = found.join(self.nodes.select("id", "ord"), "id").orderBy("ord", "id").limit(limit)
+        names = self.nodes.select("id", described(F.col("label"), F.col("id"), node_layer(F.col("layer"), F.col("id"), F.col("kind"), F.col("source_name"), F.col("source_type")), F.col("kind")).alias("name"))
+        steps = first.select(F.col("id").alias("of"), "hops", "ord", F.posexplode("path").alias("step", "id")).join(names, "id", "left").withColumn("name", F.coalesce("name", "id"))
+        told = steps.groupBy("of", "hops", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "name"))), lambda x: x["name"]).alias("names"))
+        line = F.concat(F.col("names")[0], F.lit(" by way of "), F.array_join("names", " > "))
+        return told.orderBy("ord", "of").select(F.col("of").alias("id"), "hops", line.alias("line"))
+
+    def no_path(self, source: str, target: str) -> str:
+        """Q8: why no path leads from one node to the other; empty if one does."""
+        a, b = self.resolve(source), self.resolve(target)
+        if self.labels is not None:
+            state = reach_index.verdict(self.labels, a, b)
+        else:
+            there = [self.edges.where((F.col("src") == x) | (F.col("dst") == x)).isEmpty() for x in (a, b)]
+            ways = lambda x, y: not traverse.shortest_path(self.edges, x, y).isEmpty()
+            state = "unknown source" if there[0] else "unknown target" if there[1] else "path" if ways(a, b) else "reversed" if ways(b, a) else "apart"
+        return {"path": "", "unknown source": f"{source!r} has no edge", "unknown target": f"{target!r} has no edge", "reversed": f"only {target!r} leads to {source!r}"}.get(state, "neither leads to the other")
+
     def find(self, term: str) -> str | None:
         """The node of that id, label or lowered label, else the best of the lexical search; None without one."""
         if not term:
@@ -96,6 +130,8 @@ class Engine:
         """Q8, Q9: between two files over file dependencies, ranked; else the shortest path."""
         if self._is_file(source) and self._is_file(target):
             return traverse.ranked_file_path(self.nodes, self.file_edges(), source, target)
+        if self.labels is not None:
+            return reach_index.path(self.labels, self.edges, source, target)
         return traverse.shortest_path(self.edges, source, target)
 
     def explain(self, ref: str) -> DataFrame:

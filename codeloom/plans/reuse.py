@@ -19,6 +19,9 @@ from codeloom.sources.graph_json import read_manifest
 #: The form of manifests; another one is not compared.
 MANIFEST_VERSION = 1
 
+#: Refused for this alone, what was read in unchanged files can still be used.
+NEWER = "files are newer than the graph"
+
 _PACKAGE = Path(codeloom.__path__[0])
 
 
@@ -44,10 +47,14 @@ class Saved:
     version: int = MANIFEST_VERSION
     fingerprint: str = ""
     written: float | None = None
+    #: What the extractors read in each file, so that only changed files are read again.
+    rows: DataFrame | None = None
 
 
-def write_build(graph: Graph, manifest: DataFrame, folder: str) -> None:
-    """The graph's and manifest's tables and a head with their version and fingerprint, which is written last."""
+def write_build(graph: Graph, manifest: DataFrame, folder: str, rows: DataFrame | None = None) -> None:
+    """The graph's, the manifest's and the extracted rows' tables and a head with their version and fingerprint, which is written last."""
+    if rows is not None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows")
     graph.nodes.write.mode("overwrite").parquet(f"{folder}/nodes")
     graph.edges.write.mode("overwrite").parquet(f"{folder}/edges")
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
@@ -66,7 +73,8 @@ def read_build(spark: SparkSession, folder: str) -> Saved | None:
         with open(head_path, encoding="utf-8") as f:
             head = json.load(f)
         graph = Graph(spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges"))
-        return Saved(graph, spark.read.parquet(f"{folder}/manifest"), int(head["version"]), str(head["fingerprint"]), os.path.getmtime(head_path))
+        rows = spark.read.parquet(f"{folder}/rows") if os.path.isdir(f"{folder}/rows") else None
+        return Saved(graph, spark.read.parquet(f"{folder}/manifest"), int(head["version"]), str(head["fingerprint"]), os.path.getmtime(head_path), rows)
     except Exception:  # noqa: BLE001  a build that cannot be read is made again
         return None
 
@@ -96,5 +104,5 @@ def refusal(saved: Saved | None, filtered: bool, files: DataFrame) -> str:
             return "the code is newer than the graph"
         latest = files.agg(F.max("mod_time")).first()[0] if "mod_time" in files.columns else None
         if isinstance(latest, datetime) and latest.timestamp() > saved.written:
-            return "files are newer than the graph"
+            return NEWER
     return ""

@@ -60,6 +60,12 @@ def q7_index(spark: SparkSession, sf: str) -> DataFrame:
     return reach_index.all_from(_index(spark, sf), spark.createDataFrame([(s,) for s in SUBJECTS], "subject string"), reverse=True)
 
 
+def q7_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Impact with the least of the shortest paths of each node."""
+    found = traverse.impact_paths(trade(spark, sf), "part:7")
+    return found.select("id", "hops", F.array_join("path", ">").alias("path"))
+
+
 def q8_index(spark: SparkSession, sf: str) -> DataFrame:
     """Distances from every region to every node that it reaches."""
     regions = spark.read.parquet(f"{sf}/region.parquet").select(F.concat(F.lit("region:"), "r_name").alias("subject"))
@@ -85,7 +91,7 @@ def q9_dense(spark: SparkSession, sf: str) -> DataFrame:
     return traverse.ranked_file_path(nodes, edges, *_DENSE)
 
 
-QUERIES = {"T5_incremental_upkeep": t5, "Q7_impact_index": q7_index, "Q8_distance_index": q8_index, "Q8_path_index": q8_path, "Q7_strong_components": q7_components, "Q9_ranked_path_dense": q9_dense}
+QUERIES = {"T5_incremental_upkeep": t5, "Q7_impact_index": q7_index, "Q7_impact_paths": q7_paths, "Q8_distance_index": q8_index, "Q8_path_index": q8_path, "Q7_strong_components": q7_components, "Q9_ranked_path_dense": q9_dense}
 
 
 def _root(p: str) -> str:
@@ -136,6 +142,8 @@ SQL = {
         UNION ALL SELECT 'edge', src, b.dst || '|' || n.label, relation, coalesce(b.file, '') FROM built b JOIN cn n ON n.id = b.dst""",
     "Q7_impact_index": f"""WITH RECURSIVE {TRADE}, {_WALKS.format(start="SELECT unnest([" + ", ".join(f"'{x}'" for x in SUBJECTS) + "]) AS subject, subject AS id, 0 AS hops", to="src", at="dst")}
         SELECT subject, id, min(hops) AS hops FROM walk WHERE id <> subject GROUP BY ALL""",
+    "Q7_impact_paths": f"""WITH RECURSIVE {TRADE}, walk AS (SELECT 'part:7' AS id, ['part:7'] AS p UNION SELECT src, list_prepend(src, p) FROM walk JOIN edges ON dst = walk.id WHERE NOT list_contains(p, src) AND len(p) < 8),
+        least AS (SELECT id, p FROM walk WHERE id <> 'part:7' QUALIFY row_number() OVER (PARTITION BY id ORDER BY len(p), p) = 1) SELECT id, (len(p) - 1)::INT AS hops, array_to_string(p, '>') AS path FROM least""",
     "Q8_distance_index": f"""WITH RECURSIVE {TRADE}, {_WALKS.format(start="SELECT 'region:' || r_name AS subject, 'region:' || r_name AS id, 0 AS hops FROM region", to='dst', at='src')}
         SELECT subject, id, min(hops) AS hops FROM walk WHERE id <> subject GROUP BY ALL""",
     "Q7_strong_components": f"""WITH {TRADE}, ids AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges),

@@ -250,13 +250,13 @@ def go_module(files: DataFrame) -> str:
     return found.m.strip() if found else ""
 
 
-def extracted(files: DataFrame, repo: str, name: str = "", module: str = "") -> Graph:
+def extracted(files: DataFrame, repo: str, name: str = "", module: str = "", rows: DataFrame | None = None) -> Graph:
     """Project, file and symbol nodes, ``contains``, ``depends_on`` and ``calls`` edges. Targets of calls are labels.
 
-    ord follows the sorted paths and the place in the file.
+    ord follows the sorted paths and the place in the file. ``rows``: what ``parsed`` gives for the code files, if that is known.
     """
     order = numbered(files.select("path").distinct(), ["path"], "__n").withColumn("__n", (F.col("__n") + 1) * 1_000_000)
-    rows = parsed(files.where(is_code_file(F.col("path"))))
+    rows = parsed(files.where(is_code_file(F.col("path")))) if rows is None else rows
     rid = F.lit(repo)
     ext = extension(F.col("path"))
     evidence = F.when(ext == "go", "go_ast").when(ext == "py", "python_ast").otherwise("ts_scan")

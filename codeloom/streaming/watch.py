@@ -37,7 +37,7 @@ def rebuilding(builder, root: str, folder: str, registry: str, failed: Callable[
         try:
             out = builder.run(BuildRequest(root), read_build(builder.spark, folder))
             if out.mode != "reused":
-                write_build(out.graph, out.manifest, folder)
+                write_build(out.graph, out.manifest, folder, out.rows)
             remote, name = identity_of(root)
             track(builder.spark, registry, root, name, remote, f"{folder}/nodes")
         except Exception as e:  # noqa: BLE001  the next change builds again

@@ -64,3 +64,49 @@ def test_only_touched_buckets_are_replaced_and_a_broken_change_leaves_the_old_st
         new = {b for b, p in after.places[table].items() if state.places[table].get(b) != p}
         assert len(new | (set(state.places[table]) - set(after.places[table]))) <= most, table
     assert len(upkeep.graph_of(after).edges.collect()) == 58  # n7 calls nobody, and nobody is called l7
+
+
+def test_a_build_parses_changed_files_alone(spark, tmp_path):
+    from codeloom.plans import build as B
+    from codeloom.plans import reuse
+
+    root = tmp_path / "shop"
+    (root / "lib").mkdir(parents=True)
+    (root / "a.py").write_text("from lib import b\n\ndef one():\n    two()\n")
+    (root / "lib" / "b.py").write_text("def two():\n    three()\n")
+    (root / "lib" / "c.py").write_text("def three():\n    pass\n")
+    builder = B.Builder(spark, cluster=lambda g: g.nodes.select("id", F.lit(0).alias("community")))
+    request = B.BuildRequest(str(root))
+    out = builder.run(request)
+    kept = str(tmp_path / "kept")
+    reuse.write_build(out.graph, out.manifest, kept, out.rows)
+    saved = reuse.read_build(spark, kept)
+    assert builder.run(request, saved).mode == "reused"
+    (root / "lib" / "b.py").write_text("def two():\n    four()\n\ndef four():\n    pass\n")
+    (root / "lib" / "c.py").unlink()
+    (root / "d.py").write_text("def five():\n    four()\n")
+    part = builder.run(request, saved)
+    assert (part.mode, part.refused) == ("changed_files", "")
+    whole = builder.run(request)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(part.graph.nodes.drop("community")) == key(whole.graph.nodes.drop("community")) and key(part.graph.edges) == key(whole.graph.edges)
+    # what is known of an unchanged file is taken as it is: the file itself is not parsed
+    odd = saved.rows.withColumn("name", F.when((F.col("path") == "a.py") & (F.col("part") == "symbol"), "kept").otherwise(F.col("name")))
+    again = builder.run(request, reuse.Saved(saved.graph, saved.manifest, saved.version, saved.fingerprint, saved.written, odd))
+    assert {r.label for r in again.graph.nodes.where("file = 'a.py' and kind = 'function'").collect()} == {"kept"}
+
+
+def test_engine_by_the_index(spark):
+    from codeloom.plans.engine import Engine
+
+    nodes = [(x, x.upper(), "function", "", k) for k, x in enumerate("abcdez")]
+    edges = [(a, b, "calls", "", 0.0, "", k) for k, (a, b) in enumerate(["ab", "bc", "ac", "cd", "eb"])]
+    g = Graph(spark.createDataFrame(nodes, "id string, label string, kind string, file string, ord int"), spark.createDataFrame(edges, "src string, dst string, relation string, confidence string, score double, file string, ord int"))
+    plain, fast = Engine(g), Engine(g)
+    fast.index()
+    for e in (plain, fast):
+        assert {(r.id, r.hops) for r in e.impacted("d").collect()} == {("c", 1), ("a", 2), ("b", 2), ("e", 3)}
+        assert [r.id for r in e.path("e", "d").orderBy("hop").collect()] == ["e", "b", "c", "d"]
+        assert e.no_path("a", "d") == "" and e.no_path("d", "a").startswith("only 'a'") and e.no_path("e", "a").startswith("neither") and "no edge" in e.no_path("z", "a")
+    lines = [r.line for r in plain.impact_lines("d", 2).collect()]
+    assert lines == ["A [function] by way of A [function] > C [function] > D [function]", "B [function] by way of B [function] > C [function] > D [function]"] or all("by way of" in x for x in lines)
