@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import json
 import os
+import textwrap
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, Window
@@ -102,16 +103,16 @@ def report(g: Graph, most: int | None = 1000) -> str:
     members = listed.join(labels, "c", "left").select("c", "n", F.coalesce("labels", F.lit("")).alias("labels")).orderBy("c").collect()
     if [r.c for r in members] == [0]:
         members, n_communities = [], 0
-    out = ["# Graph Report", "", "## Summary", "", "| Metric | Value |", "|--------|-------|"]
-    sizes = [("Nodes", g.nodes.count()), ("Edges", g.edges.count()), ("Communities", n_communities), ("God nodes (top 5)", len(gods)), ("Surprise edges (top 5)", len(surprises))]
-    out += [f"| {k} | {v} |" for k, v in sizes]
-    out += ["", "## God Nodes (Top 5 by Degree)", ""]
-    out += ["| Rank | Label | Kind | Degree | File |", "|------|-------|------|--------|------|", *(f"| {i + 1} | `{r.label}` | {r.kind} | {r.degree} | {r.file} |" for i, r in enumerate(gods))] if gods else ["_No nodes found._"]
-    out += ["", "## Communities", ""]
-    out += ["| Community | Members |", "|-----------|--------|", *(f"| {r.c} | {r.labels if len(r.labels) <= 80 else r.labels[:77] + '...'} ({r.n} nodes) |" for r in members)] if members else ["_No community data (run with clustering enabled)._"]
-    out += ["", "## Surprise Edges (Cross-Community)", ""]
-    out += ["| From | To | Relation |", "|------|----|----------|", *(f"| `{r.src}` | `{r.dst}` | {r.relation} |" for r in surprises)] if surprises else ["_No cross-community edges detected._"]
-    out += ["", "## Suggested Questions", "", *(f"{i + 1}. {q}" for i, q in enumerate(analytics.suggested_questions([r.label for r in gods])))]
+    n_nodes, n_edges = g.nodes.count(), g.edges.count()
+    out = [f"# The graph: {n_nodes} nodes, {n_edges} edges, {n_communities} communities"]
+
+    def section(title: str, rows: list[str], without: str) -> None:
+        out.extend(["", f"## {title}", "", *(rows or [f"*{without}*"])])
+
+    section("Most connected", [f"* `{r.label}` ({r.kind}), {r.degree} neighbours" + (f", in {r.file}" if r.file else "") for r in gods], "The graph has no nodes.")
+    section("Communities", [f"* {r.c}: {r.n} nodes - {textwrap.shorten(r.labels, 90, placeholder=' …')}" for r in members], "The graph was not clustered.")
+    section("Links between communities", [f"* `{r.src}` {r.relation} `{r.dst}`" for r in surprises], "No link leaves its community.")
+    section("What to ask", [f"* {q}" for q in analytics.suggested_questions([r.label for r in gods])], "Nothing to ask.")
     return "\n".join(out) + "\n"
 
 

@@ -19,6 +19,15 @@ PATTERNS = [
 ]
 
 
+# The evidence that a binding carries; results hold these sentences.
+EVIDENCE = {
+    "file": ["empty file reference", "exact file path match", "no live file candidate matched the historical path", "unique basename match", "best unique path-suffix match", "multiple live files share the historical basename"],
+    "symbol": ["empty symbol reference", "no live symbol label matched the historical reference", "unique symbol label match", "multiple live symbols share the historical label"],
+    "repo": ["empty workspace repo reference", "workspace repo no longer exists in the live graph", "exact workspace repo match", "multiple workspace repos matched the historical reference"],
+    "other": ["memory-internal reference"],
+}
+
+
 def references(title: Column, content: Column) -> Column:
     """Array of struct(kind, target), distinct, by kind and then place."""
     t = F.concat_ws("\n", text(title), text(content))
@@ -51,13 +60,13 @@ def bindings(targets: DataFrame, nodes: DataFrame) -> DataFrame:
     c = tied.groupBy("target").agg(F.sum("k").alias("n"), F.max(F.struct("score", "k", "least")).alias("b"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"))
     f = f.join(c.select("target", "n", "ids", F.col("b.score").alias("top"), F.col("b.k").alias("n_top"), F.col("b.least").alias("best")), "target", "left")
     unique = (F.col("top") > 1) & (F.col("n_top") == 1)
-    no = F.lit(None).cast("string")
+    no, said = F.lit(None).cast("string"), EVIDENCE["file"]
     files_bound = f.select(
         "target",
         F.when(F.col("ref") == "", "stale").when(F.col("exact").isNotNull(), "current").when(F.col("n").isNull(), "stale").when((F.col("n") == 1) | unique, "redirected").otherwise("ambiguous").alias("state"),
         F.when(F.col("exact").isNotNull(), F.col("exact")).when((F.col("n") == 1) | unique, F.col("best")).otherwise(no).alias("bound_target"),
         F.when(F.col("exact").isNull() & (F.col("n") > 1) & ~unique, F.col("ids")).alias("suggestions"),
-        F.when(F.col("ref") == "", "empty file reference").when(F.col("exact").isNotNull(), "exact file path match").when(F.col("n").isNull(), "no live file candidate matched the historical path").when(F.col("n") == 1, "unique basename match").when(unique, "best unique path-suffix match").otherwise("multiple live files share the historical basename").alias("evidence"),
+        F.when(F.col("ref") == "", said[0]).when(F.col("exact").isNotNull(), said[1]).when(F.col("n").isNull(), said[2]).when(F.col("n") == 1, said[3]).when(unique, said[4]).otherwise(said[5]).alias("evidence"),
     )
 
     def labelled(prefix: str, live: DataFrame, empty: str, none: str, one: str, many: str) -> DataFrame:
@@ -70,11 +79,11 @@ def bindings(targets: DataFrame, nodes: DataFrame) -> DataFrame:
         return j.select("target", state.alias("state"), F.when(F.col("n") == 1, F.col("ids")[0]).alias("bound_target"), F.when(F.col("n") > 1, F.col("ids")).alias("suggestions"), evidence.alias("evidence"))
 
     live_symbols = nodes.where(~F.col("kind").isin("file", "project", "repo") & (text("label") != "")).select("id", F.lower(F.trim("label")).alias("key"))
-    symbols = labelled(SYMBOL, live_symbols, "empty symbol reference", "no live symbol label matched the historical reference", "unique symbol label match", "multiple live symbols share the historical label")
+    symbols = labelled(SYMBOL, live_symbols, *EVIDENCE["symbol"])
     live_repos = nodes.where("kind in ('repo', 'project')").select("id", F.lower(F.trim("label")).alias("key"))
-    repos = labelled(REPO, live_repos, "empty workspace repo reference", "workspace repo no longer exists in the live graph", "exact workspace repo match", "multiple workspace repos matched the historical reference")
+    repos = labelled(REPO, live_repos, *EVIDENCE["repo"])
     other = t.where(~(F.col("target").startswith(FILE) | F.col("target").startswith(SYMBOL) | F.col("target").startswith(REPO)))
-    rest = other.select("target", F.lit("current").alias("state"), F.col("target").alias("bound_target"), F.lit(None).cast("array<string>").alias("suggestions"), F.lit("memory-internal reference").alias("evidence"))
+    rest = other.select("target", F.lit("current").alias("state"), F.col("target").alias("bound_target"), F.lit(None).cast("array<string>").alias("suggestions"), F.lit(EVIDENCE["other"][0]).alias("evidence"))
     return files_bound.unionByName(symbols).unionByName(repos).unionByName(rest)
 
 

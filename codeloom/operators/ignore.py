@@ -1,11 +1,11 @@
-"""Ignore rules (rows P1-P7): patterns become regular expressions on the driver, files are matched by Catalyst."""
+"""Ignore rules (rows P1-P7): patterns become regular expressions; a few lists are one expression, rules of many folders a table."""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns that every stack ignores, and those of each stack.
@@ -49,18 +49,18 @@ def _segment(glob: str) -> str:
     return out
 
 
+#: A line as (not?, pattern, folders only?); a backslash in front takes the meaning from what follows.
+_LINE = re.compile(r"(?P<brings_back>!)?\\?(?P<glob>.*?)(?P<folder>/)?", re.DOTALL)
+
+
 def parsed(line: str) -> Rule | None:
     """A rule of one line; blank lines and comments are none. A rule without an inner slash matches at any depth."""
-    line = line.rstrip(" \t")
-    if not line or line.startswith("#"):
+    found = re.fullmatch(r"(?!#)(.+?)[ \t]*", line, re.DOTALL)
+    if not found or not found[1].strip(" \t"):
         return None
-    negated = line.startswith("!")
-    line = line[1:] if negated else line
-    line = line.removeprefix("\\")
-    directory = line.endswith("/")
-    line = line.removesuffix("/")
-    anchored = "/" in line
-    segments = line.removeprefix("/").split("/")
+    rule = _LINE.fullmatch(found[1])
+    segments = rule["glob"].removeprefix("/").split("/")
+    anchored = "/" in rule["glob"]
     body = ""
     for i, s in enumerate(segments):
         last = i == len(segments) - 1
@@ -72,7 +72,7 @@ def parsed(line: str) -> Rule | None:
             body += _segment(s) + ("" if last else "(?:/.*)?" if open_end else "/")
             if open_end:
                 break
-    return Rule(("^" if anchored else "^(?:.*/)?") + body + "$", negated, directory)
+    return Rule(("^" if anchored else "^(?:.*/)?") + body + "$", bool(rule["brings_back"]), bool(rule["folder"]))
 
 
 def rules(lines: list[str]) -> list[Rule]:
@@ -110,13 +110,36 @@ def ignored_with_parents(path: Column, lists: list[list[Rule]]) -> Column:
     return out
 
 
-def ignored_below(path: Column, scoped: list[tuple[str, list[Rule]]]) -> Column:
-    """P5: rules of folders below the root, each on paths inside its folder and relative to it; they add to those of the folders above."""
-    out = F.lit(False)
-    for folder, own in scoped:
-        if own:
-            out = out | (path.startswith(folder + "/") & ignored_with_parents(F.substr(path, F.lit(len(folder) + 2)), [own]))
-    return out
+RULES = "folder string, list int, ordinal int, regex string, negated boolean, directory boolean"
+
+
+def rule_rows(folder: str, lists: list[list[Rule]]) -> list[tuple]:
+    """The rows of a rule table for the lists of a folder ("" is the root)."""
+    return [(folder, k, i, r.regex, r.negated, r.directory) for k, own in enumerate(lists) for i, r in enumerate(own)]
+
+
+def with_folders(paths: DataFrame) -> DataFrame:
+    """(path, part, is_dir): each path and every folder above it."""
+    parts = F.split("path", "/")
+    return paths.where("path <> ''").select("path", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("k")).select("path", F.array_join(F.slice(parts, F.lit(1), F.col("k")), "/").alias("part"), (F.col("k") < F.size(parts)).alias("is_dir"))
+
+
+def ignored_paths(paths: DataFrame, table: DataFrame) -> DataFrame:
+    """(path) of ``paths(path)`` that the lists of a rule table leave out.
+
+    Paths and their folders, each once, meet the rules of the folders above them by an equi-join; of the rules of a list that match
+    what lies below its folder, the last decides. A path goes if a list leaves out the path or a folder of it. The plan does not
+    grow with the folders or rules. Only folders that have rules are kept before the join.
+    """
+    every = with_folders(paths)
+    things = every.select("part", "is_dir").distinct()
+    parts = F.split("part", "/")
+    above = things.select("part", "is_dir", F.explode(F.sequence(F.lit(0), F.size(parts) - 1)).alias("k")).select("part", "is_dir", F.array_join(F.slice(parts, F.lit(1), F.col("k")), "/").alias("folder"))
+    below = F.when(F.col("folder") == "", F.col("part")).otherwise(F.substr("part", F.length("folder") + 2))
+    met = above.join(table, "folder").where((F.col("is_dir") | ~F.col("directory")) & F.rlike(below, F.col("regex")))
+    last = met.groupBy("part", "is_dir", "folder", "list").agg(F.max_by("negated", "ordinal").alias("negated"))
+    out = last.where(~F.col("negated")).select("part", "is_dir").distinct()
+    return every.join(out, ["part", "is_dir"], "left_semi").select("path").distinct()
 
 
 def detect_stack(paths):

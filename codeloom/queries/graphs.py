@@ -1,4 +1,4 @@
-"""Queries of rows T5, Q7, Q8, Q9 and Q10 by incremental upkeep, the distance index and label setting, with their SQL."""
+"""Queries of rows T5, P5, Q7, Q8, Q9 and Q10 by incremental upkeep, the distance index and label setting, with their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators import reach_index, traverse, upkeep
+from codeloom.operators import ignore, reach_index, traverse, upkeep
 from codeloom.operators.graph import Graph
 from codeloom.session import shared_folder
 
@@ -82,6 +82,17 @@ def q7_components(spark: SparkSession, sf: str) -> DataFrame:
     return reach_index.strong_components(trade(spark, sf))
 
 
+def p5(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages under the rules of the root and of every host's folder, from a rule table."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+    hosts = pages.select(F.substring_index("path", "/", 1).alias("folder")).where("folder <> ''").distinct()
+    root = spark.createDataFrame(ignore.rule_rows("", [ignore.rules(["*.html", "!4*.html"])]), ignore.RULES)
+    own = spark.createDataFrame([r[1:] for r in ignore.rule_rows("", [ignore.rules(["es/", "# note"])])], ignore.RULES.split(", ", 1)[1])
+    table = root.unionByName(hosts.crossJoin(F.broadcast(own)))
+    out = ignore.ignored_paths(pages.select("path").distinct(), table).withColumn("ignored", F.lit(True))
+    return pages.join(out, "path", "left").select("page_id", F.coalesce("ignored", F.lit(False)).alias("ignored"))
+
+
 _DENSE = ("f7", "f13")
 
 
@@ -91,7 +102,7 @@ def q9_dense(spark: SparkSession, sf: str) -> DataFrame:
     return traverse.ranked_file_path(nodes, edges, *_DENSE)
 
 
-QUERIES = {"T5_incremental_upkeep": t5, "Q7_impact_index": q7_index, "Q7_impact_paths": q7_paths, "Q8_distance_index": q8_index, "Q8_path_index": q8_path, "Q7_strong_components": q7_components, "Q9_ranked_path_dense": q9_dense}
+QUERIES = {"T5_incremental_upkeep": t5, "Q7_impact_index": q7_index, "Q7_impact_paths": q7_paths, "Q8_distance_index": q8_index, "Q8_path_index": q8_path, "Q7_strong_components": q7_components, "Q9_ranked_path_dense": q9_dense, "P5_nested_ignored": p5}
 
 
 def _root(p: str) -> str:
@@ -150,8 +161,14 @@ SQL = {
         ring AS (SELECT src AS supplier, dst AS nation FROM edges WHERE relation = 'based_in'), least AS (SELECT nation, least(nation, min(supplier)) AS c FROM ring GROUP BY nation),
         inring AS (SELECT nation AS id, c FROM least UNION SELECT supplier, c FROM ring JOIN least USING (nation))
         SELECT ids.id, coalesce(c, ids.id) AS component FROM ids LEFT JOIN inring ON ids.id = inring.id""",
+    "P5_nested_ignored": """SELECT page_id, coalesce(len([x for x in w if x LIKE '%.html' AND x NOT LIKE '4%.html']) > 0 OR list_contains(w[2:len(w) - 1], 'es'), false) AS ignored
+        FROM (SELECT page_id, string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS w FROM pages)""",
     "Q9_ranked_path_dense": f"WITH {_F}, {_ranked(*_DENSE)}",
     "Q9_ranked_path": f"""WITH files AS (SELECT {", ".join(_FILE_EXPRS)} FROM part),
         links AS (SELECT 'f' || CAST(p_partkey AS STRING) AS src, 'f' || CAST(unnest([p_partkey * 2, p_partkey * 2 + 1, p_partkey + 1]) AS STRING) AS dst FROM part), {_ranked('f2', 'f45')}""",
 }
+#: Of each level of a path, the last rule that matches it; levels above the last are folders.
+SQL["P1_P4_ignored"] = """SELECT page_id, list_contains([CASE WHEN k < len(w) AND w[k] = 'es' THEN true WHEN w[k] LIKE 'blog.%' THEN true WHEN k = 2 AND k < len(w) AND w[1] LIKE 'www.%' AND w[k] = 'en' THEN true
+            WHEN w[k] LIKE '4%.html' THEN false ELSE w[k] LIKE '%.html' END for k in range(1, len(w) + 1)], true) AS ignored
+        FROM (SELECT page_id, string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS w FROM pages)"""
 SQL["Q8_path_index"] = SHORTEST["Q8_shortest_path"]

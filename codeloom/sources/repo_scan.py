@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import is_code_file
-from codeloom.operators.ignore import default_rules, detect_stack, ignored_below, ignored_with_parents, rules
+from codeloom.operators.ignore import BY_STACK, RULES, default_rules, detect_stack, ignored_paths, ignored_with_parents, rule_rows, rules
 
 #: Files of ignore rules; a folder's own one adds to the shared one.
 IGNORE_FILES = (".gitignore", ".codeloomignore")
@@ -56,9 +56,15 @@ def scan(spark: SparkSession, root: str, stack: str = "unknown", extra: list[str
     files = files.select(rel.alias("path"), "content", F.col("length").alias("size"), F.col("modificationTime").alias("mod_time"))
     lists = [default_rules(stack), *(rules(_text_of(spark, f"{base}/{name}").splitlines()) for name in IGNORE_FILES), rules(extra or [])]
     kept = files.where(~ignored_with_parents(F.col("path"), [x for x in lists if x]))
-    scoped = [(folder, rules(text.splitlines())) for folder, text in _nested_ignore_files(spark, base)]
-    scoped += [(r.directory, default_rules(r.stack)) for r in detect_stack(kept.select("path")).where("directory <> ''").orderBy("directory").collect()]
-    kept = kept.where(~ignored_below(F.col("path"), scoped))
+    given: dict[str, list] = {}
+    for folder, text in _nested_ignore_files(spark, base):
+        given.setdefault(folder, []).append(rules(text.splitlines()))
+    table = spark.createDataFrame([row for folder, own in given.items() for row in rule_rows(folder, own)], RULES)
+    # the defaults of each folder's stack: a join of the folders with the rules of the stacks, list 99 of a folder
+    stacks = spark.createDataFrame([(stack, *row[2:]) for stack in BY_STACK for row in rule_rows("", [default_rules(stack)])], "stack string, ordinal int, regex string, negated boolean, folders_only boolean")
+    told = detect_stack(kept.select("path")).where("directory <> ''").join(stacks, "stack")
+    table = table.unionByName(told.select(F.col("directory").alias("folder"), F.lit(99).alias("list"), "ordinal", "regex", "negated", F.col("folders_only").alias("directory")))
+    kept = kept.join(ignored_paths(kept.select("path"), table), "path", "left_anti").select(*kept.columns)
     if extensions:
         kept = kept.where(F.regexp_extract("path", r"(\.[^./]*)$", 1).isin(*extensions))
     return kept

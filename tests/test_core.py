@@ -299,7 +299,7 @@ def test_documents(spark, requests, tmp_path):
     both = graph_json.read_graphs(spark, [path, path])
     assert both.nodes.count() == 4 and both.edges.count() == 4
     text = documents.report(requests.built())
-    assert "| Nodes | 4 |" in text and "| 1 | `AuthService` | struct | 3 |" in text and "_No community data" in text
+    assert "# The graph: 4 nodes, " in text and "* `AuthService` (struct), 3 neighbours" in text and "not clustered" in text
     assert "AuthService" in documents.page(requests.built())
     assert documents.cypher(requests).where("statement like 'MERGE (n:Struct%'").count() == 3
     assert vault.write_vault(requests, str(tmp_path / "vault")) == 4
