@@ -185,13 +185,18 @@ def file_dependencies(nodes: DataFrame, edges: DataFrame, subjects: DataFrame, l
         test = test | path.contains(m)
     root = barrel_root(F.col("src_file"))
     c = c.withColumns({"test": test, "outside": (F.lit(reverse) & (root != "") & ~path.startswith(root)), "score": file_score(F.col("dst_file"), F.col("static"))})
-    # one grouped count a rule; each narrows what the next one sees
-    some = c.groupBy("src").agg(F.max("static").alias("any_static"))
-    c = c.join(some, "src").where(F.col("static") | ~F.col("any_static"))
-    plain = c.groupBy("src").agg(F.count_if(~F.col("test")).alias("n_plain"))
-    c = c.join(plain, "src").where(~F.col("test") | (F.col("n_plain") < 2))
-    outer = c.groupBy("src").agg(F.count_if("outside").alias("n_outside"))
-    c = c.join(outer, "src").where(F.col("outside") | (F.col("n_outside") < 2))
+    # all rules from one set of grouped counts: what a rule sees depends only on whether the ones before it applied
+    c = scratch(c, "neighbour-files")
+    plain = ~F.col("test")
+    seen = {"s": F.col("static"), "a": F.lit(True)}
+    counts = [F.max("static").alias("any_static")]
+    for k, own in seen.items():
+        counts += [F.count_if(own & plain).alias(f"plain_{k}"), F.count_if(own & F.col("outside")).alias(f"outside_{k}"), F.count_if(own & plain & F.col("outside")).alias(f"outside_plain_{k}")]
+    c = c.join(c.groupBy("src").agg(*counts), "src")
+    by = lambda name: F.when(F.col("any_static"), F.col(f"{name}_s")).otherwise(F.col(f"{name}_a"))
+    untested = by("plain") >= 2
+    outer = F.when(untested, by("outside_plain")).otherwise(by("outside"))
+    c = c.where((F.col("static") | ~F.col("any_static")) & (plain | ~untested) & (F.col("outside") | (outer < 2)))
     order = F.struct((-F.col("score")).alias("a"), F.col("dst_label").alias("b"), F.col("dst").alias("c"), F.col("relation").alias("r"))
     # the k least of each subject: partial windows keep k rows a task and subject before the shuffle
     from pyspark.sql import Window
