@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.identity import text, workspace_node_id
+from codeloom.functions.text import route_tokens
+from codeloom.session import numbered, scratch
 
 # Relation and weight of each kind of term.
 RELATIONS = {"service": "exposes", "package": "hosts", "domain": "owns", "dependency": "depends_on"}
@@ -81,3 +86,52 @@ def select_repos(terms: DataFrame, tokens: list[str], limit: int = 5) -> DataFra
     reason = F.concat_ws(":", F.when(F.col("term_kind") == "dependency", "depends_on").otherwise(F.col("term_kind")), "term")
     scored = terms.withColumn("hits", hits).where("hits > 0").groupBy("repo_key", "repo").agg(F.sum(weight * F.col("hits")).alias("score"), F.array_sort(F.collect_set(reason)).alias("reasons"))
     return scored.orderBy(F.desc("score"), "repo_key").limit(limit).select("repo", "score", "reasons")
+
+
+#: Tokens of one automaton; more are looked for in turns.
+TOKENS = 200_000
+
+
+def tokens_in(terms: DataFrame, tokens: DataFrame, most: int = TOKENS) -> DataFrame:
+    """(term, token) of every lowered term of ``terms(term)`` and token of ``tokens(token)`` that is a part of it.
+
+    The distinct tokens become an Aho-Corasick automaton, ``most`` at a time; each task builds it once and runs it over its
+    terms, each of which is read once however many tokens there are. No pair is formed that does not match.
+    """
+    spark = terms.sparkSession
+    listed = numbered(tokens.select("token").where("token <> ''").distinct(), ["token"], "n")
+    words = terms.select(F.lower("term").alias("term")).where("term <> ''").distinct()
+    out = None
+    for low in range(0, listed.count(), most):
+        part = spark.sparkContext.broadcast([r.token for r in listed.where((F.col("n") >= low) & (F.col("n") < low + most)).select("token").collect()])
+
+        def run(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            machine = ahocorasick.Automaton()
+            for t in part.value:
+                machine.add_word(t, t)
+            machine.make_automaton()
+            for b in batches:
+                found = [(w, t) for w in b.column("term").to_pylist() for t in {t for _, t in machine.iter(w)}]
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([t for _, t in found], pa.string())], names=["term", "token"])
+
+        met = words.mapInArrow(run, "term string, token string")
+        out = met if out is None else out.unionByName(met)
+    return out if out is not None else spark.createDataFrame([], "term string, token string")
+
+
+def route_all(terms: DataFrame, questions: DataFrame, limit: int = 5) -> DataFrame:
+    """Q17, W4 for a table: (question_id, rank, repo, score), the ``limit`` best repositories of every ``questions(question_id, question)`` in one job.
+
+    As ``select_repos``: a token scores once for each time it is asked and each term that it is a part of.
+    """
+    asked = questions.select("question_id", F.explode(route_tokens(F.col("question"))).alias("token")).groupBy("question_id", "token").agg(F.count("*").alias("n"))
+    asked = scratch(asked, "asked")
+    weight = F.element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col("term_kind"))
+    # what a token adds to a repository is summed before the questions are met
+    worth = tokens_in(terms, asked).join(terms.select("repo_key", "repo", F.lower("term").alias("term"), weight.alias("w")), "term")
+    worth = worth.groupBy("token", "repo_key", "repo").agg(F.sum("w").alias("w"))
+    scored = asked.join(worth, "token").groupBy("question_id", "repo_key", "repo").agg(F.sum(F.col("w") * F.col("n")).alias("score"))
+    best = Window.partitionBy("question_id").orderBy(F.desc("score"), "repo_key")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("question_id", "rank", "repo", "score")

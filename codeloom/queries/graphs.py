@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators import ignore, reach_index, traverse, upkeep
+from codeloom.operators import ignore, reach_index, traverse, upkeep, workspace
 from codeloom.operators.graph import Graph
 from codeloom.session import shared_folder
 
 from .projections import CANON, RAW_SUPPLY, TRADE, supply, trade
-from .structure import _F, _FILE_EXPRS, _files
+from .structure import _F, _FILE_EXPRS, _TARGET_EXPR, _TERMS, _files, _terms
 from .structure import SQL as SHORTEST
 
 _OWNER_N = "CASE WHEN coalesce(file, '') <> '' THEN file ELSE id END"
@@ -93,6 +93,12 @@ def p5(spark: SparkSession, sf: str) -> DataFrame:
     return pages.join(out, "path", "left").select("page_id", F.coalesce("ignored", F.lit(False)).alias("ignored"))
 
 
+def q17_all(spark: SparkSession, sf: str) -> DataFrame:
+    """A question about every part, routed in one job."""
+    asked = spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey AS question_id", "'Which ' || p_brand || ' repos own ' || p_type || ' or ' || p_name || ' of NATION_' || CAST(p_size % 25 AS STRING) || '?' AS question")
+    return workspace.route_all(_terms(spark, sf), asked, 5)
+
+
 _DENSE = ("f7", "f13")
 
 
@@ -102,7 +108,7 @@ def q9_dense(spark: SparkSession, sf: str) -> DataFrame:
     return traverse.ranked_file_path(nodes, edges, *_DENSE)
 
 
-QUERIES = {"T5_incremental_upkeep": t5, "Q7_impact_index": q7_index, "Q7_impact_paths": q7_paths, "Q8_distance_index": q8_index, "Q8_path_index": q8_path, "Q7_strong_components": q7_components, "Q9_ranked_path_dense": q9_dense, "P5_nested_ignored": p5}
+QUERIES = {"T5_incremental_upkeep": t5, "Q7_impact_index": q7_index, "Q7_impact_paths": q7_paths, "Q8_distance_index": q8_index, "Q8_path_index": q8_path, "Q7_strong_components": q7_components, "Q9_ranked_path_dense": q9_dense, "P5_nested_ignored": p5, "Q17_route_all": q17_all}
 
 
 def _root(p: str) -> str:
@@ -167,6 +173,16 @@ SQL = {
     "Q9_ranked_path": f"""WITH files AS (SELECT {", ".join(_FILE_EXPRS)} FROM part),
         links AS (SELECT 'f' || CAST(p_partkey AS STRING) AS src, 'f' || CAST(unnest([p_partkey * 2, p_partkey * 2 + 1, p_partkey + 1]) AS STRING) AS dst FROM part), {_ranked('f2', 'f45')}""",
 }
+_SUM = "sum({n} CASE term_kind WHEN 'name' THEN 3.0 WHEN 'service' THEN 2.5 WHEN 'domain' THEN 1.5 ELSE 1.0 END)::DOUBLE"
+SQL["Q17_route"] = f"""WITH {_TERMS}, t(tok) AS (VALUES ('which'), ('nation'), ('1'), ('repos'), ('do'), ('machinery'))
+        SELECT repo, {_SUM.format(n='')} AS score FROM terms JOIN t ON contains(lower(term), tok) GROUP BY repo_key, repo ORDER BY score DESC, repo_key LIMIT 10"""
+SQL["Q17_route_all"] = f"""WITH {_TERMS}, q AS (SELECT p_partkey AS question_id, 'Which ' || p_brand || ' repos own ' || p_type || ' or ' || p_name || ' of NATION_' || CAST(p_size % 25 AS STRING) || '?' AS question FROM part),
+        asked AS (SELECT question_id, tok, count(*) AS n FROM (SELECT question_id, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) AS tok FROM q) GROUP BY ALL),
+        worth AS (SELECT tok, repo_key, repo, {_SUM.format(n='')} AS w FROM terms JOIN (SELECT DISTINCT tok FROM asked) ON contains(lower(term), tok) GROUP BY ALL)
+        SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY sum(w * n) DESC, repo_key)::INT AS rank, repo, sum(w * n) AS score FROM asked JOIN worth USING (tok) GROUP BY question_id, repo_key, repo QUALIFY rank <= 5"""
+SQL["Q16_bound_references"] = f"""WITH b AS ({SHORTEST["B2_B4_bindings"]}), s AS (SELECT s_suppkey, {_TARGET_EXPR} AS target FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+        SELECT CASE WHEN s_suppkey % 6 = 5 THEN 'none' ELSE state END AS state, CASE WHEN s_suppkey % 6 = 5 THEN NULL WHEN state IN ('current', 'redirected') THEN true ELSE s.target = bound_target END AS moved, count(*) AS n
+        FROM s LEFT JOIN b ON b.target = s.target GROUP BY ALL"""
 #: Of each level of a path, the last rule that matches it; levels above the last are folders.
 SQL["P1_P4_ignored"] = """SELECT page_id, list_contains([CASE WHEN k < len(w) AND w[k] = 'es' THEN true WHEN w[k] LIKE 'blog.%' THEN true WHEN k = 2 AND k < len(w) AND w[1] LIKE 'www.%' AND w[k] = 'en' THEN true
             WHEN w[k] LIKE '4%.html' THEN false ELSE w[k] LIKE '%.html' END for k in range(1, len(w) + 1)], true) AS ignored
