@@ -8,6 +8,7 @@ What the same detectors find in the rewritten text is mapped back to source char
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -45,12 +46,31 @@ _ALIKE = {
 }
 #: Characters that are not seen: zero-width ones, soft hyphen, joiners, byte-order mark.
 _UNSEEN = "­​‌‍⁠﻿"
-_ALIKE.update({chr(0xFF01 + k): chr(0x21 + k) for k in range(94)})
-_ALIKE.update({chr(base + k): str(k) for base in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for k in range(10)})
-_ALIKE.update({chr(base + k): str(first + k) for base, first, n in ((0x2460, 1, 9), (0x2080, 0, 10), (0x2074, 4, 6)) for k in range(n)})
-_ALIKE.update({"⁰": "0", "¹": "1", "²": "2", "³": "3"})
-_ALIKE.update({chr(base + k): chr(0x41 + k) for base in (0x1D400, 0x1D5A0, 0x1D5D4, 0x1D670) for k in range(26)})
-_ALIKE.update({chr(base + k): chr(0x61 + k) for base in (0x1D41A, 0x1D5BA, 0x1D5EE, 0x1D68A) for k in range(26)})
+# More letters that look like Latin ones.
+_ALIKE.update({"ɑ": "a", "ɡ": "g", "ı": "i", "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ϲ": "c", "ϳ": "j"})
+_ALIKE.update({chr(base + k): str(k) for base in (0x0660, 0x06F0, 0x0966) for k in range(10)})
+_ALIKE.update({chr(base + k): chr(0x41 + k) for base in (0x1F150, 0x1F170) for k in range(26)})
+#: Characters that compatibility folding makes several letters or digits.
+_WIDE: dict[str, str] = {}
+
+
+def _compatible() -> None:
+    """Adds what Unicode's compatibility folding (NFKC) makes plain ASCII: full width, mathematical, circled and squared letters, raised digits and so on."""
+    for low, high in ((0xA0, 0x2500), (0x3000, 0x3400), (0xFE50, 0xFFF0), (0x1D400, 0x1D800), (0x1F100, 0x1F200)):
+        for c in map(chr, range(low, high)):
+            plain = unicodedata.normalize("NFKC", c)
+            plain = "".join(_ALIKE.get(x, x) for x in plain) if c not in _ALIKE else c
+            if plain.isascii() and plain.isprintable():
+                if len(plain) == 1:
+                    _ALIKE[c] = plain
+                elif plain.isalnum():
+                    _WIDE[c] = plain
+
+
+_compatible()
+_FOLDED = re.compile("[" + "".join(map(re.escape, sorted(_WIDE))) + "]")
+#: Signs for at and dot as a page's source writes them.
+_ENTITY = re.compile(r"(?i)&(?:(?P<at>#0*64|#x0*40|commat)|#0*46|#x0*2e|period);")
 _LETTERS = str.maketrans(_ALIKE)
 _INVISIBLE = re.compile("[" + re.escape(_UNSEEN) + "]")
 
@@ -194,11 +214,13 @@ def _outside(n: int, s: np.ndarray, e: np.ndarray) -> np.ndarray:
 
 
 def _characters(r: Rewritten) -> Rewritten:
-    """Look-alikes by their letters, place for place; unseen characters away."""
+    """Look-alikes by their letters; unseen characters away; entities for at and dot by their signs."""
     shown = r.text.translate(_LETTERS)
     out = Rewritten(shown)
     out.edits = int(shown != r.text)
-    return out.replaced([(m.start(), m.end(), "") for m in _INVISIBLE.finditer(shown)])
+    edits = [(m.start(), m.end(), "") for m in _INVISIBLE.finditer(shown)] + [(m.start(), m.end(), _WIDE[m.group()]) for m in _FOLDED.finditer(shown)]
+    edits += [(m.start(), m.end(), "@" if m["at"] else ".") for m in _ENTITY.finditer(shown)] if "&" in shown else []
+    return out.replaced(sorted(edits))
 
 
 def _spelled_digits(r: Rewritten, least: int) -> Rewritten:
@@ -283,7 +305,7 @@ def disguised_spans(text: str, signs: Signs = _ANY) -> list[Span]:
     beside a number may be no part of it, and must not hide what is found without it.
     """
     first = Rewritten(text)
-    if signs.odd and not text.isascii():
+    if signs.odd and not text.isascii() or "&" in text and _ENTITY.search(text):
         first = _characters(first)
     spelled = signs.spelled or first.edits > 0
     found: list[Span] = []
@@ -331,7 +353,7 @@ _OPEN = np.zeros(256, bool)
 _OPEN[[40, 60, 91, 123]] = True
 #: First UTF-8 bytes of the characters that the first transducer rewrites.
 _ODD_LEAD = np.zeros(256, bool)
-_ODD_LEAD[sorted({c.encode()[0] for c in [*_ALIKE, *_UNSEEN]})] = True
+_ODD_LEAD[sorted({c.encode()[0] for c in [*_ALIKE, *_WIDE, *_UNSEEN]})] = True
 
 
 def _number_runs(low: np.ndarray, at: np.ndarray, w: tb.Words, first8: np.ndarray, key: np.ndarray) -> np.ndarray:
