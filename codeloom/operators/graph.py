@@ -75,9 +75,23 @@ class Graph:
 
     def union(self, other: Graph) -> Graph:
         """Rows of both, those of ``other`` after, canonicalised."""
-        nodes = self.nodes.withColumn("__g", F.lit(0)).unionByName(other.nodes.withColumn("__g", F.lit(1)))
-        edges = self.edges.withColumn("__g", F.lit(0)).unionByName(other.edges.withColumn("__g", F.lit(1)))
-        nodes = first_per(nodes.where(text("id") != ""), ["id"], ["__g", "ord"])
+        return Graph.union_all([self, other])
+
+    @staticmethod
+    def union_all(graphs: list[Graph]) -> Graph:
+        """The rows of all graphs, earlier graphs first, canonicalised once: the shuffles do not grow with their number.
+
+        The source of an edge may be a node of any of them.
+        """
+
+        def every(tables: list[DataFrame]) -> DataFrame:
+            marked = [t.withColumn("__g", F.lit(k)) for k, t in enumerate(tables)]
+            while len(marked) > 1:  # pairwise, so that the plan is as deep as a logarithm
+                marked = [marked[k].unionByName(marked[k + 1]) if k + 1 < len(marked) else marked[k] for k in range(0, len(marked), 2)]
+            return marked[0]
+
+        nodes = first_per(every([g.nodes for g in graphs]).where(text("id") != ""), ["id"], ["__g", "ord"])
+        edges = every([g.edges for g in graphs])
         known = edges.where((text("src") != "") & (text("dst") != "")).join(nodes.select(F.col("id").alias("src")), "src", "left_semi")
         edges = first_per(known.select(*edges.columns), ["src", "dst", "relation", "file"], ["__g", "ord"])
         return Graph(nodes.drop("__g"), edges.drop("__g"))

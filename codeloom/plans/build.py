@@ -219,7 +219,7 @@ class Builder:
         """One build for each repository under ``root``, or for it alone; warnings name their repository."""
         roots = [root] if is_repository(root) else child_repositories(root) or [root]
         results = [(x, self.run(BuildRequest(x))) for x in roots]
-        g = reduce(lambda a, b: a.union(b), [x.graph for _, x in results])
+        g = Graph.union_all([x.graph for _, x in results])
         listings = [x.manifest.withColumn("path", F.concat(F.lit(os.path.relpath(p, root) + "/"), "path")) if len(roots) > 1 else x.manifest for p, x in results]
         return Result(g, reduce(DataFrame.unionByName, listings), warnings=[f"{os.path.basename(p)}: {w}" for p, x in results for w in x.warnings], stages=[s for _, x in results for s in x.stages])
 

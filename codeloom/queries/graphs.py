@@ -11,7 +11,7 @@ from codeloom.operators import ignore, reach_index, traverse, upkeep, workspace
 from codeloom.operators.graph import Graph
 from codeloom.session import shared_folder
 
-from .projections import CANON, RAW_SUPPLY, TRADE, supply, trade
+from .projections import CANON, RAW_SUPPLY, SUPPLY, TRADE, supply, trade
 from .structure import _F, _FILE_EXPRS, _TARGET_EXPR, _TERMS, _files, _terms
 from .structure import SQL as SHORTEST
 
@@ -99,6 +99,16 @@ def q17_all(spark: SparkSession, sf: str) -> DataFrame:
     return workspace.route_all(_terms(spark, sf), asked, 5)
 
 
+def r19_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The supply graph united with two changed copies of parts of it, row by row."""
+    g = supply(spark, sf)
+    second = Graph(g.nodes.where("community = 1").withColumn("label", F.upper("label")), g.edges.where("relation = 'contains'").withColumn("confidence", F.lit("DECLARED")))
+    third = Graph(g.nodes.withColumn("id", F.concat(F.lit("copy:"), "id")), g.edges.where("ord % 3 = 0").withColumn("src", F.concat(F.lit("copy:"), "src")))
+    u = Graph.union_all([second, g, third])
+    nodes = u.nodes.select(F.lit("node").alias("what"), "id", F.col("label").alias("target"), "kind", F.lit("").alias("confidence"))
+    return nodes.unionByName(u.edges.select(F.lit("edge").alias("what"), F.col("src").alias("id"), F.col("dst").alias("target"), F.col("relation").alias("kind"), F.coalesce("confidence", F.lit("")).alias("confidence")))
+
+
 _DENSE = ("f7", "f13")
 
 
@@ -108,7 +118,7 @@ def q9_dense(spark: SparkSession, sf: str) -> DataFrame:
     return traverse.ranked_file_path(nodes, edges, *_DENSE)
 
 
-QUERIES = {"T5_incremental_upkeep": t5, "Q7_impact_index": q7_index, "Q7_impact_paths": q7_paths, "Q8_distance_index": q8_index, "Q8_path_index": q8_path, "Q7_strong_components": q7_components, "Q9_ranked_path_dense": q9_dense, "P5_nested_ignored": p5, "Q17_route_all": q17_all}
+QUERIES = {"T5_incremental_upkeep": t5, "Q7_impact_index": q7_index, "Q7_impact_paths": q7_paths, "Q8_distance_index": q8_index, "Q8_path_index": q8_path, "Q7_strong_components": q7_components, "Q9_ranked_path_dense": q9_dense, "P5_nested_ignored": p5, "Q17_route_all": q17_all, "R19_union_rows": r19_rows}
 
 
 def _root(p: str) -> str:
@@ -183,6 +193,11 @@ SQL["Q17_route_all"] = f"""WITH {_TERMS}, q AS (SELECT p_partkey AS question_id,
 SQL["Q16_bound_references"] = f"""WITH b AS ({SHORTEST["B2_B4_bindings"]}), s AS (SELECT s_suppkey, {_TARGET_EXPR} AS target FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
         SELECT CASE WHEN s_suppkey % 6 = 5 THEN 'none' ELSE state END AS state, CASE WHEN s_suppkey % 6 = 5 THEN NULL WHEN state IN ('current', 'redirected') THEN true ELSE s.target = bound_target END AS moved, count(*) AS n
         FROM s LEFT JOIN b ON b.target = s.target GROUP BY ALL"""
+SQL["R19_union_rows"] = f"""WITH {SUPPLY}, un AS (SELECT id, upper(label) AS label, kind, 0 AS g, ord FROM nodes WHERE community = 1 UNION ALL SELECT id, label, kind, 1, ord FROM nodes UNION ALL SELECT 'copy:' || id, label, kind, 2, ord FROM nodes),
+        ue AS (SELECT src, dst, relation, file, 'DECLARED' AS confidence, 0 AS g, ord FROM edges WHERE relation = 'contains' UNION ALL SELECT src, dst, relation, file, confidence, 1, ord FROM edges UNION ALL SELECT 'copy:' || src, dst, relation, file, confidence, 2, ord FROM edges WHERE ord % 3 = 0),
+        n1 AS (SELECT * FROM un QUALIFY row_number() OVER (PARTITION BY id ORDER BY g, ord) = 1),
+        e1 AS (SELECT * FROM ue WHERE src IN (SELECT id FROM n1) QUALIFY row_number() OVER (PARTITION BY src, dst, relation, file ORDER BY g, ord) = 1)
+        SELECT 'node' AS what, id, label AS target, kind, '' AS confidence FROM n1 UNION ALL SELECT 'edge', src, dst, relation, coalesce(confidence, '') FROM e1"""
 #: Of each level of a path, the last rule that matches it; levels above the last are folders.
 SQL["P1_P4_ignored"] = """SELECT page_id, list_contains([CASE WHEN k < len(w) AND w[k] = 'es' THEN true WHEN w[k] LIKE 'blog.%' THEN true WHEN k = 2 AND k < len(w) AND w[1] LIKE 'www.%' AND w[k] = 'en' THEN true
             WHEN w[k] LIKE '4%.html' THEN false ELSE w[k] LIKE '%.html' END for k in range(1, len(w) + 1)], true) AS ignored

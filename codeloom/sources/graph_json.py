@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,7 +59,7 @@ def read_graphs(spark: SparkSession, paths: list[str], warnings: list[str] | Non
     good = [read_graph(spark, p, canonical=False) for p in paths if not why[p]]
     if not good:
         raise ValueError("no graph document can be read")
-    return reduce(lambda a, b: a.union(b), good)
+    return Graph.union_all(good)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
