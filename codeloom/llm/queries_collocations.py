@@ -18,13 +18,18 @@ SQL: dict[str, str] = {
 WITH pieces AS (
     SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
 ), listed AS (
-    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+    SELECT lang, row_number() OVER () AS pid, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
 ), totals AS (
     SELECT lang, sum(len(w))::BIGINT AS n FROM listed GROUP BY lang
+), placed AS (
+    SELECT lang, pid, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM listed
+), rows4 AS (
+    SELECT lang, x, lead(x, 1) OVER p AS x2, lead(x, 2) OVER p AS x3, lead(x, 3) OVER p AS x4 FROM placed WINDOW p AS (PARTITION BY pid ORDER BY i)
 ), grams AS (
-    SELECT lang, k, w[i : i + k - 1] AS g, count(*) AS f
-    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM listed, range(1, 5) AS ks(k))
-    GROUP BY ALL HAVING count(*) >= 30
+    SELECT lang, 1 AS k, [x] AS g, count(*) AS f FROM rows4 GROUP BY ALL HAVING count(*) >= 30
+    UNION ALL SELECT lang, 2, [x, x2], count(*) FROM rows4 WHERE x2 IS NOT NULL GROUP BY lang, x, x2 HAVING count(*) >= 30
+    UNION ALL SELECT lang, 3, [x, x2, x3], count(*) FROM rows4 WHERE x3 IS NOT NULL GROUP BY lang, x, x2, x3 HAVING count(*) >= 30
+    UNION ALL SELECT lang, 4, [x, x2, x3, x4], count(*) FROM rows4 WHERE x4 IS NOT NULL GROUP BY lang, x, x2, x3, x4 HAVING count(*) >= 30
 ), phrases AS (
     SELECT lang, k, g, f AS a FROM grams WHERE k > 1
 ), cuts AS (
