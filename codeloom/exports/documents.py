@@ -1,13 +1,14 @@
-"""Graph documents, reports, pages and statements (rows K1-K4, K8-K10, F10). Rows are made by Spark; files of bounded or streamed size by the driver."""
+"""Graph documents, reports, pages and statements (rows K1-K4, K8-K10, F10). Rows are made by Spark and written by tasks; a page and a report are of bounded size."""
 
 from __future__ import annotations
 
 import html
 import json
-import os
 import textwrap
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from codeloom.functions.text import export_label, export_relation
 from codeloom.operators import analytics
 from codeloom.operators.graph import Graph
 
+from .staged import write_document
+
 _NODE_FIELDS = {"id": "id", "label": "label", "kind": "kind", "file": "file", "description": "description", "source_id": "source_id", "source_type": "source_type", "source_name": "source_name", "organization": "source_organization", "source_path": "source_path", "source_remote": "source_remote", "community": "community"}
 _EDGE_FIELDS = {"src": "from", "dst": "to", "relation": "kind", "file": "file", "confidence": "confidence", "score": "score"}
 _ALWAYS = ("id", "label", "kind", "from", "to")
@@ -23,7 +26,7 @@ _EDGE_META = ("layer", "evidence_type", "evidence_confidence", "verification", "
 
 
 def _json_rows(df: DataFrame, fields: dict[str, str], meta: tuple[str, ...]) -> DataFrame:
-    """One JSON text a row; empty, zero and null fields are left out."""
+    """(ord, json): one JSON text a row; empty, zero and null fields are left out."""
 
     def value(c: str, name: str):
         v = F.col(c)
@@ -38,7 +41,7 @@ def _json_rows(df: DataFrame, fields: dict[str, str], meta: tuple[str, ...]) ->
     if inner:
         held = F.struct(*inner)
         top.append(F.when(F.to_json(held) != "{}", held).alias("metadata"))
-    return df.orderBy("ord").select(F.to_json(F.struct(*top)).alias("json"))
+    return df.select("ord", F.to_json(F.struct(*top)).alias("json"))
 
 
 def write_tables(g: Graph, path: str) -> None:
@@ -47,44 +50,21 @@ def write_tables(g: Graph, path: str) -> None:
     g.edges.write.mode("overwrite").parquet(f"{path}/edges")
 
 
-def _atomically(path: str, parts) -> None:
-    """Written beside the target, flushed, then put in its place."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
-        f.writelines(parts)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(f"{path}.tmp", path)
+def _now() -> str:
+    return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
 def write_json(g: Graph, path: str) -> None:
-    """K1: the canonical graph as one JSON document; rows stream through the driver a partition at a time."""
+    """K1: the canonical graph as one JSON document, a row a line, put together by tasks."""
     g = g.canonicalized()
-    n, e = g.nodes.count(), g.edges.count()
-
-    def parts():
-        yield '{"nodes":['
-        for i, r in enumerate(_json_rows(g.nodes, _NODE_FIELDS, _NODE_META).toLocalIterator()):
-            yield ("," if i else "") + r.json
-        yield '],"edges":['
-        for i, r in enumerate(_json_rows(g.edges, _EDGE_FIELDS, _EDGE_META).toLocalIterator()):
-            yield ("," if i else "") + r.json
-        yield f'],"meta":{json.dumps({"nodeCount": n, "edgeCount": e, "generatedAt": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")})}}}'
-
-    _atomically(path, parts())
+    sections = {"nodes": _json_rows(g.nodes, _NODE_FIELDS, _NODE_META), "edges": _json_rows(g.edges, _EDGE_FIELDS, _EDGE_META)}
+    write_document(sections, path, tail=lambda n: {"meta": {"nodeCount": n["nodes"], "edgeCount": n["edges"], "generatedAt": _now()}})
 
 
 def write_manifest(manifest: DataFrame, path: str, repo_root: str = "", build_mode: str = "full_rebuild", fingerprint: str = "") -> None:
-    """K2."""
-
-    def parts():
-        head = {"version": 1, "repo_root": repo_root, "generated_at": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), "build_mode": build_mode, "fingerprint": fingerprint}
-        yield json.dumps(head)[:-1] + ', "files": ['
-        for i, r in enumerate(manifest.orderBy("path").select(F.to_json(F.struct("*")).alias("json")).toLocalIterator()):
-            yield ("," if i else "") + r.json
-        yield "]}"
-
-    _atomically(path, parts())
+    """K2: a manifest as one JSON document, files in order of their paths."""
+    head = {"version": 1, "repo_root": repo_root, "generated_at": _now(), "build_mode": build_mode, "fingerprint": fingerprint}
+    write_document({"files": manifest.select(F.col("path").alias("ord"), F.to_json(F.struct("*")).alias("json"))}, path, head)
 
 
 def report(g: Graph, most: int | None = 1000) -> str:
@@ -145,3 +125,31 @@ def cypher(g: Graph) -> DataFrame:
     n = g.nodes.select(F.lit(0).alias("part"), "ord", F.concat(F.lit("MERGE (n:"), export_label(F.col("kind")), F.lit(" {id: "), quoted("id"), F.lit("}) SET n.label = "), quoted("label"), F.lit(", n.file = "), quoted("file"), F.lit(";")).alias("statement"))
     e = g.edges.select(F.lit(1).alias("part"), "ord", F.concat(F.lit("MATCH (a {id: "), quoted("src"), F.lit("}), (b {id: "), quoted("dst"), F.lit("}) MERGE (a)-[:"), export_relation(F.col("relation")), F.lit("]->(b);")).alias("statement"))
     return n.unionByName(e)
+
+
+def push(g: Graph, connect: Callable[[], Callable[[str], object]], rejects: str) -> int:
+    """K9: runs the statements of ``g`` in tasks, all nodes before the first edge; the number of those that failed.
+
+    ``connect`` is called once a task and gives what runs one statement. A statement that raises is written to the Parquet
+    table ``rejects`` (part, ord, statement, error), which is replaced, and the rest go on. A task that is lost runs its
+    statements again: they merge, so that changes nothing. Without statements the table is empty.
+    """
+    spark = g.nodes.sparkSession
+    schema = "part int, ord long, statement string, error string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        send = None
+        for b in batches:
+            failed = []
+            for row in b.to_pylist():
+                send = send or connect()
+                try:
+                    send(row["statement"])
+                except Exception as e:  # noqa: BLE001  what the database says is a row of the result
+                    failed.append(row | {"error": f"{type(e).__name__}: {e}"})
+            yield pa.RecordBatch.from_pylist(failed, pa.schema([("part", pa.int32()), ("ord", pa.int64()), ("statement", pa.string()), ("error", pa.string())]))
+
+    every = cypher(g).select("part", F.col("ord").cast("long").alias("ord"), "statement")
+    for part, mode in ((0, "overwrite"), (1, "append")):
+        every.where(F.col("part") == part).mapInArrow(run, schema).write.mode(mode).parquet(rejects)
+    return spark.read.schema(schema).parquet(rejects).count()

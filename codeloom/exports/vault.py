@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +9,8 @@ from codeloom.functions.identity import text
 from codeloom.functions.text import safe_path_component
 from codeloom.operators.graph import Graph
 
+from .staged import write_files
+
 
 def _known(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(text(c)), F.lit("")) for c in columns])
@@ -72,12 +72,9 @@ def notes(g: Graph) -> DataFrame:
 
 
 def write_vault(g: Graph, folder: str) -> int:
-    """The notes as files under ``folder``, streamed through the driver; the number written."""
-    n = 0
-    for r in notes(g).toLocalIterator():
-        path = os.path.join(folder, f"{r.path}.md")
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path, "w", encoding="utf-8") as f:
-            f.write(r.text)
-        n += 1
-    return n
+    """The notes as files under ``folder``, written by tasks; the number written. Nodes that share a path share a note, their texts in order.
+
+    All notes are staged before the first is put in its place; notes of nodes that are gone stay.
+    """
+    every = notes(g).groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
+    return write_files(every.select(F.concat("path", F.lit(".md")).alias("path"), "text"), folder)

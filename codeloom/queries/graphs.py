@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.exports import documents
 from codeloom.operators import ignore, reach_index, traverse, upkeep, workspace
 from codeloom.operators.graph import Graph
 from codeloom.session import shared_folder
+from codeloom.sources import graph_json
 
 from .projections import CANON, RAW_SUPPLY, SUPPLY, TRADE, supply, trade
 from .structure import _F, _FILE_EXPRS, _TARGET_EXPR, _TERMS, _files, _terms
@@ -118,7 +120,16 @@ def q9_dense(spark: SparkSession, sf: str) -> DataFrame:
     return traverse.ranked_file_path(nodes, edges, *_DENSE)
 
 
-QUERIES = {"T5_incremental_upkeep": t5, "Q7_impact_index": q7_index, "Q7_impact_paths": q7_paths, "Q8_distance_index": q8_index, "Q8_path_index": q8_path, "Q7_strong_components": q7_components, "Q9_ranked_path_dense": q9_dense, "P5_nested_ignored": p5, "Q17_route_all": q17_all, "R19_union_rows": r19_rows}
+def k1_document(spark: SparkSession, sf: str) -> DataFrame:
+    """The supply graph written as one document by tasks, and read again in ranges of bytes; rows of both tables."""
+    path = f"{shared_folder(spark).removeprefix('file://')}/documents/{uuid.uuid4().hex}.json"
+    documents.write_json(supply(spark, sf, raw=True), path)
+    g = graph_json.read_graph(spark, path)
+    nodes = g.nodes.select(F.lit("node").alias("what"), "id", F.col("label").alias("target"), F.col("kind").alias("name"), "file", F.col("community").cast("double").alias("value"))
+    return nodes.unionByName(g.edges.select(F.lit("edge").alias("what"), F.col("src").alias("id"), F.col("dst").alias("target"), F.col("relation").alias("name"), "file", F.col("score").alias("value")))
+
+
+QUERIES = {"T5_incremental_upkeep": t5, "Q7_impact_index": q7_index, "Q7_impact_paths": q7_paths, "Q8_distance_index": q8_index, "Q8_path_index": q8_path, "Q7_strong_components": q7_components, "Q9_ranked_path_dense": q9_dense, "P5_nested_ignored": p5, "Q17_route_all": q17_all, "R19_union_rows": r19_rows, "K1_S1_document": k1_document}
 
 
 def _root(p: str) -> str:
@@ -203,3 +214,5 @@ SQL["P1_P4_ignored"] = """SELECT page_id, list_contains([CASE WHEN k < len(w) AN
             WHEN w[k] LIKE '4%.html' THEN false ELSE w[k] LIKE '%.html' END for k in range(1, len(w) + 1)], true) AS ignored
         FROM (SELECT page_id, string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS w FROM pages)"""
 SQL["Q8_path_index"] = SHORTEST["Q8_shortest_path"]
+SQL["K1_S1_document"] = f"""WITH {RAW_SUPPLY}, {CANON} SELECT 'node' AS what, id, coalesce(label, '') AS target, coalesce(kind, '') AS name, coalesce(file, '') AS file, CAST(coalesce(community, 0) AS DOUBLE) AS value FROM cn
+    UNION ALL SELECT 'edge', src, dst, coalesce(relation, ''), coalesce(file, ''), CAST(coalesce(score, 0) AS DOUBLE) FROM ce"""

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from codeloom.operators.graph import Graph
 
+from .line_document import in_lines, lines
+
 NODE = "id string, label string, kind string, file string, description string, source_id string, source_type string, source_name string, source_organization string, source_path string, source_remote string, community int, metadata string"
 EDGE = "`from` string, `to` string, kind string, file string, confidence string, score double, metadata string"
 DOCUMENT = f"nodes array<struct<{NODE.replace(' string', ':string').replace(' int', ':int').replace(' double', ':double')}>>, edges array<struct<{EDGE.replace(' string', ':string').replace(' double', ':double')}>>"
@@ -22,11 +24,20 @@ EDGE_METADATA = {
 def read_graph(spark: SparkSession, path: str, canonical: bool = True) -> Graph:
     """S2 (S3 with ``canonical`` off): the graph of a document, or of several with earlier paths first. Missing, empty and zero are equal.
 
-    Positions in the document become ord. A document is one JSON value and so one task's; graphs of size are kept as tables.
+    Positions in the document become ord. A document with a row a line, as ``write_json`` makes them, is read in ranges of bytes;
+    any other is one JSON value and so one task's.
     """
+    if in_lines(path):
+        n, e = (lines(spark, path, s).select("ord", F.from_json("json", row).alias("r")).select("ord", "r.*") for s, row in (("nodes", NODE), ("edges", EDGE)))
+        return _graph(n, e, canonical)
     doc = spark.read.schema(DOCUMENT).option("multiLine", True).json(path).withColumn("__file", F.input_file_name())
     n = doc.select("__file", F.posexplode("nodes").alias("ord", "n")).select("__file", F.col("ord").cast("long").alias("ord"), "n.*")
     e = doc.select("__file", F.posexplode("edges").alias("ord", "e")).select("__file", F.col("ord").cast("long").alias("ord"), "e.*")
+    return _graph(n, e, canonical)
+
+
+def _graph(n: DataFrame, e: DataFrame, canonical: bool) -> Graph:
+    """Rows of a document as a graph."""
     text = lambda df, c: F.coalesce(df[c], F.lit("")).alias(c)
     kept = lambda c: F.coalesce(F.get_json_object("metadata", f"$.{c}"), F.lit(""))
     nodes = n.select(
@@ -42,8 +53,17 @@ def read_graph(spark: SparkSession, path: str, canonical: bool = True) -> Graph:
     return g.canonicalized() if canonical else g
 
 
+def _whole(path: str) -> bool:
+    """Whether a document in lines has its end."""
+    with open(path.removeprefix("file://"), "rb") as f:
+        f.seek(max(0, f.seek(0, 2) - 4096))
+        return f.read().endswith(b"}\n")
+
+
 def _broken(spark: SparkSession, path: str) -> str:
     """Why a document is none, or an empty text."""
+    if in_lines(path):
+        return "" if _whole(path) else "the document is cut off"
     try:
         rows = spark.read.schema(DOCUMENT).option("multiLine", True).json(path).select(F.isnotnull("nodes").alias("n"), F.isnotnull("edges").alias("e")).take(1)
     except Exception as e:  # noqa: BLE001  one bad document does not end the union
