@@ -3,8 +3,9 @@
 A label (dir, node, hub, d) says that ``hub`` reaches ``node`` in d hops (dir 0) or that ``node`` reaches ``hub`` in d hops (dir 1).
 Between any two nodes the least sum over common hubs is the distance, so questions are joins on labels, without a search.
 Nodes become hubs in the order of their degrees, in batches that grow; all hubs of a batch search in both directions at once, a level
-a join, and stop at nodes whose distance from them earlier batches already give. Hubs of one batch do not prune each other, which
-makes some labels more but none wrong.
+a join, and stop at earlier hubs and at nodes whose distance from them earlier batches already give. No label is lost: of all nodes on
+shortest paths between two nodes, the earliest in the order meets only later ones on its way to both. Hubs of one batch do not prune each
+other in any other way, which makes some labels more but none wrong.
 """
 
 from __future__ import annotations
@@ -85,37 +86,70 @@ def condensed(edges: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def distance_labels(edges: DataFrame, first: int = FIRST, growth: int = GROWTH) -> DataFrame:
-    """(dir, node, hub, d) of all nodes of an edge. Rounds: levels of a search times the batches, a logarithm of the nodes."""
+    """(dir, node, hub, d) of all nodes of an edge; ``hub`` is the hub's number in the order. Rounds: levels of a search times the batches, a logarithm of the nodes.
+
+    Inside nodes are numbers too, and a node and a direction are one number, ``at`` = 2 * node + dir.
+    """
     pairs = _proper(edges)
-    ways = scratch(pairs.select(F.lit(0).alias("dir"), F.col("src").alias("at"), F.col("dst").alias("to")).unionByName(pairs.select(F.lit(1), F.col("dst"), F.col("src")).toDF("dir", "at", "to")), "ways")
-    degree = ways.groupBy("at").agg((F.count_if(F.col("dir") == 0) + 1).alias("a"), (F.count_if(F.col("dir") == 1) + 1).alias("b"))
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("src").alias("at"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("at"), F.lit(0).alias("o")))).alias("x")).select("x.*")
+    degree = ends.groupBy("at").agg((F.sum("o") + 1).alias("a"), (F.count("*") - F.sum("o") + 1).alias("b"))
     alone = edges.where("src = dst").select(F.col("src").alias("at")).distinct().join(degree, "at", "left_anti")
-    order = degree.select(F.col("at").alias("hub"), (-F.col("a") * F.col("b")).alias("w")).unionByName(alone.select(F.col("at").alias("hub"), F.lit(0).cast("long").alias("w")))
-    order = scratch(numbered(order, ["w", "hub"], "rank").select("hub", "rank"), "order")
+    order = degree.select(F.col("at").alias("node"), (-F.col("a") * F.col("b")).alias("w")).unionByName(alone.select(F.col("at").alias("node"), F.lit(0).cast("long").alias("w")))
+    order = scratch(numbered(order, ["w", "node"], "rank").select("node", F.col("rank").cast("long").alias("rank")), "order")
     n = order.count()
-    labels = scratch(order.limit(0).select(F.lit(0).alias("dir"), F.col("hub").alias("node"), "hub", F.lit(0).alias("d")), "labels")
+    of = lambda end: order.select(F.col("node").alias(end), F.col("rank").alias(end[0]))
+    ways = scratch(pairs.join(of("src"), "src").join(of("dst"), "dst").select("s", "d"), "ways")
+    ways = ways.select(F.explode(F.array(F.struct((2 * F.col("s")).alias("at"), (2 * F.col("d")).alias("to")), F.struct((2 * F.col("d") + 1).alias("at"), (2 * F.col("s") + 1).alias("to")))).alias("x")).select("x.*")
+    labels = None
     low, size = 0, first
     while low < n:
-        hubs = order.where((F.col("rank") >= low) & (F.col("rank") < low + size)).select("hub")
-        front = hubs.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("dir"), F.col("hub").alias("node"), "hub", F.lit(0).alias("d"))
-        front = own = scratch(front, "front")
+        hubs = order.where((F.col("rank") >= low) & (F.col("rank") < low + size)).select(F.col("rank").alias("hub"))
+        front = own = scratch(hubs.select(F.explode(F.array(2 * F.col("hub"), 2 * F.col("hub") + 1)).alias("at"), "hub", F.lit(0).alias("d")), "front")
+        through = _through(labels) if low else None
         d = 0
         while True:
             d += 1
-            step = front.join(ways.withColumnsRenamed({"at": "node"}), ["dir", "node"]).select("dir", F.col("to").alias("node"), "hub").distinct()
-            step = step.join(own, ["dir", "node", "hub"], "left_anti")
-            if low:
-                there = labels.select((1 - F.col("dir")).alias("dir"), F.col("node").alias("hub"), F.col("hub").alias("via"), F.col("d").alias("d1"))
-                here = labels.select("dir", "node", F.col("hub").alias("via"), F.col("d").alias("d2"))
-                known = step.join(there, ["dir", "hub"]).join(here, ["dir", "node", "via"]).where(F.col("d1") + F.col("d2") <= d).select("dir", "node", "hub").distinct()
-                step = step.join(known, ["dir", "node", "hub"], "left_anti")
+            # a path over an earlier hub is that hub's own, whose search meets both ends
+            step = front.join(ways, "at").where(F.shiftright("to", 1) > F.col("hub")).select(F.col("to").alias("at"), "hub").distinct()
+            step = step.join(own, ["at", "hub"], "left_anti")
+            if through is not None:
+                step = scratch(step, "step")
+                step = step.join(_known(step, through, d), ["at", "hub"], "left_anti")
             front = scratch(step.withColumn("d", F.lit(d)), "front")
             if front.isEmpty():
                 break
             own = own.unionByName(front) if d % 8 else scratch(own.unionByName(front), "own")
-        labels = scratch(labels.unionByName(own), "labels")
+        labels = own if labels is None else labels.unionByName(own)
         low, size = low + size, size * growth
-    return labels
+    if labels is None:
+        return order.select(F.lit(0).alias("dir"), "node", F.col("rank").alias("hub"), F.lit(0).alias("d"))
+    named = labels.withColumn("rank", F.shiftright("at", 1)).join(order, "rank")
+    return scratch(named.select(F.col("at").bitwiseAND(F.lit(1).cast("long")).cast("int").alias("dir"), "node", "hub", "d"), "labels")
+
+
+def _through(labels: DataFrame) -> DataFrame | None:
+    """Labels by hubs that others reach and that reach others, with the number of them at each ``at``; None if there are none. Only they can give a distance between two other nodes."""
+    proper = labels.where("d > 0")
+    both = proper.groupBy("hub").agg(F.min(F.col("at") % 2).alias("a"), F.max(F.col("at") % 2).alias("b")).where("a < b").select("hub")
+    kept = scratch(proper.join(both, "hub", "left_semi").select("at", F.col("hub").alias("via"), F.col("d").alias("dv")), "through")
+    if kept.isEmpty():
+        return None
+    sizes = kept.groupBy("at").agg(F.count("*").alias("n"))
+    return scratch(kept.join(sizes, "at"), "through")
+
+
+def _known(step: DataFrame, through: DataFrame, d: int) -> DataFrame:
+    """The (at, hub) of ``step`` whose distance earlier labels give. Of each pair the end with fewer labels looks up the other's."""
+    sizes = scratch(through.select("at", "n").distinct(), "sizes")
+    mirror = 2 * F.col("hub") + 1 - F.col("at") % 2
+    both = step.withColumn("there", mirror).join(sizes, "at").join(sizes.select(F.col("at").alias("there"), F.col("n").alias("m")), "there")
+    both = scratch(both, "both")
+    found = None
+    for near, far, fewer in (("at", "there", "n <= m"), ("there", "at", "n > m")):
+        one, other = (through.select(F.col("at").alias(x), "via", F.col("dv").alias(y)) for x, y in ((near, "d1"), (far, "d2")))
+        met = both.where(fewer).select("at", "there", "hub").join(one, near).join(other, [far, "via"]).where(F.col("d1") + F.col("d2") <= d).select("at", "hub")
+        found = met if found is None else found.unionByName(met)
+    return found.distinct()
 
 
 def distances(labels: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -130,7 +164,9 @@ def all_from(labels: DataFrame, subjects: DataFrame, reverse: bool = False) -> D
     """(subject, id, hops) of every node that a subject(subject) reaches, or with ``reverse`` that reaches it (Q7 for all subjects at once), itself left out."""
     near = labels.where(F.col("dir") == (0 if reverse else 1)).select(F.col("node").alias("subject"), "hub", F.col("d").alias("d1"))
     far = labels.where(F.col("dir") == (1 if reverse else 0)).select(F.col("node").alias("id"), "hub", F.col("d").alias("d2"))
-    met = near.join(subjects.select("subject").distinct(), "subject", "left_semi").join(far, "hub").where("subject <> id")
+    # the labels of the subjects are few: written, they are small enough to be sent to all tasks
+    near = scratch(near.join(F.broadcast(subjects.select("subject").distinct()), "subject", "left_semi"), "subjects")
+    met = near.join(far, "hub").where("subject <> id")
     return met.groupBy("subject", "id").agg(F.min(F.col("d1") + F.col("d2")).alias("hops"))
 
 
@@ -143,13 +179,15 @@ def path(labels: DataFrame, edges: DataFrame, source: str, target: str) -> DataF
     hops = ask([(source, target)]).get(source)
     if hops is None:
         return spark.createDataFrame([], "hop int, id string")
-    into = labels.where((F.col("dir") == 0) & (F.col("node") == target)).select("hub", F.col("d").alias("d2"))
-    out = labels.where("dir = 1").select(F.col("node").alias("dst"), "hub", F.col("d").alias("d1"))
+    # nodes with their hops to the target, then the edges that lead a hop nearer: labels and edges are read once, not once a hop
+    into = scratch(labels.where((F.col("dir") == 0) & (F.col("node") == target)).select("hub", F.col("d").alias("d2")), "into")
+    left = labels.where("dir = 1").join(into, "hub").groupBy("node").agg(F.min(F.col("d") + F.col("d2")).alias("left")).where(F.col("left") < hops)
+    left = scratch(left, "left")
+    ahead = edges.select("src", "dst").join(left.withColumnRenamed("node", "dst"), "dst").distinct()
+    ahead = scratch(ahead.join(left.select(F.col("node").alias("src"), F.col("left").alias("own")), "src", "left").where((F.col("src") == source) | (F.col("own") == F.col("left") + 1)), "ahead")
     way = [source]
     while len(way) <= hops:
-        left = hops - len(way)
-        nearer = edges.where(F.col("src") == way[-1]).select("dst").distinct().join(out, "dst").join(into, "hub").where(F.col("d1") + F.col("d2") == left)
-        way.append(nearer.agg(F.min("dst")).first()[0])
+        way.append(ahead.where((F.col("src") == way[-1]) & (F.col("left") == hops - len(way))).agg(F.min("dst")).first()[0])
     return spark.createDataFrame(list(enumerate(way)), "hop int, id string")
 
 

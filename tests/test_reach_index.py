@@ -58,3 +58,12 @@ def test_strong_components(spark, seed):
     above = {(r.src, r.dst) for r in R.condensed(df, found).collect()}
     assert above == {(want[a], want[b]) for a, b in edges if want[a] != want[b]}
     assert R.strong_components(df.limit(0)).count() == 0 and R.distance_labels(df.limit(0)).count() == 0
+
+
+def test_labels_end_at_earlier_hubs(spark):
+    """Sources and sinks around one node: each is labelled by that node and itself alone, not by those on the other side, in one batch too."""
+    edges = [(f"a{k}", "mid") for k in range(6)] + [("mid", f"b{k}") for k in range(6)]
+    df = spark.createDataFrame(edges, EDGE)
+    labels = R.distance_labels(df).cache()
+    assert labels.count() == 2 * 13 + 12
+    assert {(r.src, r.hops) for r in R.distances(labels, spark.createDataFrame([("a0", "b5"), ("mid", "b5"), ("b5", "a0")], EDGE)).collect()} == {("a0", 2), ("mid", 1)}
