@@ -3,8 +3,8 @@
 SimHash fingerprints link by the generalised pigeonhole principle first. At similarity 0.8 two fingerprints of 64 bits differ
 in some ten bits, which no partition of them can probe for; so every row's set of shingle hashes gives BANDS x ROWS minima; sets that agree on all minima of a band share a bucket. At
 similarity 0.8 a pair shares none of 24 buckets of 4 minima with a chance of 3e-6. In each round every member of a bucket meets
-the bucket's centre, and all members of a small bucket meet: work grows with the members, not with their pairs. Candidates are
-compared on their whole sets, so no pair below the bound is ever linked.
+the bucket's centre, which puts most of a bucket in one group; then all members of a bucket that are not yet in one group meet,
+however many there are. Candidates are compared on their whole sets, so no pair below the bound is ever linked.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from .scratch import narrow_batches, spare, written
 from .simhash import fitted_links, majorities
 
 BANDS, ROWS = 24, 4
-#: Rounds that compare the members of a bucket with one of them, each time another; then all pairs of a bucket of at most SMALL.
-STARS, SMALL = 3, 8
+#: Rounds that compare the members of a bucket with one of them, each time another; then all pairs of different groups meet.
+STARS = 3
 #: Bits in which fingerprints of linked sets may differ.
 RADIUS = 4
 _RNG = np.random.Generator(np.random.PCG64(20250811))
@@ -129,8 +129,8 @@ def similar_groups(rows: DataFrame, text: str, least: float = 0.8, shingle: int
     """(sets, roots): sets(s, first, n) of the distinct shingle sets with the first (no_id, doc_id, row) that has each, and
     roots(s, root) of the sets that some other is linked to. ``rows(row, doc_id, text)`` is read more than once.
 
-    ``exact``: at the end all members of every bucket of any size that are not yet in one group meet, and none are ruled out by an
-    estimate; work grows with the pairs of a bucket's groups then.
+    At the end all members of every bucket of any size that are not yet in one group meet: work grows with the pairs of a bucket's
+    groups, and members of one group are not paired. ``exact``: none of these pairs are ruled out by an estimate.
     """
     signed = written(_signed(rows, text, shingle), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
@@ -162,8 +162,9 @@ def similar_groups(rows: DataFrame, text: str, least: float = 0.8, shingle: int
             centre = centre.select("k", F.col("c.n").alias("bn"), F.col("c.sig").alias("bsig"), F.col("c.s").alias("b"), F.col("c.root").alias("broot"))
             pairs = side[0].join(centre.hint("merge"), "k").where("aroot <> broot")
         else:
-            few = named.groupBy("k").agg(F.count("*").alias("m")).where(F.lit(exact) | (F.col("m") <= SMALL)).select("k")
-            pairs = side[0].join(few.hint("merge"), "k").join(side[1].hint("merge"), "k").where("aroot <> broot and a < b")
+            groups = named.groupBy("k", "root").agg(F.count("*").alias("m")).drop("m")
+            across = groups.withColumnRenamed("root", "aroot").join(groups.withColumnRenamed("root", "broot").hint("merge"), "k").where("aroot < broot")
+            pairs = side[0].join(written(across, "across").hint("merge"), ["k", "aroot"]).join(side[1].hint("merge"), ["k", "broot"])
         found = _likely(pairs, least if not exact or turn < STARS else 0.0).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = written(_linked(found, texts, least, shingle), "linked")
         links = links.unionByName(found)

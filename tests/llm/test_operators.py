@@ -638,3 +638,19 @@ def test_near_duplicates_exactly(spark):
     want = sorted({find(i) for i in range(len(texts))})
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert sorted(r.doc_id for r in neardup.one_of_similar(df, exact=True).collect()) == want
+
+
+def test_large_buckets_meet_whole(spark):
+    """Copies that are similar to one text only, not to each other: that text meets all of them, whoever is the centre of their large buckets."""
+    from codeloom.llm import neardup
+
+    rng = random.Random(3)
+    texts = []
+    for g in range(3):
+        own = [f"g{g}x{k}" for k in range(80)]
+        for k in range(40):
+            at = 10 + rng.randrange(60)
+            texts.append(" ".join(own[:at] + [f"n{g}y{k}"] + own[at + 1 :]))
+        texts.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in neardup.one_of_similar(df).collect()) == [0, 41, 82]
