@@ -3,8 +3,10 @@
 SimHash fingerprints link by the generalised pigeonhole principle first. At similarity 0.8 two fingerprints of 64 bits differ
 in some ten bits, which no partition of them can probe for; so every row's set of shingle hashes gives BANDS x ROWS minima; sets that agree on all minima of a band share a bucket. At
 similarity 0.8 a pair shares none of 24 buckets of 4 minima with a chance of 3e-6. In each round every member of a bucket meets
-the bucket's centre, which puts most of a bucket in one group; then all members of a bucket that are not yet in one group meet,
-however many there are. Candidates are compared on their whole sets, so no pair below the bound is ever linked.
+the bucket's centre, which puts most of a bucket in one group. What then still shares a bucket with another group is joined by
+prefixes: with the shingles of each set in one order, rare ones first, two sets that reach the bound have a shingle in common
+among the first of each, so copies that each differ in too many places of their own never meet, however many they are.
+Candidates are compared on their whole sets, so no pair below the bound is ever linked.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
@@ -22,7 +24,7 @@ from .scratch import narrow_batches, spare, written
 from .simhash import fitted_links, majorities
 
 BANDS, ROWS = 24, 4
-#: Rounds that compare the members of a bucket with one of them, each time another; then all pairs of different groups meet.
+#: Rounds that compare the members of a bucket with one of them, each time another; then different groups are joined by prefixes, in a round of centres and one of all pairs.
 STARS = 3
 #: Bits in which fingerprints of linked sets may differ.
 RADIUS = 4
@@ -109,7 +111,7 @@ def _likely(pairs: DataFrame, least: float) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in ("asig", "bsig"))
                 yield b.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= need))
 
-    sized = pairs.where(F.lit(least <= 0) | (F.least("an", "bn") >= F.lit(least) * F.greatest("an", "bn")))
+    sized = pairs.where(F.least("an", "bn") >= F.lit(least) * F.greatest("an", "bn"))
     return sized.select("a", "asig", "b", "bsig").mapInArrow(tb.returning(run), "a long, b long").distinct()
 
 
@@ -125,12 +127,66 @@ def _linked(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) -> D
     return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "at", "bt").mapInArrow(tb.returning(run), "a long, b long")
 
 
+def _shingled(texts: DataFrame, shingle: int) -> DataFrame:
+    """(s, h) of the distinct shingles of texts(s, t)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in tb.pieces(batch, "t", 1 << 19):
+                row, h = shingle_sets(*shingles(*tb.buffers(b.column("t")), shingle))
+                yield pa.record_batch([b.column("s").take(pa.array(row)), pa.array(h.view(np.int64))], names=["s", "h"])
+
+    return texts.select("s", "t").mapInArrow(tb.returning(run), "s long, h long")
+
+
+def _apart(crowd: DataFrame, roots: DataFrame) -> DataFrame:
+    """(s, n) of the members of buckets that hold more than one root."""
+    named = crowd.select("k", "s", "n").join(roots.hint("merge"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+    named = written(named.select("k", "s", "n", "root"), "named")
+    several = named.groupBy("k").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("k")
+    return named.join(several.hint("merge"), "k", "left_semi").select("s", "n").distinct()
+
+
+def _prefixes(members: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
+    """(h, s, n, rest): of members(s, n) the shingles by which a partner that reaches ``least``, which is above 0, must be met.
+
+    Shingles are ordered by the number of sets that have them, then by hash; ``rest`` is how many a set has from this one on.
+    Two sets of na and nb shingles reach ``least`` only if they share ``o = least / (1 + least) * (na + nb)``, so each has o or
+    more from the first shared one on. Shingles of one set alone count for the places of the others and go no further.
+    """
+    held = written(_shingled(texts.join(members.select("s").hint("merge"), "s", "left_semi"), shingle), "shingles")
+    common = held.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    of_set = Window.partitionBy("s")
+    placed = held.join(common.hint("merge"), "h").withColumn("rest", F.count("*").over(of_set) + 1 - F.row_number().over(of_set.orderBy("c", "h")))
+    placed = placed.join(members.hint("merge"), "s").where(F.col("rest") >= F.lit(least) * F.col("n") - 1e-6)
+    return written(placed.select("h", "s", "n", "rest"), "prefixes")
+
+
+def _by_prefix(placed: DataFrame, roots: DataFrame, least: float, star: bool) -> DataFrame:
+    """Distinct (a, b) of placed(h, s, n, rest) that share an h, are of different roots and can reach ``least``.
+
+    ``star``: only pairs with the set of each h that has fewest rare shingles, which is similar to most others.
+    """
+    named = placed.join(roots.hint("merge"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+    named = written(named.select("h", "s", "n", "rest", "root"), "named")
+    several = named.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
+    named = named.join(several.hint("merge"), "h", "left_semi")
+    a, b = (named.select("h", *[F.col(c).alias(x + c) for c in ("s", "n", "root", "rest")]) for x in "ab")
+    if star:
+        c = b.groupBy("h").agg(F.min(F.struct((-F.col("brest") / F.col("bn")).alias("o"), "bs", "bn", "broot", "brest")).alias("c"))
+        b = c.select("h", "c.bs", "c.bn", "c.broot", "c.brest")
+    apart = F.col("aroot") != F.col("broot") if star else F.col("aroot") < F.col("broot")
+    enough = F.lit(1 + least) * F.least("arest", "brest") >= F.lit(least) * (F.col("an") + F.col("bn")) - 1e-6
+    pairs = a.join(b.hint("merge"), "h").where(apart & enough)
+    return pairs.select(F.least("as", "bs").alias("a"), F.greatest("as", "bs").alias("b")).distinct()
+
+
 def similar_groups(rows: DataFrame, text: str, least: float = 0.8, shingle: int = 5, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """(sets, roots): sets(s, first, n) of the distinct shingle sets with the first (no_id, doc_id, row) that has each, and
     roots(s, root) of the sets that some other is linked to. ``rows(row, doc_id, text)`` is read more than once.
 
-    At the end all members of every bucket of any size that are not yet in one group meet: work grows with the pairs of a bucket's
-    groups, and members of one group are not paired. ``exact``: none of these pairs are ruled out by an estimate.
+    At the end the members of every bucket that holds more than one group are joined by prefixes, whatever its size; members of
+    one group are not paired. ``exact``: so are all other sets, whether they share a bucket or not.
     """
     signed = written(_signed(rows, text, shingle), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
@@ -146,26 +202,27 @@ def similar_groups(rows: DataFrame, text: str, least: float = 0.8, shingle: int
     buckets = written(one.select("row", "s", "n", "sig", F.explode("keys").alias("k")), "buckets")
     shared = buckets.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k")
     crowd = written(buckets.join(shared.hint("merge"), "k", "left_semi"), "crowd")
-    met = crowd.select("s").unionByName(near.select(F.explode(F.array("a", "b")).alias("s"))).distinct()
+    met = one.select("s") if exact else crowd.select("s").unionByName(near.select(F.explode(F.array("a", "b")).alias("s"))).distinct()
     texts = rows.join(one.join(met.hint("merge"), "s", "left_semi").select("row", "s").hint("merge"), "row").select("s", F.col(text).alias("t"))
     texts = written(texts, "candidates")
     links = written(_linked(near, texts, least, shingle), "linked")
     roots = written(connected_components(links).select(F.col("node").alias("s"), "root"), "roots")
-    for turn in range(STARS + 1):
-        named = crowd.select("k", "s", "n", "sig")
-        named = written(named.join(roots.hint("merge"), "s", "left").withColumn("root", F.coalesce("root", "s")), "named")
-        side = [named.select("k", *[F.col(c).alias(x + c) for c in ("n", "sig")], F.col("s").alias(x), F.col("root").alias(f"{x}root")) for x in "ab"]
+    placed = None
+    for turn in range(STARS + 2):
         if turn < STARS:
+            named = crowd.select("k", "s", "n", "sig")
+            named = written(named.join(roots.hint("merge"), "s", "left").withColumn("root", F.coalesce("root", "s")), "named")
+            side = named.select("k", F.col("s").alias("a"), F.col("n").alias("an"), F.col("sig").alias("asig"), F.col("root").alias("aroot"))
             # one order of components and members for all buckets, so that they share their centres
             order = F.struct(F.xxhash64("root", F.lit(turn)).alias("o"), F.xxhash64("s", F.lit(turn)).alias("p"), "s", "n", "sig", "root")
             centre = named.groupBy("k").agg(F.min(order).alias("c"))
             centre = centre.select("k", F.col("c.n").alias("bn"), F.col("c.sig").alias("bsig"), F.col("c.s").alias("b"), F.col("c.root").alias("broot"))
-            pairs = side[0].join(centre.hint("merge"), "k").where("aroot <> broot")
+            pairs = side.join(centre.hint("merge"), "k").where("aroot <> broot")
+            found = _likely(pairs, least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
-            groups = named.groupBy("k", "root").agg(F.count("*").alias("m")).drop("m")
-            across = groups.withColumnRenamed("root", "aroot").join(groups.withColumnRenamed("root", "broot").hint("merge"), "k").where("aroot < broot")
-            pairs = side[0].join(written(across, "across").hint("merge"), ["k", "aroot"]).join(side[1].hint("merge"), ["k", "broot"])
-        found = _likely(pairs, least if not exact or turn < STARS else 0.0).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            if placed is None:
+                placed = _prefixes(written(one.select("s", "n") if exact else _apart(crowd, roots), "apart"), texts, least, shingle)
+            found = _by_prefix(placed, roots, least, star=turn == STARS)
         found = written(_linked(found, texts, least, shingle), "linked")
         links = links.unionByName(found)
         if not found.isEmpty():

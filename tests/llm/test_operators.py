@@ -654,3 +654,22 @@ def test_large_buckets_meet_whole(spark):
         texts.append(" ".join(own))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert sorted(r.doc_id for r in neardup.one_of_similar(df).collect()) == [0, 41, 82]
+
+
+def test_near_copies_below_the_bound_do_not_meet(spark):
+    """Copies that share most shingles but each differ in two places of their own, 10 of 56 shingles, give no pairs by their prefixes, of 7,140."""
+    from codeloom.llm import neardup
+
+    texts = []
+    for k in range(120):
+        t = [f"x{i}" for i in range(60)]
+        t[10 + k % 10], t[40 + k % 9] = f"n{k}", f"m{k}"
+        texts.append(" ".join(t))
+    t = spark.createDataFrame(list(enumerate(texts)), "s long, t string")
+    placed = neardup._prefixes(t.select("s", F.lit(56).cast("long").alias("n")), t, 0.8, 5)
+    roots = spark.createDataFrame([], "s long, root long")
+    assert neardup._by_prefix(placed, roots, 0.8, star=False).count() == 0
+    # one more place in common with the first text, and both meet
+    near = spark.createDataFrame([(120, texts[0].replace("n0", "other"))], "s long, t string").unionByName(t)
+    placed = neardup._prefixes(near.select("s", F.lit(56).cast("long").alias("n")), near, 0.8, 5)
+    assert [tuple(r) for r in neardup._by_prefix(placed, roots, 0.8, star=False).collect()] == [(0, 120)]
