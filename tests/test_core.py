@@ -1,6 +1,7 @@
 """The graph operators on small literal graphs."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import Window
@@ -319,3 +320,37 @@ def test_debounce(spark, tmp_path):
     q = watch.watch(stream, lambda df, n: seen.extend(r.paths for r in df.collect()), str(tmp_path / "cp"), lateness="0 seconds", availableNow=True)
     q.awaitTermination(120)
     assert ["a.go", "b.go"] in seen
+
+
+def test_label_propagation_by_numbers(spark, monkeypatch):
+    """As a plain loop over every node, also with ends that are no nodes; rounds hold numbers only, not ids."""
+    rng = random.Random(4)
+    ids = [f"n{k}" for k in range(30)]
+    pairs = [(rng.choice(ids), rng.choice(ids)) for _ in range(70)]
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            for x, y in ((a, b), (b, a)):
+                near.setdefault(x, {}).setdefault(y, 0)
+                near[x][y] += 1
+    for known in (ids, ids[:12]):
+        labels = {k: k for k in known}
+        for _ in range(4):
+            votes = {k: {v: 1} for k, v in labels.items()}
+            for x, of in near.items():
+                for y, w in of.items():
+                    if y in labels:
+                        own = votes.setdefault(x, {})
+                        own[labels[y]] = own.get(labels[y], 0) + w
+            new = {k: min(v, key=lambda c, v=v: (-v[c], c)) for k, v in votes.items()}
+            same = all(new[k] == v for k, v in labels.items())
+            labels = new
+            if same:
+                break
+        rounds, real = [], community.scratch
+        monkeypatch.setattr(community, "scratch", lambda df, name: rounds.append((name, df.dtypes)) or real(df, name))
+        nodes, edges = spark.createDataFrame([(k,) for k in known], "id string"), spark.createDataFrame(pairs, "src string, dst string")
+        got = {r.id: r.label for r in community.label_propagation(nodes, edges, 4).collect()}
+        monkeypatch.setattr(community, "scratch", real)
+        assert got == labels
+        assert {t for name, columns in rounds if name == "labels" for _, t in columns} == {"bigint"}
