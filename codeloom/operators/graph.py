@@ -73,6 +73,13 @@ class Graph:
         labels = g.nodes.select(F.col("id").alias("dst"), F.col("label").alias("dst_label"))
         return Graph(g.nodes, e.join(labels, "dst").select(*[c for c in e.columns], "dst_label"))
 
+    def linked(self) -> Graph:
+        """The nodes of ``built`` and its edges as different (src, dst, relation): parallel ones count once, so none has to win and nothing else is carried."""
+        nodes = canonical_nodes(self.nodes)
+        known = self.edges.where((text("src") != "") & (text("dst") != "")).join(nodes.select(F.col("id").alias("src")), "src", "left_semi")
+        e = resolved(known.select("src", "dst", "relation").distinct(), nodes).where("dst is not null and src <> dst")
+        return Graph(nodes, e.select("src", "dst", "relation").distinct())
+
     def union(self, other: Graph) -> Graph:
         """Rows of both, those of ``other`` after, canonicalised."""
         return Graph.union_all([self, other])

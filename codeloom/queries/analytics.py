@@ -72,16 +72,16 @@ def a1h(spark, sf):
 
 
 def a2(spark, sf):
-    g = supply(spark, sf).built()
+    g = supply(spark, sf).linked()
     return A.god_nodes(g.nodes, g.edges, 10)
 
 
 def a3(spark, sf):
-    return A.simple_degrees(supply(spark, sf).built().edges)
+    return A.simple_degrees(supply(spark, sf).linked().edges)
 
 
 def a4(spark, sf):
-    g = supply(spark, sf).built()
+    g = supply(spark, sf).linked()
     return A.surprise_edges(g.nodes, g.edges, 20)
 
 

@@ -354,3 +354,14 @@ def test_label_propagation_by_numbers(spark, monkeypatch):
         monkeypatch.setattr(community, "scratch", real)
         assert got == labels
         assert {t for name, columns in rounds if name == "labels" for _, t in columns} == {"bigint"}
+
+
+def test_linked_is_built_without_repeats(spark):
+    """Parallel, dangling, unknown and self edges, and targets by label; no column of a winning copy is carried."""
+    edges = [("a", "b", "calls", f, c, float(k), k) for k, (f, c) in enumerate([("x.go", "A"), ("x.go", "B"), ("y.go", None)])]
+    edges += [("a", "B", "calls", "z.go", None, 0.0, 9), ("a", "a", "calls", "", None, 0.0, 10), ("ghost", "a", "calls", "", None, 0.0, 11), ("b", "missing", "calls", "", None, 0.0, 12), ("b", "a", "uses", "", None, 0.0, 13)]
+    nodes = [("a", "A", "f", "", 0), ("b", "B", "f", "", 1), ("b", "again", "f", "", 2), ("c", "B", "f", "", 3), ("", "none", "f", "", 4)]
+    g = G.Graph(spark.createDataFrame(nodes, "id string, label string, kind string, file string, ord long"), spark.createDataFrame(edges, "src string, dst string, relation string, file string, confidence string, score double, ord long"))
+    got = g.linked()
+    assert got.edges.columns == ["src", "dst", "relation"]
+    assert sorted(map(tuple, got.edges.collect())) == sorted(map(tuple, g.built().edges.select("src", "dst", "relation").distinct().collect())) == [("a", "b", "calls"), ("b", "a", "uses")]
