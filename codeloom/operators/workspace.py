@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.identity import text, workspace_node_id
 from codeloom.functions.text import route_tokens
-from codeloom.session import numbered, scratch
+from codeloom.session import dealt, numbered, scratch
 
 # Relation and weight of each kind of term.
 RELATIONS = {"service": "exposes", "package": "hosts", "domain": "owns", "dependency": "depends_on"}
@@ -88,6 +88,9 @@ def select_repos(terms: DataFrame, tokens: list[str], limit: int = 5) -> DataFra
     return scored.orderBy(F.desc("score"), "repo_key").limit(limit).select("repo", "score", "reasons")
 
 
+#: Questions of one task, each of which may score every repository.
+QUESTIONS = 1 << 14
+
 #: Tokens of one automaton; more are looked for in turns.
 TOKENS = 200_000
 
@@ -124,14 +127,15 @@ def tokens_in(terms: DataFrame, tokens: DataFrame, most: int = TOKENS) -> DataFr
 def route_all(terms: DataFrame, questions: DataFrame, limit: int = 5) -> DataFrame:
     """Q17, W4 for a table: (question_id, rank, repo, score), the ``limit`` best repositories of every ``questions(question_id, question)`` in one job.
 
-    As ``select_repos``: a token scores once for each time it is asked and each term that it is a part of.
+    As ``select_repos``: a token scores once for each time it is asked and each term that it is a part of. Questions are dealt
+    by id before their tokens meet the repositories: what is shuffled is the question, not a row for each repository it may mean.
     """
-    asked = questions.select("question_id", F.explode(route_tokens(F.col("question"))).alias("token")).groupBy("question_id", "token").agg(F.count("*").alias("n"))
-    asked = scratch(asked, "asked")
+    tokens = lambda q: q.select("question_id", F.explode(route_tokens(F.col("question"))).alias("token"))
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col("term_kind"))
     # what a token adds to a repository is summed before the questions are met
-    worth = tokens_in(terms, asked).join(terms.select("repo_key", "repo", F.lower("term").alias("term"), weight.alias("w")), "term")
-    worth = worth.groupBy("token", "repo_key", "repo").agg(F.sum("w").alias("w"))
-    scored = asked.join(worth, "token").groupBy("question_id", "repo_key", "repo").agg(F.sum(F.col("w") * F.col("n")).alias("score"))
+    worth = tokens_in(terms, tokens(questions)).join(terms.select("repo_key", "repo", F.lower("term").alias("term"), weight.alias("w")), "term")
+    worth = scratch(worth.groupBy("token", "repo_key", "repo").agg(F.sum("w").alias("w")), "worth")
+    own = dealt(questions.select("question_id", "question"), questions.count(), "question_id", most=QUESTIONS)
+    scored = tokens(own).join(worth, "token").groupBy("question_id", "repo_key", "repo").agg(F.sum("w").alias("score"))
     best = Window.partitionBy("question_id").orderBy(F.desc("score"), "repo_key")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("question_id", "rank", "repo", "score")

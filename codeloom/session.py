@@ -47,6 +47,16 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a part of ``dealt``, about.
+PART_ROWS = 1 << 18
+
+
+def dealt(df: DataFrame, rows: int, *keys: str, most: int = PART_ROWS) -> DataFrame:
+    """``df`` of some ``rows`` rows dealt by ``keys`` into parts of about ``most``: more rows give more tasks, not larger ones. A table of one part stays as it is."""
+    parts = -(-rows // most)
+    return df.repartition(parts, *keys) if parts > 1 else df
+
+
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     """``df`` with its rows numbered from 0 in ``order``, by range partitions; no task sees all rows.
 

@@ -26,6 +26,19 @@ def test_route_all(spark, monkeypatch, most):
         assert rows[q] == [(r.repo, r.score) for r in want.collect()], q
 
 
+def test_route_all_deals_questions_once(spark, monkeypatch):
+    """Questions are shuffled by id alone, in parts of bounded size; none of the rows by repository is shuffled again. Repeated ids add up."""
+    monkeypatch.setattr(workspace, "QUESTIONS", 4)
+    terms = spark.createDataFrame([(f"r{k}", f"R{k}", "service", f"pay{k % 3}") for k in range(9)], TERM)
+    asked = spark.createDataFrame([(k % 15, f"pay{k % 3} pay") for k in range(20)], "question_id int, question string")
+    got = workspace.route_all(terms, asked, 2)
+    plan = got._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "REPARTITION_BY_NUM" in plan and not any("Exchange hashpartitioning" in x and "repo_key" in x for x in plan.splitlines())
+    rows = {(r.question_id, r["rank"]): (r.repo, r.score) for r in got.collect()}
+    # each of the two questions of id 0 asks pay0 and pay
+    assert rows[0, 1] == ("R0", 10.0) and rows[14, 1] == ("R2", 5.0) and len(rows) == 30
+
+
 def test_rule_table(spark):
     rng = random.Random(6)
     names = ["a", "b", "gen", "x.log", "keep.log", "y.ts"]
