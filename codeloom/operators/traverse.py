@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import base_name, normal_path
-from codeloom.session import scratch
+from codeloom.session import dealt, scratch
 
 
 def flipped(edges: DataFrame) -> DataFrame:
@@ -176,9 +176,12 @@ def file_dependencies(nodes: DataFrame, edges: DataFrame, subjects: DataFrame, l
     files = nodes.where("kind = 'file'").select("id", "label", "file")
     n = files.withColumnsRenamed({"id": "dst", "label": "dst_label", "file": "dst_file"})
     s = files.select(F.col("id").alias("src"), F.col("file").alias("src_file"))
-    e = e.where("relation <> 'contains'").join(subjects.select(F.col("subject").alias("src")).distinct(), "src", "left_semi")
-    first = e.groupBy("src", "dst").agg(F.min(F.struct("ord", "relation", "projected_from")).alias("f"))
-    c = first.join(n, "dst").join(s, "src").select("src", "src_file", "dst", "dst_label", "dst_file", "f.relation", F.coalesce(F.col("f.projected_from").isin(*STATIC_ORIGINS), F.lit(False)).alias("static"))
+    # written and counted, so that tables grow in tasks and not in what a task holds
+    e = scratch(e.where("relation <> 'contains'").select("src", "dst", "ord", "relation", "projected_from"), "neighbour-edges")
+    rows = e.count()
+    e = dealt(e, rows, "src").join(dealt(subjects.select(F.col("subject").alias("src")).distinct(), rows, "src"), "src", "left_semi")
+    first = e.groupBy("src", "dst").agg(F.min(F.struct("ord", "relation", "projected_from")).alias("f")).join(dealt(s, rows, "src"), "src")
+    c = dealt(first, rows, "dst").join(dealt(n, rows, "dst"), "dst").select("src", "src_file", "dst", "dst_label", "dst_file", "f.relation", F.coalesce(F.col("f.projected_from").isin(*STATIC_ORIGINS), F.lit(False)).alias("static"))
     path = normal_path(F.col("dst_file"))
     test = F.lit(False)
     for m in TEST_MARKS:
@@ -186,7 +189,7 @@ def file_dependencies(nodes: DataFrame, edges: DataFrame, subjects: DataFrame, l
     root = barrel_root(F.col("src_file"))
     c = c.withColumns({"test": test, "outside": (F.lit(reverse) & (root != "") & ~path.startswith(root)), "score": file_score(F.col("dst_file"), F.col("static"))})
     # all rules from one set of grouped counts: what a rule sees depends only on whether the ones before it applied
-    c = scratch(c, "neighbour-files")
+    c = dealt(scratch(c, "neighbour-files"), rows, "src")
     plain = ~F.col("test")
     seen = {"s": F.col("static"), "a": F.lit(True)}
     counts = [F.max("static").alias("any_static")]

@@ -11,6 +11,7 @@ from codeloom.operators import graph as G
 from codeloom.operators import ignore, lookup, manifest
 from codeloom.operators import traverse as V
 from codeloom.operators import workspace as W
+from codeloom.session import dealt
 
 from .projections import CANON, RAW_SUPPLY, SUPPLY, TRADE, supply, trade
 
@@ -48,8 +49,10 @@ def _files(spark, sf):
     from pyspark.sql import functions as F
 
     parts = _read(spark, sf, "part").selectExpr(*_FILE_EXPRS)
-    after = _read(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber - 1 AS l_linenumber", "l_partkey AS next_partkey")
-    return parts, _read(spark, sf, "lineitem").join(after, ["l_orderkey", "l_linenumber"]).selectExpr(*_LINK_EXPRS).where(F.expr("src <> dst"))
+    lines = _read(spark, sf, "lineitem")
+    keys, rows = ["l_orderkey", "l_linenumber"], lines.count()
+    after = lines.selectExpr("l_orderkey", "l_linenumber - 1 AS l_linenumber", "l_partkey AS next_partkey")
+    return parts, dealt(lines.select(*keys, "l_partkey", "l_returnflag"), rows, *keys).join(dealt(after, rows, *keys), keys).selectExpr(*_LINK_EXPRS).where(F.expr("src <> dst"))
 
 
 _FILE_PATH = (
