@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.identity import canonical_join_key, evidence_confidence, evidence_weight, label_of_id, text
+from codeloom.session import dealt, scratch
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
@@ -44,12 +45,16 @@ def last_labels(nodes: DataFrame) -> DataFrame:
     return nodes.where(text("label") != "").groupBy("label").agg(F.max_by("id", F.struct("ord", "id")).alias("label_id"))
 
 
-def resolved(edges: DataFrame, nodes: DataFrame, column: str = "dst", labels: DataFrame | None = None) -> DataFrame:
-    """``column`` replaced by a node id: itself if it is one, else the node of that label, else null. The old value stays in <column>_raw."""
-    ids = nodes.select(F.col("id").alias("__id")).distinct()
+def resolved(edges: DataFrame, nodes: DataFrame, column: str = "dst", labels: DataFrame | None = None, rows: int = 0) -> DataFrame:
+    """``column`` replaced by a node id: itself if it is one, else the node of that label, else null. The old value stays in <column>_raw.
+
+    ``rows``: how many edges there are, if that was counted; then they are dealt into parts of bounded size.
+    """
+    ids = dealt(nodes.select(F.col("id").alias("__id")), rows, "__id").distinct()
     by_label = (first_labels(nodes) if labels is None else labels).select(F.col("label").alias("__label"), F.col("label_id").alias("__by_label"))
+    by_label = dealt(by_label, rows, "__label")
     edges = edges.drop(f"{column}_raw")
-    out = edges.withColumnRenamed(column, "__raw")
+    out = dealt(edges.withColumnRenamed(column, "__raw"), rows, "__raw")
     out = out.join(ids, out["__raw"] == ids["__id"], "left").join(by_label, out["__raw"] == by_label["__label"], "left")
     return out.select(*[F.coalesce("__id", "__by_label").alias(column) if c == column else F.col(c) for c in edges.columns], F.col("__raw").alias(f"{column}_raw"))
 
@@ -175,16 +180,23 @@ def file_projection(graph: Graph) -> DataFrame:
     The target is a node by id, else the first of that label. A symbol's file node is the node ``<source name>:file:<file>``, else the
     file whose label is its file.
     """
-    e = resolved(graph.edges.where("relation <> 'contains'"), graph.nodes).where("dst is not null")
+    # written and counted, so that edges grow in tasks and not in what a task holds
+    e = scratch(graph.edges.where("relation <> 'contains'").select("src", "dst", "relation", "ord"), "lifted-edges")
+    rows = e.count()
+    e = resolved(e, graph.nodes, rows=rows).where("dst is not null").drop("dst_raw")
     files = graph.nodes.where("kind = 'file'")
     source = text("source_name") if "source_name" in graph.nodes.columns else F.lit("")
     file_id = F.when((source != "") & (text("file") != ""), F.concat(source, F.lit(":file:"), F.col("file")))
     of = graph.nodes.select("id", F.when(F.col("kind") == "file", F.col("id")).alias("own"), F.col("file").alias("__file"), file_id.alias("__named"))
     by_label = first_labels(files).select(F.col("label").alias("__file"), "label_id")
     named = graph.nodes.select(F.col("id").alias("__named"), F.lit(True).alias("__there")).distinct()
-    owner = of.join(by_label, "__file", "left").join(named, "__named", "left")
+    owner = dealt(dealt(of, rows, "__file").join(dealt(by_label, rows, "__file"), "__file", "left"), rows, "__named").join(dealt(named, rows, "__named"), "__named", "left")
     owner = owner.select("id", F.coalesce("own", F.when(F.col("__there"), F.col("__named")), "label_id").alias("owner")).where("owner is not null")
-    lifted = e.join(owner.withColumnsRenamed({"id": "src", "owner": "src_file"}), "src").join(owner.withColumnsRenamed({"id": "dst", "owner": "dst_file"}), "dst").where("src_file <> dst_file")
+    owner = scratch(owner, "owners")
+    lifted = e
+    for end in ("dst", "src"):
+        lifted = dealt(lifted, rows, end).join(dealt(owner.withColumnsRenamed({"id": end, "owner": f"{end}_file"}), rows, end), end).drop(end)
+    lifted = dealt(lifted.where("src_file <> dst_file"), rows, "src_file", "dst_file")
     pairs = lifted.groupBy("src_file", "dst_file").agg(F.min(F.struct("ord", "relation")).alias("f"))
     return pairs.select(F.col("src_file").alias("src"), F.col("dst_file").alias("dst"), F.lit("depends_on").alias("relation"), F.col("f.relation").alias("projected_from"), F.col("f.ord").alias("ord"))
 

@@ -25,6 +25,23 @@ def parts(df) -> int:
     return df.rdd.getNumPartitions()
 
 
+def test_file_projection_parts(spark, small_parts):
+    nodes, edges, g = supply(spark)
+    got = graph.file_projection(g)
+    ids, label = {n[0] for n in nodes}, {}
+    for n in nodes:
+        label.setdefault(n[1], n[0])
+    file = {n[0]: n[0] if n[2] == "file" else next((m[0] for m in nodes if m[2] == "file" and m[1] == n[3]), None) for n in nodes}
+    want = {}
+    for src, dst, relation, _, o in edges:
+        dst = dst if dst in ids else label.get(dst)
+        a, b = file.get(src), file.get(dst)
+        if relation != "contains" and a and b and a != b:
+            want[a, b] = min(want.get((a, b), (o, relation)), (o, relation))
+    assert {(r.src, r.dst): (r.ord, r.projected_from) for r in got.collect()} == want
+    assert parts(got) == -(-sum(e[2] != "contains" for e in edges) // 16)
+
+
 @pytest.mark.parametrize("reverse", [False, True])
 def test_file_dependencies_parts(spark, monkeypatch, reverse):
     nodes, edges, g = supply(spark)
