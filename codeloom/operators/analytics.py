@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.identity import text
+from codeloom.session import dealt, scratch
 
 from .graph import first_labels, last_labels, resolved
 
@@ -16,16 +17,19 @@ def histogram(df: DataFrame, column: str, missing: str = "", lower: bool = False
     return df.groupBy((F.lower(c) if lower else c).alias("key")).agg(F.count("*").alias("n"))
 
 
-def edges_by_id(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges with both ends looked up by id, then first label; src and dst are null where unresolved."""
+def edges_by_id(nodes: DataFrame, edges: DataFrame, rows: int = 0) -> DataFrame:
+    """Edges with both ends looked up by id, then first label; src and dst are null where unresolved. ``rows``: as of ``resolved``."""
     labels = first_labels(nodes)
-    return resolved(resolved(edges, nodes, "src", labels), nodes, "dst", labels)
+    return resolved(resolved(edges, nodes, "src", labels, rows), nodes, "dst", labels, rows)
 
 
 def edge_quality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row of edges, broken, resolution_rate, self_loops, duplicates (src -> dst, any relation)."""
-    e = edges_by_id(nodes, edges)
-    pairs = e.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    # parallel edges are looked up once, and what is looked up is counted, so that edges grow in tasks and not in what a task holds
+    alike = scratch(edges.groupBy("src", "dst").agg(F.count("*").alias("n")), "alike")
+    rows = alike.count()
+    e = edges_by_id(nodes, alike, rows)
+    pairs = dealt(e, rows, "src", "dst").groupBy("src", "dst").agg(F.sum("n").alias("n"))
     whole = F.col("src").isNotNull() & F.col("dst").isNotNull()
     sums = pairs.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("edges"),

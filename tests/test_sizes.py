@@ -5,7 +5,7 @@ import random
 import pytest
 
 from codeloom import session
-from codeloom.operators import graph, traverse
+from codeloom.operators import analytics, graph, traverse
 
 
 @pytest.fixture
@@ -42,6 +42,19 @@ def test_file_projection_parts(spark, small_parts):
     assert parts(got) == -(-sum(e[2] != "contains" for e in edges) // 16)
 
 
+def test_edge_quality_parts(spark, small_parts):
+    nodes, edges, g = supply(spark)
+    ids, label = {n[0] for n in nodes}, {}
+    for n in nodes:
+        label.setdefault(n[1], n[0])
+    ends = [tuple(x if x in ids else label.get(x) for x in e[:2]) for e in edges]
+    whole = [e for e in ends if None not in e]
+    df = analytics.edge_quality(g.nodes, g.edges)
+    got = df.first()
+    assert (got.edges, got.broken, got.self_loops, got.duplicates) == (400, 400 - len(whole), sum(a == b for a, b in whole), len(whole) - len(set(whole)))
+    assert f", {-(-len({e[:2] for e in edges}) // 16)}), REPARTITION_BY_NUM" in df._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("reverse", [False, True])
 def test_file_dependencies_parts(spark, monkeypatch, reverse):
     nodes, edges, g = supply(spark)
