@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import textbuf as tb
 from .components import connected_components
-from .scratch import narrow_batches, spare, written
+from .scratch import gathered, narrow_batches, spare, written
 from .simhash import fitted_links, majorities
 
 BANDS, ROWS = 24, 4
@@ -101,8 +101,11 @@ def _signed(rows: DataFrame, text: str, shingle: int) -> DataFrame:
     return rows.select("row", "doc_id", F.col(text).alias("t")).mapInArrow(tb.returning(run), f"row long, doc_id long, {_SIG}")
 
 
-def _likely(pairs: DataFrame, least: float) -> DataFrame:
-    """Distinct (a, b) of pairs(a, an, asig, b, bn, bsig) that can reach ``least``: by the sets' sizes, and by minima in common, of which a quarter less than expected is six deviations off at 0.8."""
+def _likely(pairs: DataFrame, sigs: DataFrame, rows: int, least: float) -> DataFrame:
+    """Distinct (a, b), a < b, of the ``rows`` pairs(a, an, b, bn) at most that can reach ``least``: by the sets' sizes, and by the minima of sigs(s, sig) in common, of which a quarter less than expected is six deviations off at 0.8.
+
+    Minima are looked up once a pair, not carried in every bucket that the pair shares.
+    """
     need = int((least - 0.25) * BANDS * ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,8 +114,12 @@ def _likely(pairs: DataFrame, least: float) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in ("asig", "bsig"))
                 yield b.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= need))
 
-    sized = pairs.where(F.least("an", "bn") >= F.lit(least) * F.greatest("an", "bn"))
-    return sized.select("a", "asig", "b", "bsig").mapInArrow(tb.returning(run), "a long, b long").distinct()
+    sized = pairs.where(F.least("an", "bn") >= F.lit(least) * F.greatest("an", "bn")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    sized = written(gathered(gathered(sized, rows).distinct(), rows), "met")
+    n = sized.count()
+    for c in "ab":
+        sized = gathered(sized, n).join(sigs.select(F.col("s").alias(c), F.col("sig").alias(f"{c}sig")).hint("merge"), c)
+    return gathered(sized.select("a", "asig", "b", "bsig"), n).mapInArrow(tb.returning(run), "a long, b long")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
@@ -199,7 +206,7 @@ def similar_groups(rows: DataFrame, text: str, least: float = 0.8, shingle: int
     near = fingers.join(centre.select(F.col("fp").alias("a"), F.col("centre").alias("x")), "a").join(centre.select(F.col("fp").alias("b"), F.col("centre").alias("y")), "b").select("x", "y")
     near = near.unionByName(one.join(centre, "fp").select(F.col("s").alias("x"), F.col("centre").alias("y"))).where("x <> y")
     near = written(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "fingerprint-links")
-    buckets = written(one.select("row", "s", "n", "sig", F.explode("keys").alias("k")), "buckets")
+    buckets = written(one.select("s", "n", F.explode("keys").alias("k")), "buckets")
     shared = buckets.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k")
     crowd = written(buckets.join(shared.hint("merge"), "k", "left_semi"), "crowd")
     met = one.select("s") if exact else crowd.select("s").unionByName(near.select(F.explode(F.array("a", "b")).alias("s"))).distinct()
@@ -207,18 +214,20 @@ def similar_groups(rows: DataFrame, text: str, least: float = 0.8, shingle: int
     texts = written(texts, "candidates")
     links = written(_linked(near, texts, least, shingle), "linked")
     roots = written(connected_components(links).select(F.col("node").alias("s"), "root"), "roots")
-    placed = None
+    placed, members = None, crowd.count()
+    sigs = written(one.select("s", "sig").join(crowd.select("s").distinct().hint("merge"), "s", "left_semi"), "minima")
     for turn in range(STARS + 2):
         if turn < STARS:
-            named = crowd.select("k", "s", "n", "sig")
-            named = written(named.join(roots.hint("merge"), "s", "left").withColumn("root", F.coalesce("root", "s")), "named")
-            side = named.select("k", F.col("s").alias("a"), F.col("n").alias("an"), F.col("sig").alias("asig"), F.col("root").alias("aroot"))
+            named = gathered(crowd.select("k", "s", "n"), members)
+            named = named.join(roots.hint("merge"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+            named = written(gathered(named, members), "named")
+            side = gathered(named.select("k", F.col("s").alias("a"), F.col("n").alias("an"), F.col("root").alias("aroot")), members)
             # one order of components and members for all buckets, so that they share their centres
-            order = F.struct(F.xxhash64("root", F.lit(turn)).alias("o"), F.xxhash64("s", F.lit(turn)).alias("p"), "s", "n", "sig", "root")
-            centre = named.groupBy("k").agg(F.min(order).alias("c"))
-            centre = centre.select("k", F.col("c.n").alias("bn"), F.col("c.sig").alias("bsig"), F.col("c.s").alias("b"), F.col("c.root").alias("broot"))
+            order = F.struct(F.xxhash64("root", F.lit(turn)).alias("o"), F.xxhash64("s", F.lit(turn)).alias("p"), "s", "n", "root")
+            centre = gathered(named, members).groupBy("k").agg(F.min(order).alias("c"))
+            centre = centre.select("k", F.col("c.n").alias("bn"), F.col("c.s").alias("b"), F.col("c.root").alias("broot"))
             pairs = side.join(centre.hint("merge"), "k").where("aroot <> broot")
-            found = _likely(pairs, least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            found = _likely(pairs, sigs, members, least)
         else:
             if placed is None:
                 placed = _prefixes(written(one.select("s", "n") if exact else _apart(crowd, roots), "apart"), texts, least, shingle)

@@ -32,6 +32,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a part of ``gathered``, about.
+PART_ROWS = 1 << 17
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of at most some ``rows`` rows in a task for each PART_ROWS of them: shuffles and tables of few rows leave few files, those of many rows stay as they are."""
+    return df.coalesce(max(1, -(-rows // PART_ROWS)))
+
+
 def spare(columns: list[str], name: str) -> str:
     """``name``, lengthened until no column is called so; case does not tell names apart."""
     taken = {c.lower() for c in columns}
