@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codeloom.exports import documents
 from codeloom.operators import ignore, reach_index, traverse, upkeep, workspace
 from codeloom.operators.graph import Graph
-from codeloom.session import shared_folder
+from codeloom.session import scratch, shared_folder
 from codeloom.sources import graph_json
 
 from .projections import CANON, RAW_SUPPLY, SUPPLY, TRADE, supply, trade
@@ -29,6 +29,8 @@ def _versions(spark: SparkSession, sf: str) -> tuple[Graph, Graph]:
     """The supply graph before and after files were deleted, changed and added; rows with owner."""
     g = supply(spark, sf, raw=True)
     rows = {"n": g.nodes.withColumn("owner", F.expr(_OWNER_N)), "e": g.edges.withColumn("owner", F.expr(_OWNER_E))}
+    # the joins behind the graph are made once, not once a version and change
+    rows = {k: scratch(x, f"raw-{k}") for k, x in rows.items()}
     mark = _MARK.format(owner="owner")
     old = {k: x.where(f"{mark} < '10' or {mark} >= '18'") for k, x in rows.items()}
     new = {k: x.where(f"{mark} >= '08'") for k, x in rows.items()}
