@@ -85,6 +85,13 @@ class Graph:
         e = resolved(known.select("src", "dst", "relation").distinct(), nodes).where("dst is not null and src <> dst")
         return Graph(nodes, e.select("src", "dst", "relation").distinct())
 
+    def parallel(self) -> Graph:
+        """The nodes of ``built`` and its edges as (src, dst, relation, file, dst_raw), parallel ones kept: different rows are told apart by hash, no copy is sorted out as first and nothing else is carried."""
+        nodes = canonical_nodes(self.nodes)
+        known = self.edges.where((text("src") != "") & (text("dst") != "")).join(nodes.select(F.col("id").alias("src")), "src", "left_semi")
+        e = resolved(known.select("src", "dst", "relation", text("file").alias("file")).distinct(), nodes)
+        return Graph(nodes, e.where("dst is not null and src <> dst"))
+
     def union(self, other: Graph) -> Graph:
         """Rows of both, those of ``other`` after, canonicalised."""
         return Graph.union_all([self, other])

@@ -68,7 +68,7 @@ def q17(spark, sf):
 
 
 def a6(spark, sf):
-    g = supply(spark, sf).built()
+    g = supply(spark, sf).parallel()
     return community.numbered(community.label_propagation(g.nodes, g.edges, 6))
 
 
