@@ -92,35 +92,45 @@ def impact_paths(edges: DataFrame, subject: str) -> DataFrame:
             seen, found = scratch(seen, "impact"), scratch(found, "impact")
 
 
+def _next(pairs: DataFrame, front: DataFrame, at: str, to: str) -> DataFrame:
+    """(id): the nodes at the end ``to`` of the pairs whose end ``at`` is in front(id)."""
+    return pairs.join(front.select(F.col("id").alias(at)), at).select(F.col(to).alias("id")).distinct()
+
+
 def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
     """Q8, Q10: (hop, id) of the shortest path, the lexicographically least of them; no rows if there is none.
 
-    Nodes at their distance from the source that also lie on the way back from the target are kept; the path is then read
-    hop by hop, a top-1 of the edges between two levels each time.
+    Levels grow from both ends, always at the one whose last level has fewer nodes, until they meet, so that a wide end is not
+    searched through. Of the levels the nodes that lead from one end to the other are kept; the path is then read hop by hop, a
+    top-1 of the edges between two levels each time.
     """
     spark = edges.sparkSession
     schema = "hop int, id string"
     if source == target:
         return spark.createDataFrame([(0, source)], schema)
     pairs = _pairs(edges)
-    front = spark.createDataFrame([(source,)], "id string").withColumn("hops", F.lit(0))
-    seen, levels = front, [front]
+    ends = ("src", "dst")
+    levels = [[spark.createDataFrame([(x,)], "id string")] for x in (source, target)]
+    seen, sizes = [own[0] for own in levels], [1, 1]
     while True:
-        hops = len(levels)
-        step = pairs.join(levels[-1].select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        front = scratch(step.join(seen, "id", "left_anti").withColumn("hops", F.lit(hops)), "path")
-        if front.isEmpty():
+        k = 0 if sizes[0] <= sizes[1] else 1
+        own = levels[k]
+        step = _next(pairs, own[-1], ends[k], ends[1 - k])
+        front = scratch(step.join(seen[k], "id", "left_anti"), "path")
+        sizes[k] = front.count()
+        if not sizes[k]:
             return spark.createDataFrame([], schema)
-        levels.append(front)
-        seen = scratch(seen.unionByName(front), "path") if hops % 8 == 0 else seen.unionByName(front)
-        if not front.where(F.col("id") == target).isEmpty():
+        own.append(front)
+        seen[k] = scratch(seen[k].unionByName(front), "path") if len(own) % 8 == 0 else seen[k].unionByName(front)
+        met = scratch(front.join(levels[1 - k][-1], "id", "left_semi"), "path")
+        if not met.isEmpty():
             break
-    # back from the target: the nodes of each level that lead to it
-    on_way = [spark.createDataFrame([(target,)], "id string")]
-    for level in reversed(levels[:-1]):
-        step = pairs.join(on_way[-1].select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id")).distinct()
-        on_way.append(scratch(step.join(level, "id", "left_semi"), "path"))
-    on_way.reverse()
+    # from where they met back to the source, and on to the target
+    on_way = [met]
+    for level in reversed(levels[0][:-1]):
+        on_way.insert(0, scratch(_next(pairs, on_way[0], "dst", "src").join(level, "id", "left_semi"), "path"))
+    for level in reversed(levels[1][:-1]):
+        on_way.append(scratch(_next(pairs, on_way[-1], "src", "dst").join(level, "id", "left_semi"), "path"))
     path = [source]
     for level in on_way[1:]:
         nxt = pairs.where(F.col("src") == path[-1]).join(level.select(F.col("id").alias("dst")), "dst", "left_semi").agg(F.min("dst")).first()[0]
