@@ -110,7 +110,7 @@ def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
         return spark.createDataFrame([(0, source)], schema)
     pairs = _pairs(edges)
     ends = ("src", "dst")
-    levels = [[spark.createDataFrame([(x,)], "id string")] for x in (source, target)]
+    levels = [[scratch(spark.createDataFrame([(x,)], "id string"), "path")] for x in (source, target)]
     seen, sizes = [own[0] for own in levels], [1, 1]
     while True:
         k = 0 if sizes[0] <= sizes[1] else 1
