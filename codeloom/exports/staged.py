@@ -1,16 +1,19 @@
 """Files that tasks write and that are published when all of them are there (rows K1, K2, K5).
 
-Two data sources stage rows in a folder beside the target: a task writes into a folder of its own attempt, and the commit lists
-the attempts that count, so what failed and repeated attempts left is never published. A second job then moves files, or
-copies pieces to their places in one document; it can be repeated. Before the commit the old output is untouched.
+A data source stages files in a folder beside the target: a task writes into a folder of its own attempt, and the commit lists
+the attempts that count, so what failed and repeated attempts left is never published. A second job then moves the files. The rows of
+one document are staged as a sorted table, compressed; its files are measured, and then each is written at its place in the document. These jobs
+can be repeated. Until the end the old output is untouched.
 
 Targets are paths that driver and executors share as files (a mounted folder); graphs elsewhere are kept as tables.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import os
+import re
 import shutil
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,15 +21,16 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from codeloom.session import scratch
-
 _DONE = "_committed"
 _STAGE = ".staged-"
+#: Rows of a sorted file that a task looks at together.
+_ROWS = 4096
 
 
 @dataclass
@@ -79,21 +83,6 @@ class _FilesWriter(_Writer):
         return [(0, n, size)] if n else []
 
 
-class _PiecesWriter(_Writer):
-    def put(self, batches, folder):
-        pieces: list[tuple[int, int, int]] = []
-        for b in batches:
-            for section in b.column("section").unique().to_pylist():
-                rows = b.filter(pc.equal(b.column("section"), section)).column("json").to_pylist()
-                known = pieces and pieces[-1][0] == section
-                data = (",\n" * bool(known) + ",\n".join(rows)).encode()
-                with open(f"{folder}/{section}", "ab") as f:
-                    f.write(data)
-                before = pieces.pop() if known else (section, 0, 0)
-                pieces.append((section, before[1] + len(rows), before[2] + len(data)))
-        return pieces
-
-
 class StagedFiles(DataSource):
     """Rows (path, text), each a file below the folder of its task's attempt."""
 
@@ -108,20 +97,6 @@ class StagedFiles(DataSource):
         return _FilesWriter(self.options["stage"])
 
 
-class StagedPieces(DataSource):
-    """Rows (section, json) in order of section, each run of a section one piece of a document."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "codeloom_pieces"
-
-    def schema(self) -> str:
-        return "section int, json string"
-
-    def writer(self, schema, overwrite):
-        return _PiecesWriter(self.options["stage"])
-
-
 def _stage(rows: DataFrame, source: type[DataSource], stage: str) -> list[tuple[str, int, list]]:
     rows.sparkSession.dataSource.register(source)
     os.makedirs(stage)
@@ -148,6 +123,50 @@ def _in_tasks(spark: SparkSession, rows: list[tuple], schema: str, each: Callabl
         spark.createDataFrame(rows, schema).repartition(len(rows)).mapInArrow(run, "n long").agg(F.sum("n")).first()
 
 
+def _let_go(spark: SparkSession) -> None:
+    """Has the files of ended shuffles deleted, which otherwise stay until the driver happens to collect its garbage: a document may need their room."""
+    gc.collect()
+    if (jvm := getattr(spark, "_jvm", None)) is not None:
+        jvm.System.gc()
+
+
+def _put(rows: DataFrame, folder: str) -> None:
+    rows.write.option("compression", "zstd").parquet(f"file://{folder}")
+
+
+def _taken(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet("file://" + re.sub(r"([\\{}\[\]*?])", r"\\\1", folder))
+
+
+def _texts(source: str, section: int | None = None) -> Iterator[tuple[int, pa.Array]]:
+    """(section, JSON texts) of a file of sorted rows, part by part."""
+    for b in pq.ParquetFile(source).iter_batches(_ROWS, columns=["section", "json"]):
+        for k in b.column("section").unique().to_pylist() if section is None else [section]:
+            texts = b.column("json").filter(pc.equal(b.column("section"), k))
+            if len(texts):
+                yield k, texts
+
+
+def _measured(spark: SparkSession, sources: list[str]) -> list[tuple[int, str, int, int]]:
+    """(section, file, rows, bytes) of each piece that one of the files has of a section, in the order of the document. Rows stand a line apart."""
+
+    def run(batches):
+        for b in batches:
+            for source in b.column("source").to_pylist():
+                found: dict[int, list[int]] = {}
+                for k, texts in _texts(source):
+                    own = found.setdefault(k, [0, -2])
+                    own[0] += len(texts)
+                    own[1] += pc.sum(pc.binary_length(texts)).as_py() + 2 * len(texts)
+                for k, (n, size) in found.items():
+                    yield pa.record_batch([pa.array([k], pa.int32()), pa.array([source]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], names=["section", "source", "n", "size"])
+
+    if not sources:
+        return []
+    asked = spark.createDataFrame([(s,) for s in sources], "source string").repartition(len(sources))
+    return sorted(tuple(r) for r in asked.mapInArrow(run, "section int, source string, n long, size long").collect())
+
+
 def pending(folder: str) -> list[str]:
     """Stages below ``folder`` that were committed and not yet published to the end, oldest first."""
     stages = [e.path for e in os.scandir(folder) if e.name.startswith(_STAGE)] if os.path.isdir(folder) else []
@@ -193,9 +212,9 @@ def write_files(rows: DataFrame, folder: str) -> int:
 def write_document(sections: dict[str, DataFrame], path: str, head: dict | None = None, tail: Callable[[dict[str, int]], dict] | None = None) -> dict[str, int]:
     """One JSON object: the fields of ``head``, an array of the rows (ord, json) of each section in order of ord, the fields of ``tail`` (given the counts).
 
-    Tasks write pieces, then copy each to its place in a file beside ``path``, which takes the place of ``path`` at the end: no
-    task and no driver sees all rows, and a failed write leaves the old document. Every row is a line. Rows of equal ord are
-    ordered by their text. The counts of all sections are returned.
+    Rows are sorted into compressed files, then each file is written at its place in a file beside ``path``, which takes the place of ``path``
+    at the end: no task and no driver sees all rows, the document's text is on disk once, and a failed write leaves the old document. Every row
+    is a line. Rows of equal ord are ordered by their text. The counts of all sections are returned.
     """
     spark = next(iter(sections.values())).sparkSession
     names = list(sections)
@@ -203,18 +222,21 @@ def write_document(sections: dict[str, DataFrame], path: str, head: dict | None
     for k, df in enumerate(sections.values()):
         df = df.select(F.lit(k).alias("section"), "ord", "json")
         rows = df if rows is None else rows.unionByName(df)
-    # sorting by ranges looks at the rows twice: they are made once
-    rows = scratch(rows, "document")
     order = ["section", "ord", "json"]
     parent = os.path.dirname(os.path.abspath(path))
     os.makedirs(parent, exist_ok=True)
     stage = f"{parent}/{_STAGE}{uuid.uuid4().hex}"
     try:
-        parts = _stage(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("section", "json"), StagedPieces, stage)
-        pieces = sorted((section, partition, f"{folder}/{section}", n, size) for folder, partition, found in parts for section, n, size in found)
-        counts = {name: sum(p[3] for p in pieces if p[0] == k) for k, name in enumerate(names)}
+        # sorting by ranges looks at the rows twice: they are made once
+        os.makedirs(stage)
+        _put(rows, f"{stage}/rows")
+        _put(_taken(spark, f"{stage}/rows", rows.schema).repartitionByRange(*order).sortWithinPartitions(*order).select("section", "json"), f"{stage}/sorted")
+        shutil.rmtree(f"{stage}/rows")
+        _let_go(spark)
+        pieces = _measured(spark, [e.path for e in os.scandir(f"{stage}/sorted") if e.name.startswith("part-")])
+        counts = {name: sum(p[2] for p in pieces if p[0] == k) for k, name in enumerate(names)}
         joints: list[tuple[int, bytes]] = []
-        copies: list[tuple[str, int]] = []
+        copies: list[tuple[str, int, int]] = []
         at = 0
 
         def joint(text: str) -> None:
@@ -227,10 +249,10 @@ def write_document(sections: dict[str, DataFrame], path: str, head: dict | None
         for k, name in enumerate(names):
             joint(f"{'],' if k else ''}{json.dumps(name)}:[\n")
             own = [p for p in pieces if p[0] == k]
-            for i, (_, _, source, _, size) in enumerate(own):
+            for i, (_, source, _, size) in enumerate(own):
                 if i:
                     joint(",\n")
-                copies.append((source, at))
+                copies.append((source, k, at))
                 at += size
             joint("\n")
         end = fields(tail(counts) if tail else {})
@@ -241,14 +263,16 @@ def write_document(sections: dict[str, DataFrame], path: str, head: dict | None
                 f.seek(place)
                 f.write(data)
 
-        def copy(source: str, place: int) -> None:
-            with open(source, "rb") as a, open(target, "r+b") as b:
-                b.seek(place)
-                shutil.copyfileobj(a, b, 1 << 20)
-                b.flush()
-                os.fsync(b.fileno())
+        def copy(source: str, section: int, place: int) -> None:
+            with open(target, "r+b") as f:
+                f.seek(place)
+                for i, (_, texts) in enumerate(_texts(source, section)):
+                    whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), ",\n")
+                    f.write((",\n" * bool(i) + whole[0].as_py()).encode())
+                f.flush()
+                os.fsync(f.fileno())
 
-        _in_tasks(spark, copies, "source string, place long", copy)
+        _in_tasks(spark, copies, "source string, section int, place long", copy)
         with open(target, "r+b") as f:
             os.fsync(f.fileno())
         os.replace(target, path)
