@@ -39,8 +39,9 @@ def _json_rows(df: DataFrame, fields: dict[str, str], meta: tuple[str, ...]) ->
     top = [value(c, n) for c, n in fields.items() if c in df.columns]
     inner = [value(c, c) for c in meta if c in df.columns]
     if inner:
-        held = F.struct(*inner)
-        top.append(F.when(F.to_json(held) != "{}", held).alias("metadata"))
+        # a field that is left out is null
+        some = F.coalesce(*[F.when(v.isNotNull(), F.lit(True)) for v in inner], F.lit(False))
+        top.append(F.when(some, F.struct(*inner)).alias("metadata"))
     return df.select("ord", F.to_json(F.struct(*top)).alias("json"))
 
 

@@ -28,7 +28,8 @@ def read_graph(spark: SparkSession, path: str, canonical: bool = True) -> Graph:
     any other is one JSON value and so one task's.
     """
     if in_lines(path):
-        n, e = (lines(spark, path, s).select("ord", F.from_json("json", row).alias("r")).select("ord", "r.*") for s, row in (("nodes", NODE), ("edges", EDGE)))
+        # as rows of a generator, so that no filter is pushed below it, which would parse each line again for each condition
+        n, e = (lines(spark, path, s).select("ord", F.inline(F.array(F.from_json("json", row)))) for s, row in (("nodes", NODE), ("edges", EDGE)))
         return _graph(n, e, canonical)
     doc = spark.read.schema(DOCUMENT).option("multiLine", True).json(path).withColumn("__file", F.input_file_name())
     n = doc.select("__file", F.posexplode("nodes").alias("ord", "n")).select("__file", F.col("ord").cast("long").alias("ord"), "n.*")
@@ -39,12 +40,16 @@ def read_graph(spark: SparkSession, path: str, canonical: bool = True) -> Graph:
 def _graph(n: DataFrame, e: DataFrame, canonical: bool) -> Graph:
     """Rows of a document as a graph."""
     text = lambda df, c: F.coalesce(df[c], F.lit("")).alias(c)
-    kept = lambda c: F.coalesce(F.get_json_object("metadata", f"$.{c}"), F.lit(""))
+    # the metadata of a row are parsed once for all fields
+    parsed = lambda df, names: df.withColumn("__meta", F.from_json("metadata", ", ".join(f"`{x}` string" for x in names)))
+    kept = lambda c: F.coalesce(F.col(f"__meta.{c}"), F.lit(""))
+    n = parsed(n, ("layer", "canonical_key"))
+    e = parsed(e, (*EDGE_METADATA.values(), "binding_suggestions"))
     nodes = n.select(
         *[text(n, c) for c in ("id", "label", "kind", "file", "description", "source_id", "source_type", "source_name", "source_path", "source_remote")], F.coalesce("source_organization", F.lit("")).alias("organization"),
         F.coalesce("community", F.lit(0)).alias("community"), kept("layer").alias("layer"), kept("canonical_key").alias("canonical_key"), "metadata", "ord",
     )
-    suggestions = F.from_json(F.get_json_object("metadata", "$.binding_suggestions"), "array<string>")
+    suggestions = F.from_json("__meta.binding_suggestions", "array<string>")
     edges = e.select(
         F.coalesce("from", F.lit("")).alias("src"), F.coalesce("to", F.lit("")).alias("dst"), F.coalesce("kind", F.lit("")).alias("relation"), text(e, "confidence"), F.coalesce("score", F.lit(0.0)).alias("score"), text(e, "file"),
         *[kept(v).alias(k) for k, v in EDGE_METADATA.items()], suggestions.alias("binding_suggestions"), "metadata", "ord",

@@ -6,7 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from codeloom.exports import staged
-from codeloom.sources import line_document
+from codeloom.sources import graph_json, line_document
 
 
 def test_text_is_staged_compressed_and_once(spark, tmp_path, monkeypatch):
@@ -43,3 +43,20 @@ def test_only_ranges_of_the_section_are_read(tmp_path):
         n += len(parts)
         assert [x for p in parts for b in reader.read(p) for x in b.column("json").to_pylist()] == want
     assert n <= all_ranges + 6
+
+
+def test_metadata_are_read_as_their_json(spark, tmp_path):
+    """Text without its quotes, any other value as JSON, null and missing ones as nothing; the raw metadata stay."""
+    path = str(tmp_path / "m.json")
+    metas = ['{"layer":"a\\"b","verification":1.50,"bound_target":{"x":[1,null]},"binding_state":true,"projected_from":null,"binding_suggestions":["p","q"]}', '"text"', "null", "{}", '{"layer":"","binding_suggestions":[]}', '{"Layer":"other","evidence_source_artifact":"f"}']
+    rows = [f'{{"from":"n","to":"t{k}","metadata":{m}}}' for k, m in enumerate(metas)]
+    open(path, "w").write('{"nodes":[\n{"id":"n","metadata":{"layer":"L","canonical_key":"K"}}\n],"edges":[\n' + ",\n".join(rows) + '\n],"meta":{}}\n')
+    g = graph_json.read_graph(spark, path)
+    names = graph_json.EDGE_METADATA
+    want = g.edges.select("dst", *[F.coalesce(F.get_json_object("metadata", f"$.{v}"), F.lit("")).alias(k) for k, v in names.items()], F.from_json(F.get_json_object("metadata", "$.binding_suggestions"), "array<string>").alias("binding_suggestions"))
+    got = {r.dst: r for r in g.edges.select("dst", *names, "binding_suggestions").collect()}
+    assert got == {r.dst: r for r in want.collect()} and got["t0"].layer == 'a"b' and got["t0"].binding_suggestions == ["p", "q"] and got["t5"].layer == ""
+    assert [(r.layer, r.canonical_key) for r in g.nodes.collect()] == [("L", "K")]
+    # a line of a node once, a line of an edge once, its metadata and its suggestions
+    plan = g.edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 4, plan
